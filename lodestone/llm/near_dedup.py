@@ -177,6 +177,25 @@ def _stars(length: int, percent: int, k: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets, by products of blocks of their incidence matrix."""
+    n = len(sets)
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])[order]
+    value = value[order]
+    column = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
 def _blocks(length: int, percent: int, k: int, bands: int):
     """One unit of a group that is compared in full: yields a spanning set of its new links."""
 
@@ -186,38 +205,31 @@ def _blocks(length: int, percent: int, k: int, bands: int):
         keys = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, bands)
         two = table.column("two")[0].as_py()
         mine = int(np.flatnonzero(keys[0] == key[0])[0])
-        text, sets = table.column("text"), {}
-
-        def shingles(i: int) -> np.ndarray:
-            if i not in sets:
-                (_, _, data, offsets), = tk.chunks(pa.array([text[i].as_py()], pa.string()))
-                sets[i] = tk.shingle_sets(data, offsets, length)[0]
-            return sets[i]
-
-        label = {c: c for c in set(comp.tolist())}
-
-        def find(c: int) -> int:
-            while label[c] != c:
-                label[c] = c = label[label[c]]
-            return c
-
-        a, b = [], []
+        hope = np.zeros((len(node), len(node)), bool)
         for i in range(len(node) - 1):
             rest = np.arange(i + 1, len(node))
             if two:  # pairs inside a block belong to the unit of that block alone
                 rest = rest[block[rest] != block[i]]
             rest = rest[comp[rest] != comp[i]]
-            if not len(rest):
-                continue
-            same = keys[rest] == keys[i]
-            rest = rest[same.argmax(1) == mine]  # each pair is compared in its first common band only
-            rest = rest[_hopeful(regs[i], regs[rest], int(n[i]), n[rest], percent)]
-            for j in rest:
-                p, q = find(int(comp[i])), find(int(comp[j]))
-                if p != q and _alike(shingles(i), shingles(j), percent):
-                    label[max(p, q)] = min(p, q)
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
+            rest = rest[(keys[rest] == keys[i]).argmax(1) == mine]  # each pair is compared in its first common band only
+            hope[i, rest[_hopeful(regs[i], regs[rest], int(n[i]), n[rest], percent)]] = True
+        used = np.flatnonzero(hope.any(0) | hope.any(1))
+        a, b = [], []
+        if len(used):
+            text = table.column("text").take(pa.array(used)).combine_chunks()
+            sets = []
+            for _, _, data, offsets in tk.chunks(text):
+                found, begin = tk.shingle_sets(data, offsets, length)
+                sets += [found[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            both, size = _overlaps(sets), n[used]
+            link = hope[np.ix_(used, used)] & (100 * both >= percent * (size[:, None] + size - both))
+            label = comp[used].copy()
+            for i in range(len(used)):
+                for j in np.flatnonzero(link[i]):
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        a.append(int(node[used[i]]))
+                        b.append(int(node[used[j]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -109,23 +109,27 @@ class PrefixHash:
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than x20 and x09 to x0D; none crosses a text's end."""
-    if not len(data):
+def runs_of(black: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes; none crosses a text's end."""
+    if not len(black):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    black = ~_WHITE[data]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
-    before = np.empty(len(data), bool)
+    cut = offsets[(offsets > 0) & (offsets < len(black))]
+    before = np.empty(len(black), bool)
     before[0] = False
     before[1:] = black[:-1]
     before[cut] = False
-    after = np.empty(len(data), bool)
+    after = np.empty(len(black), bool)
     after[-1] = False
     after[:-1] = black[1:]
     after[cut - 1] = False
     return np.flatnonzero(black & ~before), np.flatnonzero(black & ~after) + 1
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than x20 and x09 to x0D."""
+    return runs_of(~_WHITE[data], offsets)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A to Z lower-cased, all other bytes as they are."""
     return _LOWER[data]
