@@ -8,8 +8,8 @@ corrected for chance register collisions, then are confirmed on the full sets.
 
 Large groups: documents with equal sets are one node. In each band group every
 node is compared with the smallest one, the links are contracted to components,
-and only groups that still hold several components are compared in full, in
-blocks of bounded size that skip pairs of one component. No pair of a group is
+and only groups that still hold several components are compared further: nodes
+outside of a group's largest component with all others, in blocks of bounded size. No pair of a group is
 lost, no pair list is ever emitted, and no group meets in one task.
 """
 
@@ -33,7 +33,9 @@ COLLISION = 0.169919487159739
 #: Ids up to this many are broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Nodes on a side of a block when a group is compared in full, and members that share a star's unit.
-BLOCK = 256
+BLOCK = 512
+#: Shingles on a side of a block.
+BLOCK_SHINGLES = 1 << 20
 
 
 def registers(hashes: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
@@ -177,59 +179,62 @@ def _stars(length: int, percent: int, k: int):
     return run
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of some sets, by products of blocks of their incidence matrix."""
-    n = len(sets)
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets on the left with sets on the right, by products of blocks of their incidence matrices."""
+    n = len(left)
+    sets = left + right
     value = np.concatenate(sets)
     order = np.argsort(value, kind="stable")
-    owner = np.repeat(np.arange(n), [len(x) for x in sets])[order]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
     value = value[order]
     column = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
     shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, len(right)), np.float32)
     for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
         a, b = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((n, 4096), np.float32)
+        m = np.zeros((len(sets), 4096), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        out += m @ m.T
+        out += m[:n] @ m[n:].T
     return out.astype(np.int64)
 
 
 def _blocks(length: int, percent: int, k: int, bands: int):
-    """One unit of a group that is compared in full: yields a spanning set of its new links."""
+    """One unit of a group that is compared in full, nodes outside of its largest component against all: yields a spanning set of its new links."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, comp, n, block = (table.column(c).to_numpy() for c in ("key", "node", "comp", "n_shingles", "block"))
+        key, node, comp, n, side, big = (table.column(c).to_numpy() for c in ("key", "node", "comp", "n_shingles", "side", "big"))
         regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, k)
         keys = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, bands)
-        two = table.column("two")[0].as_py()
         mine = int(np.flatnonzero(keys[0] == key[0])[0])
-        hope = np.zeros((len(node), len(node)), bool)
-        for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            if two:  # pairs inside a block belong to the unit of that block alone
-                rest = rest[block[rest] != block[i]]
-            rest = rest[comp[rest] != comp[i]]
-            rest = rest[(keys[rest] == keys[i]).argmax(1) == mine]  # each pair is compared in its first common band only
-            hope[i, rest[_hopeful(regs[i], regs[rest], int(n[i]), n[rest], percent)]] = True
-        used = np.flatnonzero(hope.any(0) | hope.any(1))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        hope = np.zeros((len(left), len(right)), bool)
+        for row, i in enumerate(left):
+            # Pairs outside of the largest component stand on both sides; one order counts.
+            own = (comp[right] != comp[i]) & ((comp[right] == big[right]) | (node[right] > node[i]))
+            own &= (keys[right] == keys[i]).argmax(1) == mine  # each pair is compared in its first common band only
+            own[own] = _hopeful(regs[i], regs[right[own]], int(n[i]), n[right[own]], percent)
+            hope[row] = own
+        rows, columns = np.flatnonzero(hope.any(1)), np.flatnonzero(hope.any(0))
         a, b = [], []
-        if len(used):
+        if len(rows):
+            used = [*left[rows], *right[columns]]
             text = table.column("text").take(pa.array(used)).combine_chunks()
             sets = []
             for _, _, data, offsets in tk.chunks(text):
                 found, begin = tk.shingle_sets(data, offsets, length)
                 sets += [found[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
-            both, size = _overlaps(sets), n[used]
-            link = hope[np.ix_(used, used)] & (100 * both >= percent * (size[:, None] + size - both))
-            label = comp[used].copy()
-            for i in range(len(used)):
-                for j in np.flatnonzero(link[i]):
-                    if label[i] != label[j]:
-                        label[label == label[j]] = label[i]
-                        a.append(int(node[used[i]]))
-                        b.append(int(node[used[j]]))
+            both = _overlaps(sets[: len(rows)], sets[len(rows) :])
+            link = hope[np.ix_(rows, columns)] & (100 * both >= percent * (n[left[rows]][:, None] + n[right[columns]] - both))
+            at = {int(x): i for i, x in enumerate(np.unique(comp))}
+            label = np.arange(len(at))
+            for x, y in np.argwhere(link):
+                i, j = left[rows[x]], right[columns[y]]
+                p, q = label[at[int(comp[i])]], label[at[int(comp[j])]]
+                if p != q:
+                    label[label == q] = p
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -285,14 +290,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = scratch.write(connected_components(links), "found")
 
     marked = hits.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_groups = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where(f"x < y and size > 2")
-    rest = scratch.write(marked.join(open_groups.select("key", "size"), "key").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "rest")
+    inside = marked.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_groups = inside.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("big")).where("comps > 1 and size > 2")
+    rest = marked.join(open_groups.select("key", "big"), "key").join(live.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
+    rest = scratch.write(rest, "rest")
     if not rest.isEmpty():
         held = texts(rest.select(F.col("node").alias("doc_id")), "block")
-        rows = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("key", "node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-        rows = rows.withColumn("two", F.col("p") != F.col("q")).join(held, "node")
-        more = rows.groupBy("key", "p", "q").applyInArrow(_blocks(shingle, percent, k, bands), "a long, b long")
+        small = F.col("comp") != F.col("big")
+
+        def parts(nodes, shingles):
+            return F.ceil(F.greatest(nodes / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+        shape = rest.groupBy("key").agg(parts(F.count_if(small), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0))).alias("l_parts"), parts(F.count("*"), F.sum("n")).alias("r_parts"))
+        rows = rest.join(shape, "key").withColumn("h", F.xxhash64("node"))
+        left = rows.where(small).select("key", "node", "comp", "big", F.lit(0).alias("side"), F.pmod("h", "l_parts").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)).alias("q"))
+        right = rows.select("key", "node", "comp", "big", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("l_parts") - 1)).alias("p"), F.pmod("h", "r_parts").cast("int").alias("q"))
+        units = left.unionByName(right).join(held, "node")
+        more = units.groupBy("key", "p", "q").applyInArrow(_blocks(shingle, percent, k, bands), "a long, b long")
         more = scratch.write(more, "more")
         found = scratch.write(connected_components(links.unionByName(more)), "found2")
 

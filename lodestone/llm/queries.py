@@ -2,24 +2,129 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm import bpe, chat, licenses, media, mixing, oracles, quality, toxicity
 from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.suffix_dedup import repeated_strings
+from lodestone.llm.topk import top_k_products
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows with ids and decoded text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, ids, text = batch.columns
+            values, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            own = [hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            back = [hashlib.sha256(t.encode()).hexdigest() for t in text.to_pylist()]
+            columns = [doc, pa.array(bounds[1:] - bounds[:-1], pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    encoded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
+    return token_digests(bpe.decode(encoded, path))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, files, n, samples, frames, time, bins = batch.columns
+            out = []
+            for f, s, k, t, b in zip(files, samples, frames, time, bins, strict=True):
+                f, s = f.as_buffer(), s.as_buffer()
+                feature = f"frames={k};cs={t};hist=" + ",".join(map(str, b.as_py()))
+                out.append((s.size, hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]), f.size, hashlib.sha256(f).hexdigest(), feature))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([doc, n, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
+    read = media.read_samples(stored).select("doc_id", "media", "n_bytes", "samples", "n_frames", "duration_cs", "histogram")
+    return read.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels), score_col="score")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+#: A conversation whose texts hold control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], own.schema)
+    return chat.read_segments(chat.chat_segments(own.unionByName(more)))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality.score_quality(docs.select("doc_id", "text", "lang", "source"), model)
+    return scored.select("doc_id", "text_score", "meta_score", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = licenses.scan_licenses(docs, path)
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_near_dedup,)}
+    own = (op1_bpe, op2_gif_media, op3_exact_topk, op4_toxicity, op5_near_dedup, op6_mixing, op7_chat_format, op8_suffix_dedup, op9_quality, op10_licenses)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
