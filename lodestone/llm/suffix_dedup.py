@@ -15,8 +15,10 @@ a refinement is a shuffle by identifier:
    (all strings from the stretch's first start to the end of its last) refines
    the bucket. A stretch whose pointer occurs twice is repeated as a whole, and
    that answer is reused for all its starts.
-3. The starts that are left, those near the edges of repeats, are refined one
-   by one by the pair of pointers to their two halves.
+3. Stretches that are left, those near the edges of repeats, are refined in the
+   same way in classes of a few starts at fixed distances from the anchor, and
+   the starts of the classes that are left one by one, by the pair of pointers
+   to their two halves.
 
 Every exchange combines equal identifiers of a batch before the shuffle, so a
 string that a third of all documents hold sends a few records from each batch.
@@ -35,6 +37,10 @@ from lodestone.llm import textkit as tk
 from lodestone.shared import Scratch
 
 ANCHOR_BYTES = 16
+#: Starts in a class.
+CLASS = 16
+#: Records that a pass gathers before it sends them.
+FLUSH = 400_000
 #: Different stretches of one bucket in a batch from which the batch sends a single record for the bucket.
 MANY = 8
 #: Ids up to this many are broadcast to pick texts; beyond it the texts are shuffled.
@@ -44,7 +50,7 @@ TASK_BYTES = 24 << 20
 
 #: What is known of a stretch of starts.
 REPEATED, SHOWN, OPEN = 1, 2, 3  # repeated; repeated and shown to others; to be refined start by start
-RECORD = np.dtype([("bucket", "u8"), ("pointer", "u8"), ("doc", "i8"), ("place", "u4"), ("flags", "u4")])
+RECORD = np.dtype([("bucket", "u8"), ("pointer", "u8"), ("doc", "i8"), ("place", "u4"), ("flags", "u1")])
 #: Flags of a record: nobody waits for an answer; it stands for several; its bucket has several stretches; a single start.
 SILENT, SEVERAL, MIXED, SINGLE = 1, 2, 4, 8
 
@@ -121,7 +127,7 @@ def _combined(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fresh, run = _runs(records["bucket"], records["pointer"])
     count = np.bincount(run) if len(run) else np.zeros(0, np.int64)
     firsts = records[fresh].copy()
-    firsts["flags"] |= np.where(count >= 2, SEVERAL, 0).astype("u4")
+    firsts["flags"] |= np.where(count >= 2, SEVERAL, 0).astype("u1")
     known = [records[~fresh]]
     answers = [np.full(len(known[0]), REPEATED, "u4")]
     begins, group = _runs(firsts["bucket"])
@@ -131,7 +137,7 @@ def _combined(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         known.append(firsts[big])
         answers.append(np.where(firsts["flags"][big] & SEVERAL, SHOWN, OPEN).astype("u4"))
         marks = firsts[big & begins].copy()
-        marks["flags"] |= SILENT | SEVERAL | MIXED
+        marks["flags"] |= np.uint8(SILENT | SEVERAL | MIXED)
         firsts = np.concatenate([firsts[~big], marks])
     return firsts, np.concatenate(known), np.concatenate(answers)
 
@@ -194,7 +200,12 @@ def _first_pass(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [_records(data, offsets, docs[lo:hi], length) for lo, hi, data, offsets in tk.chunks(batch.column(1))]
+            found: list[np.ndarray] = []
+            for lo, hi, data, offsets in tk.chunks(batch.column(1)):
+                found.append(_records(data, offsets, docs[lo:hi], length))
+                if sum(map(len, found)) >= FLUSH:
+                    yield _rows(*_combined(np.concatenate(found)), parts)
+                    found = []
             if found:
                 yield _rows(*_combined(np.concatenate(found)), parts)
 
@@ -237,55 +248,68 @@ def _kept(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _refine(length: int, parts: int):
-    """Texts with answers: the stretches known to be repeated, and the records of starts that are left."""
+def _classes(lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches cut into classes of starts by their distance from the anchor: lo, hi and the stretch of each."""
+    first, last = (anchor - hi) // CLASS, (anchor - lo) // CLASS
+    n = last - first + 1
+    of = np.repeat(np.arange(len(lo)), n)
+    k = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return np.maximum(lo[of], anchor[of] - CLASS * k - CLASS + 1), np.minimum(hi[of], anchor[of] - CLASS * k), of
+
+
+def _refine(length: int, parts: int, single: bool):
+    """Texts with answers: what is known to be repeated by now, and the records of the next level, classes or single starts."""
     half = length // 2
 
+    def classes(hashes: tk.PrefixHash, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b, of = _classes(lo, hi, anchor)
+        # The bytes that the strings of a whole class have in common, wherever a stretch cuts it.
+        core = anchor[of] - (anchor[of] - b) // CLASS * CLASS
+        return a, b, of, hashes.at(core, core - CLASS + 1 + length), hashes.at(a, b + length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            cells = batch.column(2).to_pylist()
-            state, sent = [None] * len(docs), []
+            cells, before = batch.column(2), batch.column(3)
             for lo, hi, data, offsets in tk.chunks(texts):
                 hashes = tk.PrefixHash(data)
                 s = _stretches(hashes, offsets, length)
-                order = np.lexsort((s["lo"], s["text"]))
-                begin = np.searchsorted(s["text"][order], np.arange(hi - lo + 1))
-                single = s["single"][order]
-                s_lo, s_hi = s["lo"][order], s["hi"][order]
+                s = {k: v[np.lexsort((s["lo"], s["text"]))] for k, v in s.items()}
+                if single:  # the answers are about the classes
+                    plain = ~s["single"]
+                    a, b, of = _classes(s["lo"][plain], s["hi"][plain], s["anchor"][plain])
+                    s = {"lo": a, "hi": b, **{k: s[k][plain][of] for k in ("text", "anchor", "single")}}
+                    s = {k: v[np.lexsort((s["lo"], s["text"]))] for k, v in s.items()}
+                begin = np.searchsorted(s["text"], np.arange(hi - lo + 1))
+                state, sent = [], []
                 for i in range(lo, hi):
-                    a, b = begin[i - lo], begin[i - lo + 1]
-                    base = offsets[i - lo]
-                    place, answer = _merged(cells[i])
-                    index = a + np.searchsorted(s_lo[a:b] - base, place)
-                    lows, highs = s_lo[index], s_hi[index]
+                    a, base = begin[i - lo], offsets[i - lo]
+                    place, answer = _merged(cells[i].as_py() or [])
+                    index = a + np.searchsorted(s["lo"][a : begin[i - lo + 1]] - base, place)
+                    lows, highs, anchor = s["lo"][index], s["hi"][index], s["anchor"][index]
                     done = answer != OPEN
-                    state[i] = np.stack([lows[done] - base, highs[done] - base], 1).astype("i8").tobytes()
-                    for one, silent in ((answer == OPEN, 0), (answer == SHOWN, SILENT)):
-                        one = one & ~single[index]
-                        if one.any():
+                    state.append((before[i].as_py() or b"") + np.stack([lows[done] - base, highs[done] - base], 1).astype("i8").tobytes())
+                    for one, flag in ((answer == OPEN, 0), (answer == SHOWN, SEVERAL)):
+                        one = one & ~s["single"][index]
+                        if not one.any():
+                            continue
+                        if single:
                             size = highs[one] - lows[one] + 1
-                            at = np.repeat(lows[one] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                            r = np.empty(len(at), RECORD)
-                            r["bucket"] = hashes.at(at, at + half)
-                            r["pointer"] = hashes.at(at + half, at + length)
-                            r["doc"] = docs[i]
-                            r["place"] = at - base
-                            r["flags"] = silent
-                            sent.append(r)
-            opened = np.zeros(0, np.int64)
-            if sent:
-                records = np.concatenate(sent)
-                opened = np.unique(records["doc"][(records["flags"] & SILENT) == 0])
-                yield _state_rows(_rows(*_combined_starts(records), parts))
-            yield _state_rows(
-                pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(state, pa.binary())],
-                    names=["part", "doc", "payload"],
-                ),
-                texts.cast(pa.string()),
-                np.isin(docs, opened),
-            )
+                            at = np.repeat(lows[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                            bucket, pointer = hashes.at(at, at + half), hashes.at(at + half, at + length)
+                            flag = SILENT if flag else 0
+                        else:
+                            at, _, _, bucket, pointer = classes(hashes, lows[one], highs[one], anchor[one])
+                        r = np.empty(len(at), RECORD)
+                        r["bucket"], r["pointer"], r["doc"], r["place"], r["flags"] = bucket, pointer, docs[i], at - base, flag
+                        sent.append(r)
+                opened = np.zeros(0, np.int64)
+                if sent:
+                    records = np.concatenate(sent)
+                    opened = np.unique(records["doc"])
+                    yield _state_rows(_rows(*(_combined_starts(records) if single else _combined(records)), parts))
+                own = pa.RecordBatch.from_arrays([pa.nulls(hi - lo, pa.int32()), pa.array(docs[lo:hi], pa.int64()), pa.array(state, pa.binary())], names=["part", "doc", "payload"])
+                yield _state_rows(own, texts.slice(lo, hi - lo).cast(pa.string()), np.isin(docs[lo:hi], opened))
 
     return run
 
@@ -302,10 +326,10 @@ def _combined_starts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     fresh, run = _runs(records["bucket"], records["pointer"])
     count = np.bincount(run)
     # A start that was shown already stands for several, so those beside it are repeated.
-    twice = np.maximum(count, np.bincount(run, (records["flags"] & SILENT) * 2)) >= 2
+    twice = np.maximum(count, np.bincount(run, (records["flags"] & SILENT) * 2.0)) >= 2
     known = records[twice[run] & ((records["flags"] & SILENT) == 0)]
     sent = records[fresh].copy()
-    sent["flags"] = np.where(twice, SILENT | SEVERAL, sent["flags"])
+    sent["flags"] = np.where(twice, SILENT | SEVERAL, sent["flags"]).astype("u1")
     return sent, known, np.full(len(known), REPEATED, "u4")
 
 
@@ -382,18 +406,26 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = scratch.write(answers.select("doc").distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     touched = base.join(side, "doc", "left_semi")
-    opened = touched.join(cells, "doc").select("doc", "text", "cells").mapInArrow(_refine(length, parts), "part int, doc long, payload binary, text string, opened boolean")
-    opened = scratch.write(opened, "refined")
+    schema = "part int, doc long, payload binary, text string, opened boolean"
+    first = touched.join(cells, "doc").select("doc", "text", "cells", F.lit(None).cast("binary").alias("before"))
+    first = scratch.write(first.mapInArrow(_refine(length, parts, False), schema), "classes")
     scratch.drop("answers")
-    states = opened.where("opened is not null")
-    fine = opened.where("opened is null").select("part", "doc", "payload").groupBy("part").applyInArrow(_answer_starts, "doc long, payload binary")
-    fine = scratch.write(fine, "fine")
-    singles = fine.groupBy("doc").agg(F.collect_list("payload").alias("cells"))
+
+    def answered(rows: DataFrame, answer, tag: str) -> DataFrame:
+        own = rows.where("opened is null").select("part", "doc", "payload").groupBy("part").applyInArrow(answer, "doc long, payload binary")
+        return scratch.write(own, tag).groupBy("doc").agg(F.collect_list("payload").alias("cells"))
+
+    cells = answered(first, _answer_part, "class-answers")
+    second = first.where("opened").select("doc", "text", F.col("payload").alias("before")).join(cells, "doc", "left").select("doc", "text", "cells", "before")
+    second = scratch.write(second.mapInArrow(_refine(length, parts, True), schema), "starts")
+    cells = answered(second, _answer_starts, "start-answers")
+    nothing = F.lit(None).cast("array<binary>").alias("cells")
+    done = first.where("not opened").select("doc", "text", "payload", nothing)
+    done = done.unionByName(second.where("not opened").select("doc", "text", "payload", nothing))
+    done = done.unionByName(second.where("opened").select("doc", "text", "payload").join(cells, "doc", "left"))
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string"
-    first = states.where("not opened").select("doc", "text", "payload", F.lit(None).cast("array<binary>").alias("cells"))
-    rest = states.where("opened").select("doc", "text", "payload").join(singles, "doc", "left")
-    done = scratch.write(first.unionByName(rest).mapInArrow(_result(length), schema).where("n_spans > 0").dropDuplicates(["doc"]), "done")
-    scratch.drop("refined", "fine")
+    done = scratch.write(done.mapInArrow(_result(length), schema).where("n_spans > 0").dropDuplicates(["doc"]), "done")
+    scratch.drop("classes", "starts", "class-answers", "start-answers")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
     done = done.withColumnRenamed("doc", "_done_key")
     changed = done.select(F.col("_done_key").alias("_changed"))
