@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 # How sure each method of matching is.
 CONFIDENCE = {"exact": 1.0, "block": 0.9, "name": 0.85, "fuzzy": 0.7}
@@ -115,7 +115,7 @@ def thresholds(df: DataFrame, value: str, *, high: float = 0.95, low: float = 0.
     return own.select("n", *[F.when(F.col("n") >= least, F.round(c, 4)).alias(c) for c in ("high", "low", "std")])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unicode_key(names: pd.Series) -> pd.Series:
     """NFKD without marks, lower-case: for names beyond the letters that built-in functions translate."""
     import unicodedata

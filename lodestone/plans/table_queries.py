@@ -461,10 +461,10 @@ def vector_scores(t: Tables) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(R.translation_score(C("x"), half, C("y")), 6).alias("distance"), F.round(R.cosine(C("x"), C("y")), 6).alias("cosine"))
 
 
-@registry.add("SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.before, b.after, b.after - a.before AS delta FROM (SELECT o_custkey, count(*) AS before FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS after FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey")
+@registry.add("SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CAST(a.before AS DOUBLE) AS before, CAST(b.after AS DOUBLE) AS after, CAST(b.after - a.before AS DOUBLE) AS delta FROM (SELECT o_custkey, count(*) AS before FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS after FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey")
 def metric_delta(t: Tables) -> DataFrame:
     def n(s: str) -> DataFrame:
-        return t.orders.where(C("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").alias("n"))
+        return t.orders.where(C("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"))
 
     return R.metric_delta(n("F"), n("O"), "o_custkey", "n")
 

@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB SQL on the small tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -29,7 +30,7 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
         def cell(v):
             if v is None or (isinstance(v, float) and v != v) or v is pd.NA:
                 return "null"
-            if isinstance(v, float | int) and not isinstance(v, bool):
+            if isinstance(v, numbers.Number) and not isinstance(v, bool):
                 return repr(round(float(v), 7))
             return str(v)
 
