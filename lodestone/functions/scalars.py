@@ -175,7 +175,7 @@ def safety_tier(weighted: Column, count: Column, withdrawn: Column) -> Column:
 
 def approval(groups: Column, *, negative: Sequence[str] = ("withdrawn", "illicit", "experimental", "investigational")) -> Column:
     """True with the token approved, false with a negative one only, else null; tokens are parted by ; , or |."""
-    tokens = F.transform(F.split(F.lower(groups), r"[;,|]"), F.trim)
+    tokens = F.transform(F.split(F.lower(groups), r"[;,|]"), lambda x: F.trim(x))
     return F.when(F.array_contains(tokens, "approved"), True).when(F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in negative])), False)
 
 

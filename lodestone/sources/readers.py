@@ -11,17 +11,26 @@ from lodestone.functions.scalars import NULL_TOKENS
 
 
 def typed_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, sep: str = ",", header: bool = True, null_tokens: Sequence[str] = NULL_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected lines) of a delimited file, gz included; a BOM and placeholder strings are dropped."""
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    raw = spark.read.schema(wide).csv(path, sep=sep, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", encoding="UTF-8", enforceSchema=True)
+    """(good rows, rejected lines) of a delimited file, gz included; a BOM and placeholder strings are dropped. Fields don't hold line ends."""
+    schema = _parsed(spark, schema)
+    value = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).select(value.alias("value")).where("value <> ''")
+    if header and (first := lines.first()) is not None:
+        lines = lines.where(F.col("value") != first["value"])
+    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _corrupt string"
+    row = F.from_csv("value", wide, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = lines.select(row.alias("r")).select("r.*")
     good = raw.where("_corrupt is null").drop("_corrupt")
-    strings = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    for c in strings:
-        good = good.withColumn(c, F.when(~F.lower(F.trim(F.col(c))).isin(*null_tokens), F.col(c)))
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            good = good.withColumn(f.name, F.when(~F.lower(F.trim(F.col(f.name))).isin(*null_tokens), F.col(f.name)))
     return good, raw.where("_corrupt is not null").select("_corrupt")
 
 
+def _parsed(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def spaced_table(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """A text table parted by runs of white space, its header line dropped; short lines give nulls."""
     parts = F.split(F.trim("value"), r"\s+")
@@ -44,7 +53,8 @@ def triples(df: DataFrame, head: str = "head", relation: str = "relation", tail:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good records, rejected lines) of a JSON-lines file, gz included."""
-    raw = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    row = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).select("r.*")
     return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("_corrupt")
 
 
@@ -60,7 +70,7 @@ def flat_records(spark: SparkSession, path: str, *, end: str = "//\n") -> DataFr
     sequence = F.regexp_replace(F.regexp_extract(v, r"(?s)\nSQ [^\n]*\n(.*)$", 1), r"\s+", "")
     return raw.select(
         F.regexp_extract(v, r"(?m)^ID   (\S+)", 1).alias("id"),
-        F.array_join(F.filter(F.transform(F.split(F.array_join(accessions, " "), ";"), F.trim), lambda x: x != ""), "|").alias("accessions"),
+        F.array_join(F.filter(F.transform(F.split(F.array_join(accessions, " "), ";"), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("accessions"),
         F.nullif(F.regexp_extract(v, r"(?m)^GN   Name=([^;{ ]+)", 1), F.lit("")).alias("gene"),
         F.nullif(F.regexp_extract(v, r"(?m)^OS   ([^.\n(]+)", 1), F.lit("")).alias("organism"),
         F.nullif(F.regexp_extract(v, r"NCBI_TaxID=(\d+)", 1), F.lit("")).cast("long").alias("taxon"),
@@ -99,7 +109,7 @@ def soft_samples(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sample_id", "title", "id_ref", "value"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, "sample_id string, title string, id_ref string, value double")
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "sample_id string, title string, id_ref string, value double")
 
 
 def phenotypes(df: DataFrame, column: str) -> DataFrame:
@@ -121,13 +131,13 @@ def latest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def sqlite_table(spark: SparkSession, path: str, query: str, schema: str, *, batch: int = 10_000) -> DataFrame:
     """Rows of a query on a SQLite file that every machine can open, read in batches by one task."""
+    names = _parsed(spark, schema).names
 
-    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sqlite3
 
-        names = T.StructType.fromDDL(schema).names
-        for _batch in _:
-            if not len(_batch):
+        for one in batches:
+            if not len(one):
                 continue
             with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
                 cursor = db.execute(query)
