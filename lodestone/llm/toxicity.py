@@ -78,7 +78,7 @@ class ToxicityModel:
         return sigmoid(self.slope * (row_sums(self.weights[index], begin) + self.bias) + self.intercept)
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 40, batch: int = 512, rate: float = 0.03, sparsity: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, least_steps: int = 600, batch: int = 512, rate: float = 0.03, sparsity: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with logistic losses.
 
     Weights shrink towards 0 by `sparsity` at each step and most stay there, so
@@ -97,7 +97,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return row_sums(w[index], begin) + w[-1], index, np.diff(begin)
 
-    for _ in range(epochs):
+    for _ in range(-(-least_steps // steps)):
         p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for s in range(steps):
             zp, ip, np_ = risk([positive[i] for i in p[np.arange(s * share, (s + 1) * share) % len(p)]])
