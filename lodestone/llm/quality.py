@@ -40,6 +40,16 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
+def _packed(grams: np.ndarray) -> bytes:
+    index, count = np.unique(grams, return_counts=True)
+    return index.astype("<u2").tobytes() + (count / max(len(grams), 1)).astype("<f4").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n).astype(np.int32), np.frombuffer(raw, "<f4", n, 2 * n)
+
+
 def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """n x LAYOUT figures of texts: length, shares of kinds of bytes, words and lines, and how much repeats."""
     n, size = len(offsets) - 1, np.diff(offsets)
@@ -100,7 +110,15 @@ def meta_rows(figures: np.ndarray, lang: np.ndarray, source: np.ndarray, mean: n
     return out
 
 
-def _fit_text(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 256, seed: int = 0) -> np.ndarray:
+Row = tuple[np.ndarray, np.ndarray]  # the features of a text and the share of its bytes that each begins
+
+
+def _joined(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(i) for i, _ in rows])
+    return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.concatenate([[0], np.cumsum(size)])
+
+
+def _fit_text(rows: list[Row], y: np.ndarray, epochs: int = 12, batch: int = 128, seed: int = 0) -> np.ndarray:
     w = np.zeros((1 << BITS) + 1)
     own, rng = Adam(len(w), 0.3), np.random.default_rng(seed)
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
@@ -108,19 +126,17 @@ def _fit_text(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: in
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
-            index = np.concatenate([rows[i] for i in part])
-            size = np.array([len(rows[i]) for i in part])
-            begin = np.concatenate([[0], np.cumsum(size)])
-            z = row_sums(w[index], begin) / np.maximum(size, 1) + w[-1]
+            index, share, begin = _joined([rows[i] for i in part])
+            z = row_sums(w[index] * share, begin) + w[-1]
             g = (sigmoid(z) - y[part]) * balance[part] / len(part)
-            grad = np.bincount(index, np.repeat(g / np.maximum(size, 1), size), len(w)) + 1e-7 * w
+            grad = np.bincount(index, np.repeat(g, np.diff(begin)) * share, len(w)) + 1e-7 * w
             grad[-1] = g.sum()
             own.step(w, grad)
     return w
 
 
-def _text_odds(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    return np.array([w[r].sum() / max(len(r), 1) + w[-1] for r in rows])
+def _text_odds(w: np.ndarray, rows: list[Row]) -> np.ndarray:
+    return np.array([(w[i] * v).sum() + w[-1] for i, v in rows])
 
 
 def _fit_meta(x: np.ndarray, y: np.ndarray, epochs: int = 300) -> np.ndarray:
@@ -166,7 +182,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
     return [F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"), name(lang_col).alias("_lang"), name(source_col).alias("_source")]
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = 2500, most_pool: int = 2500) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = 2000, most_pool: int = 2000) -> QualityModel:
     """Fits both views from labels (id, 0 or 1; 1 is good) and docs.
 
     The sample on the driver is bounded: at most `most_labelled` documents of
@@ -192,7 +208,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)),
-                        pa.array([grams[a:b].astype("<u2").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+                        pa.array([_packed(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
                         pa.array([f.tobytes() for f in figures], pa.binary()),
                     ],
                     names=["label", "lang", "source", "grams", "figures"],
@@ -204,7 +220,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     figures = np.array([np.frombuffer(r["figures"]) for r in rows]).reshape(len(rows), LAYOUT)
     mean, spread = (figures.mean(0), figures.std(0) + 1e-6) if len(rows) else (np.zeros(LAYOUT), np.ones(LAYOUT))
     meta = meta_rows(figures, np.array([r["lang"] for r in rows], int), np.array([r["source"] for r in rows], int), mean, spread)
-    text = [np.frombuffer(r["grams"], "<u2").astype(np.int32) for r in rows]
+    text = [_unpacked(r["grams"]) for r in rows]
     y = np.array([r["label"] for r in rows], int)
     known = np.flatnonzero(y >= 0)
     if len(set(y[known])) < 2:
