@@ -326,7 +326,16 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay. Rows that repeat a kept id stay once for each
     distinct row.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "one-per-group")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null")
+    kept = scratch.write(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.bool_or("kept").alias("_is"), (F.count("*") > 1).alias("_repeated")).where("_is").drop("_is"), "kept")
     key = F.col(f"`{id_col}`").cast("long")
-    small = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    return docs.where(key.isNotNull()).join(small, key == F.col("_kept"), "left_semi").distinct().unionByName(docs.where(key.isNull()))
+
+    def rows(ids: DataFrame) -> DataFrame:
+        ids = ids.select("_kept")
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key == F.col("_kept"), "left_semi")
+
+    out = rows(kept.where("not _repeated")).unionByName(docs.where(key.isNull()))
+    repeated = kept.where("_repeated")
+    return out if repeated.isEmpty() else out.unionByName(rows(repeated).distinct())
