@@ -82,3 +82,64 @@ SELECT k.doc_id, k.source, CAST(k.size AS BIGINT) AS size, CAST(e.source_size AS
 FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 """,
 }
+
+
+def _escaped(column: str) -> str:
+    from lodestone.llm.chat import Template
+
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in Template().controls():
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+SQL["op7_chat_format"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+t AS (
+  SELECT *, lag(role, 1, '') OVER w AS before, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last,
+         length({_escaped('text')}) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 16 + length({_escaped('role')}) END AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(9 + sum(chars) AS BIGINT) AS formatted_chars,
+       bool_and((before = '' AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant'))
+         AND bool_and(NOT last OR role = 'assistant') AS valid
+FROM t GROUP BY conv_id
+"""
+
+
+def _licence_sql() -> str:
+    from lodestone.llm.licenses import MENTIONS, TEMPLATES, TERM
+
+    rows = [(i, n, t) for i, (n, t) in enumerate((n, t) for n, ts in sorted(TEMPLATES.items()) for t in ts)]
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, n, t in rows)
+    return f"""
+WITH tpl(template, license, wording) AS (VALUES {values}),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(wording), '{TERM}')) AS term FROM tpl) GROUP BY ALL),
+idf AS (SELECT term, ln({1.0 + len(rows)} / (1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
+tv AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+lines AS (
+  SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM documents WHERE regexp_matches(text, '{MENTIONS}'))
+  WHERE regexp_matches(line, '{MENTIONS}')
+),
+lt AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
+lw AS (SELECT line, term, tf * coalesce(idf, ln({1.0 + len(rows)}) + 1.0) AS w FROM lt LEFT JOIN idf USING (term)),
+norm AS (SELECT line, sqrt(sum(w * w)) AS n FROM lw GROUP BY line),
+near AS (SELECT line, license, round(sum(w * weight) / any_value(n), 6) AS similarity FROM lw JOIN tv USING (term) JOIN norm USING (line) GROUP BY line, template, license),
+best AS (SELECT line, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM near WHERE similarity >= 0.7 GROUP BY line),
+own AS (
+  SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses
+  FROM (SELECT DISTINCT * FROM lines) JOIN best USING (line) GROUP BY doc_id
+)
+-- No document's path names a licence file, so nothing is inherited.
+SELECT d.doc_id, concat_ws('/', source, lang, CAST(d.doc_id AS VARCHAR)) AS path, license, similarity, coalesce(licenses, '') AS licenses, CASE WHEN license IS NOT NULL THEN 'own' END AS found
+FROM documents d LEFT JOIN own USING (doc_id)
+"""
+
+
+SQL["op10_licenses"] = _licence_sql()
