@@ -139,3 +139,29 @@ def time_ordered_split(t: Tables) -> DataFrame:
     q = t.events.agg(F.percentile("event_id", F.lit(0.8)).alias("q1"), F.percentile("event_id", F.lit(0.9)).alias("q2"))
     split = F.when(C("event_id") <= C("q1"), "early").when(C("event_id") <= C("q2"), "middle").otherwise("late")
     return t.events.join(F.broadcast(q)).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
+
+
+@registry.add("""
+WITH g AS (SELECT l_extendedprice AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(sum(p * (below + n / 2.0)) / sum(p) / sum(n), 9) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM b""")
+def auc_of_lines(t: Tables) -> DataFrame:
+    own = t.lineitem.select(C("l_extendedprice").alias("s"), (C("l_returnflag") == "R").alias("y"))
+    return R.auc(own, "s", "y").withColumn("auc", F.round("auc", 9))
+
+
+@registry.add("""
+WITH p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS i FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+s AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS i FROM (SELECT DISTINCT l_suppkey FROM lineitem))
+SELECT DISTINCT p.i AS src, s.i AS dst FROM lineitem JOIN p USING (l_partkey) JOIN s USING (l_suppkey)""")
+def edge_index_maps(t: Tables) -> DataFrame:
+    line = t.lineitem.select("l_partkey", "l_suppkey").distinct()
+    src = J.dense_index(line.withColumn("kind", F.lit("Part")), "kind", "l_partkey").select("l_partkey", C("index").alias("src"))
+    dst = J.dense_index(line.withColumn("kind", F.lit("Supplier")), "kind", "l_suppkey").select("l_suppkey", C("index").alias("dst"))
+    return line.join(src, "l_partkey").join(dst, "l_suppkey").select("src", "dst")
+
+
+@registry.add("SELECT p_partkey, p_name, CASE WHEN p_size <= 10 THEN 'small' ELSE p_type END AS kind FROM part WHERE p_size <= 10 OR p_type IN ('PROMO', 'ECONOMY')")
+def labelled_projection(t: Tables) -> DataFrame:
+    kept = t.part.where((C("p_size") <= 10) | C("p_type").isin("PROMO", "ECONOMY"))
+    return kept.select("p_partkey", "p_name", F.when(C("p_size") <= 10, "small").otherwise(C("p_type")).alias("kind"))
