@@ -51,13 +51,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return index, np.searchsorted(owners[order], np.arange(n + 1))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = 1000, least: int = 5) -> np.ndarray:
-    """The features that are commoner in the positive rows than in the unlabelled ones, by the standard score of the difference."""
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], *, most: int = 300, effect: float = 0.25, score: float = 3.0, least: int = 5) -> np.ndarray:
+    """The features that are commoner in the positive rows: by the difference of shares over the unlabelled rows' deviation, and its standard score."""
     p, u = (np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=1 << BITS) / len(rows) for rows in (positive, unlabelled))
-    z = (p - u) / np.sqrt(u * (1 - u) / len(positive) + u / len(unlabelled) + 1e-6)
-    z[p * len(positive) < min(least, len(positive))] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return best[z[best] > 0]
+    size = (p - u) / np.sqrt(u * (1 - u) + len(positive) / len(unlabelled) * u + 1e-6 * len(positive))
+    size[(p * len(positive) < min(least, len(positive))) | (size * len(positive) ** 0.5 < score)] = 0
+    best = np.argsort(-size, kind="stable")[:most]
+    return best[size[best] >= min(effect, size.max())] if size.max() > 0 else best[:0]
 
 
 @dataclass
@@ -140,14 +140,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h"))
     scratch = Scratch(docs.sparkSession, "toxicity")
-    marked = base.select("_id", "_h").join(labels, "_id", "left")
+    # Copies of a text count once, with the highest of their labels.
+    marked = base.select("_id", "_h").join(labels, "_id", "left").groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"))
     drawn = None
     for value, most in ((1, most_positive), (0, most_clean), (None, most_unlabelled)):
         rows = marked.where(F.col("_label") == value) if value is not None else marked
         part = rows.orderBy(F.xxhash64("_h", F.lit(-1 if value is None else value)), "_id").limit(most).select("_id", "_h", F.lit(-1 if value is None else value).alias("label"))
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = scratch.write(drawn.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("label")).alias("parts")), "drawn")
-    chosen = base.join(F.broadcast(drawn), ["_id", "_h"]).select(F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("label"), F.col("_text").alias("text"))
+    chosen = base.join(F.broadcast(drawn), base["_id"].eqNullSafe(drawn["_id"]) & (base["_h"] == drawn["_h"])).select(F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("label"), F.col("_text").alias("text"))
     rows = chosen.mapInArrow(_feature_rows, "label string, features binary").collect()
     groups: dict[str, list[np.ndarray]] = {"1": [], "0": [], "-1": []}
     for r in rows:
