@@ -215,7 +215,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 )
 
     chosen = base.join(F.broadcast(drawn), ["_id", "_h"]).select("_label", "_text", "_lang", "_source")
-    rows = chosen.mapInArrow(run, "label int, lang int, source int, grams binary, figures binary").collect()
+    rows = chosen.mapInArrow(tk.released(run), "label int, lang int, source int, grams binary, figures binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["figures"]), bytes(r["grams"][:64])))
     figures = np.array([np.frombuffer(r["figures"]) for r in rows]).reshape(len(rows), LAYOUT)
     mean, spread = (figures.mean(0), figures.std(0) + 1e-6) if len(rows) else (np.zeros(LAYOUT), np.ones(LAYOUT))
@@ -254,4 +254,4 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(m)), *scores], names=[*keep, *names])
 
     schema = frame.select(*[F.col(f"`{c}`") for c in keep]).withColumns({c: F.lit(0.0) for c in names}).schema
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tk.released(run), schema)

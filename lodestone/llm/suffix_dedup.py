@@ -399,7 +399,7 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * volume // TASK_BYTES))
     parts = min(parts, 1 << 20)
 
-    exchange = base.mapInArrow(_first_pass(length, parts), _EXCHANGE)
+    exchange = base.mapInArrow(tk.released(_first_pass(length, parts)), _EXCHANGE)
     answers = exchange.groupBy("part").applyInArrow(_answer_part, "doc long, payload binary")
     answers = scratch.write(answers, "answers")
     cells = answers.groupBy("doc").agg(F.collect_list("payload").alias("cells"))
@@ -408,7 +408,7 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     touched = base.join(side, "doc", "left_semi")
     schema = "part int, doc long, payload binary, text string, opened boolean"
     first = touched.join(cells, "doc").select("doc", "text", "cells", F.lit(None).cast("binary").alias("before"))
-    first = scratch.write(first.mapInArrow(_refine(length, parts, False), schema), "classes")
+    first = scratch.write(first.mapInArrow(tk.released(_refine(length, parts, False)), schema), "classes")
     scratch.drop("answers")
 
     def answered(rows: DataFrame, answer, tag: str) -> DataFrame:
@@ -417,14 +417,14 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     cells = answered(first, _answer_part, "class-answers")
     second = first.where("opened").select("doc", "text", F.col("payload").alias("before")).join(cells, "doc", "left").select("doc", "text", "cells", "before")
-    second = scratch.write(second.mapInArrow(_refine(length, parts, True), schema), "starts")
+    second = scratch.write(second.mapInArrow(tk.released(_refine(length, parts, True)), schema), "starts")
     cells = answered(second, _answer_starts, "start-answers")
     nothing = F.lit(None).cast("array<binary>").alias("cells")
     done = first.where("not opened").select("doc", "text", "payload", nothing)
     done = done.unionByName(second.where("not opened").select("doc", "text", "payload", nothing))
     done = done.unionByName(second.where("opened").select("doc", "text", "payload").join(cells, "doc", "left"))
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string"
-    done = scratch.write(done.mapInArrow(_result(length), schema).where("n_spans > 0").dropDuplicates(["doc"]), "done")
+    done = scratch.write(done.mapInArrow(tk.released(_result(length)), schema).where("n_spans > 0").dropDuplicates(["doc"]), "done")
     scratch.drop("classes", "starts", "class-answers", "start-answers")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
     done = done.withColumnRenamed("doc", "_done_key")

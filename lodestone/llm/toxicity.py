@@ -149,7 +149,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = scratch.write(drawn.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("label")).alias("parts")), "drawn")
     chosen = base.join(F.broadcast(drawn), base["_id"].eqNullSafe(drawn["_id"]) & (base["_h"] == drawn["_h"])).select(F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("label"), F.col("_text").alias("text"))
-    rows = chosen.mapInArrow(_feature_rows, "label string, features binary").collect()
+    rows = chosen.mapInArrow(tk.released(_feature_rows), "label string, features binary").collect()
     groups: dict[str, list[np.ndarray]] = {"1": [], "0": [], "-1": []}
     for r in rows:
         for part in r["label"].split(","):
@@ -185,4 +185,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, score_col])
 
-    return frame.mapInArrow(run, frame.drop("_text").withColumn(score_col, F.lit(0.0)).schema)
+    return frame.mapInArrow(tk.released(run), frame.drop("_text").withColumn(score_col, F.lit(0.0)).schema)
