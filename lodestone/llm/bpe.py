@@ -22,10 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.llm import textkit as tk
+
 #: The split of text before the merges of a byte-level file (fixed values of the format).
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces of text whose encoding a worker remembers, and remembered seams; beyond it they are forgotten.
 REMEMBERED = 200_000
+SEAMS = 200_000
 #: Longer pieces aren't remembered.
 LONGEST_REMEMBERED = 64
 
@@ -103,7 +106,7 @@ class Codec(dict):
                     # Of equal merges the leftmost comes first.
                     if whole is not None and self.rank[whole] < x_until and self.rank[whole] <= y_until:
                         known = False
-            if len(self.seams) >= REMEMBERED * 5:
+            if len(self.seams) >= SEAMS:
                 self.seams.clear()
             self.seams[key] = known
         return known
@@ -187,24 +190,24 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            found = [own.encode(t or "") for t in batch.column(place).to_pylist()]
-            ends = np.cumsum([0] + [len(x) // 4 for x in found])
-            for lo, hi in _pieces(ends, 16 << 20):
-                data = pa.array(np.frombuffer(b"".join(found[lo:hi]), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), data)
+            for lo, hi, data, offsets in tk.chunks(batch.column(place)):
+                raw = data.tobytes()
+                found = [own.encode(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+        own.clear()
 
     schema = frame.withColumn(ids_col, F.array().cast("array<int>")).schema
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tk.released(run), schema)
 
 
-def _pieces(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    lo, n = 0, len(ends) - 1
-    while lo < n:
-        hi = max(lo + 1, min(n, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1))
-        yield lo, hi
-        lo = hi
+def id_rows(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The ids of each row of a column of ids."""
+    values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b, there in zip(bounds[:-1], bounds[1:], column.is_valid().to_pylist(), strict=True):
+        yield values[a:b] if there else None
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -219,10 +222,8 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids = batch.column(place)
-            values, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            text = [own.decode(values[a:b]).decode(errors="replace") if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], ids.is_valid().to_pylist(), strict=True)]
+            text = [None if x is None else own.decode(x).decode(errors="replace") for x in id_rows(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, text_col])
 
     schema = frame.withColumn(text_col, F.lit("")).schema
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tk.released(run), schema)

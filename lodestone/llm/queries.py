@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bpe, chat, licenses, media, mixing, oracles, quality, toxicity
+from lodestone.llm import bpe, chat, licenses, media, mixing, oracles, quality, textkit as tk, toxicity
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.suffix_dedup import repeated_strings
 from lodestone.llm.topk import top_k_products
@@ -25,24 +25,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows with ids and decoded text."""
+def token_digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, and decoded_sha256 of the text that the codec decodes from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bpe.codec(path)
         for batch in batches:
-            doc, ids, text = batch.columns
-            values, bounds = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            own = [hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            back = [hashlib.sha256(t.encode()).hexdigest() for t in text.to_pylist()]
-            columns = [doc, pa.array(bounds[1:] - bounds[:-1], pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for ids in bpe.id_rows(batch.column(1)):
+                text = own.decode(ids).decode(errors="replace")
+                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(tk.released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return token_digests(bpe.decode(encoded, path))
+    return token_digests(bpe.encode(docs.select("doc_id", "text"), path), path)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc, n, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
     read = media.read_samples(stored).select("doc_id", "media", "n_bytes", "samples", "n_frames", "duration_cs", "histogram")
-    return read.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return read.mapInArrow(tk.released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

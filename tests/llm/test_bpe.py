@@ -69,7 +69,7 @@ def test_frames(spark, reference):
     for r in got:
         assert list(r["ids"]) == reference.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
-    digest = {r["doc_id"]: r for r in token_digests(bpe.decode(encoded, PATH)).where("doc_id = 2").collect()}[2]
+    digest = {r["doc_id"]: r for r in token_digests(encoded, PATH).where("doc_id = 2").collect()}[2]
     ids = reference.encode(TEXTS[2], add_special_tokens=False).ids
     assert digest["n_tokens"] == len(ids)
     assert digest["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
