@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from lodestone.shared import Scratch
 
 END = ("src_label", "src_id", "dst_label", "dst_id")
 
@@ -66,6 +70,8 @@ def bounded_paths(edges: DataFrame, start: Column, end: Column, *, max_depth: in
     goals = nodes.where(end).select(F.col("node").alias("goal"))
     found = None
     for depth in range(1, max_depth + 1):
+        if depth == max_depth:  # only edges into a goal can end a path here
+            both = both.join(goals, both["y"] == goals["goal"], "left_semi")
         front = front.join(both, front["node"] == both["x"]).where(~F.array_contains("used", F.col("id").cast("string")))
         front = front.select(F.col("y").alias("node"), F.concat("path", F.array("y")).alias("path"), F.concat("used", F.array(F.col("id").cast("string"))).alias("used"), (F.col("product") * F.col("c")).alias("product"))
         hits = front.join(goals, front["node"] == goals["goal"], "left_semi").select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), F.lit(depth).alias("hops"), F.pow("product", F.lit(1.0 / depth)).alias("score"))
@@ -156,12 +162,45 @@ def component_split(components: DataFrame, *, train: float = 0.8, val: float = 0
 
 
 def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, per_left: int) -> DataFrame:
-    """For each left id, per_left right ids that aren't known partners, likelier the smaller 2 + degree is: least -ln(u) * (2 + degree), u from a hash of the pair."""
+    """For each left id, per_left right ids that aren't known partners, drawn one after the other without repeats by weights 1 / (2 + degree).
+
+    Draws fall on positions in the right ids by degree, by a hash of the left id
+    and the draw's number; repeats and known partners are passed over. Left ids
+    that these draws leave short (most of the right ids are known) get the rest
+    from all their pairs, the least -ln(u) * (2 + degree) first, u from a hash of
+    the pair; all get fewer where fewer are left.
+    """
     from lodestone.operators.joins import all_pairs
 
-    degree = known.groupBy(b).agg(F.count("*").alias("_deg"))
-    pool = right.join(degree, b, "left").fillna(0, ["_deg"])
-    pairs = all_pairs(left.select(a), pool.select(b, "_deg")).join(known.select(a, b).distinct(), [a, b], "left_anti")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    draw = -F.log(u) * (2 + F.col("_deg"))
-    return pairs.withColumn("_n", F.row_number().over(W.partitionBy(a).orderBy(draw, b))).where(F.col("_n") <= per_left).select(a, b)
+    scratch = Scratch(left.sparkSession, "negatives")
+    known = scratch.write(known.select(a, b).groupBy(a, b).agg(F.count("*").alias("_m")), "known")
+    degree = known.groupBy(b).agg(F.sum("_m").alias("_deg"))
+    pool = right.where(F.col(b).isNotNull()).select(b).distinct().join(degree, b, "left").fillna(0, ["_deg"]).select(b, "_deg")
+    pool = scratch.write(pool, "pool")
+    left = left.where(F.col(a).isNotNull()).select(a).distinct()
+    classes = pool.groupBy("_deg").agg(F.count("*").alias("n")).orderBy("_deg").collect()
+    if not classes:
+        return all_pairs(left, pool).select(a, b)
+    size = np.array([r["n"] for r in classes])
+    start, upto = np.cumsum(size) - size, np.cumsum(size / (2.0 + np.array([r["_deg"] for r in classes])))
+
+    @F.pandas_udf("long")
+    def position(u: pd.Series, v: pd.Series) -> pd.Series:
+        k = np.minimum(np.searchsorted(upto, u.to_numpy() * upto[-1], "right"), len(size) - 1)
+        return pd.Series(start[k] + np.minimum((v.to_numpy() * size[k]).astype(np.int64), size[k] - 1))
+
+    def share(digest: Column, at: int) -> Column:
+        return (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+    placed = pool.orderBy("_deg", b).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(T.StructType([pool.schema[b], T.StructField("_at", T.LongType())]))
+    drawn = left.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(4 * per_left + 16))))
+    own = F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col("_n").cast("string")).cast("binary"))
+    drawn = drawn.withColumn("_h", own).withColumn("_at", position(share(F.col("_h"), 1), share(F.col("_h"), 9)))
+    drawn = drawn.join(placed.hint("merge"), "_at").groupBy(a, b).agg(F.min("_n").alias("_n")).join(known, [a, b], "left_anti")
+    picked = drawn.withColumn("_k", F.row_number().over(W.partitionBy(a).orderBy("_n"))).where(F.col("_k") <= per_left)
+    picked = scratch.write(picked.select(a, b), "picked")
+    short = left.join(picked.groupBy(a).agg(F.count("*").alias("_got")), a, "left").fillna(0, ["_got"]).where(F.col("_got") < per_left)
+    rest = all_pairs(short, pool).join(known, [a, b], "left_anti").join(picked, [a, b], "left_anti")
+    u = share(F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")).cast("binary")), 1)
+    rest = rest.withColumn("_k", F.row_number().over(W.partitionBy(a).orderBy(-F.log(u) * (2 + F.col("_deg")), b))).where(F.col("_k") + F.col("_got") <= per_left)
+    return picked.unionByName(rest.select(a, b))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.shared import Scratch
+
 
 def replaced_columns(df: DataFrame, detail: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join whose detail columns take the place of df's; detail holds one row per key."""
@@ -95,6 +97,27 @@ def all_pairs(left: DataFrame, right: DataFrame, *, blocks: int = 8) -> DataFram
     return l.join(r, ["_p", "_q"]).drop("_p", "_q")
 
 
+def top_unseen_pairs(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, *, bound: Column, score: Column, ties: Sequence[str], k: int, block: int = 64) -> DataFrame:
+    """The k pairs of the highest score (ties: the least `ties` first) that aren't known, without all pairs.
+
+    `bound`, of a row of right, is at least the score of each of its pairs. The
+    rows of highest bound are paired first; more are taken until the k-th score
+    is above the bounds of all others, so the result is that over all pairs.
+    """
+    scratch = Scratch(left.sparkSession, "unseen")
+    known, right = scratch.write(known.select(a, b).distinct(), "known"), scratch.write(right.withColumn("_bound", bound), "right")
+    rows, turn = right.count(), 0
+    while True:
+        cut = None if block >= rows else right.select("_bound").orderBy(F.col("_bound").desc_nulls_first()).limit(block).agg(F.min("_bound")).first()[0]
+        used = right if cut is None else right.where(F.col("_bound").isNull() | (F.col("_bound") >= cut))
+        pairs = unseen_pairs(all_pairs(left, used.drop("_bound")), known, a, b).withColumn("score", score)
+        best = scratch.write(pairs.orderBy(F.col("score").desc(), *ties).limit(k), f"best{turn}")
+        got = best.agg(F.count("score").alias("n"), F.min("score").alias("least")).first()
+        if block >= rows or (cut is not None and got["n"] == k and got["least"] >= cut):
+            return best
+        block, turn = 4 * block, turn + 1
+
+
 def alias_pairs(df: DataFrame, key: str, aliases: str) -> DataFrame:
     """(a, b), a < b, where a is among b's aliases; through exploded aliases, not by comparing all rows."""
     names = df.select(F.col(key).alias("b"), F.explode(aliases).alias("a"))

@@ -42,6 +42,14 @@ def wrong_class_pairs(t: Tables) -> DataFrame:
     return N.disjoint_class_pairs(left, right, "s_suppkey", "p_partkey", "cl")
 
 
+@registry.add("SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey, [s_nationkey, s_nationkey % 5 + 30] AS cl FROM supplier) JOIN (SELECT p_partkey, [p_size % 25, p_size % 5 + 30] AS cp FROM part) ON len(list_intersect(cl, cp)) = 0")
+def wrong_class_pairs_all(t: Tables) -> DataFrame:
+    """wrong_class_pairs of every part."""
+    left = t.supplier.select("s_suppkey", F.array("s_nationkey", C("s_nationkey") % 5 + 30).alias("cl"))
+    right = t.part.select("p_partkey", F.array(C("p_size") % 25, C("p_size") % 5 + 30).alias("cl"))
+    return N.disjoint_class_pairs(left, right, "s_suppkey", "p_partkey", "cl")
+
+
 @registry.add("SELECT l_suppkey, l_partkey, max(CASE WHEN l_linenumber >= 3 THEN 0.95::DOUBLE WHEN l_linenumber = 2 THEN 0.8::DOUBLE WHEN l_linenumber = 1 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END) AS confidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL")
 def graded_negatives(t: Tables) -> DataFrame:
     return N.graded_negatives(t.lineitem.where("l_returnflag = 'R'"), "l_suppkey", "l_partkey", C("l_linenumber"))

@@ -222,6 +222,13 @@ def crosswalk_translate(t: Tables) -> DataFrame:
     return J.translate(walk, t.customer.where("c_custkey < 500").select(C("c_custkey").alias("id")), "customer", "order")
 
 
+@registry.add("SELECT c_custkey AS id, arg_min(o_orderkey, (rank, o_orderkey)) AS primary_id, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(CASE WHEN o_orderkey IS NOT NULL THEN {'rank': rank, 'o': o_orderkey} END))), lambda s: CAST(s.o AS VARCHAR)), '|'), '') AS all_ids FROM (SELECT c_custkey FROM customer) LEFT JOIN (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")
+def crosswalk_translate_all(t: Tables) -> DataFrame:
+    """crosswalk_translate of every customer."""
+    walk = t.orders.select(F.lit("customer").alias("src_ns"), C("o_custkey").alias("src_id"), F.lit("order").alias("dst_ns"), C("o_orderkey").alias("dst_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"))
+    return J.translate(walk, t.customer.select(C("c_custkey").alias("id")), "customer", "order")
+
+
 @registry.add("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT s_suppkey AS k, s_name AS v FROM supplier) b ON a.k = b.k")
 def crosswalk_merge(t: Tables) -> DataFrame:
     one = t.customer.where("c_custkey % 2 = 0").select(C("c_custkey").alias("k"), C("c_name").alias("v"))
@@ -283,6 +290,18 @@ def novel_pairs(t: Tables) -> DataFrame:
     return R.top(scored, [C("score").desc(), C("c_custkey"), C("p_partkey")], 50).select("c_custkey", "p_partkey", F.round("score", 9).alias("score"))
 
 
+@registry.add("""
+WITH p AS (SELECT c_name, p_name, c_custkey, p_partkey, p_retailprice / (1 + abs(c_custkey * 7 - p_partkey) % 100) AS score FROM customer CROSS JOIN part),
+known AS (SELECT DISTINCT lower(c_name) AS a, lower(p_name) AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+SELECT c_custkey, p_partkey, round(score, 9) AS score FROM p WHERE NOT EXISTS (SELECT 1 FROM known WHERE a = lower(c_name) AND b = lower(p_name)) ORDER BY p.score DESC, c_custkey, p_partkey LIMIT 50""")
+def novel_pairs_all(t: Tables) -> DataFrame:
+    """novel_pairs of every customer and part; a pair's score is at most the part's price."""
+    known = t.customer.join(t.orders, C("o_custkey") == C("c_custkey")).join(t.lineitem, C("l_orderkey") == C("o_orderkey")).join(t.part, C("p_partkey") == C("l_partkey")).select("c_name", "p_name")
+    score = C("p_retailprice") / (1 + F.abs(C("c_custkey") * 7 - C("p_partkey")) % 100)
+    best = J.top_unseen_pairs(t.customer.select("c_custkey", "c_name"), t.part.select("p_partkey", "p_name", "p_retailprice"), known, "c_name", "p_name", bound=F.greatest("p_retailprice", F.lit(0.0)), score=score, ties=["c_custkey", "p_partkey"], k=50)
+    return best.select("c_custkey", "p_partkey", F.round("score", 9).alias("score"))
+
+
 @registry.add("SELECT r_name, n_name, length(r_name) * n_nationkey AS score FROM region CROSS JOIN nation")
 def all_pair_scores(t: Tables) -> DataFrame:
     return J.all_pairs(t.region, t.nation).select("r_name", "n_name", (F.length("r_name") * C("n_nationkey")).alias("score"))
