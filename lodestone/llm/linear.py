@@ -26,19 +26,27 @@ def row_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return sums[begin[1:]] - sums[begin[:-1]]
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept that calibrate scores z to labels y, by Newton's method with smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50, totals: tuple[int, int] | None = None) -> tuple[float, float]:
+    """Slope and intercept that calibrate scores z to labels y, by Newton's method with smoothed targets.
+
+    totals are the numbers of labels 0 and 1 of which y is a sample by label:
+    each label weighs as in them, so the caps of a sample don't move the cut.
+    """
     if not len(z) or y.all() or not y.any():
         return 1.0, 0.0
     pos, neg = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.ones(len(z))
+    if totals:
+        weight = np.where(y == 1, totals[1] / pos, totals[0] / neg)
+        weight *= len(z) / weight.sum()
     scale = max(float(np.abs(z).mean()), 1e-9)
     x = np.stack([z / scale, np.ones(len(z))], 1)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - t))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (p - t)))
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

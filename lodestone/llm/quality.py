@@ -186,14 +186,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """Fits both views from labels (id, 0 or 1; 1 is good) and docs.
 
     The sample on the driver is bounded: at most `most_labelled` documents of
-    each label and `most_pool` others, the first by a hash of the text. With
-    labels of one kind only, every document gets that label.
+    each label and `most_pool` others, the first by a hash of the text. Scores
+    are calibrated to the shares of the labels among all labelled documents.
+    With labels of one kind only, every document gets that label.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     label = F.max(F.col(f"`{label_col}`").cast("int"))
     labels = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(label.alias("_label"))
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), *_named(docs, id_col, text_col, lang_col, source_col)).withColumn("_h", F.xxhash64("_text"))
     marked = base.select("_id", "_h").join(labels, "_id", "left")
+    counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
+    totals = (counts.get(0, 0), counts.get(1, 0))
     drawn = None
     for value, most in ((0, most_labelled), (1, most_labelled), (None, most_pool)):
         own = F.col("_label").isNull() if value is None else F.col("_label") == value
@@ -230,7 +233,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return QualityModel(w_text, w_meta, mean, spread, (1.0, 0.0), (1.0, 0.0))
     pool = np.flatnonzero(y < 0)
     w_text, w_meta = co_train(([text[i] for i in known], meta[known]), y[known].astype(float), ([text[i] for i in pool], meta[pool]))
-    return QualityModel(w_text, w_meta, mean, spread, platt(_text_odds(w_text, [text[i] for i in known]), y[known]), platt(meta[known] @ w_meta, y[known]))
+    return QualityModel(w_text, w_meta, mean, spread, platt(_text_odds(w_text, [text[i] for i in known]), y[known], totals=totals), platt(meta[known] @ w_meta, y[known], totals=totals))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = False) -> DataFrame:
