@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lodestone.llm import quality
+from lodestone.llm import quality, toxicity
 from lodestone.llm.linear import platt, sigmoid
 
 
@@ -38,3 +38,23 @@ def test_quality_caps_decide_alike(spark):
 
     whole, capped = kept(2000), kept(250)
     assert np.mean([whole[i] == capped[i] for i in whole]) > 0.95
+
+
+def test_toxicity_caps_decide_alike(spark):
+    """Texts with the marker are toxic in 9 of 10, others in 3 of 10; few clean ones calibrate."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        marked = rng.random() < 0.1
+        words = [rng.choice(("bade", "cola", "dune", "fira", "gomu")) + str(rng.randrange(50)) for _ in range(20)] + ["zorkface"] * marked
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(rng.random() < (0.9 if marked else 0.3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    own = spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def found(most):
+        model = toxicity.train_toxicity(docs, own, most_clean=most)
+        return {r["doc_id"]: r["toxicity"] >= 0.5 for r in toxicity.score_toxicity(docs, model).collect()}
+
+    whole, capped = found(3000), found(60)
+    assert np.mean([whole[i] == capped[i] for i in whole]) > 0.98
