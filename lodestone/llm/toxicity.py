@@ -130,8 +130,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     The sample on the driver is bounded: `most_positive` toxic texts,
     `most_unlabelled` texts of all docs, and `most_clean` texts labelled 0 which
     only calibrate the scores, the first of each by a hash of the text. The
-    class prior is the share of 1 among all labels. Without a toxic label every
-    score is near 0.
+    class prior is the share of 1 among all labels, and scores are calibrated to
+    that share. Without a toxic label every score is near 0.
     """
     label = F.max(F.col(f"`{label_col}`").cast("int"))
     labels = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(label.alias("_label"))
@@ -165,8 +165,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         for f in groups[part]:
             z.append(w[f].sum() + bias)
             y.append(value)
-    # The sample has other shares of labels than the corpus; the smoothed targets keep the slope bounded.
-    slope, intercept = platt(np.array(z), np.array(y))
+    # The caps give the sample other shares of labels than all labels have; the smoothed targets keep the slope bounded.
+    slope, intercept = platt(np.array(z), np.array(y), totals=(known["n"] - known["t"], known["t"]))
     return ToxicityModel(w.astype(np.float32), bias, slope, intercept, prior)
 
 
