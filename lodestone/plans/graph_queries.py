@@ -179,10 +179,15 @@ def graph_components(t: Tables) -> DataFrame:
     return connected_components(e)
 
 
+@registry.add()
+def graph_components_all(t: Tables) -> DataFrame:
+    """graph_components over all lines."""
+    return connected_components(_sales(t).distinct())
+
+
 @registry.add()
 def graph_component_split(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_linenumber = 1 and l_quantity > 48").select(C("l_partkey").alias("a"), (C("l_suppkey") + 10000000).alias("b"))
-    return G.component_split(connected_components(e))
+    return G.component_split(connected_components(_sales(t).distinct()))
 
 
 @registry.add(f"WITH {_EDGES} SELECT split, count(*) AS n FROM (SELECT CASE WHEN CAST('0x' || substr(md5('0:' || src_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split, CASE WHEN CAST('0x' || substr(md5('0:' || dst_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS d FROM e) WHERE split = d GROUP BY split")

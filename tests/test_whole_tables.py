@@ -53,3 +53,21 @@ def test_top_unseen_pairs_take_more_rows(spark):
     known = spark.createDataFrame([(f"l{i}", f"R{j}") for i in range(4) for j in range(40)], "a string, b string")
     got = J.top_unseen_pairs(left, right, known, "a", "b", bound=F.col("top"), score=F.col("top") / (1 + F.col("i")), ties=["i", "j"], k=6, block=2)
     assert [(r["i"], r["j"]) for r in got.collect()] == [(0, j) for j in range(40, 46)]
+
+
+def test_components_of_every_line(spark):
+    pairs = duckdb.connect().execute(f"SELECT DISTINCT l_partkey, l_suppkey + 10000000 FROM '{FOLDER}/lineitem.parquet'").fetchall()
+    root = {n: n for pair in pairs for n in pair}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = {r["node"]: r["component"] for r in registry.queries()["graph_components_all"](spark, FOLDER).collect()}
+    assert got == {n: top(n) for n in root if top(n) != n}
+    sizes = {r["component"]: r["size"] for r in registry.queries()["graph_component_split"](spark, FOLDER).collect()}
+    assert sizes == {c: list(got.values()).count(c) for c in set(got.values())}
