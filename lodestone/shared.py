@@ -9,12 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that an operator asks for: tasks on whole texts hold some of them at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch to BATCH_BYTES unless it has been set: only how rows are grouped on their way to Python."""
+    if spark.conf.getAll.get(_BATCH) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset on one machine (tests), a temporary one is set.
+
+    Without it on a cluster a RuntimeError says so: a machine's own folder would
+    lose what other machines write.
+    """
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="lodestone-")
         folder = f"file://{_own}"
@@ -23,13 +39,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[Scratch] = []
+
+
+def clean() -> None:
+    """Drops every table that operators of this process have left for results which still read them: call it once those are written."""
+    while _made:
+        _made.pop().drop()
+
+
 class Scratch:
-    """Tables written for one run of an operator; drop() removes them once the result no longer needs them."""
+    """Tables written for one run of an operator; drop() removes them once the result no longer needs them, clean() those that are left."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        _made.append(self)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         """Computes df once; the returned DataFrame reads the written rows."""
