@@ -176,16 +176,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of token ids (array<int>) of each whole text, as the file at `path` on every machine gives them.
-
-    Null and empty texts have no ids. Special tokens' strings are taken for the
-    tokens. All other columns stay, whatever their names; a column named as
-    ids_col is replaced. Memory follows a batch's ids and the longest text.
-    """
-    rest = [c for c in docs.columns if c != ids_col]
-    place = rest.index(text_col)
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest])
+def encoded_batches(path: str, place: int, ids_col: str = "ids"):
+    """A function of Arrow batches that adds the ids of the texts in column number `place`; it can be chained with others in one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -199,8 +191,20 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
         own.clear()
 
+    return run
+
+
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with a column of token ids (array<int>) of each whole text, as the file at `path` on every machine gives them.
+
+    Null and empty texts have no ids. Special tokens' strings are taken for the
+    tokens. All other columns stay, whatever their names; a column named as
+    ids_col is replaced. Memory follows a batch's ids and the longest text.
+    """
+    rest = [c for c in docs.columns if c != ids_col]
+    frame = docs.select(*[F.col(f"`{c}`") for c in rest])
     schema = frame.withColumn(ids_col, F.array().cast("array<int>")).schema
-    return frame.mapInArrow(tk.released(run), schema)
+    return tk.mapped(frame, encoded_batches(path, rest.index(text_col), ids_col), schema)
 
 
 def id_rows(column: pa.ListArray) -> Iterator[np.ndarray | None]:
@@ -226,4 +230,4 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, text_col])
 
     schema = frame.withColumn(text_col, F.lit("")).schema
-    return frame.mapInArrow(tk.released(run), schema)
+    return tk.mapped(frame, run, schema)

@@ -1,4 +1,4 @@
-"""Small linear classifiers in numpy, trained on the driver from bounded samples."""
+"""Steps, sums and calibration of small linear classifiers in numpy."""
 
 from __future__ import annotations
 
@@ -26,28 +26,24 @@ def row_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return sums[begin[1:]] - sums[begin[:-1]]
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50, totals: tuple[int, int] | None = None) -> tuple[float, float]:
-    """Slope and intercept that calibrate scores z to labels y, by Newton's method with smoothed targets.
-
-    totals are the numbers of labels 0 and 1 of which y is a sample by label:
-    each label weighs as in them, so the caps of a sample don't move the cut.
-    """
-    if not len(z) or y.all() or not y.any():
-        return 1.0, 0.0
-    pos, neg = y.sum(), (1 - y).sum()
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and weights (0 or more) of a logistic regression of labels y on columns of scores, by Newton's method with smoothed targets."""
+    pos, neg = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.ones(len(z))
-    if totals:
-        weight = np.where(y == 1, totals[1] / pos, totals[0] / neg)
-        weight *= len(z) / weight.sum()
-    scale = max(float(np.abs(z).mean()), 1e-9)
-    x = np.stack([z / scale, np.ones(len(z))], 1)
-    w = np.array([1.0, 0.0])
+    weight = weight * len(y) / weight.sum()
+    scale = np.maximum(np.abs(x).mean(0), 1e-9)
+    x = np.concatenate([np.ones((len(x), 1)), x / scale], 1)
+    w = np.zeros(x.shape[1])
+    free = np.ones(len(w), bool)
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (p - t)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (weight * (p - t)) + ridge * np.where(np.arange(len(w)) > 0, w, 0)
+        free[1:] = (w[1:] > 0) | (g[1:] < 0)
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
         w -= np.clip(step, -2, 2)
+        w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-6) / scale), float(w[1])
+    return np.concatenate([w[:1], w[1:] / scale])

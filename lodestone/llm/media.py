@@ -306,7 +306,7 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "me
                 lo = hi
 
     schema = frame.drop("_text").withColumn(media_col, F.lit(b"")).withColumn("n_bytes", F.lit(0).cast("long")).schema
-    return frame.mapInArrow(tk.released(run), schema)
+    return tk.mapped(frame, run, schema)
 
 
 def _histogram(f: Frame) -> np.ndarray:
@@ -346,7 +346,7 @@ def read_samples(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     schema = frame.selectExpr(*[f"`{c}`" for c in rest], "cast('' as binary) samples", "0L n_frames", "0L duration_cs", "cast(array() as array<bigint>) histogram").schema
     for f in schema.fields[-4:]:
         f.nullable = True
-    return frame.mapInArrow(tk.released(run), schema)
+    return tk.mapped(frame, run, schema)
 
 
 def read_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -373,4 +373,4 @@ def read_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
                     start += f.delay
 
     kind = frame.schema["id"].dataType.simpleString()
-    return frame.mapInArrow(tk.released(run), f"id {kind}, frame long, start_cs long, duration_cs long, width long, height long, rgba binary, histogram array<long>")
+    return tk.mapped(frame, run, f"id {kind}, frame long, start_cs long, duration_cs long, width long, height long, rgba binary, histogram array<long>")

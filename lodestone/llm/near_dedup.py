@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     base = base.withColumn("text_mark", F.xxhash64("text"))
     schema = "doc_id long, text_mark long, n_shingles long, s1 long, s2 long, sketch binary, bands array<long>"
-    all_rows = scratch.write(base.mapInArrow(tk.released(_sketch(shingle, k, bands)), schema), "sketch")
+    all_rows = scratch.write(tk.mapped(base, _sketch(shingle, k, bands), schema), "sketch")
     live = all_rows.where("doc_id is not null and n_shingles > 0")
     sets = scratch.write(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
     nodes = live.join(sets.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     units = heads.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1)))
     units = units.join(held, "node").select("leader", "salt", "side", "node", "n_shingles", "sketch", "text")
     units = units.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "side", "node")
-    links = scratch.write(units.mapInArrow(tk.released(_stars(shingle, percent, k)), "a long, b long"), "links")
+    links = scratch.write(tk.mapped(units, _stars(shingle, percent, k), "a long, b long"), "links")
     found = scratch.write(connected_components(links), "found")
 
     marked = hits.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))

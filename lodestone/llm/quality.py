@@ -1,9 +1,13 @@
 """A quality classifier by co-training.
 
-Two views of a document: its text content (frequencies of byte trigrams) and
-its page metadata (language, source, length and layout figures). Each view's
-classifier labels the unlabelled documents that it is sure of for the other, in
-rounds; then both are calibrated on the true labels and their log-odds averaged.
+Two views of a document, each a naive Bayes classifier: its text content (byte
+trigrams, and how it repeats, shouts and breaks lines) and its page metadata
+(language, source, the length on record), which reads nothing of the text. In
+each round both views score every document that has no label; what one view is
+sure of is a pseudo-label for the other, whose counts then hold all of them. So
+a round is one pass over the corpus that brings back counts of a fixed size.
+At the end a logistic regression on labels that trained neither view calibrates
+the two and combines them.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm import textkit as tk
-from lodestone.llm.linear import Adam, platt, row_sums, sigmoid
+from lodestone.llm.linear import logistic, row_sums, sigmoid
 from lodestone.shared import Scratch
 
 BITS = 15
-NAMES = 16  # hashed classes of languages and of sources each
+NAMES = 64  # hashed classes of languages and of sources each
+SIZES = 40  # classes of a length, in half powers of 2
+BINS = 24  # classes of a layout figure
 
 _UPPER, _MARK, _DIGIT, _SPACE, _LINE = (np.zeros(256, np.float32) for _ in range(5))
 _UPPER[0x41:0x5B] = 1
@@ -31,25 +37,17 @@ _LINE[0x0A] = 1
 LAYOUT = 12
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Feature number of the three bytes that begin at each byte."""
-    d = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
-    h = d[:-2] * np.uint32(0x9E3779B1) + d[1:-1] * np.uint32(0x85EBCA77) + d[2:] * np.uint32(0xC2B2AE3D)
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Feature number of the three bytes that begin at each byte; bytes past a text's end are 0."""
+    ends = offsets[1:][np.diff(offsets) > 0]
+    second, third = (np.concatenate([data[k:], np.zeros(min(k, len(data)), np.uint8)]) for k in (1, 2))
+    second[ends - 1] = third[ends - 1] = third[ends - 2] = 0
+    h = data * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x27D4EB2F)
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    index, count = np.unique(grams, return_counts=True)
-    return index.astype("<u2").tobytes() + (count / max(len(grams), 1)).astype("<f4").tobytes()
-
-
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 6
-    return np.frombuffer(raw, "<u2", n).astype(np.int32), np.frombuffer(raw, "<f4", n, 2 * n)
-
-
 def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """n x LAYOUT figures of texts: length, shares of kinds of bytes, words and lines, and how much repeats."""
     n, size = len(offsets) - 1, np.diff(offsets)
@@ -83,178 +81,247 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Each layout figure's least and greatest value for its classes; what lies outside goes to the outer ones.
+_LEAST = np.zeros(LAYOUT)
+_MOST = np.array([14, 0.5, 0.3, 0.2, 0.5, 0.1, 16, 1, 0.5, 8, 0.5, 8.0])
+
+
+def layout_classes(figures: np.ndarray) -> np.ndarray:
+    """Number of each figure's class, n x LAYOUT; a text without words has that as a class of its own."""
+    share = (figures - _LEAST) / (_MOST - _LEAST)
+    return np.clip((share * (BINS - 2)).astype(np.int64) + 1, 1, BINS - 1) * (figures[:, 9:10] > 0)
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.clip((2 * np.log2(np.maximum(n, 0) + 1.0)).astype(np.int64), 0, SIZES - 1)
+
+
 @dataclass
-class QualityModel:
-    text: np.ndarray  # trigram weights, then a bias
-    meta: np.ndarray  # layout, languages, sources, then a bias
-    mean: np.ndarray
-    spread: np.ndarray
-    text_scale: tuple[float, float]
-    meta_scale: tuple[float, float]
-
-    def views(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Calibrated log-odds of the two views."""
-        size = np.diff(offsets)
-        z = row_sums(self.text[:-1][trigrams(data)], offsets) / np.maximum(size, 1) + self.text[-1]
-        x = meta_rows(layout(data, offsets), lang, source, self.mean, self.spread)
-        return self.text_scale[0] * z + self.text_scale[1], self.meta_scale[0] * (x @ self.meta) + self.meta_scale[1]
-
-
-def meta_rows(figures: np.ndarray, lang: np.ndarray, source: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    n = len(figures)
-    out = np.zeros((n, LAYOUT + 2 * NAMES + 1))
-    out[:, :LAYOUT] = np.clip((figures - mean) / spread, -6, 6)
-    out[np.arange(n), LAYOUT + lang] = 1
-    out[np.arange(n), LAYOUT + NAMES + source] = 1
-    out[:, -1] = 1
-    return out
+class Counts:
+    """What naive Bayes counts by class (0, 1): trigrams as shares of their texts, layout classes, and metadata classes."""
 
+    grams: np.ndarray
+    layout: np.ndarray
+    meta: np.ndarray
 
-Row = tuple[np.ndarray, np.ndarray]  # the features of a text and the share of its bytes that each begins
+    @staticmethod
+    def none() -> Counts:
+        return Counts(np.zeros((2, 1 << BITS)), np.zeros((2, LAYOUT, BINS)), np.zeros((2, 3, NAMES)))
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.grams, self.layout, self.meta]
 
-def _joined(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = np.array([len(i) for i, _ in rows])
-    return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.concatenate([[0], np.cumsum(size)])
 
+@dataclass
+class Views:
+    """Log-odds of the classes by view: mean over a text's trigrams, sums over its classes."""
 
-def _fit_text(rows: list[Row], y: np.ndarray, epochs: int = 12, batch: int = 128, seed: int = 0) -> np.ndarray:
-    w = np.zeros((1 << BITS) + 1)
-    own, rng = Adam(len(w), 0.3), np.random.default_rng(seed)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), batch):
-            part = order[lo : lo + batch]
-            index, share, begin = _joined([rows[i] for i in part])
-            z = row_sums(w[index] * share, begin) + w[-1]
-            g = (sigmoid(z) - y[part]) * balance[part] / len(part)
-            grad = np.bincount(index, np.repeat(g, np.diff(begin)) * share, len(w)) + 1e-7 * w
-            grad[-1] = g.sum()
-            own.step(w, grad)
-    return w
+    grams: np.ndarray
+    layout: np.ndarray
+    meta: np.ndarray
+    #: Of the labelled documents that calibrate: intercept and slope of each view.
+    text_scale: tuple[float, float] = (0.0, 1.0)
+    meta_scale: tuple[float, float] = (0.0, 1.0)
 
+    @staticmethod
+    def of(c: Counts, share: float) -> Views:
+        """share: of class 1 among the labels; pseudo-labels don't move it."""
 
-def _text_odds(w: np.ndarray, rows: list[Row]) -> np.ndarray:
-    return np.array([(w[i] * v).sum() + w[-1] for i, v in rows])
+        def odds(counts: np.ndarray, weight: float) -> np.ndarray:
+            p = (counts + weight) / (counts + weight).sum(-1, keepdims=True)
+            return np.log(p[1] / p[0])
 
+        meta = odds(c.meta, 1.0)
+        meta[0] += np.log(share / (1 - share))
+        return Views(odds(c.grams, 1e-2), odds(c.layout, 0.5), meta)
 
-def _fit_meta(x: np.ndarray, y: np.ndarray, epochs: int = 300) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    own = Adam(len(w), 0.05)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-    for _ in range(epochs):
-        own.step(w, x.T @ ((sigmoid(x @ w) - y) * balance) / len(y) + 1e-3 * w)
-    return w
+    def text(self, grams: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        z = row_sums(self.grams[grams], offsets) / np.maximum(np.diff(offsets), 1)
+        return GRAM_WEIGHT * z + self.layout[np.arange(LAYOUT), classes].sum(1)
 
+    def page(self, meta: np.ndarray) -> np.ndarray:
+        return self.meta[np.arange(3), meta].sum(1)
 
-def co_train(labelled: tuple, y: np.ndarray, pool: tuple, *, rounds: int = 3, sure: float = 0.97, share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the text and metadata views. labelled and pool: (text rows, metadata matrix).
 
-    In each round a view hands the other at most `share` of the pool from each
-    side, of documents that it puts over `sure` or under 1 - sure and that no
-    one has labelled yet.
-    """
-    (text, meta), (pool_text, pool_meta) = labelled, pool
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view, for the metadata view
-    w_text = w_meta = None
-    for turn in range(rounds + 1):
-        own = [sorted(g.items()) for g in given]
-        w_text = _fit_text(text + [pool_text[i] for i, _ in own[0]], np.concatenate([y, [v for _, v in own[0]]]))
-        w_meta = _fit_meta(np.concatenate([meta, pool_meta[[i for i, _ in own[1]]]]) if own[1] else meta, np.concatenate([y, [v for _, v in own[1]]]))
-        if turn == rounds or not pool_text:
-            break
-        most = max(1, int(share * len(pool_text)))
-        for z, to in ((_text_odds(w_text, pool_text), 1), (pool_meta @ w_meta, 0)):
-            p = sigmoid(z)
-            order = np.argsort(p)
-            for picks, value in ((order[:most], 0), (order[::-1][:most], 1)):
-                for i in picks:
-                    if (p[i] < 1 - sure if value == 0 else p[i] > sure):
-                        given[to].setdefault(int(i), value)
-    return w_text, w_meta
-
-
-def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> list:
+#: Trigrams of a text aren't independent: their mean counts as so many.
+GRAM_WEIGHT = 8.0
+
+
+@dataclass
+class QualityModel:
+    views: Views
+    #: Intercept and the two views' weights.
+    combined: tuple[float, float, float]
+
+    def odds(self, data: np.ndarray, offsets: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated log-odds by text, by metadata and by both."""
+        v = self.views
+        text, page = v.text(trigrams(data, offsets), offsets, layout_classes(layout(data, offsets))), v.page(meta)
+        both = self.combined[0] + self.combined[1] * text + self.combined[2] * page
+        return v.text_scale[0] + v.text_scale[1] * text, v.meta_scale[0] + v.meta_scale[1] * page, both
+
+
+def _named(docs: DataFrame, text_col: str, lang_col: str, source_col: str, size_col: str) -> list:
     def name(c: str):
-        return F.pmod(F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit(NAMES)).cast("int")
+        return F.pmod(F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit(NAMES)).cast("long")
+
+    size = F.coalesce(F.col(f"`{size_col}`").cast("double"), F.lit(0.0)) if size_col in docs.columns else F.lit(0.0)
+    return [F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), name(lang_col).alias("lang"), name(source_col).alias("source"), size.alias("size")]
+
+
+def _meta(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    lang, source, size = (batch.column(at + i).to_numpy(zero_copy_only=False) for i in range(3))
+    return np.stack([lang, source, size_class(size)], 1)
+
+
+def counted(batches: Iterator[pa.RecordBatch], views: Views | None, sure: float) -> Counts:
+    """Counts of rows (label, text, lang, source, size). Without views, of the labelled rows for both views;
+    with views, of the rows without a label that a view is sure of, for the other view."""
+    c = Counts.none()
+    for batch in batches:
+        label, meta = batch.column(0).to_numpy(zero_copy_only=False), _meta(batch, 2)
+        for lo, hi, data, offsets in tk.chunks(batch.column(1)):
+            grams, classes, own = trigrams(data, offsets), layout_classes(layout(data, offsets)), meta[lo:hi]
+            if views is None:
+                by_text = by_page = label[lo:hi]
+            else:
+                odds = (views.text_scale[0] + views.text_scale[1] * views.text(grams, offsets, classes), views.meta_scale[0] + views.meta_scale[1] * views.page(own))
+                by_text, by_page = (np.where(sigmoid(z) > sure, 1, np.where(sigmoid(z) < 1 - sure, 0, -1)) for z in odds)
+            size = np.diff(offsets)
+            for value in (0, 1):
+                for_text = by_page == value
+                weight = np.repeat(for_text / np.maximum(size, 1), size)
+                c.grams[value] += np.bincount(grams, weight, 1 << BITS) if for_text.any() else 0
+                for i in range(LAYOUT):
+                    c.layout[value, i] += np.bincount(classes[for_text, i], minlength=BINS)
+                for i in range(3):
+                    c.meta[value, i] += np.bincount(own[by_text == value, i], minlength=NAMES)
+    return c
+
+
+def _counts(rows: DataFrame, views: Views | None, sure: float) -> Counts:
+    """counted() over all rows: tasks give the counts of their parts, Spark adds them up by slices of fixed length."""
+    span = 4096
 
-    return [F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"), name(lang_col).alias("_lang"), name(source_col).alias("_source")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate([a.reshape(-1) for a in counted(batches, views, sure).arrays()])
+        part = [flat[a : a + span] for a in range(0, len(flat), span)]
+        index = [k for k, x in enumerate(part) if x.any()]
+        place = [(k * span + np.flatnonzero(part[k])) for k in index]
+        place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(flat[place], pa.float64())], names=["place", "n"])
+
+    out = Counts.none()
+    flat = np.zeros(sum(a.size for a in out.arrays()))
+    for r in tk.mapped(rows, run, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        flat[r["place"]] = r["n"]
+    at = 0
+    for a in out.arrays():
+        a[...] = flat[at : at + a.size].reshape(a.shape)
+        at += a.size
+    return out
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", most_labelled: int = 2000, most_pool: int = 2000) -> QualityModel:
-    """Fits both views from labels (id, 0 or 1; 1 is good) and docs.
+def _added(a: Counts, b: Counts) -> Counts:
+    return Counts(*(x + y for x, y in zip(a.arrays(), b.arrays(), strict=True)))
 
-    The sample on the driver is bounded: at most `most_labelled` documents of
-    each label and `most_pool` others, the first by a hash of the text. Scores
-    are calibrated to the shares of the labels among all labelled documents.
-    With labels of one kind only, every document gets that label.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    label = F.max(F.col(f"`{label_col}`").cast("int"))
-    labels = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(label.alias("_label"))
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), *_named(docs, id_col, text_col, lang_col, source_col)).withColumn("_h", F.xxhash64("_text"))
-    marked = base.select("_id", "_h").join(labels, "_id", "left")
-    counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
-    totals = (counts.get(0, 0), counts.get(1, 0))
-    drawn = None
-    for value, most in ((0, most_labelled), (1, most_labelled), (None, most_pool)):
-        own = F.col("_label").isNull() if value is None else F.col("_label") == value
-        part = marked.where(own).orderBy(F.xxhash64("_h", F.lit(-1 if value is None else value)), "_id").limit(most).withColumn("_label", F.lit(-1 if value is None else value))
-        drawn = part if drawn is None else drawn.unionByName(part)
-    drawn = scratch.write(drawn.distinct(), "drawn")
+
+def _odds_of(rows: DataFrame, views: Views) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and both views' raw log-odds of the calibrating rows, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            meta = _meta(batch, 2)
             for lo, hi, data, offsets in tk.chunks(batch.column(1)):
-                grams, figures = trigrams(data), layout(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)),
-                        pa.array([_packed(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
-                        pa.array([f.tobytes() for f in figures], pa.binary()),
-                    ],
-                    names=["label", "lang", "source", "grams", "figures"],
-                )
-
-    chosen = base.join(F.broadcast(drawn), ["_id", "_h"]).select("_label", "_text", "_lang", "_source")
-    rows = chosen.mapInArrow(tk.released(run), "label int, lang int, source int, grams binary, figures binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["figures"]), bytes(r["grams"][:64])))
-    figures = np.array([np.frombuffer(r["figures"]) for r in rows]).reshape(len(rows), LAYOUT)
-    mean, spread = (figures.mean(0), figures.std(0) + 1e-6) if len(rows) else (np.zeros(LAYOUT), np.ones(LAYOUT))
-    meta = meta_rows(figures, np.array([r["lang"] for r in rows], int), np.array([r["source"] for r in rows], int), mean, spread)
-    text = [_unpacked(r["grams"]) for r in rows]
-    y = np.array([r["label"] for r in rows], int)
-    known = np.flatnonzero(y >= 0)
-    if len(set(y[known])) < 2:
-        bias = 0.0 if not len(known) else (8.0 if y[known[0]] else -8.0)
-        w_text, w_meta = np.zeros((1 << BITS) + 1), np.zeros(meta.shape[1])
-        w_text[-1] = w_meta[-1] = bias
-        return QualityModel(w_text, w_meta, mean, spread, (1.0, 0.0), (1.0, 0.0))
-    pool = np.flatnonzero(y < 0)
-    w_text, w_meta = co_train(([text[i] for i in known], meta[known]), y[known].astype(float), ([text[i] for i in pool], meta[pool]))
-    return QualityModel(w_text, w_meta, mean, spread, platt(_text_odds(w_text, [text[i] for i in known]), y[known], totals=totals), platt(meta[known] @ w_meta, y[known], totals=totals))
-
-
-def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = False) -> DataFrame:
+                z = views.text(trigrams(data, offsets), offsets, layout_classes(layout(data, offsets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(z), pa.array(views.page(meta[lo:hi]))], names=["label", "text", "page"])
+
+    found = np.array(sorted(tuple(r) for r in tk.mapped(rows, run, "label long, text double, page double").collect())).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def train_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    size_col: str = "n_chars",
+    label_col: str = "quality",
+    most_labelled: int = 20_000,
+    rounds: int = 2,
+    sure: float = 0.97,
+) -> QualityModel:
+    """Co-trains both views from labels (id, 0 or 1; 1 is good) and all of docs.
+
+    Of each label at most `most_labelled` documents, the first by a hash of id
+    and text, are used as labelled: three of four train, the fourth calibrates,
+    with each label weighing as among all labelled documents. All documents
+    without a label take part in every round.
+
+    Rows with a null id count as unlabelled. Of an id's labels the highest
+    holds; nulls and other values are no labels. Rows that repeat an id and a
+    text count each. Without labels every score is 0.5, with labels of one kind
+    only every document gets that one. Empty docs are fine. Other columns are
+    ignored; without size_col lengths are 0.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    label = F.max(F.col(f"`{label_col}`").cast("int"))
+    labels = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("id")).agg(label.alias("label"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), *_named(docs, text_col, lang_col, source_col, size_col))
+    mark = F.xxhash64("id", "text")
+    marked = scratch.write(base.select("id", mark.alias("mark")).join(labels, "id"), "marked")
+    totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    drawn = [marked.where(F.col("label") == v).orderBy(F.xxhash64("mark", F.lit(v)), "id").limit(most_labelled) for v in (0, 1)]
+    drawn = drawn[0].unionByName(drawn[1]).select("mark", "label").distinct()
+    drawn = scratch.write(drawn.withColumn("train", F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(4)) > 0), "drawn")
+    if len(totals) < 2:
+        value = next(iter(totals), None)
+        nothing = Views.of(Counts.none(), 0.5)
+        nothing.text_scale = nothing.meta_scale = (0.0 if value is None else 8.0 * (2 * value - 1), 0.0)
+        return QualityModel(nothing, (nothing.text_scale[0], 0.0, 0.0))
+    columns = ["label", "text", "lang", "source", "size"]
+    known = base.withColumn("mark", mark).join(F.broadcast(drawn), "mark").withColumn("label", F.col("label").cast("long"))
+    known = scratch.write(known.select("train", *columns), "known")
+    rest = base.join(labels.select("id"), "id", "left_anti").withColumn("label", F.lit(-1).cast("long")).select(*columns)
+    share = totals[1] / (totals[0] + totals[1])
+    own = _counts(known.where("train").select(*columns), None, sure)
+    held = known.where("not train").select(*columns)
+    if held.groupBy("label").count().count() < 2:
+        held = known.select(*columns)
+    views, counts = Views.of(own, share), own
+    for turn in range(rounds + 1):
+        y, text, page = _odds_of(held, views)
+        weight = np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))
+        views.text_scale, views.meta_scale = (tuple(logistic(z[:, None], y, weight)) for z in (text, page))
+        if turn == rounds:
+            break
+        counts = _added(own, _counts(rest, views, sure))
+        views = Views.of(counts, share)
+    scratch.drop()
+    return QualityModel(views, tuple(logistic(np.stack([text, page], 1), y, weight)))
+
+
+def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", keep_text: bool = False) -> DataFrame:
     """docs' columns (the text only on request) with text_score, meta_score and quality_score, each from 0 to 1, of the whole text.
 
-    Null texts, languages and sources count as empty. Columns with the results'
-    names are replaced.
+    Null texts, languages, sources and lengths count as empty. Columns with the
+    results' names are replaced; all others stay, whatever their names.
     """
     names = ["text_score", "meta_score", "quality_score"]
     keep = [c for c in docs.columns if c not in names and (keep_text or c != text_col)]
-    own = _named(docs, id_col, text_col, lang_col, source_col)
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     m = len(keep)
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *_named(docs, text_col, lang_col, source_col, size_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source = (batch.column(m + i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            meta = _meta(batch, m + 1)
             for lo, hi, data, offsets in tk.chunks(batch.column(m)):
-                a, b = model.views(data, offsets, lang[lo:hi], source[lo:hi])
-                scores = [pa.array(sigmoid(z), pa.float64()) for z in (a, b, (a + b) / 2)]
+                scores = [pa.array(sigmoid(z), pa.float64()) for z in model.odds(data, offsets, meta[lo:hi])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(m)), *scores], names=[*keep, *names])
 
-    schema = frame.select(*[F.col(f"`{c}`") for c in keep]).withColumns({c: F.lit(0.0) for c in names}).schema
-    return frame.mapInArrow(tk.released(run), schema)
+    schema = kept.withColumns({c: F.lit(0.0) for c in names}).schema
+    return tk.mapped(frame, run, schema)

@@ -25,25 +25,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, and decoded_sha256 of the text that the codec decodes from the ids."""
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, and decoded_sha256 of the text that the codec decodes from the ids.
+
+    Null and empty texts have no tokens; rows with null or repeated ids are each given. Encoding and digests share a worker.
+    """
+    encoded = bpe.encoded_batches(path, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.codec(path)
-        for batch in batches:
+        for batch in encoded(batches):
             out = []
-            for ids in bpe.id_rows(batch.column(1)):
+            for ids in bpe.id_rows(batch.column(2)):
                 text = own.decode(ids).decode(errors="replace")
                 out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             columns = list(zip(*out, strict=True)) or [()] * 3
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tk.released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    return token_digests(bpe.encode(docs.select("doc_id", "text"), path), path)
+    return tk.mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc, n, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
     read = media.read_samples(stored).select("doc_id", "media", "n_bytes", "samples", "n_frames", "duration_cs", "histogram")
-    return read.mapInArrow(tk.released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return tk.mapped(read, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("kept_text").alias("text"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ twice next to its twin. Bucket-pointer refinement reaches that order by giving
 each suffix the bucket of its first q bytes and then refining a bucket by the
 bucket identifiers of later offsets, dropping suffixes whose bucket is already
 a singleton. Only equality at one depth matters here, so buckets are 64-bit
-identifiers of substrings (prefix hashes give any of them in constant time) and
-a refinement is a shuffle by identifier:
+identifiers of substrings (prefix hashes give any of them in constant time, and
+a record needs two equal ones to be told repeated) and a refinement is a
+shuffle by identifier. Identifiers name contents, so a later round finds those
+of an earlier one again from the text instead of reading them:
 
 1. Anchors are positions chosen by their own 16 bytes alone, so equal strings
    have equal anchors. The initial bucket of the starts that precede an anchor
@@ -40,27 +42,29 @@ ANCHOR_BYTES = 16
 #: Starts in a class.
 CLASS = 16
 #: Records that a pass gathers before it sends them.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Different stretches of one bucket in a batch from which the batch sends a single record for the bucket.
 MANY = 8
 #: Ids up to this many are broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Bytes of records that a bucket task should hold.
-TASK_BYTES = 24 << 20
+#: Bytes of records that a bucket range should hold.
+TASK_BYTES = 8 << 20
 
+#: A row's key.
+KEY = ["doc", "twin"]
 #: What is known of a stretch of starts.
 REPEATED, SHOWN, OPEN = 1, 2, 3  # repeated; repeated and shown to others; to be refined start by start
-RECORD = np.dtype([("bucket", "u8"), ("pointer", "u8"), ("doc", "i8"), ("place", "u4"), ("flags", "u1")])
+RECORD = np.dtype([("bucket", "u8"), ("pointer", "u8"), ("doc", "i8"), ("twin", "i8"), ("place", "u4"), ("flags", "u1")])
 #: Flags of a record: nobody waits for an answer; it stands for several; its bucket has several stretches; a single start.
 SILENT, SEVERAL, MIXED, SINGLE = 1, 2, 4, 8
 
 
-def _stretches(hashes: tk.PrefixHash, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
+def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Stretches of starts in a chunk: text, lo, hi (absolute, inclusive), the anchor, and single where there is no anchor near."""
     q = length * 7 // 25
     reach = length - q
-    n = len(hashes.sums) - 1
-    grams = hashes.grams(ANCHOR_BYTES)
+    n = len(data)
+    grams = tk.gram_hashes(data, ANCHOR_BYTES)
     density = max(reach // 6, 1)
     at = np.flatnonzero(grams < tk.U64((1 << 64) // density - 1))
     owner = np.searchsorted(offsets, at, "right") - 1
@@ -99,13 +103,13 @@ def _stretches(hashes: tk.PrefixHash, offsets: np.ndarray, length: int) -> dict[
 
 def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     hashes = tk.PrefixHash(data)
-    s = _stretches(hashes, offsets, length)
+    s = _stretches(data, offsets, length)
     q = length * 7 // 25
     out = np.empty(len(s["lo"]), RECORD)
     end = np.where(s["single"], s["lo"] + length, s["anchor"] + q)
     out["bucket"] = hashes.at(np.where(s["single"], s["lo"], s["anchor"]), end)
     out["pointer"] = hashes.at(s["lo"], s["hi"] + length)
-    out["doc"] = docs[s["text"]]
+    out["doc"], out["twin"] = docs[s["text"]].T
     out["place"] = s["lo"] - offsets[s["text"]]
     out["flags"] = np.where(s["single"], SINGLE, 0)
     return out
@@ -160,19 +164,19 @@ def _answered(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(records: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Answers by document: documents and for each the (place * 4 + answer) values as bytes."""
+    """Answers by document: documents (n x 2) and for each the (place * 4 + answer) values as bytes."""
     if not len(records):
-        return np.zeros(0, np.int64), []
-    order = np.argsort(records["doc"], kind="stable")
-    docs = records["doc"][order]
+        return np.zeros((0, 2), np.int64), []
+    order = np.lexsort((records["twin"], records["doc"]))
+    docs = np.stack([records["doc"][order], records["twin"][order]], 1)
     cells = (records["place"][order].astype("u8") << np.uint64(2) | answers[order]).astype("u8")
-    edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
+    edges = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]).any(1), [True]]))
     return docs[edges[:-1]], [cells[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _routed(records: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
     """Records by bucket range."""
-    part = (records["bucket"] >> np.uint64(40)).astype(np.int64) % parts
+    part = (records["bucket"] >> np.uint64(32)).astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
     records, part = records[order], part[order]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
@@ -185,40 +189,55 @@ def _rows(sent: np.ndarray, known: np.ndarray, answers: np.ndarray, parts: int)
     docs, cells = _packed(known, answers)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(part + [int(d % parts) for d in docs], pa.int32()),
-            pa.array([None] * len(part) + [int(d) for d in docs], pa.int64()),
+            pa.array(part + (docs[:, 0] % parts).tolist(), pa.int32()),
+            *(pa.array([None] * len(part) + docs[:, i].tolist(), pa.int64()) for i in (0, 1)),
             pa.array(payload + cells, pa.binary()),
         ],
-        names=["part", "doc", "payload"],
+        names=["part", "doc", "twin", "payload"],
     )
 
 
-_EXCHANGE = "part int, doc long, payload binary"
+_EXCHANGE = "part int, doc long, twin long, payload binary"
+_ANSWERS = "doc long, twin long, payload binary"
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The two halves of the rows' keys, the first two columns (n x 2)."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
 
 
 def _first_pass(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            found: list[np.ndarray] = []
-            for lo, hi, data, offsets in tk.chunks(batch.column(1)):
+            docs = _keys(batch)
+            for lo, hi, data, offsets in tk.chunks(batch.column(2)):
                 found.append(_records(data, offsets, docs[lo:hi], length))
                 if sum(map(len, found)) >= FLUSH:
                     yield _rows(*_combined(np.concatenate(found)), parts)
                     found = []
-            if found:
-                yield _rows(*_combined(np.concatenate(found)), parts)
+        if found:
+            yield _rows(*_combined(np.concatenate(found)), parts)
 
     return run
 
 
 def _answer_part(table: pa.Table) -> pa.Table:
     """One bucket range: answers to its records, after the answers that batches gave themselves."""
+    own, records = _parted(table)
+    return _told(own, *_answered(records))
+
+
+def _parted(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The answers that batches gave themselves, and the records of a bucket range."""
     doc = table.column("doc")
-    own = table.filter(doc.is_valid()).select(["doc", "payload"])
-    sent = b"".join(table.filter(doc.is_null()).column("payload").to_pylist())
-    docs, cells = _packed(*_answered(np.frombuffer(sent, RECORD)))
-    return pa.concat_tables([own, pa.table({"doc": pa.array(docs, pa.int64()), "payload": pa.array(cells, pa.binary())})])
+    payload = table.filter(doc.is_null()).column("payload")
+    return table.filter(doc.is_valid()).select(["doc", "twin", "payload"]), np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in payload), RECORD)
+
+
+def _told(own: pa.Table, records: np.ndarray, answers: np.ndarray) -> pa.Table:
+    docs, cells = _packed(records, answers)
+    return pa.concat_tables([own, pa.table({"doc": docs[:, 0], "twin": docs[:, 1], "payload": pa.array(cells, pa.binary())})])
 
 
 def _merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -269,11 +288,11 @@ def _refine(length: int, parts: int, single: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            cells, before = batch.column(2), batch.column(3)
+            docs, texts = _keys(batch), batch.column(2)
+            cells, before = batch.column(3), batch.column(4)
             for lo, hi, data, offsets in tk.chunks(texts):
                 hashes = tk.PrefixHash(data)
-                s = _stretches(hashes, offsets, length)
+                s = _stretches(data, offsets, length)
                 s = {k: v[np.lexsort((s["lo"], s["text"]))] for k, v in s.items()}
                 if single:  # the answers are about the classes
                     plain = ~s["single"]
@@ -281,7 +300,7 @@ def _refine(length: int, parts: int, single: bool):
                     s = {"lo": a, "hi": b, **{k: s[k][plain][of] for k in ("text", "anchor", "single")}}
                     s = {k: v[np.lexsort((s["lo"], s["text"]))] for k, v in s.items()}
                 begin = np.searchsorted(s["text"], np.arange(hi - lo + 1))
-                state, sent = [], []
+                state, sent, opened = [], [], np.zeros(hi - lo, bool)
                 for i in range(lo, hi):
                     a, base = begin[i - lo], offsets[i - lo]
                     place, answer = _merged(cells[i].as_py() or [])
@@ -301,15 +320,15 @@ def _refine(length: int, parts: int, single: bool):
                         else:
                             at, _, _, bucket, pointer = classes(hashes, lows[one], highs[one], anchor[one])
                         r = np.empty(len(at), RECORD)
-                        r["bucket"], r["pointer"], r["doc"], r["place"], r["flags"] = bucket, pointer, docs[i], at - base, flag
+                        r["bucket"], r["pointer"], r["place"], r["flags"] = bucket, pointer, at - base, flag
+                        r["doc"], r["twin"] = docs[i]
                         sent.append(r)
-                opened = np.zeros(0, np.int64)
+                        opened[i - lo] = True
                 if sent:
                     records = np.concatenate(sent)
-                    opened = np.unique(records["doc"])
                     yield _state_rows(_rows(*(_combined_starts(records) if single else _combined(records)), parts))
-                own = pa.RecordBatch.from_arrays([pa.nulls(hi - lo, pa.int32()), pa.array(docs[lo:hi], pa.int64()), pa.array(state, pa.binary())], names=["part", "doc", "payload"])
-                yield _state_rows(own, texts.slice(lo, hi - lo).cast(pa.string()), np.isin(docs[lo:hi], opened))
+                own = pa.RecordBatch.from_arrays([pa.nulls(hi - lo, pa.int32()), *(pa.array(docs[lo:hi, k], pa.int64()) for k in (0, 1)), pa.array(state, pa.binary())], names=["part", "doc", "twin", "payload"])
+                yield _state_rows(own, texts.slice(lo, hi - lo).cast(pa.string()), opened)
 
     return run
 
@@ -317,7 +336,7 @@ def _refine(length: int, parts: int, single: bool):
 def _state_rows(rows: pa.RecordBatch, text: pa.Array | None = None, opened: np.ndarray | None = None) -> pa.RecordBatch:
     text = text if text is not None else pa.nulls(len(rows), pa.string())
     opened = pa.array(opened, pa.bool_()) if opened is not None else pa.nulls(len(rows), pa.bool_())
-    return pa.RecordBatch.from_arrays([*rows.columns, text, opened], names=["part", "doc", "payload", "text", "opened"])
+    return pa.RecordBatch.from_arrays([*rows.columns, text, opened], names=["part", "doc", "twin", "payload", "text", "opened"])
 
 
 def _combined_starts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,22 +353,19 @@ def _combined_starts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _answer_starts(table: pa.Table) -> pa.Table:
-    doc = table.column("doc")
-    own = table.filter(doc.is_valid()).select(["doc", "payload"])
-    records = np.frombuffer(b"".join(table.filter(doc.is_null()).column("payload").to_pylist()), RECORD)
+    own, records = _parted(table)
     records = records[np.lexsort((records["pointer"], records["bucket"]))]
     fresh, run = _runs(records["bucket"], records["pointer"])
     weight = np.where(records["flags"] & SEVERAL, 2, 1)
     found = records[(np.bincount(run, weight)[run] >= 2) & ((records["flags"] & SILENT) == 0)] if len(records) else records
-    docs, cells = _packed(found, np.full(len(found), REPEATED, "u4"))
-    return pa.concat_tables([own, pa.table({"doc": pa.array(docs, pa.int64()), "payload": pa.array(cells, pa.binary())})])
+    return _told(own, found, np.full(len(found), REPEATED, "u4"))
 
 
 def _result(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, state, cells in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, state, cells in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 raw = (text.as_py() or "").encode()
                 ranges = np.frombuffer(state.as_py() or b"", "i8").reshape(-1, 2)
                 single = _merged(cells.as_py() or [])[0]
@@ -359,7 +375,7 @@ def _result(length: int):
             n, removed, n_spans, digest, spans, rest = zip(*out, strict=True) if out else ([], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(n, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(n_spans, pa.int64()),
@@ -367,7 +383,7 @@ def _result(length: int):
                     pa.array([np.frombuffer(x, "i8").tolist() for x in spans], pa.list_(pa.int64())),
                     pa.array([x.decode(errors="ignore") for x in rest], pa.string()),
                 ],
-                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
+                names=["doc", "twin", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
             )
 
     return run
@@ -393,48 +409,47 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(f"`{id_col}`"), text)
-    base = docs.select(key.alias("doc"), text.alias("text"))
-    volume = int(spark._jvm.java.lang.Long.parseLong(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())[:18]))
+    # Two hashes of id and text know a row.
+    doc, twin = F.xxhash64(F.col(f"`{id_col}`"), text), F.xxhash64(text, F.lit(1), F.col(f"`{id_col}`"))
+    base = docs.select(doc.alias("doc"), twin.alias("twin"), text.alias("text"))
+    volume = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * volume // TASK_BYTES))
-    parts = min(parts, 1 << 20)
 
-    exchange = base.mapInArrow(tk.released(_first_pass(length, parts)), _EXCHANGE)
-    answers = exchange.groupBy("part").applyInArrow(_answer_part, "doc long, payload binary")
+    exchange = tk.mapped(base, _first_pass(length, parts), _EXCHANGE)
+    answers = exchange.groupBy("part").applyInArrow(_answer_part, _ANSWERS)
     answers = scratch.write(answers, "answers")
-    cells = answers.groupBy("doc").agg(F.collect_list("payload").alias("cells"))
-    ids = scratch.write(answers.select("doc").distinct(), "ids")
+    cells = answers.groupBy(KEY).agg(F.collect_list("payload").alias("cells"))
+    ids = scratch.write(answers.select(KEY).distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    touched = base.join(side, "doc", "left_semi")
-    schema = "part int, doc long, payload binary, text string, opened boolean"
-    first = touched.join(cells, "doc").select("doc", "text", "cells", F.lit(None).cast("binary").alias("before"))
-    first = scratch.write(first.mapInArrow(tk.released(_refine(length, parts, False)), schema), "classes")
+    touched = base.join(side, KEY, "left_semi")
+    schema = "part int, doc long, twin long, payload binary, text string, opened boolean"
+    first = touched.join(cells, KEY).select(*KEY, "text", "cells", F.lit(None).cast("binary").alias("before"))
+    first = scratch.write(tk.mapped(first, _refine(length, parts, False), schema), "classes")
     scratch.drop("answers")
 
     def answered(rows: DataFrame, answer, tag: str) -> DataFrame:
-        own = rows.where("opened is null").select("part", "doc", "payload").groupBy("part").applyInArrow(answer, "doc long, payload binary")
-        return scratch.write(own, tag).groupBy("doc").agg(F.collect_list("payload").alias("cells"))
+        own = rows.where("opened is null").select("part", *KEY, "payload").groupBy("part").applyInArrow(answer, _ANSWERS)
+        return scratch.write(own, tag).groupBy(KEY).agg(F.collect_list("payload").alias("cells"))
 
     cells = answered(first, _answer_part, "class-answers")
-    second = first.where("opened").select("doc", "text", F.col("payload").alias("before")).join(cells, "doc", "left").select("doc", "text", "cells", "before")
-    second = scratch.write(second.mapInArrow(tk.released(_refine(length, parts, True)), schema), "starts")
+    second = first.where("opened").select(*KEY, "text", F.col("payload").alias("before")).join(cells, KEY, "left").select(*KEY, "text", "cells", "before")
+    second = scratch.write(tk.mapped(second, _refine(length, parts, True), schema), "starts")
     cells = answered(second, _answer_starts, "start-answers")
     nothing = F.lit(None).cast("array<binary>").alias("cells")
-    done = first.where("not opened").select("doc", "text", "payload", nothing)
-    done = done.unionByName(second.where("not opened").select("doc", "text", "payload", nothing))
-    done = done.unionByName(second.where("opened").select("doc", "text", "payload").join(cells, "doc", "left"))
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string"
-    done = scratch.write(done.mapInArrow(tk.released(_result(length)), schema).where("n_spans > 0").dropDuplicates(["doc"]), "done")
-    scratch.drop("classes", "starts", "class-answers", "start-answers")
+    done = first.where("not opened").select(*KEY, "text", "payload", nothing)
+    done = done.unionByName(second.where("not opened").select(*KEY, "text", "payload", nothing))
+    done = done.unionByName(second.where("opened").select(*KEY, "text", "payload").join(cells, KEY, "left"))
+    schema = "doc long, twin long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept_text string"
+    done = scratch.write(tk.mapped(done, _result(length), schema).where("n_spans > 0").dropDuplicates(KEY), "done")
+    scratch.drop("ids", "classes", "starts", "class-answers", "start-answers")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-    done = done.withColumnRenamed("doc", "_done_key")
-    changed = done.select(F.col("_done_key").alias("_changed"))
+    keep = [c for c in docs.columns if c != text_col and c not in names]
+    # Own names for all columns until the end, so those of docs may be any.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), doc.alias("doc"), twin.alias("twin"), text.alias("text"))
+    changed = done.select(KEY)
     changed = F.broadcast(changed) if changed.count() <= BROADCAST_IDS else changed
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in names]
-    named = docs.select(*keep, key.alias("_row_key"), text.alias("_row_text"))
-    plain = named.join(changed, F.col("_row_key") == F.col("_changed"), "left_anti")
-    whole = {"n_bytes": F.octet_length("_row_text").cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("_row_text", 256), "spans": F.array().cast("array<long>"), "kept_text": F.col("_row_text")}
-    plain = plain.select(*keep, *[whole[c].alias(c) for c in names])
-    cut = named.drop("_row_text").join(changed, F.col("_row_key") == F.col("_changed"), "left_semi")
-    cut = cut.join(done, F.col("_row_key") == F.col("_done_key")).select(*keep, *names)
-    return plain.unionByName(cut)
+    whole = {"n_bytes": F.octet_length("text").cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("text", 256), "spans": F.array().cast("array<long>"), "kept_text": F.col("text")}
+    plain = named.join(changed, KEY, "left_anti").select("row", *[whole[c].alias(c) for c in names])
+    cut = named.drop("text").join(changed, KEY, "left_semi").join(done, KEY).select("row", *names)
+    out = plain.unionByName(cut)
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *names)

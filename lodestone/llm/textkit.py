@@ -14,9 +14,12 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from lodestone.shared import small_batches
 
 #: Bytes of text handled by one round of array operations.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -67,49 +70,127 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = end
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte and at the end as one little-endian word; bytes past the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for arrays of positions: words of eight bytes, each mixed with its place.
+
+    Nothing is linear in the bytes, so no family of texts collides by its form.
+    """
+    size = end - start
+    words8 = loads(data)
+    first = mix((words8[start] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) // 8
+        of = np.repeat(np.arange(len(long)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1
+        at = start[long][of] + 8 * k
+        word = words8[at] & _LOW_BYTES[np.minimum(end[long][of] - at, 8)]
+        word = mix(mix(word + U64(0x2545F4914F6CDD1D)) + k.astype(U64) * U64(0xD1342543DE82EF95))
+        first[long] = mix(first[long] + np.add.reduceat(word, np.cumsum(n) - n))
+    return first
+
+
+def gram_hashes(data: np.ndarray, length: int = 16) -> np.ndarray:
+    """A number by the `length` (8 to 16) bytes from each byte that has so many; for choosing places, not for telling strings apart."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    words8 = loads(data)
+    h = words8[:n] * U64(0x9E3779B97F4A7C15)
+    h ^= h >> U64(29)
+    h += words8[length - 8 : length - 8 + n]
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(32)
+    h *= U64(0x94D049BB133111EB)
+    return h
+
+
+PRIME = U64((1 << 61) - 1)
+_M30, _M31, _S1, _S30, _S31, _S61 = U64((1 << 30) - 1), U64((1 << 31) - 1), U64(1), U64(30), U64(31), U64(61)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> _S61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of numbers below it."""
+    ah, al, bh, bl = a >> _S31, a & _M31, b >> _S31, b & _M31
+    mid = ah * bl + al * bh
+    return _folded((ah * bh << _S1) + (mid >> _S30) + ((mid & _M30) << _S31) + al * bl)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.full(len(out), U64(pow(base, len(out), int(PRIME)))))])
+    return out[:n]
+
+
 class PrefixHash:
-    """Polynomial prefix sums modulo 2**64: the hash of any substring of a buffer in O(1).
+    """The hash of any substring of a buffer in a few steps: polynomials modulo the prime 2**61 - 1.
 
     A substring's value doesn't depend on where it starts, and its length goes
-    into the final mix, so equal values mean equal strings up to 64-bit chance.
+    into the final mix. Two different strings of up to n bytes have equal values
+    for at most n of the 2**61 bases. Powers are kept for a block of bytes and
+    for whole blocks, sums of a letter's two halves for each byte.
     """
 
-    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: np.ndarray, seed: int = 1):
-        self.seed = seed
-        letters, power, inverse = self._grown(seed, len(data) + 1)
-        self.inverse = inverse
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(letters[data] * power[: len(data)], out=self.sums[1:])
-
-    @classmethod
-    def _grown(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        held = cls._tables.get(seed)
-        if held is None or len(held[1]) < n:
-            n = max(n, CHUNK_BYTES + 1)
-            base = int(_stream(seed * 7919 + 5, 1)[0]) | 1 | 4
-            turn = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                t = np.full(n, b, U64)
-                t[0] = 1
-                turn.append(np.cumprod(t, dtype=U64))
-            held = cls._tables[seed] = (_stream(seed, 256) | U64(1), *turn)
-        return held
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+    SPAN = 1024
+    _base = int(_stream(7924, 1)[0]) % int(PRIME)
+    _inverse = pow(_base, -1, int(PRIME))
+    _table: np.ndarray | None = None
+
+    def __init__(self, data: np.ndarray):
+        own = PrefixHash
+        if own._table is None:
+            own._in, own._out = _powers(own._base, own.SPAN), _powers(own._inverse, own.SPAN)
+            letters = _stream(31337, 256) % PRIME
+            own._table = _times(np.tile(letters, own.SPAN), np.repeat(own._in, 256))
+        n = len(data)
+        place = np.tile(np.arange(self.SPAN, dtype=np.uint32) << np.uint32(8), n // self.SPAN + 1)[:n]
+        place |= data
+        value = own._table.take(place)
+        self.low, self.high = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        np.bitwise_and(value, _M31, out=self.low[1:])
+        np.cumsum(self.low[1:], out=self.low[1:])
+        value >>= _S31
+        np.cumsum(value, out=self.high[1:])
+        blocks = n // self.SPAN + 1
+        self.turn, self.back = (_powers(pow(b, self.SPAN, int(PRIME)), blocks) for b in (own._base, own._inverse))
+        edge = np.minimum(np.arange(blocks + 1) * self.SPAN, n)
+        whole = _times(self.turn, self._inside(edge[1:], edge[:-1]))
+        self.before = np.zeros(blocks + 1, U64)
+        low, high = (np.cumsum(x, dtype=U64) for x in (whole & _M31, whole >> _S31))
+        self.before[1:] = _halves(low, high)
+
+    def _inside(self, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        return _halves(self.low[at] - self.low[edge], self.high[at] - self.high[edge])
+
+    def _sum(self, at: np.ndarray) -> np.ndarray:
+        block = at // self.SPAN
+        return _folded(self.before[block] + _times(self.turn[block], self._inside(at, block * self.SPAN)))
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of positions."""
-        return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        value = _folded(self._sum(end) + PRIME - self._sum(start))
+        value = _times(_times(value, self.back[start // self.SPAN]), PrefixHash._out[start % self.SPAN])
+        return mix(value + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
-    def grams(self, length: int) -> np.ndarray:
-        """Hash of the string of that length at every position that has one."""
-        n = len(self.sums) - length
-        if n <= 0:
-            return np.zeros(0, U64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
+
+def _halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low + high * 2**31 modulo PRIME, of sums below 2**52."""
+    return _folded((high >> _S30) + ((high & _M30) << _S31) + low)
 
 
 def runs_of(black: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +223,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     """Hash of each word, and the n + 1 places where each text's words begin among them."""
     data = lowered(data) if lower else data
     start, end = words(data, offsets)
-    return PrefixHash(data).at(start, end), np.searchsorted(start, offsets)
+    return slice_hashes(data, start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,3 +281,9 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
             pass
 
     return whole
+
+
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """frame.mapInArrow of a released run, by batches of few bytes."""
+    small_batches(frame.sparkSession)
+    return frame.mapInArrow(released(run), schema)

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe
-from lodestone.llm.queries import token_digests, tokenizer_path
+from lodestone.llm.queries import tokenised, tokenizer_path
 
 PATH = tokenizer_path()
 TEXTS = ["", "a", "hello world", "aaaaaaaaaaaaaaaaaaaa", "  \n\t  x", "don't we'll 12345 ...!!", "ünïcödé 漢字 \U0001f600\U0001f600", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "abc " * 3000, "\x00\x7f ", "ththeationthe" * 40]
@@ -69,7 +69,7 @@ def test_frames(spark, reference):
     for r in got:
         assert list(r["ids"]) == reference.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
-    digest = {r["doc_id"]: r for r in token_digests(encoded, PATH).where("doc_id = 2").collect()}[2]
+    digest = {r["doc_id"]: r for r in tokenised(docs, PATH).where("doc_id = 2").collect()}[2]
     ids = reference.encode(TEXTS[2], add_special_tokens=False).ids
     assert digest["n_tokens"] == len(ids)
     assert digest["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()

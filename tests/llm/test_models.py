@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import licenses, quality, toxicity
-from lodestone.llm.linear import platt, sigmoid
+from lodestone.llm.linear import logistic, sigmoid
 
 WORDS = ["".join(random.Random(i).choice("bcdfglmnprst") + random.Random(i * 7 + k).choice("aeiou") for k in range(3)) for i in range(400)]
 BAD = ["zorkface", "grumblewit", "snarlpox", "vilehead"]
@@ -73,12 +73,106 @@ def test_quality_held_out(spark, corpus):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
-def test_platt():
+def test_logistic():
     z = np.linspace(-6, 6, 400)
     y = (np.random.default_rng(0).random(400) < sigmoid(2 * z - 1)).astype(float)
-    a, b = platt(z, y)
-    assert 1 < a < 4 and -3 < b < 0.5
-    assert platt(z, np.ones(400)) == (1.0, 0.0)
+    noise = np.random.default_rng(1).normal(size=400)
+    b, a, none = logistic(np.stack([z, noise], 1), y, np.ones(400))
+    assert 1 < a < 4 and -3 < b < 0.5 and 0 <= none < 1
+    assert logistic(-z[:, None], y, np.ones(400))[1] == 0
+
+
+def test_quality_counts_by_hand(spark):
+    """A round's counts in Spark against plain loops over the rows."""
+    rows = [(i, t, lang, source, len(t)) for i, t, lang, source, *_ in texts(120, 8)] + [(500, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string, source string, n_chars long").repartition(3)
+    base = docs.select(F.when(F.col("id") < 60, F.col("id") % 2).otherwise(-1).alias("label"), *quality._named(docs, "text", "lang", "source", "n_chars"))
+    local = [(r["label"], r["text"], [r["lang"], r["source"], int(quality.size_class(np.array([r["size"]]))[0])]) for r in base.collect()]
+
+    def features(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.array([0, len(raw)])
+        return quality.trigrams(raw, ends), quality.layout_classes(quality.layout(raw, ends))[0]
+
+    def plain(pick):
+        c = quality.Counts.none()
+        for label, text, meta in local:
+            grams, classes = features(text)
+            for_text, for_meta = pick(label, grams, classes, meta)
+            if for_text >= 0:
+                for g in grams:
+                    c.grams[for_text, g] += 1 / len(grams)
+                for k, v in enumerate(classes):
+                    c.layout[for_text, k, v] += 1
+            if for_meta >= 0:
+                for k, v in enumerate(meta):
+                    c.meta[for_meta, k, v] += 1
+        return c
+
+    def close(a, b):
+        assert all(np.allclose(x, y) for x, y in zip(a.arrays(), b.arrays(), strict=True))
+
+    known = base.where("label >= 0")
+    own = quality._counts(known, None, 0.97)
+    close(own, plain(lambda label, *_: (label, label)))
+    views = quality.Views.of(own, 0.5)
+    views.text_scale = views.meta_scale = (0.1, 0.8)
+
+    def told(label, grams, classes, meta):
+        if label >= 0:
+            return -1, -1
+        text = quality.GRAM_WEIGHT * (np.mean([views.grams[g] for g in grams]) if len(grams) else 0) + sum(views.layout[k, v] for k, v in enumerate(classes))
+        page = sum(views.meta[k, v] for k, v in enumerate(meta))
+        say = lambda z: 1 if sigmoid(0.1 + 0.8 * z) > 0.6 else 0 if sigmoid(0.1 + 0.8 * z) < 0.4 else -1
+        return say(page), say(text)
+
+    close(quality._counts(base.where("label < 0"), views, 0.6), plain(told))
+
+
+def test_risks_and_steps_by_hand(spark):
+    """Sums over patterns in Spark against the definition on single texts, and a step against numerical gradients."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((40, 5)) < 0.3).astype(float)
+    positive, prior, w = np.arange(40) < 9, 0.2, rng.normal(size=6)
+    rows = [(np.flatnonzero(r).astype(np.int32).tobytes(), int(p), int(not p)) for r, p in zip(x, positive, strict=True)]
+    patterns = spark.createDataFrame([(bytearray(a), b, c) for a, b, c in rows], "pattern binary, positive long, unlabelled long")
+    summed = toxicity._summed(patterns)
+    loss = lambda w, of, sign: np.logaddexp(0, sign * (x[of] @ w[:5] + w[5]))
+
+    def gradient(f):
+        return np.array([(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(6)])
+
+    total = summed(w)
+    parts = (lambda v: loss(v, positive, -1).sum(), lambda v: loss(v, positive, 1).sum(), lambda v: loss(v, ~positive, 1).sum())
+    assert np.allclose(total[-3:], [f(w) for f in parts])
+    assert np.allclose(total[:18], np.concatenate([gradient(f) for f in parts]), atol=1e-4)
+    seen = []
+    toxicity.nnpu(lambda v: seen.append(v.copy()) or summed(v), 5, 9, 31, prior, steps=3)
+    for before, after in zip(seen[:-1], seen[1:], strict=True):
+        w = before
+        clean = lambda v: loss(v, ~positive, 1).mean() - prior * loss(v, positive, 1).mean()
+        g = gradient(lambda v: prior * loss(v, positive, -1).mean() + clean(v)) if clean(w) >= 0 else -gradient(clean)
+        if before is seen[0]:  # the first step of Adam goes against the gradient's signs
+            assert (np.sign(after - before) == -np.sign(g)).all()
+
+
+def test_toxicity_prior(spark, corpus):
+    """Labels that aren't a random sample: the share of toxic texts can be given."""
+    rows, docs, labels = corpus
+    model = toxicity.train_toxicity(docs, labels.where("toxic = 1 or doc_id % 5 = 0"), prior=0.25)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert model.prior == 0.25 and np.mean([(got[r[0]] >= 0.5) == bool(r[4]) for r in rows]) > 0.95
+
+
+def test_models_clashing_names(spark, corpus):
+    _, docs, labels = corpus
+    model = toxicity.train_toxicity(docs, labels)
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("_text", "id", "label", "mark", "c0", "size")])
+    scored = toxicity.score_toxicity(odd, model)
+    assert scored.columns == [*[c for c in odd.columns if c != "text"], "toxicity"] and scored.count() == docs.count()
+    scored = quality.score_quality(odd, quality.train_quality(odd, labels))
+    assert scored.columns == [*[c for c in odd.columns if c != "text"], "text_score", "meta_score", "quality_score"] and scored.count() == docs.count()
+    assert quality.score_quality(docs, quality.train_quality(docs, labels.limit(0))).where("quality_score <> 0.5").count() == 0
 
 
 def cosine_by_hand(line, templates):
