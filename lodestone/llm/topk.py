@@ -1,10 +1,17 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are packed into buckets of like length, longest first. For a query and
-a bucket the score to beat, over the query's length and the bucket's greatest,
-is a cosine threshold: over 1 the bucket is skipped; a high one prunes by the
-range that the query's strongest coordinate leaves for a candidate's; a low one
-prunes by length, a prefix of the bucket. What is left is multiplied out.
+Vectors are packed into buckets of like length, longest first. Every query
+meets the longest bucket first, which gives it a score to beat; a block of
+queries is then paired, by lengths alone, with the buckets that can beat one of
+its scores, and only these are shipped to it. For a query and a bucket the score
+to beat, over the query's length and the bucket's greatest, is a cosine
+threshold: over 1 the bucket is skipped; a high one prunes by the range that the
+query's strongest coordinate leaves for a candidate's; a low one prunes by
+length, a prefix of the bucket. What is left is multiplied out.
+
+A bucket travels once for each block of queries that may need it, two bytes a
+component where components fit, so blocks are large: what is shuffled follows
+rows * queries / BLOCK, where lengths don't prune.
 """
 
 from __future__ import annotations
@@ -17,12 +24,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.shared import Scratch
 
-#: Vectors in a bucket, queries in a block, buckets that a task streams for a block.
-BUCKET, BLOCK, STREAM = 2048, 1024, 8
+#: Vectors in a bucket, queries in a block, buckets that a task streams for a block, queries multiplied at once.
+BUCKET, BLOCK, STREAM, ROWS = 2048, 8192, 32, 512
 #: Cosine threshold from which a bucket is pruned by coordinate.
 BY_COORDINATE = 0.7
 #: Blocks whose best scores a task holds at once.
-HELD = 64
+HELD = 4
 
 
 def quantised(vectors: DataFrame, scale: float, *, id_col: str, vec_col: str) -> DataFrame:
@@ -50,7 +57,8 @@ def _packer(most: int):
         def block() -> pa.RecordBatch:
             i, m = np.concatenate(ids), np.concatenate(rows)
             top = float(np.sqrt((m * m).sum(1).max(initial=0.0)))
-            values = ((part << 32 | number, pa.int64()), (dim, pa.int32()), (top, pa.float64()), (i.astype("<i8").tobytes(), pa.binary()), (m.astype("<f8").tobytes(), pa.binary()))
+            kind = "<i2" if np.abs(m).max(initial=0) < 1 << 15 else "<f8"
+            values = ((part << 32 | number, pa.int64()), (dim, pa.int32()), (top, pa.float64()), (i.astype("<i8").tobytes(), pa.binary()), (m.astype(kind).tobytes(), pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=names)
 
         for batch in batches:
@@ -79,6 +87,12 @@ def _packer(most: int):
 _BLOCK = "block long, dim int, norm double, ids binary, data binary"
 
 
+def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The vectors of a block, n x dim doubles."""
+    kind = "<i2" if n and len(data) == 2 * n * dim else "<f8"
+    return np.frombuffer(data, kind).astype(np.float64).reshape(n, dim)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
@@ -107,17 +121,40 @@ def _products(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
         good = (scores >= floor[i]) & (c_ids[rows] != q_ids[i])
         yield int(i), c_ids[rows][good], scores[good]
     wide = np.flatnonzero(live & ~narrow)
-    if len(wide):
-        need = np.where(floor[wide] > 0, floor[wide] / np.maximum(q_norm[wide], 1e-300) * (1 - slack), 0.0)
-        order = np.argsort(-c_norm, kind="stable")
+    order = np.argsort(-c_norm, kind="stable")
+    exact = np.float32 if q_norm.max(initial=0.0) * top < 1 << 24 else np.float64  # products of integers below 2**24 are exact in either
+    for lo in range(0, len(wide), ROWS):
+        part = wide[lo : lo + ROWS]
+        need = np.where(floor[part] > 0, floor[part] / np.maximum(q_norm[part], 1e-300) * (1 - slack), 0.0)
         prefix = np.searchsorted(-c_norm[order], -need, "right")
         rows = order[: prefix.max(initial=0)]
-        scores = q[wide] @ c[rows].T
-        for n, i in enumerate(wide):
+        scores = q[part].astype(exact) @ c[rows].astype(exact).T
+        for n, i in enumerate(part):
             own = rows[: prefix[n]]
             s = scores[n, : prefix[n]]
             good = (s >= floor[i]) & (c_ids[own] != q_ids[i])
-            yield int(i), c_ids[own][good], s[good]
+            yield int(i), c_ids[own][good], s[good].astype(np.float64)
+
+
+def _floors(k: int):
+    """Rows of a query block and its dimension's longest bucket: the block with each query's k-th score there, and the length that a bucket needs to matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                block, dim, q_ids, q_data, c_ids, c_data = (batch.column(n)[row].as_py() for n in range(6))
+                ids, near = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
+                q, c = _matrix(q_data, len(ids), dim), _matrix(c_data, len(near), dim)
+                floor = np.full(len(ids), -np.inf)
+                for i, _, scores in _products(q, ids, c, near, floor.copy()):
+                    if len(scores) >= k:
+                        floor[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                length = np.sqrt((q * q).sum(1))
+                need = np.where((floor > 0) & (length > 0), floor / np.maximum(length, 1e-300) * (1 - 1e-9), 0.0)
+                values = ((block, pa.int64()), (dim, pa.int32()), (float(need.min(initial=np.inf)), pa.float64()), (q_ids, pa.binary()), (q_data, pa.binary()), (floor.astype("<f8").tobytes(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["q_block", "dim", "need", "q_ids", "q_data", "floors"])
+
+    return run
 
 
 def _search(k: int):
@@ -127,22 +164,23 @@ def _search(k: int):
         held: dict[int, list] = {}
 
         def told(block: int) -> pa.RecordBatch:
-            ids, best = held.pop(block)
+            ids, _, _, best = held.pop(block)
             size = [len(x[0]) for x in best]
             columns = (np.repeat(ids, size), np.concatenate([x[0] for x in best]), np.concatenate([x[1] for x in best]))
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in range(len(batch)):
-                block, dim, q_ids, q, c_ids, c = (batch.column(n)[row].as_py() for n in ("q_block", "dim", "q_ids", "q_data", "ids", "data"))
-                q_ids, c_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-                q, c = np.frombuffer(q, "<f8").reshape(len(q_ids), dim), np.frombuffer(c, "<f8").reshape(len(c_ids), dim)
+                block, dim = (batch.column(n)[row].as_py() for n in (0, 1))
                 if block not in held:
                     if len(held) >= HELD:
                         yield told(next(iter(held)))
-                    held[block] = [q_ids, [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)]
-                best = held[block][1]
-                floor = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in best])
+                    q_ids = np.frombuffer(batch.column(2)[row].as_py(), "<i8")
+                    held[block] = [q_ids, _matrix(batch.column(3)[row].as_py(), len(q_ids), dim), np.frombuffer(batch.column(4)[row].as_py(), "<f8"), [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)]
+                q_ids, q, least, best = held[block]
+                c_ids = np.frombuffer(batch.column(5)[row].as_py(), "<i8")
+                c = _matrix(batch.column(6)[row].as_py(), len(c_ids), dim)
+                floor = np.maximum(least, [s[k - 1] if len(s) >= k else -np.inf for _, s in best])
                 for i, ids, scores in _products(q, q_ids, c, c_ids, floor):
                     if len(ids):
                         ids, scores = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], scores])
@@ -161,7 +199,7 @@ def top_k_products(vectors: DataFrame, queries: Column, *, k: int = 20, scale: f
     queries is a condition on rows. Ties go to the smaller id. A query with
     fewer candidates has all of them. Rows with a null id, a null vector or a
     null or non-finite component take no part; vectors only meet vectors of
-    their own dimension; rows that share a query's id don't count for it.
+    their own dimension; ids are integers; rows that share a query's id don't count for it.
     Other columns are ignored. No queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
@@ -176,12 +214,17 @@ def top_k_products(vectors: DataFrame, queries: Column, *, k: int = 20, scale: f
         return scratch.write(frame.select("id", "dim", "v").mapInArrow(_packer(most), _BLOCK), tag)
 
     buckets, asked = blocks(own, BUCKET, "buckets"), blocks(asked, BLOCK, "asked")
+    longest = buckets.groupBy("dim").agg(F.max_by(F.struct("ids", "data"), F.struct("norm", "block")).alias("first")).select("dim", "first.ids", "first.data")
+    met = asked.select("block", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).join(longest, "dim").select("block", "dim", "q_ids", "q_data", "ids", "data")
+    asked = scratch.write(met.mapInArrow(_floors(k), "q_block long, dim int, need double, q_ids binary, q_data binary, floors binary"), "floors")
+    # Pairs of a block and a bucket, by their lengths, before anything large moves.
     splits = max(1, -(-buckets.count() // STREAM))
-    asked = asked.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    names = scratch.write(asked.select("q_block", "dim").distinct(), "names")
-    buckets = buckets.withColumn("split", F.pmod(F.xxhash64("block"), F.lit(splits)).cast("int")).join(names, "dim")
-    units = buckets.select("q_block", "dim", "split", "norm", "ids", "data").join(asked.hint("shuffle_hash"), ["q_block", "dim", "split"])
-    units = units.sortWithinPartitions("q_block", F.col("norm").desc()).select("q_block", "dim", "q_ids", "q_data", "ids", "data")
+    split = F.pmod(F.xxhash64("block"), F.lit(splits)).cast("int")
+    pairs = asked.select("q_block", "dim", "need").join(buckets.select("block", "dim", "norm"), "dim").where("norm >= need").select("q_block", "block", split.alias("split"))
+    pairs = scratch.write(pairs, "pairs")
+    sides = pairs.select("q_block", "split").distinct().join(asked.drop("need"), "q_block")
+    units = pairs.join(buckets.select("block", "norm", "ids", "data"), "block").drop("block").join(sides.hint("shuffle_hash"), ["q_block", "split"])
+    units = units.sortWithinPartitions("q_block", F.col("norm").desc()).select("q_block", "dim", "q_ids", "q_data", "floors", "ids", "data")
     found = units.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
