@@ -54,6 +54,18 @@ def test_documents_of_the_mix(spark):
     assert words == sum(r["taken"] for r in mixing.mix_sources(docs).collect())
 
 
+def test_mix_keeps_columns_and_white_space(spark):
+    rows = [(i, f"\t a\n\nb{i}   c ", "s", 7, 8, 9, 10) for i in range(9)] + [(9, None, "s", 7, 8, 9, 10), (10, " \n", None, 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken int, key int, row int")
+    mixed = mixing.mixed_documents(docs, share=1.3).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == round(1.3 * 27)
+    texts = dict(r[:2] for r in rows)
+    for r in mixed:
+        assert tuple(r[3:]) == (7, 8, 9, 10) and texts[r["doc_id"]].startswith(r["text"])
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+    assert mixing.mixed_documents(docs.where("doc_id > 8")).count() == 0
+
+
 TURNS = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[:]", "a\\b"]), st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", " ", "\\", "[", "<eos>", "[ROLE]", "[:]", "ok", "\n", "é"]), max_size=6).map("".join)), max_size=6)
 
 
