@@ -255,7 +255,10 @@ def composed(gif: Gif) -> Iterator[np.ndarray]:
             canvas = before
 
 
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+#: Colours of a stored payload's samples: three bits of red, three of green, two of blue.
+_COLOURS = np.stack([np.arange(256) >> 5 << 5, (np.arange(256) >> 2 & 7) << 5, (np.arange(256) & 3) << 6], 1).astype(np.uint8).tobytes()
+#: The sample value that isn't seen, and what becomes of the frames of a stored payload in turn: kept, cleared, undone.
+UNSEEN, DISPOSALS = 0, (1, 2, 3)
 
 
 def payload(raw: bytes) -> bytes:
@@ -264,15 +267,19 @@ def payload(raw: bytes) -> bytes:
 
 
 def write_gifs(payloads: list[bytes]) -> list[bytes]:
-    """A file for each payload: 8-bit samples on a grey palette, ROW in a row, ROWS rows in a timed frame."""
+    """A file for each payload: 8-bit samples on a colour palette, ROW in a row, ROWS rows in a timed frame.
+
+    Frames lie over each other from the top left. Samples of value UNSEEN are
+    transparent when a file is shown; they are stored as all others.
+    """
     cuts = [[p[a : a + ROW * ROWS] for a in range(0, len(p), ROW * ROWS)] for p in payloads]
     streams = iter(packed([lzw_codes(c) for own in cuts for c in own]))
     out = []
     for own in cuts:
-        part = [b"GIF89a", struct.pack("<HHBBB", ROW, len(own[0]) // ROW, 0xF7, 0, 0), _GREY]
-        for c in own:
+        part = [b"GIF89a", struct.pack("<HHBBB", ROW, len(own[0]) // ROW, 0xF7, 0, 0), _COLOURS]
+        for k, c in enumerate(own):
             stream = next(streams)
-            part += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY, 0, 0), struct.pack("<BHHHHBB", 0x2C, 0, 0, ROW, len(c) // ROW, 0, 8)]
+            part += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, DISPOSALS[k % 3] << 2 | 1, DELAY, UNSEEN, 0), struct.pack("<BHHHHBB", 0x2C, 0, 0, ROW, len(c) // ROW, 0, 8)]
             part += [bytes([len(stream[a : a + 255])]) + stream[a : a + 255] for a in range(0, len(stream), 255)]
             part.append(b"\0")
         out.append(b"".join([*part, b"\x3b"]))
@@ -309,18 +316,18 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "me
     return tk.mapped(frame, run, schema)
 
 
-def _histogram(f: Frame) -> np.ndarray:
-    """Visible samples by brightness of their colour, in BINS classes."""
-    light = (f.palette.astype(np.int64) @ np.array([299, 587, 114]) // 1000) * BINS // 256
-    count = np.bincount(f.samples, minlength=256)
-    if f.transparent >= 0:
-        count[f.transparent] = 0
-    return np.bincount(light, count, minlength=BINS).astype(np.int64)
+def colour_histogram(seen: np.ndarray) -> np.ndarray:
+    """Visible pixels of a frame as it is seen by their red, then green, then blue, in BINS classes each."""
+    flat = seen.reshape(-1, 4)
+    solid = flat if flat[:, 3].all() else flat[flat[:, 3] == 255]
+    return np.concatenate([np.bincount(solid[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
 
 def read_samples(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     """media with what its files hold: samples (all frames' sample values in order), n_frames, duration_cs, histogram.
 
+    histogram is the sum of the colour histograms of the frames as they are seen
+    one after the other, by palettes, disposal and transparency.
     Null or damaged files give null in all four. Columns with these names are replaced.
     """
     names = ["samples", "n_frames", "duration_cs", "histogram"]
@@ -336,7 +343,7 @@ def read_samples(media: DataFrame, *, media_col: str = "media") -> DataFrame:
                 for data in part.column(place):
                     try:
                         g = read_gif(data.as_py() or b"")
-                        found.append((b"".join(f.samples.tobytes() for f in g.frames), len(g.frames), sum(f.delay for f in g.frames), sum((_histogram(f) for f in g.frames), np.zeros(BINS, np.int64)).tolist()))
+                        found.append((b"".join(f.samples.tobytes() for f in g.frames), len(g.frames), sum(f.delay for f in g.frames), sum((colour_histogram(x) for x in composed(g)), np.zeros(3 * BINS, np.int64)).tolist()))
                     except ValueError:
                         found.append((None, None, None, None))
                 columns = zip(*found, strict=True)
@@ -366,8 +373,7 @@ def read_frames(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
                     continue
                 start = 0
                 for k, (f, seen) in enumerate(zip(g.frames, composed(g), strict=True)):
-                    solid = seen[seen[..., 3] == 255]
-                    bins = [n for c in range(3) for n in np.bincount(solid[:, c].astype(np.int64) * BINS // 256, minlength=BINS).tolist()]
+                    bins = colour_histogram(seen).tolist()
                     values = [batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in ((k, pa.int64()), (start, pa.int64()), (f.delay, pa.int64()), (g.width, pa.int64()), (g.height, pa.int64()), (seen.tobytes(), pa.binary()), (bins, pa.list_(pa.int64()))))]
                     yield pa.RecordBatch.from_arrays(values, names=names)
                     start += f.delay

@@ -70,6 +70,26 @@ def test_disposal_and_transparency():
     assert seen == [[[red, red], [red, red]], [[green, red], [red, red]], [[red, red], [red, blue]], [[red, green], [red, none]]]
 
 
+def test_stored_text_as_it_is_seen(spark):
+    """The stored frames' colour histograms against a plain loop over pixels."""
+    raw = bytes(np.random.default_rng(3).integers(0, 4, 64 * 1024 * 3 + 700, np.uint8) * 77) + b"tail"
+    docs = spark.createDataFrame([(1, raw.decode("latin-1"))], "doc_id long, text string")
+    p = media.payload(raw.decode("latin-1").encode())
+    (row,) = media.read_samples(media.store_texts(docs)).collect()
+    assert bytes(row["samples"]) == p
+    canvas, want = {}, [0] * 48
+    for k in range(0, len(p), 65536):
+        before = dict(canvas)
+        part = {i: v for i, v in enumerate(p[k : k + 65536])}
+        canvas |= {i: v for i, v in part.items() if v}
+        for v in canvas.values():
+            for c, x in enumerate((v >> 5 << 5, (v >> 2 & 7) << 5, (v & 3) << 6)):
+                want[16 * c + x // 16] += 1
+        how = (1, 2, 3)[k // 65536 % 3]
+        canvas = {i: v for i, v in canvas.items() if i not in part} if how == 2 else before if how == 3 else canvas
+    assert row["histogram"] == want and row["duration_cs"] == 10 * row["n_frames"]
+
+
 @pytest.mark.parametrize("data", [b"", b"GIF89a", b"not a gif at all", gif([(0, 0, 2, 2, [1, 1, 1, 1], 5, 1, -1)])[:-9]])
 def test_damaged(data):
     with pytest.raises(ValueError):
