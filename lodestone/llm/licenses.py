@@ -1,118 +1,219 @@
-"""License scans: TF-IDF cosine of licence files and header lines to templates, then inheritance by path.
+"""License scans: TF-IDF cosine of licence files and headers to templates, then inheritance by path.
 
-DataFrame operations only. Equal lines are scored once, whatever their number,
-and directories are resolved once each, so neither a common licence nor a large
-directory makes a hot group.
+DataFrame operations only. Headers are the lines and paragraphs of every text;
+equal ones are scored once, whatever their number, and directories are resolved
+once each, so neither a common licence nor a large directory makes a hot group.
+Full texts of licences are in the folder templates, public texts as published.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lodestone.shared import Scratch
 
-#: Wording of licence headers and files by licence; each holds one of MENTIONS.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files under the MIT License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Redistributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
-    "BSD-2-Clause": ("Redistributed under the BSD 2-Clause License.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+# The usual wordings of licence headers and short forms.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "MIT License",
+        "This project is licensed under the MIT License, see the LICENSE file for details.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "BSD-2-Clause": ("Redistributed under the BSD 2-Clause License.", "BSD 2-Clause License"),
+    "BSD-3-Clause": (
+        "Redistributed under the BSD 3-Clause License.",
+        "BSD 3-Clause License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
+    "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Released into the public domain under the CC0 1.0 license.",),
-    "Proprietary": ("Copyright. All rights reserved.", "This work is proprietary and may not be reproduced. All rights reserved."),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "CC0 1.0 Universal"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 }
-#: A line that may be a header has one of these (any case).
-MENTIONS = r"(?i)licen[cs]e|copyright|rights reserved"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
+LINE = r"\r\n|\r|\n"
+#: What stands between paragraphs: lines without a letter or digit.
+PARAGRAPH = r"(?:\r\n|\r|\n)(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\r|\n))+"
+#: What a template is compared to.
+HEADER, FILE = 0, 1
+
+
+@lru_cache(maxsize=1)
+def templates() -> list[tuple[int, str, str]]:
+    """(what it is compared to, license, wording): headers with their SPDX lines, and full texts."""
+    out = [(HEADER, name, text) for name, texts in sorted(HEADERS.items()) for text in texts]
+    out += [(HEADER, name, f"SPDX-License-Identifier: {name}{later}") for name in sorted(HEADERS) if name != "Proprietary" for later in ("", "-only", "-or-later") if not later or "GPL" in name]
+    folder = Path(__file__).parent / "templates"
+    return out + [(FILE, path.stem, path.read_text(encoding="utf-8")) for path in sorted(folder.glob("*.txt"))]
+
+
+def _vectors(own: list[tuple[int, str, str]]) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """Unit vectors of the templates, and the IDF of their terms."""
+    counts: list[dict[str, int]] = []
+    for _, _, text in own:
+        tf: dict[str, int] = {}
+        for term in re.findall(TERM, text.lower()):
+            tf[term] = tf.get(term, 0) + 1
+        counts.append(tf)
+    df: dict[str, int] = {}
+    for tf in counts:
+        for term in tf:
+            df[term] = df.get(term, 0) + 1
+    idf = {term: math.log((1 + len(own)) / (1 + n)) + 1 for term, n in df.items()}
+    out = []
+    for tf in counts:
+        v = {term: (1 + math.log(n)) * idf[term] for term, n in tf.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        out.append({term: x / length for term, x in v.items()})
+    return out, idf
+
+
+def unknown_idf(n: int) -> float:
+    return math.log((1 + n) / (1 + n / 10)) + 1
+
+
+def telling_terms(own: list[tuple[int, str, str]], at_least: float) -> list[str]:
+    """Terms of which every wording that is as like a header as at_least has one.
+
+    Of each header terms go, short ones first, as long as what goes is together
+    shorter than at_least: a wording with only these has a smaller cosine.
+    """
+    vectors, idf = _vectors(own)
+    out = set()
+    for (kind, _, _), v in zip(own, vectors, strict=True):
+        gone = 0.0
+        for term in sorted(v, key=lambda t: (len(t), idf[t], t)) if kind == HEADER else ():
+            if gone + v[term] ** 2 < (at_least - 1e-5) ** 2:
+                gone += v[term] ** 2
+            else:
+                out.add(term)
+    return sorted(out)
+
+
+def _any_of(terms: list[str]) -> str:
+    """A pattern that finds any of the terms, tried by their first letters."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by.items())) + ")(?![a-z0-9])"
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
 
 
-def _template_terms(spark, templates: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(template, license, term, weight, idf): unit-length TF-IDF vectors of the templates."""
-    rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, texts in sorted(templates.items()) for t in texts)]
-    schema = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("wording", T.StringType())])
-    frame = spark.createDataFrame(rows, schema).select("template", "license", F.explode(_terms(F.col("wording"))).alias("term"))
-    tf = frame.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    tf = tf.join(df, "term").withColumn("idf", F.log((1.0 + len(rows)) / (1.0 + F.col("df"))) + 1.0)
-    norm = tf.groupBy("template").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf"))).alias("norm"))
-    return tf.join(norm, "template").select("template", "license", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+def _template_terms(spark: SparkSession, own: list[tuple[int, str, str]]) -> DataFrame:
+    """(template, kind, license, term, weight, idf): the templates' vectors, a row for each term."""
+    vectors, idf = _vectors(own)
+    rows = [(i, kind, name, term, weight, idf[term]) for i, ((kind, name, _), v) in enumerate(zip(own, vectors, strict=True)) for term, weight in v.items()]
+    names = (("template", T.IntegerType()), ("kind", T.IntegerType()), ("license", T.StringType()), ("term", T.StringType()), ("weight", T.DoubleType()), ("idf", T.DoubleType()))
+    return spark.createDataFrame(rows, T.StructType([T.StructField(n, t) for n, t in names]))
 
 
-def scored_texts(texts: DataFrame, *, templates: dict[str, tuple[str, ...]] = TEMPLATES, at_least: float = 0.7) -> DataFrame:
-    """(wording, license, similarity) of the distinct wordings that are like a template; ties go to the first license by name.
+def scored_texts(texts: DataFrame, *, at_least: float = 0.7) -> DataFrame:
+    """(kind, wording, license, similarity) of the distinct (kind, wording) that are like a template of that kind; ties go to the first license by name.
 
-    Terms that no template has weigh as the rarest. The vectors of the
-    templates are broadcast; they are fixed and small.
+    A term weighs (1 + ln of its count) * IDF; terms that no template has, such
+    as names and years, weigh as those of a tenth of the templates. The vectors of the templates are broadcast: they are fixed
+    and small. Null wordings have no terms.
     """
-    spark = texts.sparkSession
-    vectors = _template_terms(spark, templates)
-    rarest = math.log(1.0 + sum(map(len, templates.values()))) + 1.0
-    lines = texts.select("wording").distinct()
-    tf = lines.select("wording", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("wording", "term").agg(F.count("*").alias("tf"))
+    own = templates()
+    vectors = _template_terms(texts.sparkSession, own)
+    lines = texts.select("kind", "wording").distinct()
+    tf = lines.select("kind", "wording", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("kind", "wording", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     idf = vectors.select("term", "idf").distinct()
-    tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rarest))).drop("idf")
-    norms = tf.groupBy("wording").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(vectors.select("template", "license", "term", "weight")), "term").groupBy("wording", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    near = dots.join(norms, "wording").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= at_least)
-    best = near.groupBy("wording").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"))
-    return best.select("wording", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
+    tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown_idf(len(own))))).drop("idf")
+    norms = tf.groupBy("kind", "wording").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = tf.join(F.broadcast(vectors.select("template", "kind", "license", "term", "weight")), ["kind", "term"]).groupBy("kind", "wording", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, ["kind", "wording"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= at_least)
+    best = near.groupBy("kind", "wording").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"))
+    return best.select("kind", "wording", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, at_least: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.7) -> DataFrame:
     """One row per row of docs: doc_id, path, license, similarity, licenses, found.
 
-    A row whose path names a licence file is compared to the templates as a
-    whole; of every row, the lines of the whole text that mention a licence are.
-    license is the likeliest (similarity, then name); licenses has all, sorted.
+    Of every row, each line and each paragraph (between blank lines) of the
+    whole text is compared to the header templates; a row whose path names a
+    licence file is compared to the full texts as a whole too. Only wordings
+    that hold a telling term are scored: others can't be like enough.
+    license is the likeliest (a full text first, then similarity, then name);
+    licenses has all, sorted.
     found is 'own', or 'inherited' where the nearest directory at or above the
     row's that holds a licence file gave it, or null.
 
     Null or empty text has no licence of its own; a null path belongs to no
-    directory. Repeated rows are each given. Of several licence files in a
-    directory the likeliest counts. Other columns are ignored. An empty table
-    gives no rows.
+    directory. Ids are of any type and only handed on. Repeated rows are each
+    given. Of several licence files in a directory the likeliest counts. Other
+    columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "licenses")
+    scratch = Scratch(docs.sparkSession, "licenses")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), path.cast("string").alias("path"), text.alias("text"))
-    own = own.withColumn("key", F.xxhash64("doc_id", "path", "text")).withColumn("is_file", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
-    mentions = F.col("text").rlike(MENTIONS)
-    lines = own.where(mentions).select("key", "path", "is_file", F.explode(F.split("text", r"\r\n|\r|\n")).alias("wording"))
-    lines = lines.where(F.col("wording").rlike(MENTIONS)).select("key", "path", "is_file", F.trim("wording").alias("wording"))
-    files = own.where(F.col("is_file") & mentions).select("key", "path", "is_file", F.trim("text").alias("wording"))
-    claims = scratch.write(lines.unionByName(files).distinct(), "claims")
-    scored = scratch.write(scored_texts(claims, templates=templates, at_least=at_least), "scored")
-    claims = claims.join(scored, "wording")
-    best = claims.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"), F.sort_array(F.collect_set("license")).alias("own_licenses"), F.first("path").alias("file_path"), F.first("is_file").alias("is_file"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.cast("string").alias("path"), text.alias("text"))
+    key = F.struct(F.xxhash64("doc_id", "path", "text").alias("a"), F.xxhash64("text", F.lit(1), "path", F.lit(1), "doc_id").alias("b"))
+    own = own.withColumn("key", key).withColumn("is_file", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
+    telling = F.lower("wording").rlike(_any_of(telling_terms(templates(), at_least)))
+    hopeful = own.where(F.lower("text").rlike(_any_of(telling_terms(templates(), at_least))))
+    wordings = F.array_union(F.split("text", LINE), F.split("text", PARAGRAPH))
+    headers = hopeful.select("key", "path", "is_file", F.lit(HEADER).alias("kind"), F.explode(F.transform(wordings, lambda w: F.trim(w))).alias("wording")).where(telling)
+    files = own.where("is_file").select("key", "path", "is_file", F.lit(FILE).alias("kind"), F.col("text").alias("wording"))
+    claims = scratch.write(headers.unionByName(files).distinct(), "claims")
+    scored = scratch.write(scored_texts(claims, at_least=at_least), "scored")
+    claims = claims.join(scored, ["kind", "wording"])
+    best = claims.groupBy("key").agg(F.min(F.struct((-F.col("kind")).alias("k"), (-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"), F.sort_array(F.collect_set("license")).alias("own_licenses"), F.first("path").alias("file_path"), F.first("is_file").alias("is_file"))
     best = scratch.write(best.select("key", F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_similarity"), "own_licenses", "file_path", "is_file"), "best")
-
-    def folder(p: str) -> Column:
-        return F.regexp_replace(F.col(p), r"/?[^/]*$", "")
-
-    held = best.where("is_file").groupBy(folder("file_path").alias("above")).agg(F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("license"))).alias("b"))
+    held = best.where("is_file").groupBy(folder_of(F.col("file_path")).alias("above")).agg(F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("license"))).alias("b"))
     held = held.select("above", F.col("b.license").alias("up_license"), (-F.col("b.s")).alias("up_similarity"))
-    folders = own.where("path is not null").select(folder("path").alias("folder")).distinct()
+    folders = own.where("path is not null").select(folder_of(F.col("path")).alias("folder")).distinct()
     parts = F.split("folder", "/")
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(parts)))).alias("depth"), parts.alias("parts"))
     above = above.select("folder", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above"))
     nearest = above.join(held, "above").groupBy("folder").agg(F.max_by(F.struct("up_license", "up_similarity"), "depth").alias("up"))
     nearest = scratch.write(nearest.select("folder", "up.*"), "nearest")
-    rows = own.select("doc_id", "path", "key", folder("path").alias("folder")).join(best.select("key", "own_license", "own_similarity", "own_licenses"), "key", "left").join(nearest, "folder", "left")
+    scratch.drop("claims", "scored")
+    rows = own.select("doc_id", "path", "key", folder_of(F.col("path")).alias("folder")).join(best.select("key", "own_license", "own_similarity", "own_licenses"), "key", "left").join(nearest, "folder", "left")
     return rows.select(
         "doc_id",
         "path",

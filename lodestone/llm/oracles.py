@@ -114,31 +114,42 @@ FROM t GROUP BY conv_id
 
 
 def _licence_sql() -> str:
-    from lodestone.llm.licenses import MENTIONS, TEMPLATES, TERM
+    """Every line and paragraph is scored here: the filter of telling terms is the operator's own."""
+    from lodestone.llm.licenses import FILE, HEADER, LICENCE_FILE, LINE, PARAGRAPH, TERM, templates, unknown_idf
 
-    rows = [(i, n, t) for i, (n, t) in enumerate((n, t) for n, ts in sorted(TEMPLATES.items()) for t in ts)]
-    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, n, t in rows)
+    own = templates()
+    values = ", ".join("({}, {}, '{}', '{}')".format(i, kind, name, text.replace("'", "''")) for i, (kind, name, text) in enumerate(own))
     return f"""
-WITH tpl(template, license, wording) AS (VALUES {values}),
-tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(wording), '{TERM}')) AS term FROM tpl) GROUP BY ALL),
-idf AS (SELECT term, ln({1.0 + len(rows)} / (1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
-tv AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
-lines AS (
-  SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM documents WHERE regexp_matches(text, '{MENTIONS}'))
-  WHERE regexp_matches(line, '{MENTIONS}')
+WITH tpl(template, kind, license, wording) AS (VALUES {values}),
+tt AS (SELECT template, kind, license, term, 1 + ln(count(*)) AS tf FROM (SELECT template, kind, license, unnest(regexp_extract_all(lower(wording), '{TERM}')) AS term FROM tpl) GROUP BY ALL),
+idf AS (SELECT term, ln({1.0 + len(own)} / (1.0 + count(*))) + 1.0 AS idf FROM tt GROUP BY term),
+tv AS (SELECT template, kind, license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+d AS (
+  SELECT doc_id, text, path, regexp_replace(path, '/?[^/]*$', '') AS folder, regexp_matches(path, '{LICENCE_FILE}') AS is_file
+  FROM (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, CASE WHEN doc_id % 10 = 5 THEN 'p' || doc_id // 100 || '/LICENSE' WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE 'p' || doc_id // 100 || '/' || doc_id END) AS path FROM documents)
 ),
-lt AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
-lw AS (SELECT line, term, tf * coalesce(idf, ln({1.0 + len(rows)}) + 1.0) AS w FROM lt LEFT JOIN idf USING (term)),
-norm AS (SELECT line, sqrt(sum(w * w)) AS n FROM lw GROUP BY line),
-near AS (SELECT line, license, round(sum(w * weight) / any_value(n), 6) AS similarity FROM lw JOIN tv USING (term) JOIN norm USING (line) GROUP BY line, template, license),
-best AS (SELECT line, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM near WHERE similarity >= 0.7 GROUP BY line),
+claims AS (
+  SELECT DISTINCT doc_id, {HEADER} AS kind, trim(unnest(list_concat(string_split_regex(text, '{LINE}'), string_split_regex(text, '{PARAGRAPH}')))) AS wording FROM d
+  UNION SELECT doc_id, {FILE}, text FROM d WHERE is_file
+),
+lt AS (SELECT kind, wording, term, 1 + ln(count(*)) AS tf FROM (SELECT kind, wording, unnest(regexp_extract_all(lower(wording), '{TERM}')) AS term FROM (SELECT DISTINCT kind, wording FROM claims)) GROUP BY ALL),
+lw AS (SELECT kind, wording, term, tf * coalesce(idf, {unknown_idf(len(own))}) AS w FROM lt LEFT JOIN idf USING (term)),
+norm AS (SELECT kind, wording, sqrt(sum(w * w)) AS n FROM lw GROUP BY ALL),
+near AS (SELECT kind, wording, license, round(sum(w * weight) / any_value(n), 6) AS similarity FROM lw JOIN tv USING (kind, term) JOIN norm USING (kind, wording) GROUP BY kind, wording, template, license),
+scored AS (SELECT kind, wording, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM near WHERE similarity >= 0.7 GROUP BY ALL),
 own AS (
-  SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses
-  FROM (SELECT DISTINCT * FROM lines) JOIN best USING (line) GROUP BY doc_id
-)
--- No document's path names a licence file, so nothing is inherited.
-SELECT d.doc_id, concat_ws('/', source, lang, CAST(d.doc_id AS VARCHAR)) AS path, license, similarity, coalesce(licenses, '') AS licenses, CASE WHEN license IS NOT NULL THEN 'own' END AS found
-FROM documents d LEFT JOIN own USING (doc_id)
+  SELECT doc_id, arg_min(license, (-kind, -similarity, license)) AS license, arg_min(similarity, (-kind, -similarity, license)) AS similarity, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses
+  FROM claims JOIN scored USING (kind, wording) GROUP BY doc_id
+),
+held AS (SELECT folder AS above, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM d JOIN own USING (doc_id) WHERE is_file GROUP BY folder),
+above AS (
+  SELECT folder, depth, array_to_string(string_split(folder, '/')[1:depth], '/') AS above
+  FROM (SELECT folder, unnest(range(0, CASE WHEN folder = '' THEN 1 ELSE len(string_split(folder, '/')) + 1 END)) AS depth FROM (SELECT DISTINCT folder FROM d))
+),
+up AS (SELECT folder, arg_max(license, depth) AS up_license, arg_max(similarity, depth) AS up_similarity FROM above JOIN held USING (above) GROUP BY folder)
+SELECT doc_id, path, coalesce(license, up_license) AS license, coalesce(similarity, up_similarity) AS similarity, coalesce(licenses, up_license, '') AS licenses,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN up_license IS NOT NULL THEN 'inherited' END AS found
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up USING (folder)
 """
 
 

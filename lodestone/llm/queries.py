@@ -59,7 +59,7 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for f, s, k, t, b in zip(files, samples, frames, time, bins, strict=True):
                 f, s = f.as_buffer(), s.as_buffer()
-                feature = f"frames={k};cs={t};hist=" + ",".join(map(str, b.as_py()))
+                feature = f"frames={k};cs={t};rgb=" + ",".join(map(str, b.as_py()))
                 out.append((s.size, hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]), f.size, hashlib.sha256(f).hexdigest(), feature))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -90,7 +90,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 #: A conversation whose texts hold control strings.
@@ -116,9 +116,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of packages of a hundred ids in folders source/lang; one in ten is its package's licence file, one in a hundred its folder's."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    found = licenses.scan_licenses(docs, path)
+    number = F.col("doc_id")
+    package = F.concat(F.lit("p"), F.floor(number / 100).cast("string"))
+    name = F.when(number % 10 == 5, F.concat_ws("/", package, F.lit("LICENSE"))).when(number % 100 == 0, F.lit("LICENSE")).otherwise(F.concat_ws("/", package, number.cast("string")))
+    found = licenses.scan_licenses(docs, F.concat_ws("/", "source", "lang", name))
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 

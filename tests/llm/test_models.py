@@ -175,46 +175,92 @@ def test_models_clashing_names(spark, corpus):
     assert quality.score_quality(docs, quality.train_quality(docs, labels.limit(0))).where("quality_score <> 0.5").count() == 0
 
 
-def cosine_by_hand(line, templates):
+def cosine_by_hand(text, kind):
     import math
 
     def terms(t):
         return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
 
-    wordings = [(n, terms(t)) for n, ts in templates.items() for t in ts]
+    wordings = [(k, n, terms(t)) for k, n, t in licenses.templates()]
     df = {}
-    for _, ws in wordings:
+    for _, _, ws in wordings:
         for w in set(ws):
             df[w] = df.get(w, 0) + 1
-    idf = lambda w: math.log((1 + len(wordings)) / (1 + df.get(w, 0))) + 1
-    vec = lambda ws: {w: ws.count(w) * idf(w) for w in set(ws)}
-    own, best = vec(terms(line)), {}
-    for name, ws in wordings:
-        v = vec(ws)
-        dot = sum(x * v.get(w, 0) for w, x in own.items())
-        length = math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in v.values()))
-        best[name] = max(best.get(name, 0), dot / length if length else 0)
+    idf = lambda w: math.log((1 + len(wordings)) / (1 + df.get(w, len(wordings) / 10))) + 1
+    vec = lambda ws: {w: (1 + math.log(ws.count(w))) * idf(w) for w in set(ws)}
+    own, best = vec(terms(text)), {}
+    for k, name, ws in wordings:
+        if k == kind:
+            v = vec(ws)
+            dot = sum(x * v.get(w, 0) for w, x in own.items())
+            length = math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in v.values()))
+            best[name] = max(best.get(name, 0), dot / length if length else 0)
     score, name = min((-s, n) for n, s in best.items())
     return (name, -score) if -score >= 0.7 else (None, None)
 
 
 def test_licenses(spark):
-    lines = ["Released under the MIT License.", "Licensed under Apache License Version 2.0", "no terms here", "Copyright 2020 somebody. All rights reserved.", "a driver's license is needed to drive a car in most of the world", ""]
+    lines = ["Released under the MIT License.", "Licensed under Apache License Version 2.0", "no terms here", "Copyright 2020 somebody. All rights reserved.", "a driver's license is needed to drive a car in most of the world", "", "# SPDX-License-Identifier: GPL-2.0-only", "this work is under a free public license of the author"]
     rows = [(i, f"first line\n{line}\r\nlast", f"a/b/f{i}") for i, line in enumerate(lines)]
     rows += [(10, None, "a/b/c/x"), (11, "plain", "a/b/c/d/y"), (12, "plain", "z/y"), (13, "plain", None), (14, "plain", "top"), (None, "plain", "a/q")]
-    rows += [(20, "This work is licensed under the GNU General Public License,\nversion 3.", "a/b/c/LICENSE"), (21, "Released under the MIT License.", "a/license.txt"), (12, "plain", "z/y")]
-    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, path string, license string")
+    full = {name: text for kind, name, text in licenses.templates() if kind == licenses.FILE}
+    rows += [(20, full["GPL-3.0"], "a/b/c/LICENSE"), (21, "Copyright (c) 2020 Jane Doe\n\n" + full["MIT"], "a/license.txt"), (12, "plain", "z/y")]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, path string, license string, key int")
     got = [r.asDict() for r in licenses.scan_licenses(docs, F.col("path")).collect()]
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     for i, line in enumerate(lines):
-        name, score = cosine_by_hand(line, licenses.TEMPLATES)
+        name, score = min((cosine_by_hand(x, licenses.HEADER) for x in ("first line", line, "last", rows[i][1])), key=lambda x: -(x[1] or 0))
         if name:
             assert (by[i]["license"], by[i]["found"]) == (name, "own") and by[i]["similarity"] == pytest.approx(score, abs=1e-5)
         else:
             assert (by[i]["license"], by[i]["found"]) == ("MIT", "inherited")
+    assert [by[i]["found"] for i in range(len(lines))] == ["own", "own", "inherited", "own", "inherited", "inherited", "own", "inherited"]
     assert [(by[i]["license"], by[i]["found"]) for i in (10, 11, 12, 13, 14, None, 20, 21)] == [("GPL-3.0", "inherited"), ("GPL-3.0", "inherited"), (None, None), (None, None), (None, None), ("MIT", "inherited"), ("GPL-3.0", "own"), ("MIT", "own")]
     assert licenses.scan_licenses(docs.limit(0), F.col("path")).count() == 0
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "path")
+    assert {r["license"] for r in licenses.scan_licenses(named, F.col("path")).where("doc_id = 'd0'").collect()} == {"MIT"}
+
+
+WRAPPED = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS."""
+REAL = [
+    ("MIT", "x/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n"),
+    ("BSD-3-Clause", "x/COPYING", ""),
+    ("Apache-2.0", "x/LICENSE.txt", ""),
+    ("GPL-2.0", "x/LICENSE", ""),
+    ("LGPL-3.0", "x/LICENSE", ""),
+    ("MPL-2.0", "x/LICENSE", ""),
+    ("CC-BY-SA-4.0", "x/LICENSE", ""),
+]
+
+
+def test_real_texts(spark):
+    """Whole licence files with their own names and years, cut or edited, and wrapped headers of source files."""
+    full = {name: text for kind, name, text in licenses.templates() if kind == licenses.FILE}
+    rows = [(i, start + full[name].replace("Regents of the University of California", "Example Authors")[: max(900, len(full[name]) * 4 // 5)], path) for i, (name, path, start) in enumerate(REAL)]
+    rows += [(20, WRAPPED + "\n\nimport os\n", "y/a.py"), (21, "/* SPDX-License-Identifier: MIT */\nint main;", "y/a.c"), (22, "Copyright (c) 2020 Jane Doe. All rights reserved.", "y/b.c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, F.col("path")).collect()}
+    assert [got[i] for i in range(len(REAL))] == [name for name, _, _ in REAL]
+    assert (got[20], got[21], got[22]) == ("Apache-2.0", "MIT", "Proprietary")
+
+
+def test_filter_loses_nothing():
+    """Wordings of any terms of the templates: one that is like enough always has a telling term."""
+    rng = random.Random(2)
+    telling = re.compile(licenses._any_of(licenses.telling_terms(licenses.templates(), 0.7)))
+    headers = [t for kind, _, t in licenses.templates() if kind == licenses.HEADER]
+    for _ in range(400):
+        words = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", rng.choice(headers).lower())
+        text = " ".join(rng.sample(words, rng.randint(1, len(words))) + [rng.choice(words)] * rng.choice([0, 3]))
+        assert cosine_by_hand(text, licenses.HEADER)[0] is None or telling.search(text)
 
 
 def test_pipeline_stages(spark, tmp_path):
