@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.operators.ordered import least_after, placed, quantiles
+
 
 def median_with_representative(df: DataFrame, keys: Sequence[str], value: str, row_id: str) -> DataFrame:
     """keys, median of the positive values, n, and the id of the row nearest to the median (ties to the smaller id)."""
@@ -38,25 +41,35 @@ def expression_statistics(df: DataFrame, keys: Sequence[str], value: str, group:
     return out.where((F.col("n") >= least) & (F.col("n_over") >= F.greatest(F.lit(2.0), F.col("n") * 0.25)))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, term by term for all values at once."""
+
+    def nonzero(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) > 1e-300, v, 1e-300)
+
+    c = np.ones_like(x)
+    d = 1 / nonzero(1 - (a + b) * x / (a + 1))
     h = d
     for m in range(1, 300):
         for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + n * d, 1 + n / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
+            d, c = 1 / nonzero(1 + n * d), nonzero(1 + n / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
             break
     return h
 
 
-def t_tail(t: float, df: float) -> float:
-    """Two-sided tail of Student's distribution."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300)))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tails of Student's distribution with df degrees of freedom (over 0)."""
+    t, df = np.broadcast_arrays(np.atleast_1d(np.asarray(t, float)), np.asarray(df, float))
+    x, a = df / (df + t * t), df / 2
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    beta = (log_gamma(a + 0.5) - log_gamma(a)).astype(float) - math.lgamma(0.5)
+    front = np.exp(beta + a * np.log(np.maximum(x, 1e-300)) + 0.5 * np.log(np.maximum(1 - x, 1e-300)))
+    low = x < (a + 1) / (a + 2.5)
+    half = np.full_like(a, 0.5)
+    fraction = _beta_fraction(np.where(low, a, half), np.where(low, half, a), np.where(low, x, 1 - x))
+    return np.where(low, front * fraction / a, 1 - front * fraction / 0.5)
 
 
 def welch(stats: DataFrame) -> DataFrame:
@@ -68,17 +81,19 @@ def welch(stats: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([t_tail(x, y) if x == x and y == y else None for x, y in zip(t, df, strict=True)], dtype="float64")
+        there = (t.notna() & df.notna()).to_numpy()
+        out = np.full(len(t), np.nan)
+        out[there] = t_tail(t[there], df[there])
+        return pd.Series(out).where(there, None)
 
     return stats.withColumn("t", F.when(fit, t)).withColumn("df", F.when(fit, free)).withColumn("p", tail("t", "df"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, *, out: str = "fdr") -> DataFrame:
-    """Step-up false discovery rates over all rows with a p value; one task orders them, so it is for results of aggregations."""
-    tests = df.where(F.col(p).isNotNull())
-    ranked = tests.withColumn("_raw", F.col(p) * F.count("*").over(W.partitionBy()) / F.row_number().over(W.orderBy(p, key)))
-    step = W.orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(step))).drop("_raw")
+    """Step-up false discovery rates over all rows with a p value, in ranges of p; ties by key, which must be unique. Rows without p are left out."""
+    ranked = placed(df.where(F.col(p).isNotNull()), [F.col(p), F.col(key)])
+    ranked = ranked.join(F.broadcast(ranked.agg(F.count("*").alias("_tests")))).withColumn("_raw", F.col(p) * F.col("_tests") / (F.col("position") + 1))
+    return least_after(ranked, [F.col(p), F.col(key)], "_raw", out).withColumn(out, F.least(F.lit(1.0), out)).drop("_raw", "_tests", "position")
 
 
 def merged_edges(df: DataFrame, keys: Sequence[str], confidence: str, evidence: str, source: str, order: str, *, how: str = "max_confidence") -> DataFrame:
@@ -109,8 +124,9 @@ def vote_counts(df: DataFrame, key: str, choice: Column) -> DataFrame:
 
 
 def score_distribution(df: DataFrame, value: str) -> DataFrame:
-    q = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), *q, F.max(value).alias("max"))
+    """n, mean, population deviation, least, exact quartiles and greatest of the values that aren't null; nulls and n = 0 without any."""
+    row = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return row.join(quantiles(df, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})).select("n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def quality_report(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -128,6 +144,7 @@ def quality_score(df: DataFrame, fields: Sequence[str], key: str, valid: Column)
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, share of all rows) of each value, null being one."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.operators.ordered import placed
 from lodestone.shared import Scratch
 
 
@@ -31,8 +32,10 @@ def translated_ends(df: DataFrame, mapping: DataFrame, a: str, b: str, *, source
 
 
 def dense_index(df: DataFrame, kind: str, key: str) -> DataFrame:
-    """(kind, key, index from 0) of the distinct keys of each kind in order."""
-    return df.select(kind, key).distinct().withColumn("index", F.row_number().over(W.partitionBy(kind).orderBy(key)) - 1)
+    """(kind, key, index from 0) of the distinct keys of each kind in order; a kind may have any share of the keys. Null comes first."""
+    rows = placed(df.select(kind, key).distinct(), [F.col(kind), F.col(key)])
+    first = rows.groupBy(F.col(kind).alias("_kind")).agg(F.min("position").alias("_first"))
+    return rows.join(first, rows[kind].eqNullSafe(first["_kind"])).select(kind, key, (F.col("position") - F.col("_first")).alias("index"))
 
 
 def first_of(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]], key: str, out: str) -> DataFrame:

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.operators.ordered import placed
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, *, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group (null is a group) with their rank; the order's last column decides ties."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
@@ -17,6 +20,7 @@ def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], *, offset: int, limit: int) -> DataFrame:
+    """Rows offset to offset + limit of an order whose last column is unique; empty beyond the end."""
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -27,16 +31,19 @@ def page_after(df: DataFrame, score: str, key: str, *, after: tuple[float, objec
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """auc, positives, negatives by the tie-corrected U statistic over distinct scores."""
+    """auc, positives, negatives by the tie-corrected U statistic over distinct scores, in ranges of the scores. Rows without a score are left out; auc is null without both labels."""
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    by = placed(by, [F.col(score)], sums={"n": "below"})
     row = by.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return row.select(F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("u") / F.col("positives") / F.col("negatives")).alias("auc"), "positives", "negatives")
 
 
 def average_ranks(df: DataFrame, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rows with their rank, ties sharing the mean of theirs."""
+    """Rows with their rank, ties sharing the mean of theirs; without a group in ranges of the scores. Null scores come first."""
+    if not group:
+        by = placed(df.groupBy(score).agg(F.count("*").alias("_n")), [F.col(score)], sums={"_n": "_before"})
+        mean = by.select(F.col(score).alias("_s"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
+        return df.join(mean, df[score].eqNullSafe(mean["_s"])).drop("_s")
     w = W.partitionBy(*group).orderBy(score)
     return df.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(W.partitionBy(*group, score)) - 1) / 2.0)
 
@@ -68,6 +75,7 @@ def bootstrap(df: DataFrame, value: str, key: str, *, resamples: int = 100) -> D
 
 
 def metric_delta(one: DataFrame, two: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before, after, delta) of keys of either table, each at most once in both; delta is null where one lacks it."""
     return one.select(key, F.col(value).alias("before")).join(two.select(key, F.col(value).alias("after")), key, "full_outer").withColumn("delta", F.col("after") - F.col("before"))
 
 
@@ -92,4 +100,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def temperature_scaled(logit: Column, temperature: float) -> Column:
+    """The probability of a logit over a temperature; null stays null."""
     return 1 / (1 + F.exp(-logit / temperature))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from lodestone.operators.ordered import quantiles
+
 # How sure each method of matching is.
 CONFIDENCE = {"exact": 1.0, "block": 0.9, "name": 0.85, "fuzzy": 0.7}
 
@@ -20,11 +22,26 @@ def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.sort_array(F.split(F.trim(c), r"\s+")), " ")
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit of an integer for each letter of a."""
+    place: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        place[ch] = place.get(ch, 0) | 1 << i
+    row = (1 << len(a)) - 1
+    for ch in b:
+        taken = row & place.get(ch, 0)
+        row = (row + taken) | (row - taken)
+    return len(a) - (row & (1 << len(a)) - 1).bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def _shared_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None or not x + y else 2.0 * _common(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length of two names' sorted tokens, 0 to 1."""
-    a, b = sorted_tokens(a), sorted_tokens(b)
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest)
+    """Twice the longest common subsequence of two names' sorted tokens over their lengths, 0 to 1; null for two empty or any null name."""
+    return _shared_share(sorted_tokens(a), sorted_tokens(b))
 
 
 def fuzzy_threshold(name: Column, base: float = 0.85) -> Column:
@@ -38,13 +55,51 @@ def unique_names(entities: DataFrame, key: str, name: str) -> DataFrame:
     return entities.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("key"), F.countDistinct(key).alias("n")).where("n = 1").drop("n")
 
 
+def _pairs_of_letters(c: Column) -> Column:
+    """Each two letters that stand together, with how many equal ones came before; a single letter alone."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85) -> DataFrame:
+    """(r, e, s) of the distinct names left(r) and right(e) whose similarity s reaches fuzzy_threshold of r.
+
+    Nothing is lost: names of similarity t over lengths m and n share at least
+    (1.5 t - 1)(m + n) - 1 pairs of letters, so they share one of their rarest
+    if each name gives all but so many of its own; only those are joined. Nulls
+    and empty names have no match.
+    """
+    t = base
+    least = (1.5 * t - 1) * (1 + t / (2 - t))
+
+    def named(df: DataFrame, c: str) -> DataFrame:
+        own = df.where(F.length(F.trim(c)) > 0).select(c).distinct().withColumn("s", sorted_tokens(F.col(c)))
+        return own.select(c, "s", F.length("s").alias("n"), F.explode(_pairs_of_letters(F.col("s"))).alias("pair"))
+
+    r, e = named(left, "r"), named(right, "e")
+    common = e.groupBy("pair").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        order = F.row_number().over(W.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "pair"))
+        kept = F.greatest(F.col("n") - F.greatest(F.ceil(least * F.col("n") - 1 - 1e-9), F.lit(1)), F.lit(1))
+        return df.join(common, "pair", "left").withColumn("k", order).where(F.col("k") <= kept).select(c, "pair", F.col("n").alias(f"{c}_n"))
+
+    near = rarest(r, "r").join(rarest(e, "e"), "pair").where(2.0 * F.least("r_n", "e_n") >= t * (F.col("r_n") + F.col("e_n")) - 1e-9).select("r", "e").distinct()
+    return near.withColumn("s", similarity(F.col("r"), F.col("e"))).where(F.col("s") >= fuzzy_threshold(F.col("r"), base))
+
+
+#: Nearer to the best one than this, another name makes a match unsure.
+NEAR_TIE = 0.01
+
+
 def cascade(records: DataFrame, entities: DataFrame, *, record_id: str, key: str, name: str, block: int = 14, fuzzy: bool = True) -> DataFrame:
     """(record_id, match, method, confidence) of records(record_id, key, name) against entities(key, name).
 
     The first that hits of: the same key; the same first `block` letters of the
     key (smallest key); the same name, refused where it leads to several keys;
-    a name alike enough among entities whose name begins with the same three
-    letters, refused when two come equally near. Others stay unmatched.
+    the name most alike, of those alike enough that lead to one key, refused
+    where another comes within NEAR_TIE of it. Others stay unmatched. Null keys
+    and names match nothing; repeated records are each given.
     """
     r = records.select(F.col(record_id).alias("record_id"), F.col(key).alias("r_key"), F.col(name).alias("r_name"))
     e = entities.select(F.col(key).alias("e_key"), F.col(name).alias("e_name"))
@@ -53,12 +108,12 @@ def cascade(records: DataFrame, entities: DataFrame, *, record_id: str, key: str
     names = unique_names(e, "e_key", "e_name").select(F.col("name").alias("r_name"), F.col("key").alias("m_name"))
     out = r.join(exact, "r_key", "left").withColumn("r_block", F.substring("r_key", 1, block)).join(blocks, "r_block", "left").join(names, "r_name", "left")
     if fuzzy:
-        left = out.where("m_exact is null and m_block is null and m_name is null and r_name is not null").select("record_id", "r_name", F.substring("r_name", 1, 3).alias("p"))
-        near = left.join(e.select("e_key", "e_name", F.substring("e_name", 1, 3).alias("p")), "p")
-        near = near.withColumn("s", similarity(F.col("r_name"), F.col("e_name"))).where(F.col("s") >= fuzzy_threshold(F.col("r_name")))
-        best = near.groupBy("record_id").agg(F.max("s").alias("top"))
-        near = near.join(best, "record_id").where("s = top").groupBy("record_id").agg(F.min("e_key").alias("m_fuzzy"), F.countDistinct("e_key").alias("n")).where("n = 1").drop("n")
-        out = out.join(near, "record_id", "left")
+        left = out.where("m_exact is null and m_block is null and m_name is null").select(F.col("r_name").alias("r"))
+        near = alike_names(left, names.select(F.col("r_name").alias("e")))
+        best = near.groupBy("r").agg(F.max_by("e", "s").alias("e"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("s"))
+        sure = best.where((F.size("s") < 2) | (F.element_at("s", 1) - F.element_at("s", -1) > NEAR_TIE + 1e-9))
+        sure = sure.join(names.select(F.col("r_name").alias("e"), F.col("m_name").alias("m_fuzzy")), "e").select(F.col("r").alias("r_name"), "m_fuzzy")
+        out = out.join(sure, "r_name", "left")
     else:
         out = out.withColumn("m_fuzzy", F.lit(None).cast(entities.schema[key].dataType))
     method = F.when(F.col("m_exact").isNotNull(), "exact").when(F.col("m_block").isNotNull(), "block").when(F.col("m_name").isNotNull(), "name").when(F.col("m_fuzzy").isNotNull(), "fuzzy")
@@ -96,6 +151,7 @@ def as_of(log: DataFrame, key: str, when: str, fields: Sequence[str], action: st
 
 
 def confident(mapping: DataFrame, ids: DataFrame, key: str, confidence: str, least: float) -> DataFrame:
+    """ids with their entries of at least that confidence; others, and null keys, are left out."""
     return ids.join(mapping.where(F.col(confidence) >= least), key)
 
 
@@ -111,23 +167,17 @@ def changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) ->
 
 def thresholds(df: DataFrame, value: str, *, high: float = 0.95, low: float = 0.5, least: int = 10) -> DataFrame:
     """high and low quantiles and the population deviation of values in 0 to 1, to four places; null under `least` values."""
-    own = df.where(F.col(value).between(0, 1)).agg(F.count("*").alias("n"), F.percentile(value, F.lit(high)).alias("high"), F.percentile(value, F.lit(low)).alias("low"), F.stddev_pop(value).alias("std"))
+    own = df.where(F.col(value).between(0, 1)).agg(F.count("*").alias("n"), F.stddev_pop(value).alias("std"))
+    own = own.join(quantiles(df.where(F.col(value).between(0, 1)), value, {"high": high, "low": low}))
     return own.select("n", *[F.when(F.col("n") >= least, F.round(c, 4)).alias(c) for c in ("high", "low", "std")])
 
 
-@F.pandas_udf(T.StringType())
-def unicode_key(names: pd.Series) -> pd.Series:
-    """NFKD without marks, lower-case: for names beyond the letters that built-in functions translate."""
-    import unicodedata
-
-    return names.map(lambda s: None if s is None else "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)).lower())
-
-
 def name_index(df: DataFrame, name: str, key: str) -> DataFrame:
     """name -> how many keys it has, and the smallest."""
     return df.groupBy(name).agg(F.countDistinct(key).alias("n_keys"), F.min(key).alias("first_key"))
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """Of each key the row of the highest version, which must be unique in it; null versions come last."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(version).desc()))
     return df.withColumn("_r", rank).where("_r = 1").drop("_r")

@@ -77,90 +77,42 @@ def graph_reverse_edges(t: Tables) -> DataFrame:
     return both.groupBy(C("src_label").alias("start_label")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("c"))
 
 
-@registry.add(f"""
-WITH {_EDGES}, h1 AS (SELECT src_id AS s, dst_id AS a FROM e WHERE rel = 'placed' AND src_id < 200), h2 AS (SELECT h1.s, e.dst_id AS a, count(*) AS p FROM h1 JOIN e ON e.rel = 'contains' AND e.src_id = h1.a GROUP BY ALL),
-h3 AS (SELECT h2.s, e.dst_id AS a, CAST(sum(p) AS BIGINT) AS p FROM h2 JOIN e ON e.rel = 'from' AND e.src_id = h2.a GROUP BY ALL)
-SELECT s AS start, a AS "end", 3 AS hops, round(0.9 * 0.8 * 0.7, 9) AS score, p AS paths FROM h3""")
-def graph_three_hops(t: Tables) -> DataFrame:
-    own = edges(t).where((C("rel") != "placed") | (C("src_id") < 200))
-    return G.hop_scores(own, "Customer", "Supplier", max_hops=3, middle=["Order", "Part"]).withColumn("score", F.round("score", 9))
-
-
 @registry.add(f"""
 WITH {_EDGES}, h1 AS (SELECT src_id AS s, dst_id AS a FROM e WHERE rel = 'placed'), h2 AS (SELECT h1.s, e.dst_id AS a, count(*) AS p FROM h1 JOIN e ON e.rel = 'contains' AND e.src_id = h1.a GROUP BY ALL),
 h3 AS (SELECT h2.s, e.dst_id AS a, CAST(sum(p) AS BIGINT) AS p FROM h2 JOIN e ON e.rel = 'from' AND e.src_id = h2.a GROUP BY ALL)
 SELECT s AS start, a AS "end", 3 AS hops, round(0.9 * 0.8 * 0.7, 9) AS score, p AS paths FROM h3""")
-def graph_three_hops_all(t: Tables) -> DataFrame:
-    """graph_three_hops from every customer."""
+def graph_three_hops(t: Tables) -> DataFrame:
     return G.hop_scores(edges(t), "Customer", "Supplier", max_hops=3, middle=["Order", "Part"]).withColumn("score", F.round("score", 9))
 
 
-def _buys(t: Tables, most: int) -> DataFrame:
-    return t.lineitem.where(C("l_partkey") < most).select(C("l_partkey").alias("a"), C("l_suppkey").alias("b0"), "l_quantity")
-
-
-@registry.add("""
-WITH RECURSIVE e AS (SELECT CAST(l_partkey AS VARCHAR) AS a, 's' || l_suppkey AS b, max(l_quantity) / 50 AS c, l_partkey || '-' || l_suppkey AS id FROM lineitem WHERE l_partkey < 30 GROUP BY l_partkey, l_suppkey),
-b AS (SELECT id, a AS x, b AS y, c FROM e UNION ALL SELECT id, b, a, c FROM e),
-w AS (SELECT '1' AS node, '1' AS path, [''] AS used, 1.0::DOUBLE AS p, 0 AS hops
-      UNION ALL SELECT y, path || '>' || y, list_append(used, id), p * c, hops + 1 FROM w JOIN b ON x = node AND NOT list_contains(used, id) WHERE hops < 4)
-SELECT path, hops, round(pow(p, 1.0 / hops), 9) AS score FROM w WHERE node = '2' AND hops > 0 AND pow(p, 1.0 / hops) >= 0.001""")
-def graph_bounded_paths(t: Tables) -> DataFrame:
-    e = _buys(t, 30).select(C("a").cast("string").alias("a"), F.concat(F.lit("s"), C("b0").cast("string")).alias("b"), "l_quantity").groupBy("a", "b").agg((F.max("l_quantity") / 50).alias("confidence"))
-    e = e.withColumn("id", F.concat("a", F.lit("-"), F.substring("b", 2, 20)))
-    return G.bounded_paths(e, C("node") == "1", C("node") == "2", max_depth=4, top=None).withColumn("score", F.round("score", 9))
-
-
-def _sales(t: Tables) -> DataFrame:
-    return t.lineitem.select(C("l_partkey").alias("a"), (C("l_suppkey") + 10000000).alias("b"))
-
-
 @registry.add("""
 WITH e AS (SELECT l_partkey AS p, l_suppkey AS s, max(l_quantity) / 50 AS c FROM lineitem GROUP BY ALL),
 w AS (SELECT '1>s' || x.s || '>2' AS path, 2 AS hops, pow(x.c * y.c, 0.5) AS score FROM e x JOIN e y ON y.s = x.s AND y.p = 2 WHERE x.p = 1
       UNION ALL SELECT '1>s' || x.s || '>' || m.p || '>s' || z.s || '>2', 4, pow(x.c * m.c * z.c * y.c, 0.25) FROM e x JOIN e m ON m.s = x.s AND m.p NOT IN (1, 2) JOIN e z ON z.p = m.p AND z.s <> m.s JOIN e y ON y.s = z.s AND y.p = 2 WHERE x.p = 1)
 SELECT path, hops, round(score, 9) AS score FROM w WHERE score >= 0.001""")
-def graph_bounded_paths_all(t: Tables) -> DataFrame:
-    """graph_bounded_paths over all lines."""
+def graph_bounded_paths(t: Tables) -> DataFrame:
     e = t.lineitem.select(C("l_partkey").cast("string").alias("a"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("b"), "l_quantity").groupBy("a", "b").agg((F.max("l_quantity") / 50).alias("confidence"))
     e = e.withColumn("id", F.concat("a", F.lit("-"), F.substring("b", 2, 20)))
     return G.bounded_paths(e, C("node") == "1", C("node") == "2", max_depth=4, top=None).withColumn("score", F.round("score", 9))
 
 
-@registry.add("""
-WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_partkey < 400), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-d1 AS (SELECT DISTINCT b AS node FROM s WHERE a = 1), d2 AS (SELECT DISTINCT s.b AS node FROM d1 JOIN s ON s.a = d1.node WHERE s.b <> 1 AND s.b NOT IN (SELECT node FROM d1))
-SELECT 1 AS node, 0 AS depth UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2""")
-def graph_bfs(t: Tables) -> DataFrame:
-    e = _buys(t, 400).select("a", (C("b0") + 10000000).alias("b"))
-    return G.bfs(e, t.spark.createDataFrame([(1,)], "node long"), max_depth=2)
+def _sales(t: Tables) -> DataFrame:
+    return t.lineitem.select(C("l_partkey").alias("a"), (C("l_suppkey") + 10000000).alias("b"))
 
 
 @registry.add("""
 WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 d1 AS (SELECT DISTINCT b AS node FROM s WHERE a = 1), d2 AS (SELECT DISTINCT s.b AS node FROM d1 JOIN s ON s.a = d1.node WHERE s.b <> 1 AND s.b NOT IN (SELECT node FROM d1))
 SELECT 1 AS node, 0 AS depth UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2""")
-def graph_bfs_all(t: Tables) -> DataFrame:
-    """graph_bfs over all lines."""
+def graph_bfs(t: Tables) -> DataFrame:
     return G.bfs(_sales(t), t.spark.createDataFrame([(1,)], "node long"), max_depth=2)
 
 
-@registry.add("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_partkey < 100), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT 1 AS node, 0 AS depth UNION SELECT s.b, depth + 1 FROM r JOIN s ON s.a = r.node WHERE depth < 4)
-SELECT node, min(depth) AS depth FROM r WHERE node BETWEEN 2 AND 20 GROUP BY node""")
-def graph_shortest_lengths(t: Tables) -> DataFrame:
-    e = _buys(t, 100).select("a", (C("b0") + 10000000).alias("b"))
-    goals = t.part.where("p_partkey between 2 and 20").select(C("p_partkey").alias("node"))
-    return G.shortest_lengths(e, t.spark.createDataFrame([(1,)], "node long"), goals, max_depth=4)
-
-
 @registry.add("""
 WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT 1 AS node, 0 AS depth UNION SELECT s.b, depth + 1 FROM r JOIN s ON s.a = r.node WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM r WHERE node > 1 AND node IN (SELECT p_partkey FROM part) GROUP BY node""")
-def graph_shortest_lengths_all(t: Tables) -> DataFrame:
-    """graph_shortest_lengths over all lines, to every other part."""
+def graph_shortest_lengths(t: Tables) -> DataFrame:
     goals = t.part.where("p_partkey > 1").select(C("p_partkey").alias("node"))
     return G.shortest_lengths(_sales(t), t.spark.createDataFrame([(1,)], "node long"), goals, max_depth=4)
 
@@ -170,18 +122,8 @@ def graph_neighbours(t: Tables) -> DataFrame:
     return G.neighbours(edges(t), "Part", 7, most=20)
 
 
-@registry.add("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node HAVING min(root) < node""")
-def graph_components(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_linenumber = 1 and l_quantity > 48").select(C("l_partkey").alias("a"), (C("l_suppkey") + 10000000).alias("b"))
-    return connected_components(e)
-
-
 @registry.add()
-def graph_components_all(t: Tables) -> DataFrame:
-    """graph_components over all lines."""
+def graph_components(t: Tables) -> DataFrame:
     return connected_components(_sales(t).distinct())
 
 
@@ -195,20 +137,13 @@ def graph_node_disjoint(t: Tables) -> DataFrame:
     return G.node_disjoint_edges(edges(t), S.hash_split(C("src_id")), S.hash_split(C("dst_id"))).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@registry.add("SELECT DISTINCT 'Customer' AS src_label, c_custkey AS src_id, 'same_nation' AS rel, 'Supplier' AS dst_label, s_suppkey AS dst_id FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 300")
-def graph_derived_edges(t: Tables) -> DataFrame:
-    left = t.customer.where("c_custkey < 300").select(C("c_custkey").alias("src_id"), C("c_nationkey").alias("via"))
-    return G.derived_edges(left, t.supplier.select(C("s_suppkey").alias("dst_id"), C("s_nationkey").alias("via")), "via", "same_nation", ("Customer", "Supplier"))
-
-
 @registry.add("SELECT DISTINCT 'Customer' AS src_label, c_custkey AS src_id, 'same_nation' AS rel, 'Supplier' AS dst_label, s_suppkey AS dst_id FROM customer JOIN supplier ON c_nationkey = s_nationkey")
-def graph_derived_edges_all(t: Tables) -> DataFrame:
-    """graph_derived_edges of every customer."""
+def graph_derived_edges(t: Tables) -> DataFrame:
     left = t.customer.select(C("c_custkey").alias("src_id"), C("c_nationkey").alias("via"))
     return G.derived_edges(left, t.supplier.select(C("s_suppkey").alias("dst_id"), C("s_nationkey").alias("via")), "via", "same_nation", ("Customer", "Supplier"))
 
 
-@registry.add(f"WITH {_EDGES} SELECT src_label, rel, dst_label, count(DISTINCT (src_id, dst_id)) AS pairs, md5(string_agg(DISTINCT src_id || '-' || dst_id, ',' ORDER BY src_id || '-' || dst_id)) AS digest FROM e GROUP BY ALL")
+@registry.add(f"WITH {_EDGES} SELECT src_label, rel, dst_label, count(*) AS pairs, CAST(sum(CAST('0x' || substr(md5(src_id || '-' || dst_id), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT src_label, rel, dst_label, src_id, dst_id FROM e) GROUP BY ALL")
 def graph_edge_lists(t: Tables) -> DataFrame:
     return G.edge_lists(edges(t))
 
@@ -258,7 +193,7 @@ def cypher_export(t: Tables) -> DataFrame:
     return sinks.cypher_statements(t.nation.select(F.lit("Nation").alias("label"), C("n_nationkey").alias("id"), "n_name"), ["n_name"])
 
 
-@registry.add()
+@registry.add("SELECT count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256(CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment}) AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM customer")
 def table_digest(t: Tables) -> DataFrame:
     return sinks.digest(t.customer)
 

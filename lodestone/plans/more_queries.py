@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.operators import graph as G, joins as J, rank as R, resolve as E, sampling as N
+from lodestone.operators.ordered import quantiles
 from lodestone.plans.base import Registry, Tables
 
 registry = Registry()
@@ -35,16 +36,8 @@ def set_intersection(t: Tables) -> DataFrame:
     return t.orders.select(C("o_custkey").alias("id")).intersect(t.events.select(C("user_id").alias("id")))
 
 
-@registry.add("SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey, [s_nationkey, s_nationkey % 5 + 30] AS cl FROM supplier) JOIN (SELECT p_partkey, [p_size % 25, p_size % 5 + 30] AS cp FROM part WHERE p_partkey < 100) ON len(list_intersect(cl, cp)) = 0")
-def wrong_class_pairs(t: Tables) -> DataFrame:
-    left = t.supplier.select("s_suppkey", F.array("s_nationkey", C("s_nationkey") % 5 + 30).alias("cl"))
-    right = t.part.where("p_partkey < 100").select("p_partkey", F.array(C("p_size") % 25, C("p_size") % 5 + 30).alias("cl"))
-    return N.disjoint_class_pairs(left, right, "s_suppkey", "p_partkey", "cl")
-
-
 @registry.add("SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey, [s_nationkey, s_nationkey % 5 + 30] AS cl FROM supplier) JOIN (SELECT p_partkey, [p_size % 25, p_size % 5 + 30] AS cp FROM part) ON len(list_intersect(cl, cp)) = 0")
-def wrong_class_pairs_all(t: Tables) -> DataFrame:
-    """wrong_class_pairs of every part."""
+def wrong_class_pairs(t: Tables) -> DataFrame:
     left = t.supplier.select("s_suppkey", F.array("s_nationkey", C("s_nationkey") % 5 + 30).alias("cl"))
     right = t.part.select("p_partkey", F.array(C("p_size") % 25, C("p_size") % 5 + 30).alias("cl"))
     return N.disjoint_class_pairs(left, right, "s_suppkey", "p_partkey", "cl")
@@ -122,7 +115,7 @@ def safety_scores(t: Tables) -> DataFrame:
 def pages_with_totals(t: Tables) -> DataFrame:
     totals = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("total"))
     page = R.top_per_group(t.orders, ["o_orderpriority"], [C("o_totalprice").desc(), C("o_orderkey")], 15).where("rank >= 11")
-    return page.join(F.broadcast(totals), "o_orderpriority").select("o_orderpriority", "total", "o_orderkey")
+    return page.join(totals, "o_orderpriority").select("o_orderpriority", "total", "o_orderkey")
 
 
 @registry.add("SELECT vec_id, round(1 / (1 + exp(-(label - 5) / 2.5)), 9) AS p FROM embeddings")
@@ -144,7 +137,7 @@ def priority_weighted_mean(t: Tables) -> DataFrame:
 
 @registry.add("SELECT split, count(*) AS n FROM (SELECT CASE WHEN v <= q1 THEN 'early' WHEN v <= q2 THEN 'middle' ELSE 'late' END AS split FROM (SELECT event_id AS v FROM events), (SELECT quantile_cont(event_id, 0.8) AS q1, quantile_cont(event_id, 0.9) AS q2 FROM events)) GROUP BY split")
 def time_ordered_split(t: Tables) -> DataFrame:
-    q = t.events.agg(F.percentile("event_id", F.lit(0.8)).alias("q1"), F.percentile("event_id", F.lit(0.9)).alias("q2"))
+    q = quantiles(t.events, "event_id", {"q1": 0.8, "q2": 0.9})
     split = F.when(C("event_id") <= C("q1"), "early").when(C("event_id") <= C("q2"), "middle").otherwise("late")
     return t.events.join(F.broadcast(q)).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
 

@@ -216,15 +216,8 @@ def two_level_lookup(t: Tables) -> DataFrame:
     return J.first_of(own, [(direct, "c_custkey", "c_name"), (second, "c_custkey", "v")], "k", "found").select("o_orderkey", "found")
 
 
-@registry.add("SELECT c_custkey AS id, arg_min(o_orderkey, (rank, o_orderkey)) AS primary_id, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(CASE WHEN o_orderkey IS NOT NULL THEN {'rank': rank, 'o': o_orderkey} END))), lambda s: CAST(s.o AS VARCHAR)), '|'), '') AS all_ids FROM (SELECT c_custkey FROM customer WHERE c_custkey < 500) LEFT JOIN (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")
-def crosswalk_translate(t: Tables) -> DataFrame:
-    walk = t.orders.select(F.lit("customer").alias("src_ns"), C("o_custkey").alias("src_id"), F.lit("order").alias("dst_ns"), C("o_orderkey").alias("dst_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"))
-    return J.translate(walk, t.customer.where("c_custkey < 500").select(C("c_custkey").alias("id")), "customer", "order")
-
-
 @registry.add("SELECT c_custkey AS id, arg_min(o_orderkey, (rank, o_orderkey)) AS primary_id, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(CASE WHEN o_orderkey IS NOT NULL THEN {'rank': rank, 'o': o_orderkey} END))), lambda s: CAST(s.o AS VARCHAR)), '|'), '') AS all_ids FROM (SELECT c_custkey FROM customer) LEFT JOIN (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")
-def crosswalk_translate_all(t: Tables) -> DataFrame:
-    """crosswalk_translate of every customer."""
+def crosswalk_translate(t: Tables) -> DataFrame:
     walk = t.orders.select(F.lit("customer").alias("src_ns"), C("o_custkey").alias("src_id"), F.lit("order").alias("dst_ns"), C("o_orderkey").alias("dst_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"))
     return J.translate(walk, t.customer.select(C("c_custkey").alias("id")), "customer", "order")
 
@@ -237,14 +230,16 @@ def crosswalk_merge(t: Tables) -> DataFrame:
 
 
 @registry.add("""
-SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT region.r_name, nation.n_name, cr.r_name AS buyer_region, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
-LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
-WHERE l_quantity >= 10 AND p_type IN ('ECONOMY', 'PROMO') GROUP BY r_name, n_name""")
+LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN region cr ON cr.r_regionkey = cn.n_regionkey
+WHERE l_quantity >= 10 AND p_type IN ('ECONOMY', 'PROMO') GROUP BY ALL""")
 def nine_table_join(t: Tables) -> DataFrame:
     own = t.lineitem.where("l_quantity >= 10").join(t.orders, C("o_orderkey") == C("l_orderkey")).join(t.customer, C("c_custkey") == C("o_custkey")).join(t.part.where(C("p_type").isin("ECONOMY", "PROMO")), C("p_partkey") == C("l_partkey"))
     own = own.join(t.supplier, C("s_suppkey") == C("l_suppkey"), "left").join(t.nation, C("n_nationkey") == C("s_nationkey"), "left").join(t.region, C("r_regionkey") == C("n_regionkey"), "left")
-    return own.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum(C("l_extendedprice") * (1 - C("l_discount"))), 2).alias("revenue"))
+    buyer = t.nation.join(t.region.select("r_regionkey", C("r_name").alias("buyer_region")), C("r_regionkey") == C("n_regionkey")).select(C("n_nationkey").alias("buyer_nation"), "buyer_region")
+    own = own.join(buyer, C("buyer_nation") == C("c_nationkey"))
+    return own.groupBy("r_name", "n_name", "buyer_region").agg(F.count("*").alias("n"), F.round(F.sum(C("l_extendedprice") * (1 - C("l_discount"))), 4).alias("revenue"))
 
 
 @registry.add("SELECT o_custkey, event_type, count(*) AS n FROM orders JOIN events ON user_id = o_custkey LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey, event_type")
@@ -279,23 +274,11 @@ def anti_join_count(t: Tables) -> DataFrame:
     return J.orphans(t.customer, "c_custkey", t.orders, "o_custkey").agg(F.count("*").alias("n"))
 
 
-@registry.add("""
-WITH p AS (SELECT c_name, p_name, c_custkey, p_partkey, p_retailprice / (1 + abs(c_custkey * 7 - p_partkey) % 100) AS score FROM customer CROSS JOIN part WHERE c_custkey < 100 AND p_partkey < 200),
-known AS (SELECT DISTINCT lower(c_name) AS a, lower(p_name) AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_custkey < 100)
-SELECT c_custkey, p_partkey, round(score, 9) AS score FROM p WHERE NOT EXISTS (SELECT 1 FROM known WHERE a = lower(c_name) AND b = lower(p_name)) ORDER BY p.score DESC, c_custkey, p_partkey LIMIT 50""")
-def novel_pairs(t: Tables) -> DataFrame:
-    pairs = J.all_pairs(t.customer.where("c_custkey < 100").select("c_custkey", "c_name"), t.part.where("p_partkey < 200").select("p_partkey", "p_name", "p_retailprice"))
-    known = t.customer.where("c_custkey < 100").join(t.orders, C("o_custkey") == C("c_custkey")).join(t.lineitem, C("l_orderkey") == C("o_orderkey")).join(t.part, C("p_partkey") == C("l_partkey")).select(F.upper("c_name").alias("c_name"), "p_name")
-    scored = J.unseen_pairs(pairs, known, "c_name", "p_name").withColumn("score", C("p_retailprice") / (1 + F.abs(C("c_custkey") * 7 - C("p_partkey")) % 100))
-    return R.top(scored, [C("score").desc(), C("c_custkey"), C("p_partkey")], 50).select("c_custkey", "p_partkey", F.round("score", 9).alias("score"))
-
-
 @registry.add("""
 WITH p AS (SELECT c_name, p_name, c_custkey, p_partkey, p_retailprice / (1 + abs(c_custkey * 7 - p_partkey) % 100) AS score FROM customer CROSS JOIN part),
 known AS (SELECT DISTINCT lower(c_name) AS a, lower(p_name) AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
 SELECT c_custkey, p_partkey, round(score, 9) AS score FROM p WHERE NOT EXISTS (SELECT 1 FROM known WHERE a = lower(c_name) AND b = lower(p_name)) ORDER BY p.score DESC, c_custkey, p_partkey LIMIT 50""")
-def novel_pairs_all(t: Tables) -> DataFrame:
-    """novel_pairs of every customer and part; a pair's score is at most the part's price."""
+def novel_pairs(t: Tables) -> DataFrame:
     known = t.customer.join(t.orders, C("o_custkey") == C("c_custkey")).join(t.lineitem, C("l_orderkey") == C("o_orderkey")).join(t.part, C("p_partkey") == C("l_partkey")).select("c_name", "p_name")
     score = C("p_retailprice") / (1 + F.abs(C("c_custkey") * 7 - C("p_partkey")) % 100)
     best = J.top_unseen_pairs(t.customer.select("c_custkey", "c_name"), t.part.select("p_partkey", "p_name", "p_retailprice"), known, "c_name", "p_name", bound=F.greatest("p_retailprice", F.lit(0.0)), score=score, ties=["c_custkey", "p_partkey"], k=50)
@@ -463,7 +446,11 @@ def score_leakage(t: Tables) -> DataFrame:
     return R.leakage(t.labels.join(t.documents, "doc_id").select(C("n_chars").cast("double").alias("s0"), C("toxic").alias("y")), "s0", "y")
 
 
-@registry.add()
+@registry.add("""
+WITH d AS (SELECT b, c_acctbal AS v, (CAST('0x' || substr(md5(b || ':' || c_custkey), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM customer, range(50) r(b)),
+w AS (SELECT b, v, (u > 0.36787944117144233)::INT + (u > 0.7357588823428847)::INT + (u > 0.9196986029286058)::INT + (u > 0.9810118431238462)::INT + (u > 0.9963401531726563)::INT + (u > 0.9994058151824183)::INT AS w FROM d),
+m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY b)
+SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""")
 def bootstrap_interval(t: Tables) -> DataFrame:
     return R.bootstrap(t.customer, "c_acctbal", "c_custkey", resamples=50).select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 

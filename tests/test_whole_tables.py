@@ -8,7 +8,7 @@ from lodestone.plans import registry
 from tests.test_registry import FOLDER, TABLES, same
 
 LARGER = FOLDER.replace("sf0.001", "sf0.01")
-WHOLE = ["graph_three_hops_all", "graph_bounded_paths_all", "graph_bfs_all", "graph_shortest_lengths_all", "graph_derived_edges_all", "novel_pairs_all", "wrong_class_pairs_all", "crosswalk_translate_all"]
+WHOLE = ["graph_three_hops", "graph_bounded_paths", "graph_bfs", "graph_shortest_lengths", "graph_derived_edges", "novel_pairs", "wrong_class_pairs", "crosswalk_translate"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -67,7 +67,7 @@ def test_components_of_every_line(spark):
     for a, b in pairs:
         a, b = sorted((top(a), top(b)))
         root[b] = a
-    got = {r["node"]: r["component"] for r in registry.queries()["graph_components_all"](spark, FOLDER).collect()}
+    got = {r["node"]: r["component"] for r in registry.queries()["graph_components"](spark, FOLDER).collect()}
     assert got == {n: top(n) for n in root if top(n) != n}
     sizes = {r["component"]: r["size"] for r in registry.queries()["graph_component_split"](spark, FOLDER).collect()}
     assert sizes == {c: list(got.values()).count(c) for c in set(got.values())}
