@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -83,6 +86,101 @@ class Labels:
         return out.where(F.col(column).isNotNull()) if drop_unknown else out
 
 
+@dataclass
+class Methods:
+    """Named methods of matching with how sure each is; later names may be added, none changed."""
+
+    table: dict[str, float] = field(default_factory=dict)
+
+    def register(self, name: str, confidence: float) -> None:
+        if not 0 <= confidence <= 1:
+            raise ValueError("confidence must be from 0 to 1")
+        if self.table.get(name, confidence) != confidence:
+            raise ValueError(f"{name} has {self.table[name]} already")
+        self.table[name] = confidence
+
+    def confidence(self, method: Column) -> Column:
+        """The confidence of a method's name; null for unknown ones and null."""
+        if not self.table:
+            return F.lit(None).cast("double")
+        return F.create_map(*[F.lit(x) for pair in sorted(self.table.items()) for x in pair])[method]
+
+
+@dataclass
+class Alerts:
+    """Callbacks by event; watch() tells them of a stream's progress and end."""
+
+    calls: dict[str, list[Callable[[dict], None]]] = field(default_factory=dict)
+
+    def register(self, event: str, call: Callable[[dict], None]) -> None:
+        self.calls.setdefault(event, []).append(call)
+
+    def tell(self, event: str, details: dict) -> int:
+        """Calls all callbacks of an event, in order; one that fails doesn't keep the others from being called. Returns how many failed."""
+        failed = 0
+        for call in self.calls.get(event, []):
+            try:
+                call(details)
+            except Exception:
+                failed += 1
+        return failed
+
+    def watch(self, spark: SparkSession) -> StreamingQueryListener:
+        """Events progress (id, batch, rows) and terminated (id, error) of the session's streams; remove the listener to end it."""
+        alerts = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event) -> None:
+                alerts.tell("started", {"id": str(event.id)})
+
+            def onQueryProgress(self, event) -> None:
+                p = event.progress
+                alerts.tell("progress", {"id": str(p.id), "batch": p.batchId, "rows": p.numInputRows})
+
+            def onQueryIdle(self, event) -> None:
+                pass
+
+            def onQueryTerminated(self, event) -> None:
+                alerts.tell("terminated", {"id": str(event.id), "error": event.exception})
+
+        listener = Listener()
+        spark.streams.addListener(listener)
+        return listener
+
+
+@dataclass
+class Loaders:
+    """Sources by name: how to read one, and how its rows become nodes and edges."""
+
+    table: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[DataFrame], tuple[DataFrame, DataFrame]]]] = field(default_factory=dict)
+
+    def register(self, name: str, read: Callable[[SparkSession, str], DataFrame], to_graph: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> None:
+        if name in self.table:
+            raise ValueError(f"loader {name} is there already")
+        self.table[name] = read, to_graph
+
+    def load(self, spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the named sources together; an unknown name raises KeyError."""
+        graphs = [self.table[name][1](self.table[name][0](spark, path)) for name, path in sorted(paths.items())]
+        return reduce(DataFrame.unionByName, [n for n, _ in graphs]), reduce(DataFrame.unionByName, [e for _, e in graphs])
+
+
+def converted(df: DataFrame, column: str, out: str, convert: Callable[[str], str | None]) -> DataFrame:
+    """df with out filled, where it is null, by a converter of column's strings that is called on the executors; what fails or gives None stays null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else convert(v)
+            except Exception:
+                return None
+
+        return values.map(one)
+
+    return df.withColumn(out, F.when(F.col(out).isNotNull(), F.col(out)).otherwise(run(F.when(F.col(out).isNull(), F.col(column)))))
+
+
 #: Logical operators that change something.
 _WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "Drop", "Delete", "Update", "Merge", "Append", "Overwrite", "Set", "Cache", "Refresh", "Alter", "Truncate")
 

@@ -91,6 +91,21 @@ def bfs(edges: DataFrame, starts: DataFrame, *, max_depth: int = 2) -> DataFrame
     return seen
 
 
+def explored(edges: DataFrame, starts: DataFrame, *, max_depth: int = 2) -> DataFrame:
+    """edges that a walk of up to max_depth steps along their direction from starts(label, id) goes over, each once with the step that first does.
+
+    A start that no edge leaves gives nothing.
+    """
+    front, found = starts.select("label", "id").distinct(), None
+    keys = ["src_label", "src_id", "rel", "dst_label", "dst_id"]
+    for depth in range(1, max_depth + 1):
+        own = edges.join(front.select(F.col("label").alias("src_label"), F.col("id").alias("src_id")), ["src_label", "src_id"], "left_semi").dropDuplicates(keys)
+        own = own.select(*edges.columns).withColumn("depth", F.lit(depth))
+        found = own if found is None else found.unionByName(own.join(found.select(*keys), keys, "left_anti").select(*found.columns))
+        front = own.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id")).distinct()
+    return found
+
+
 def shortest_lengths(edges: DataFrame, starts: DataFrame, goals: DataFrame, *, max_depth: int = 5) -> DataFrame:
     """(node, depth) of the goals(node) reached from starts within max_depth steps."""
     return bfs(edges, starts, max_depth=max_depth).join(goals.select("node").distinct(), "node", "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import graph_queries, more_queries, scalar_queries, table_queries
+from lodestone.plans import graph_queries, more_queries, scalar_queries, store_queries, table_queries
 
-_PARTS = (scalar_queries.registry, table_queries.registry, graph_queries.registry, more_queries.registry)
+_PARTS = (scalar_queries.registry, table_queries.registry, graph_queries.registry, more_queries.registry, store_queries.registry)
 
 
 def queries() -> dict:

@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lodestone.functions.scalars import NULL_TOKENS
 
 
-def typed_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, sep: str = ",", header: bool = True, null_tokens: Sequence[str] = NULL_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected lines) of a delimited file, gz included; a BOM and placeholder strings are dropped. Fields don't hold line ends."""
+def typed_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, sep: str = ",", header: bool = True, multi_line: bool = False, null_tokens: Sequence[str] = NULL_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected records) of delimited files, gz included; a BOM and placeholder strings, in fields of any type, become null.
+
+    Every file's header line is dropped. Quotes inside quoted fields are doubled.
+    With multi_line fields may hold line ends, and a file is read by one task;
+    without it such records are rejected. A record is rejected that has other
+    than the schema's number of fields or a field that isn't of its type.
+    """
     schema = _parsed(spark, schema)
-    value = F.regexp_replace("value", "^\ufeff", "")
-    lines = spark.read.text(path).select(value.alias("value")).where("value <> ''")
-    if header and (first := lines.first()) is not None:
-        lines = lines.where(F.col("value") != first["value"])
-    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _corrupt string"
-    row = F.from_csv("value", wide, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    raw = lines.select(row.alias("r")).select("r.*")
-    good = raw.where("_corrupt is null").drop("_corrupt")
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            good = good.withColumn(f.name, F.when(~F.lower(F.trim(F.col(f.name))).isin(*null_tokens), F.col(f.name)))
-    return good, raw.where("_corrupt is not null").select("_corrupt")
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_corrupt", T.StringType())])
+    how = {"sep": sep, "header": header, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "encoding": "UTF-8"}
+    raw = spark.read.options(**how).schema(texts).csv(path)
+    first = schema.names[0]
+    raw = raw.withColumn(first, F.regexp_replace(f"`{first}`", "^\ufeff", ""))
+    plain = raw.withColumns({n: F.when(~F.lower(F.trim(F.col(f"`{n}`"))).isin(*null_tokens), F.col(f"`{n}`")) for n in schema.names})
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    wrong = F.lit(False)
+    for name, value in typed.items():
+        wrong = wrong | (F.col(f"`{name}`").isNotNull() & value.isNull())
+    marked = plain.withColumn("_wrong", F.col("_corrupt").isNotNull() | wrong)
+    record = F.coalesce("_corrupt", F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in schema.names]))
+    return marked.where(~F.col("_wrong")).select(*[v.alias(n) for n, v in typed.items()]), marked.where("_wrong").select(record.alias("_corrupt"))
 
 
 def _parsed(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
@@ -58,7 +65,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("_corrupt")
 
 
+def children(df: DataFrame, key: str, nested: str) -> DataFrame:
+    """A row for each element of a column of structs, with its record's key and its place from 0; records without one give none."""
+    return df.select(key, F.posexplode(nested).alias("place", "_child")).select(key, "place", "_child.*")
+
+
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    """A row for each element row_tag of XML files, which are split between tasks; nested elements by a schema of structs and arrays, missing ones null."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
