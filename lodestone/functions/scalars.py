@@ -170,6 +170,7 @@ def evidence_class(fdr: Column, value: Column, *, strong: float, moderate: float
 
 
 def safety_tier(weighted: Column, count: Column, withdrawn: Column) -> Column:
+    """The tier of a weighted count of adverse reports; a withdrawn thing has the gravest."""
     return F.when(withdrawn, "red").when((weighted <= 5) & (count <= 3), "green").when((weighted <= 20) & (count <= 10), "yellow").otherwise("red")
 
 
@@ -196,6 +197,7 @@ def piecewise(c: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def unmet_need(rarity: Column, treatments: Column, scale: float) -> Column:
+    """0 to 1: the rarer and the less treated, the more."""
     return F.lit(0.6) * rarity + F.lit(0.4) * F.exp(-treatments / scale)
 
 

@@ -55,6 +55,7 @@ def best_pairs(df: DataFrame, a: str, b: str, score: str, ties: Sequence[Column]
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """The row of each key with the highest sequence number, which is unique in a key; rows with a null key stay."""
     return best_per_key(df, keys, [F.col(sequence).desc()])
 
 
@@ -71,4 +72,5 @@ def mixed_versions(df: DataFrame, key: str, prefix: int) -> DataFrame:
 
 
 def duplicate_values(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of the values that come more than once; nulls aren't values."""
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).where("n > 1")

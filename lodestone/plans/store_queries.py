@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import scalars as S
+from lodestone.functions.text import unicode_key
 from lodestone.operators import graph as G, proteins as P, reports as Q, tables as L
 from lodestone.operators.ordered import placed
 from lodestone.plans.base import Registry, Tables
@@ -257,6 +258,11 @@ def paged_items(t: Tables) -> DataFrame:
     return paged.paged(t.nation, "n_nationkey", paged.patient(fetch), "item long", most_pages=10)[0]
 
 
+@registry.add("SELECT doc_id, lower(strip_accents(substr(text, 1, 40))) AS name FROM documents")
+def unicode_names(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", unicode_key(F.substring("text", 1, 40)).alias("name"))
+
+
 @registry.add("SELECT DISTINCT organism, count(*) AS n FROM (SELECT CASE WHEN s_nationkey % 3 = 0 THEN 'Homo sapiens' WHEN s_nationkey % 3 = 1 THEN 'Mus musculus' ELSE 'nation ' || s_nationkey END AS organism FROM supplier) GROUP BY organism")
 def organisms(t: Tables) -> DataFrame:
     raw = F.when(C("s_nationkey") % 3 == 0, " HUMAN ").when(C("s_nationkey") % 3 == 1, "mouse").otherwise(F.concat(F.lit("nation "), "s_nationkey"))

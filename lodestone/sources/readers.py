@@ -92,7 +92,10 @@ def flat_records(spark: SparkSession, path: str, *, end: str = "//\n") -> DataFr
 
 
 def soft_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the sample tables of SOFT files: sample_id, title, id_ref, value. A file is read as a stream of its lines."""
+    """Rows of the sample tables of SOFT files: sample_id, title, id_ref, value. Files are split between samples; a task holds one sample's text.
+
+    Values that aren't numbers are null; samples without a table give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +103,10 @@ def soft_samples(spark: SparkSession, path: str) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 sample = title = None
                 table = head = None
-                for line in text.splitlines():
+                lines = text.splitlines()
+                if lines and lines[0].lstrip().startswith("="):  # what follows a separator
+                    lines[0] = "^SAMPLE" + lines[0]
+                for line in lines:
                     if line.startswith("^SAMPLE"):
                         sample, title = line.partition("=")[2].strip(), None
                     elif line.startswith("!Sample_title"):
@@ -122,7 +128,7 @@ def soft_samples(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sample_id", "title", "id_ref", "value"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, "sample_id string, title string, id_ref string, value double")
+    return spark.read.option("lineSep", "\n^SAMPLE").text(path).mapInArrow(run, "sample_id string, title string, id_ref string, value double")
 
 
 def phenotypes(df: DataFrame, column: str) -> DataFrame:

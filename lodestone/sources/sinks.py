@@ -25,6 +25,7 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, *, by: Sequence[str] = (), files: int | None = None) -> None:
+    """Parquet in folders by the values of `by` (null has its own), in `files` tasks dealt by them; what is there is replaced."""
     df = df.repartition(files, *by) if files and by else df
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)

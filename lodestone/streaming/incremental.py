@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def stream_parquet(spark: SparkSession, folder: str, schema, *, files_per_batch: int = 1) -> DataFrame:
+    """The Parquet files of a folder as a stream, each once, those that come later too."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
@@ -23,6 +24,7 @@ def windowed(events: DataFrame, time: str, keys: Sequence[str], value: str, *, w
 
 
 def sessions(events: DataFrame, time: str, key: str, *, gap: str) -> DataFrame:
+    """(start, end, key, n) of runs of a key's events no further apart than gap; events at one time share theirs, null times have none."""
     out = events.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 

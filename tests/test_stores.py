@@ -196,3 +196,10 @@ def test_beside(spark):
     one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     got = Q.beside(one, spark.createDataFrame([(2, "c", 5), (3, None, 6)], "k int, v string, w int"), "k")
     assert got.columns == ["k", "v", "v_2", "w"] and sorted(map(tuple, got.collect())) == [(1, "a", None, None), (2, "b", "c", 5), (3, None, None, 6)]
+
+
+def test_text_and_censoring(spark):
+    from lodestone.functions import scalars as S, text
+
+    row = spark.createDataFrame([("Ångström ﬁlm", None, ">", 5.0)], "a string, b string, r string, v double").select(text.unicode_key("a").alias("a"), text.unicode_key("b").alias("b"), S.is_censored(F.col("r"), F.col("v")).alias("c"), S.is_censored(F.lit("="), F.col("v")).alias("d")).first()
+    assert tuple(row) == ("angstrom film", None, True, False)
