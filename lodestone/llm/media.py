@@ -296,7 +296,7 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "me
     Columns named as the results are replaced, all others stay.
     """
     rest = [c for c in docs.columns if c not in (text_col, media_col, "n_bytes")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("_text"))
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +312,7 @@ def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "me
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(files, pa.binary()), pa.array([len(x) for x in raw[lo:hi]], pa.int64())], names=[*rest, media_col, "n_bytes"])
                 lo = hi
 
-    schema = frame.drop("_text").withColumn(media_col, F.lit(b"")).withColumn("n_bytes", F.lit(0).cast("long")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn(media_col, F.lit(b"")).withColumn("n_bytes", F.lit(0).cast("long")).schema
     return tk.mapped(frame, run, schema)
 
 

@@ -335,13 +335,16 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     scratch = Scratch(spark, "one-per-group")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null")
-    kept = scratch.write(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.bool_or("kept").alias("_is"), (F.count("*") > 1).alias("_repeated")).where("_is").drop("_is"), "kept")
-    key = F.col(f"`{id_col}`").cast("long")
+    kept = found.groupBy(F.col("doc_id").alias("key")).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("repeated")).where("kept")
+    kept = scratch.write(kept.drop("kept"), "kept")
+    # One column for all of docs', so that theirs may have any names.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
 
     def rows(ids: DataFrame) -> DataFrame:
-        ids = ids.select("_kept")
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key == F.col("_kept"), "left_semi")
+        ids = ids.select("key")
+        return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "key", "left_semi")
 
-    out = rows(kept.where("not _repeated")).unionByName(docs.where(key.isNull()))
-    repeated = kept.where("_repeated")
-    return out if repeated.isEmpty() else out.unionByName(rows(repeated).distinct())
+    out = rows(kept.where("not repeated")).unionByName(own.where("key is null"))
+    repeated = kept.where("repeated")
+    out = out if repeated.isEmpty() else out.unionByName(rows(repeated).distinct())
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

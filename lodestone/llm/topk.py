@@ -199,7 +199,8 @@ def top_k_products(vectors: DataFrame, queries: Column, *, k: int = 20, scale: f
     queries is a condition on rows. Ties go to the smaller id. A query with
     fewer candidates has all of them. Rows with a null id, a null vector or a
     null or non-finite component take no part; vectors only meet vectors of
-    their own dimension; ids are integers; rows that share a query's id don't count for it.
+    their own dimension; ids are integers; rows that share a query's id don't count for it,
+    and rows that repeat an id and a vector count once.
     Other columns are ignored. No queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
@@ -227,4 +228,4 @@ def top_k_products(vectors: DataFrame, queries: Column, *, k: int = 20, scale: f
     units = units.sortWithinPartitions("q_block", F.col("norm").desc()).select("q_block", "dim", "q_ids", "q_data", "floors", "ids", "data")
     found = units.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
