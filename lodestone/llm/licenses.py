@@ -72,6 +72,8 @@ LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 LINE = r"\r\n|\r|\n"
 #: What stands between paragraphs: lines without a letter or digit.
 PARAGRAPH = r"(?:\r\n|\r|\n)(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\r|\n))+"
+#: Words that most texts have: a header is never told by these as long as others are enough.
+COMMON = ("the of and to in is that it for was on are as with this be by at or from have an not you which can has under any all if one will your may do so its a use no but their we they he she his her").split()
 #: What a template is compared to.
 HEADER, FILE = 0, 1
 
@@ -113,14 +115,15 @@ def unknown_idf(n: int) -> float:
 def telling_terms(own: list[tuple[int, str, str]], at_least: float) -> list[str]:
     """Terms of which every wording that is as like a header as at_least has one.
 
-    Of each header terms go, short ones first, as long as what goes is together
-    shorter than at_least: a wording with only these has a smaller cosine.
+    Of each header terms go, common and short ones first, as long as what goes
+    is together shorter than at_least: a wording with only these has a smaller
+    cosine.
     """
     vectors, idf = _vectors(own)
     out = set()
     for (kind, _, _), v in zip(own, vectors, strict=True):
         gone = 0.0
-        for term in sorted(v, key=lambda t: (len(t), idf[t], t)) if kind == HEADER else ():
+        for term in sorted(v, key=lambda t: (t not in COMMON, len(t), idf[t], t)) if kind == HEADER else ():
             if gone + v[term] ** 2 < (at_least - 1e-5) ** 2:
                 gone += v[term] ** 2
             else:
@@ -128,6 +131,42 @@ def telling_terms(own: list[tuple[int, str, str]], at_least: float) -> list[str]
     return sorted(out)
 
 
+def _could_match(wording: Column, own: list[tuple[int, str, str]], at_least: float) -> Column:
+    """Whether a wording's cosine to a header can be at_least.
+
+    Of the wording's vector, a is the length in terms that headers have and b
+    that in terms that no template has; of a header's unit vector, s is the
+    length in the terms that both have. The cosine is s * a / sqrt(a*a + b*b)
+    at most.
+    """
+    vectors, idf = _vectors(own)
+    shapes = [v for (kind, _, _), v in zip(own, vectors, strict=True) if kind == HEADER]
+    table = F.array(*[F.struct(F.array(*[F.lit(t) for t in v]).alias("terms"), F.array(*[F.lit(x * x) for x in v.values()]).alias("squares")) for v in shapes])
+    names = sorted({t for v in shapes for t in v})
+    known, weights = F.array(*[F.lit(t) for t in names]), F.array(*[F.lit(idf[t]) for t in names])
+    every = F.array(*[F.lit(t) for t in sorted(idf)])
+    unknown = unknown_idf(len(own)) ** 2
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def measured(terms: Column) -> Column:
+        return F.struct(terms.alias("terms"), F.array_intersect(terms, known).alias("known"), (F.size(F.array_except(terms, every)) * unknown).alias("b"))
+
+    def weighed(w: Column) -> Column:
+        times = lambda t: 1 + F.log(F.size(F.filter(w["terms"], lambda x: x == t)))
+        a = total(F.transform(w["known"], lambda t: F.pow(times(t) * F.element_at(weights, F.array_position(known, t).cast("int")), F.lit(2.0))))
+        return F.struct(w["known"].alias("known"), a.alias("a"), w["b"].alias("b"))
+
+    def near(w: Column, shape: Column) -> Column:
+        shared = total(F.zip_with(shape["terms"], shape["squares"], lambda t, x: F.when(F.array_contains(w["known"], t), x).otherwise(0.0)))
+        return shared * w["a"] >= (at_least**2 - 1e-5) * (w["a"] + w["b"])
+
+    # What a wording has is found once and bound, not for every term of the table.
+    steps = F.transform(F.transform(F.array(_terms(wording)), measured), weighed)
+    return F.exists(steps, lambda w: (F.size(w["known"]) > 0) & F.exists(table, lambda shape: near(w, shape)))
+
+
 def _any_of(terms: list[str]) -> str:
     """A pattern that finds any of the terms, tried by their first letters."""
     by: dict[str, list[str]] = {}
@@ -148,24 +187,30 @@ def _template_terms(spark: SparkSession, own: list[tuple[int, str, str]]) -> Dat
     return spark.createDataFrame(rows, T.StructType([T.StructField(n, t) for n, t in names]))
 
 
+def wording_id(c: str) -> Column:
+    """128 bits of a wording, which stand for it in shuffles."""
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.col(c), F.lit(1)).alias("b"))
+
+
 def scored_texts(texts: DataFrame, *, at_least: float = 0.7) -> DataFrame:
-    """(kind, wording, license, similarity) of the distinct (kind, wording) that are like a template of that kind; ties go to the first license by name.
+    """(kind, wid, license, similarity) of the distinct (kind, wording, wid) that are like a template of that kind; ties go to the first license by name.
 
     A term weighs (1 + ln of its count) * IDF; terms that no template has, such
-    as names and years, weigh as those of a tenth of the templates. The vectors of the templates are broadcast: they are fixed
-    and small. Null wordings have no terms.
+    as names and years, weigh as those of a tenth of the templates. The vectors
+    of the templates are broadcast: they are fixed and small. Null wordings have
+    no terms.
     """
     own = templates()
     vectors = _template_terms(texts.sparkSession, own)
-    lines = texts.select("kind", "wording").distinct()
-    tf = lines.select("kind", "wording", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("kind", "wording", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    lines = texts.groupBy("kind", "wid").agg(F.first("wording").alias("wording"))
+    tf = lines.select("kind", "wid", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("kind", "wid", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     idf = vectors.select("term", "idf").distinct()
     tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown_idf(len(own))))).drop("idf")
-    norms = tf.groupBy("kind", "wording").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(vectors.select("template", "kind", "license", "term", "weight")), ["kind", "term"]).groupBy("kind", "wording", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    near = dots.join(norms, ["kind", "wording"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= at_least)
-    best = near.groupBy("kind", "wording").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"))
-    return best.select("kind", "wording", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
+    norms = tf.groupBy("kind", "wid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = tf.join(F.broadcast(vectors.select("template", "kind", "license", "term", "weight")), ["kind", "term"]).groupBy("kind", "wid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, ["kind", "wid"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= at_least)
+    best = near.groupBy("kind", "wid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"))
+    return best.select("kind", "wid", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
 
 
 def folder_of(path: Column) -> Column:
@@ -177,8 +222,9 @@ def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
 
     Of every row, each line and each paragraph (between blank lines) of the
     whole text is compared to the header templates; a row whose path names a
-    licence file is compared to the full texts as a whole too. Only wordings
-    that hold a telling term are scored: others can't be like enough.
+    licence file is compared to the full texts as a whole too. Only wordings are
+    scored that share enough of a header's terms for its cosine to be reached:
+    no other can be like enough, so nothing is lost.
     license is the likeliest (a full text first, then similarity, then name);
     licenses has all, sorted.
     found is 'own', or 'inherited' where the nearest directory at or above the
@@ -198,10 +244,11 @@ def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
     hopeful = own.where(F.lower("text").rlike(_any_of(telling_terms(templates(), at_least))))
     wordings = F.array_union(F.split("text", LINE), F.split("text", PARAGRAPH))
     headers = hopeful.select("key", "path", "is_file", F.lit(HEADER).alias("kind"), F.explode(F.transform(wordings, lambda w: F.trim(w))).alias("wording")).where(telling)
+    headers = headers.where(_could_match(F.col("wording"), templates(), at_least))
     files = own.where("is_file").select("key", "path", "is_file", F.lit(FILE).alias("kind"), F.col("text").alias("wording"))
-    claims = scratch.write(headers.unionByName(files).distinct(), "claims")
+    claims = scratch.write(headers.unionByName(files).withColumn("wid", wording_id("wording")), "claims")
     scored = scratch.write(scored_texts(claims, at_least=at_least), "scored")
-    claims = claims.join(scored, ["kind", "wording"])
+    claims = claims.drop("wording").join(scored, ["kind", "wid"])
     best = claims.groupBy("key").agg(F.min(F.struct((-F.col("kind")).alias("k"), (-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"), F.sort_array(F.collect_set("license")).alias("own_licenses"), F.first("path").alias("file_path"), F.first("is_file").alias("is_file"))
     best = scratch.write(best.select("key", F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_similarity"), "own_licenses", "file_path", "is_file"), "best")
     held = best.where("is_file").groupBy(folder_of(F.col("file_path")).alias("above")).agg(F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("license"))).alias("b"))
