@@ -3,8 +3,8 @@
 Two views of a document, each a naive Bayes classifier: its text content (byte
 trigrams, and how it repeats, shouts and breaks lines) and its page metadata
 (language, source, the length on record), which reads nothing of the text. In
-each round both views score every document that has no label; what one view is
-sure of is a pseudo-label for the other, whose counts then hold all of them. So
+each round both views score every document; what one view is sure of is a
+pseudo-label for the other, whose counts then hold all of them. So
 a round is one pass over the corpus that brings back counts of a fixed size.
 At the end a logistic regression on labels that trained neither view calibrates
 the two and combines them.
@@ -176,7 +176,7 @@ def _meta(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 def counted(batches: Iterator[pa.RecordBatch], views: Views | None, sure: float) -> Counts:
     """Counts of rows (label, text, lang, source, size). Without views, of the labelled rows for both views;
-    with views, of the rows without a label that a view is sure of, for the other view."""
+    with views, of the rows that a view is sure of, whatever their labels, for the other view."""
     c = Counts.none()
     for batch in batches:
         label, meta = batch.column(0).to_numpy(zero_copy_only=False), _meta(batch, 2)
@@ -259,9 +259,9 @@ def train_quality(
     Of each label at most `most_labelled` documents, the first by a hash of id
     and text, are used as labelled: three of four train, the fourth calibrates,
     with each label weighing as among all labelled documents. All documents
-    without a label take part in every round.
+    take part in every round, those with a label too, as if they had none.
 
-    Rows with a null id count as unlabelled. Of an id's labels the highest
+    Rows with a null id have no label. Of an id's labels the highest
     holds; nulls and other values are no labels. Rows that repeat an id and a
     text count each. Without labels every score is 0.5, with labels of one kind
     only every document gets that one. Empty docs are fine. Other columns are
@@ -285,7 +285,7 @@ def train_quality(
     columns = ["label", "text", "lang", "source", "size"]
     known = base.withColumn("mark", mark).join(F.broadcast(drawn), "mark").withColumn("label", F.col("label").cast("long"))
     known = scratch.write(known.select("train", *columns), "known")
-    rest = base.join(labels.select("id"), "id", "left_anti").withColumn("label", F.lit(-1).cast("long")).select(*columns)
+    everything = base.withColumn("label", F.lit(-1).cast("long")).select(*columns)
     share = totals[1] / (totals[0] + totals[1])
     own = _counts(known.where("train").select(*columns), None, sure)
     held = known.where("not train").select(*columns)
@@ -298,7 +298,7 @@ def train_quality(
         views.text_scale, views.meta_scale = (tuple(logistic(z[:, None], y, weight)) for z in (text, page))
         if turn == rounds:
             break
-        counts = _added(own, _counts(rest, views, sure))
+        counts = _added(own, _counts(everything, views, sure))
         views = Views.of(counts, share)
     scratch.drop()
     return QualityModel(views, tuple(logistic(np.stack([text, page], 1), y, weight)))
