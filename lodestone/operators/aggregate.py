@@ -146,7 +146,7 @@ def quality_score(df: DataFrame, fields: Sequence[str], key: str, valid: Column)
 def shares(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share of all rows) of each value, null being one."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def gates(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:

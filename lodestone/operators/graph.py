@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from lodestone.operators.ordered import placed
 from lodestone.shared import Scratch
 
 END = ("src_label", "src_id", "dst_label", "dst_id")
@@ -173,9 +174,10 @@ def node_disjoint_edges(edges: DataFrame, split: Column, split_dst: Column) -> D
 def component_split(components: DataFrame, *, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """(component, size, split): whole components, largest first, by the share of nodes before them; ties by the smallest node."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    order = W.orderBy(F.col("size").desc(), "component").rowsBetween(W.unboundedPreceding, W.currentRow)
-    share = (F.sum("size").over(order) - F.col("size")) / F.sum("size").over(W.partitionBy())
-    return sizes.withColumn("split", F.when(share < train, "train").when(share < train + val, "val").otherwise("test"))
+    own = placed(sizes, [F.col("size").desc(), F.col("component")], sums={"size": "before"})
+    own = own.join(F.broadcast(own.agg(F.sum("size").alias("total"))))
+    share = F.col("before") / F.col("total")
+    return own.select("component", "size", F.when(share < train, "train").when(share < train + val, "val").otherwise("test").alias("split"))
 
 
 def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, per_left: int) -> DataFrame:
