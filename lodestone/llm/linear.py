@@ -27,23 +27,30 @@ def row_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Intercept and weights (0 or more) of a logistic regression of labels y on columns of scores, by Newton's method with smoothed targets."""
+    """Intercept and weights (0 or more) of a logistic regression of labels y on columns of scores, by Newton's method with smoothed targets.
+
+    A column that would get a weight below 0 is left out, the worst one first.
+    """
     pos, neg = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     weight = weight * len(y) / weight.sum()
-    scale = np.maximum(np.abs(x).mean(0), 1e-9)
-    x = np.concatenate([np.ones((len(x), 1)), x / scale], 1)
-    w = np.zeros(x.shape[1])
-    free = np.ones(len(w), bool)
-    for _ in range(rounds):
-        p = sigmoid(x @ w)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        g = x.T @ (weight * (p - t)) + ridge * np.where(np.arange(len(w)) > 0, w, 0)
-        free[1:] = (w[1:] > 0) | (g[1:] < 0)
-        step = np.zeros(len(w))
-        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
-        w -= np.clip(step, -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-8:
+    middle = x.mean(0)
+    spread = np.maximum(x.std(0), 1e-3 * np.abs(middle) + 1e-9)
+    own = (x - middle) / spread
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.concatenate([np.ones((len(x), 1)), own[:, used]], 1)
+        w, pull = np.zeros(z.shape[1]), ridge * (np.arange(z.shape[1]) > 0)
+        for _ in range(rounds):
+            p = sigmoid(z @ w)
+            h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+            step = np.linalg.solve(h, z.T @ (weight * (p - t)) + pull * w)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not used or w[1:].min() >= 0:
             break
-    return np.concatenate([w[:1], w[1:] / scale])
+        used.pop(int(w[1:].argmin()))
+    out = np.zeros(x.shape[1])
+    out[used] = w[1:] / spread[used]
+    return np.concatenate([[w[0] - (out * middle).sum()], out])

@@ -6,8 +6,8 @@ trigrams, and how it repeats, shouts and breaks lines) and its page metadata
 each round both views score every document; what one view is sure of is a
 pseudo-label for the other, whose counts then hold all of them. So
 a round is one pass over the corpus that brings back counts of a fixed size.
-At the end a logistic regression on labels that trained neither view calibrates
-the two and combines them.
+At the end a logistic regression on labels, each held against views that it
+didn't train, calibrates the two and combines them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ BITS = 15
 NAMES = 64  # hashed classes of languages and of sources each
 SIZES = 40  # classes of a length, in half powers of 2
 BINS = 24  # classes of a layout figure
+FOLDS = 4  # parts of the labelled documents, each of which calibrates once
 
 _UPPER, _MARK, _DIGIT, _SPACE, _LINE = (np.zeros(256, np.float32) for _ in range(5))
 _UPPER[0x41:0x5B] = 1
@@ -222,8 +223,8 @@ def _counts(rows: DataFrame, views: Views | None, sure: float) -> Counts:
     return out
 
 
-def _added(a: Counts, b: Counts) -> Counts:
-    return Counts(*(x + y for x, y in zip(a.arrays(), b.arrays(), strict=True)))
+def _added(*counts: Counts) -> Counts:
+    return Counts(*(sum(x) for x in zip(*(c.arrays() for c in counts), strict=True)))
 
 
 def _odds_of(rows: DataFrame, views: Views) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,8 +258,9 @@ def train_quality(
     """Co-trains both views from labels (id, 0 or 1; 1 is good) and all of docs.
 
     Of each label at most `most_labelled` documents, the first by a hash of id
-    and text, are used as labelled: three of four train, the fourth calibrates,
-    with each label weighing as among all labelled documents. All documents
+    and text, are used as labelled. They train, and calibrate by folds: each fold
+    is held against views that the others trained, with each label weighing as
+    among all labelled documents. All documents
     take part in every round, those with a label too, as if they had none.
 
     Rows with a null id have no label. Of an id's labels the highest
@@ -276,7 +278,7 @@ def train_quality(
     totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     drawn = [marked.where(F.col("label") == v).orderBy(F.xxhash64("mark", F.lit(v)), "id").limit(most_labelled) for v in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1]).select("mark", "label").distinct()
-    drawn = scratch.write(drawn.withColumn("train", F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(4)) > 0), "drawn")
+    drawn = scratch.write(drawn.withColumn("fold", F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(FOLDS)).cast("int")), "drawn")
     if len(totals) < 2:
         value = next(iter(totals), None)
         nothing = Views.of(Counts.none(), 0.5)
@@ -284,22 +286,22 @@ def train_quality(
         return QualityModel(nothing, (nothing.text_scale[0], 0.0, 0.0))
     columns = ["label", "text", "lang", "source", "size"]
     known = base.withColumn("mark", mark).join(F.broadcast(drawn), "mark").withColumn("label", F.col("label").cast("long"))
-    known = scratch.write(known.select("train", *columns), "known")
+    known = scratch.write(known.select("fold", *columns), "known")
     everything = base.withColumn("label", F.lit(-1).cast("long")).select(*columns)
     share = totals[1] / (totals[0] + totals[1])
-    own = _counts(known.where("train").select(*columns), None, sure)
-    held = known.where("not train").select(*columns)
-    if held.groupBy("label").count().count() < 2:
-        held = known.select(*columns)
-    views, counts = Views.of(own, share), own
+    folds = [known.where(F.col("fold") == k).select(*columns) for k in range(FOLDS)]
+    parts = [_counts(fold, None, sure) for fold in folds]
+    given = Counts.none()
     for turn in range(rounds + 1):
-        y, text, page = _odds_of(held, views)
+        views = Views.of(_added(given, *parts), share)
+        # Each fold's labels are held against views that they didn't train.
+        odds = [_odds_of(fold, Views.of(_added(given, *parts[:k], *parts[k + 1 :]), share)) for k, fold in enumerate(folds)]
+        y, text, page = (np.concatenate(x) for x in zip(*odds, strict=True))
         weight = np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))
         views.text_scale, views.meta_scale = (tuple(logistic(z[:, None], y, weight)) for z in (text, page))
         if turn == rounds:
             break
-        counts = _added(own, _counts(everything, views, sure))
-        views = Views.of(counts, share)
+        given = _counts(everything, views, sure)
     scratch.drop()
     return QualityModel(views, tuple(logistic(np.stack([text, page], 1), y, weight)))
 
