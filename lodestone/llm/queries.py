@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm import bpe, chat, licenses, media, mixing, oracles, quality, textkit as tk, toxicity
+from lodestone.llm.divergence import source_divergence
+from lodestone.llm.lexical import rank_documents
 from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.simhash import simhash_components
 from lodestone.llm.suffix_dedup import repeated_strings
 from lodestone.llm.topk import top_k_products
 
@@ -125,8 +128,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_gif_media, op3_exact_topk, op4_toxicity, op5_near_dedup, op6_mixing, op7_chat_format, op8_suffix_dedup, op9_quality, op10_licenses)
+    own = (op1_bpe, op2_gif_media, op3_exact_topk, op4_toxicity, op5_near_dedup, op6_mixing, op7_chat_format, op8_suffix_dedup, op9_quality, op10_licenses, op11_source_divergence, op12_simhash, op13_lexical_search)
     return {f.__name__: f for f in own}
 
 
