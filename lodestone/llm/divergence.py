@@ -77,6 +77,8 @@ def _unit(top: int):
         lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "i", "j"))
         kind = table.column("kind")
         groups, cells, terms = (table.filter(pc.equal(kind, k)) for k in range(3))
+        if not len(groups):  # no source fell into these tiles
+            return pa.table({c: pa.array([], t) for c, t in (("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64()))})
         terms = terms.sort_by("term")  # by bytes, so that a lower place is a lesser item
         groups = groups.sort_by("source")
         names, words = groups.column("source").combine_chunks(), terms.column("term").combine_chunks()
