@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -171,13 +172,77 @@ def node_disjoint_edges(edges: DataFrame, split: Column, split_dst: Column) -> D
     return edges.withColumn("split", split).withColumn("_d", split_dst).where("split = _d").drop("_d")
 
 
-def component_split(components: DataFrame, *, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """(component, size, split): whole components, largest first, by the share of nodes before them; ties by the smallest node."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    own = placed(sizes, [F.col("size").desc(), F.col("component")], sums={"size": "before"})
-    own = own.join(F.broadcast(own.agg(F.sum("size").alias("total"))))
-    share = F.col("before") / F.col("total")
-    return own.select("component", "size", F.when(share < train, "train").when(share < train + val, "val").otherwise("test").alias("split"))
+def _turn_of(i: Column, ahead: dict[str, Column]) -> Column:
+    """Whether the i-th of equal components goes to a split: whether a j from 0 exists at which j plus the turns of the others before the split's j-th is i.
+
+    ahead: for each other split how many of its turns come before the split's
+    first one, less than 0 if it starts that many later.
+    """
+    (x, y) = ahead.values()
+    tries = [i, F.floor((i - x) / 2), F.floor((i - y) / 2), F.floor((i - x - y) / 3)]
+
+    def fits(j: Column) -> Column:
+        return (j >= 0) & (j + F.greatest(F.lit(0), x + j) + F.greatest(F.lit(0), y + j) == i)
+
+    out = fits(tries[0])
+    for j in tries[1:]:
+        out = out | fits(j)
+    return out
+
+
+def component_split(components: DataFrame, *, size: str | None = None, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """(component, size, split): whole components, largest first, ties by their name, each to the split that is furthest below its target.
+
+    components has a row for each member in `component`, or with `size` a row
+    for each component. Targets are the whole parts of train and val of all
+    members and the rest for test; equal shortfalls go to train, then val, then
+    test. Empty input gives no rows; null components are left out.
+
+    What a split lacks changes by one size while components are of one size, so
+    that the turns of the splits follow from what they lack at its start: the
+    loop runs over distinct sizes, of which n members have at most sqrt(2n), and
+    components find their split by their place among those of their size.
+    """
+    own = components.where("component is not null")
+    sizes = own.groupBy("component").agg(F.count("*").alias("size")) if size is None else own.select("component", F.col(size).cast("long").alias("size"))
+    scratch = Scratch(components.sparkSession, "split")
+    sizes = scratch.write(sizes, "sizes")
+    runs = sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    total = sum(r["size"] * r["n"] for r in runs)
+    lack = [int(total * train), int(total * val)]
+    lack.append(total - sum(lack))
+    rows, first = [], 0
+    for r in runs:
+        rows.append((r["size"], first, *lack))
+        left = r["n"]
+        lack = _dealt(lack, r["size"], left)
+        first += left
+    starts = scratch.spark.createDataFrame(rows, "size long, first long, train long, val long, test long")
+    own = placed(sizes, [F.col("size").desc(), F.col("component")]).join(starts, "size").withColumn("i", F.col("position") - F.col("first"))
+    names = ["train", "val", "test"]
+
+    def ahead(name: str) -> dict[str, Column]:
+        out = {}
+        for other in names:
+            if other != name:
+                more = F.col(other) - F.col(name)
+                before = names.index(other) < names.index(name)
+                out[other] = F.floor(more / F.col("size")) + 1 if before else F.ceil(more / F.col("size"))
+        return out
+
+    split = F.when(_turn_of(F.col("i"), ahead("train")), "train").when(_turn_of(F.col("i"), ahead("val")), "val").otherwise("test")
+    return own.select("component", "size", split.alias("split"))
+
+
+def _dealt(lack: list[int], size: int, n: int) -> list[int]:
+    """What three splits lack after n components of a size, each given to the one that lacks most, the first of equals."""
+
+    def turn(k: int, j: int) -> int:
+        """How many turns come before a split's j-th."""
+        more = [lack[m] - lack[k] for m in range(3)]
+        return j + sum(max(0, j + (more[m] // size + 1 if m < k else -(-more[m] // size))) for m in range(3) if m != k)
+
+    return [x - size * bisect_left(range(n), n, key=lambda j, k=k: turn(k, j)) for k, x in enumerate(lack)]
 
 
 def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, per_left: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.operators import identity as I
+from lodestone.operators import graph as G, identity as I
+from lodestone.operators.components import connected_components
 from lodestone.plans.base import Registry, Tables
 
 registry = Registry()
@@ -162,3 +163,36 @@ def kg_identity_rejects(t: Tables) -> DataFrame:
 @registry.add(f"{_CLUSTERS} SELECT system, value, count(*) AS n, min(canonical_id) AS first_id, max(canonical_id) AS last_id FROM (SELECT DISTINCT * FROM claims) JOIN entities USING (record) GROUP BY system, value HAVING min(canonical_id) <> max(canonical_id)")
 def kg_identity_conflicts(t: Tables) -> DataFrame:
     return _identities(t)[2]
+
+
+# -- splits of whole components --------------------------------------------------
+
+
+@registry.add("""
+WITH RECURSIVE c AS (SELECT o_custkey AS component, count(*) + 1 AS size FROM orders GROUP BY o_custkey),
+p AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS i FROM c),
+target AS (SELECT CAST(floor(sum(size) * 0.8::DOUBLE) AS BIGINT) AS a, CAST(floor(sum(size) * 0.1::DOUBLE) AS BIGINT) AS b, sum(size)::BIGINT AS n FROM c),
+turn AS (
+  SELECT 0::BIGINT AS i, a, b, n - a - b AS c, '' AS split FROM target
+  UNION ALL
+  SELECT t.i + 1, a - CASE WHEN w = 'train' THEN size ELSE 0 END, b - CASE WHEN w = 'val' THEN size ELSE 0 END, c - CASE WHEN w = 'test' THEN size ELSE 0 END, w
+  FROM (SELECT turn.*, p.size, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END AS w FROM turn JOIN p ON p.i = turn.i + 1) t
+)
+SELECT component, size, split FROM turn JOIN p USING (i)""")
+def component_split_by_need(t: Tables) -> DataFrame:
+    """Customers with their orders: as many components as customers who ordered."""
+    pairs = t.orders.select(C("o_custkey").alias("a"), (C("o_orderkey") + 1_000_000_000_000).alias("b"))
+    found = connected_components(pairs)
+    return G.component_split(found.unionByName(found.select(C("component").alias("node"), "component").distinct()))
+
+
+_CHAINS = """
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_custkey % 3 > 0),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM reach r JOIN s ON s.a = r.other),
+"""
+
+
+@registry.add(f"{_CHAINS} c AS (SELECT node, min(other) AS component FROM reach GROUP BY node) SELECT node, component FROM c WHERE node <> component")
+def components_of_chains(t: Tables) -> DataFrame:
+    return connected_components(t.orders.where("o_custkey % 3 > 0").select(C("o_orderkey").alias("a"), (C("o_orderkey") + 1).alias("b")))
