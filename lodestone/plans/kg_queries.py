@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.operators import graph as G, identity as I
 from lodestone.operators.components import connected_components
 from lodestone.plans.base import Registry, Tables
+from lodestone.shared import Scratch
+from lodestone.streaming.committed import Committed, pairs_sink, run_batches
+from lodestone.streaming.resolver import ResolverState
 
 registry = Registry()
 C = F.col
@@ -196,3 +199,56 @@ reach AS (SELECT DISTINCT a AS node, a AS other FROM s UNION SELECT r.node, s.b
 @registry.add(f"{_CHAINS} c AS (SELECT node, min(other) AS component FROM reach GROUP BY node) SELECT node, component FROM c WHERE node <> component")
 def components_of_chains(t: Tables) -> DataFrame:
     return connected_components(t.orders.where("o_custkey % 3 > 0").select(C("o_orderkey").alias("a"), (C("o_orderkey") + 1).alias("b")))
+
+
+# -- state kept between runs, sinks that write once ----------------------------
+
+
+def _records(t: Tables) -> DataFrame:
+    k = C("o_orderkey")
+    key = F.when(k % 3 > 0, F.concat(F.lit("C"), C("o_custkey").cast("string")))
+    name = F.when(k % 7 > 0, F.concat(F.lit("name "), F.when(k % 11 == 0, F.floor(C("o_custkey") / 2)).otherwise(C("o_custkey") * 10).cast("string")))
+    return t.orders.select(key.alias("key"), name.alias("name"), C("o_orderpriority").alias("source"), (k % 4).alias("rank"), F.when(k % 5 > 0, C("o_orderstatus")).alias("status"), F.when(k % 2 > 0, C("o_totalprice")).alias("price"), (k % 3).alias("load"))
+
+
+_STATE = """
+r AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN 'C' || o_custkey END AS key, CASE WHEN o_orderkey % 7 > 0 THEN 'name ' || CASE WHEN o_orderkey % 11 = 0 THEN CAST(floor(o_custkey / 2) AS BIGINT) ELSE o_custkey * 10 END END AS name,
+             o_orderpriority AS source, o_orderkey % 4 AS rank, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 2 > 0 THEN o_totalprice END AS price FROM orders),
+i AS (SELECT name, min(key) AS low, max(key) AS high FROM r WHERE key IS NOT NULL AND name IS NOT NULL GROUP BY name),
+x AS (SELECT r.*, CASE WHEN r.key IS NOT NULL THEN r.key WHEN low = high THEN low END AS k, low, high FROM r LEFT JOIN i USING (name))
+"""
+
+
+def _state(t: Tables):
+    """A stream of three batches through a state in the shared folder, started again after the first two."""
+    folder = Scratch(t.spark, "resolver").folder("run")
+    records = _records(t)
+    state = ResolverState(t.spark, f"{folder}/state", {"status": "string", "price": "double"}, merge_after=2)
+    for load in range(3):
+        records.where(C("load") == load).drop("load").write.mode("append").parquet(f"{folder}/records")
+        if load:
+            stream = t.spark.readStream.schema(records.drop("load").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/records")
+            run_batches(stream, state.apply, f"{folder}/checkpoint")
+    return state
+
+
+@registry.add(f"WITH {_STATE} SELECT k AS key, arg_min(status, (rank, status)) FILTER (status IS NOT NULL) AS status, arg_min(price, (rank, price)) FILTER (price IS NOT NULL) AS price, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, count(*) AS n FROM x WHERE k IS NOT NULL GROUP BY k")
+def resolver_state(t: Tables) -> DataFrame:
+    return _state(t).entries()
+
+
+@registry.add(f"WITH {_STATE} SELECT name, CASE WHEN name IS NULL THEN 'no name' WHEN low IS NULL THEN 'unknown name' ELSE 'several keys' END AS reason, count(*) AS n FROM x WHERE k IS NULL GROUP BY ALL")
+def resolver_unresolved(t: Tables) -> DataFrame:
+    return _state(t).unresolved()
+
+
+@registry.add("SELECT s_suppkey, n_nationkey, round(s_acctbal * (n_regionkey + 1), 2) AS score FROM supplier CROSS JOIN nation WHERE s_nationkey <> n_nationkey")
+def streamed_pairs(t: Tables) -> DataFrame:
+    folder = Scratch(t.spark, "pairs").folder("run")
+    left = t.supplier.select("s_suppkey", "s_acctbal")
+    left.repartition(3, "s_suppkey").write.parquet(f"{folder}/left")
+    tables = Committed(t.spark, f"{folder}/out")
+    known = t.supplier.select("s_suppkey", C("s_nationkey").alias("n_nationkey"))
+    sink = pairs_sink(tables, t.nation.select("n_nationkey", "n_regionkey"), lambda p: p.select("s_suppkey", "n_nationkey", F.round(C("s_acctbal") * (C("n_regionkey") + 1), 2).alias("score")), known=known, on=["s_suppkey", "n_nationkey"])
+    run_batches(t.spark.readStream.schema(left.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/left"), sink, f"{folder}/checkpoint")
+    return tables.read("pairs", "s_suppkey bigint, n_nationkey int, score double", format="csv")

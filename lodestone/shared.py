@@ -64,6 +64,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, tag: str) -> str:
+        """A folder for files that others write, dropped with the tables."""
+        self.paths[tag] = f"{self.root}/{tag}"
+        return self.paths[tag]
+
     def drop(self, *tags: str) -> None:
         for tag in tags or list(self.paths):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))

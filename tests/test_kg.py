@@ -88,3 +88,69 @@ def test_compound_mappings_by_hand(spark):
     look = lambda **how: sorted((r.system, r.value or "", r.canonical_id) for r in I.looked_up(ids, aliases, mappings, **how).collect())
     assert look() == [("none", "x", None), ("other", "x", "K1"), ("record_id", "", None), ("record_id", "c", "UNRESOLVED:S:c")]
     assert look(reviewed=True)[3] == ("record_id", "c", None) and look(without=["bad"])[1] == ("other", "x", None)
+
+
+RECORDS = [("K1", "aspirin", "s1", 2, "x"), (None, "aspirin", "s2", 1, "y"), ("K2", "other", "s1", 1, None), (None, "other", "s3", 1, "z"), ("K3", "other", "s1", 1, "q"), (None, "nobody", "s1", 1, "w"), (None, None, "s1", 1, "v"), (None, " ", None, None, "u"), ("K1", None, "s9", 1, None), (" ", "aspirin", "s1", 3, "a")]
+SCHEMA = "key string, name string, source string, rank long, value string"
+
+
+def test_resolver_state_in_any_batches(spark, tmp_path):
+    from lodestone.streaming.resolver import ResolverState
+
+    def run(name, cuts, order, **how):
+        state = ResolverState(spark, f"{tmp_path}/{name}", {"value": "string"}, **how)
+        rows = [RECORDS[i] for i in order]
+        for number, (lo, hi) in enumerate(cuts):
+            batch = clashing(spark.createDataFrame(rows[lo:hi], SCHEMA))
+            state.apply(batch, number)
+            state.apply(batch, number)  # a batch that comes again
+        return sorted(tuple(r) for r in state.entries().collect()), sorted((str(r.name), r.reason, r.n) for r in state.unresolved().collect()), state
+
+    entries, rest, one = run("one", [(0, 10)], range(10))
+    assert entries == [("K1", "y", "s1|s2|s9", 4), ("K2", None, "s1", 1), ("K3", "q", "s1", 1)]
+    assert rest == [("None", "no name", 2), ("nobody", "unknown name", 1), ("other", "several keys", 1)]
+    for cuts, order, how in (([(0, 3), (3, 3), (3, 10)], range(9, -1, -1), {}), ([(i, i + 1) for i in range(10)], [1, 3, 0, 2, 5, 4, 9, 8, 7, 6], {"merge_after": 3})):
+        more, left, state = run(f"many{len(cuts)}", cuts, order, **how)
+        assert (more, left) == (entries, rest)
+    assert len(state.tables.batches("bases")) == 3
+    with pytest.raises(ValueError):
+        one.apply(spark.createDataFrame(RECORDS[:2], SCHEMA), 0)
+    state.snapshot(f"{tmp_path}/snapshot")
+    again = ResolverState.restore(spark, f"{tmp_path}/snapshot", f"{tmp_path}/again", {"value": "string"})
+    assert sorted(tuple(r) for r in again.entries().collect()) == entries
+    again.apply(spark.createDataFrame([("K9", "nobody", "s1", 1, None)], SCHEMA), 0)
+    assert ("K9", "w", "s1", 2) in [tuple(r) for r in again.entries().collect()]
+    state.snapshot(f"{tmp_path}/hidden", hidden=["value"])
+    hidden = ResolverState.restore(spark, f"{tmp_path}/hidden", f"{tmp_path}/masked", {"value": "string"})
+    assert {(r.key, r.value, r.n) for r in hidden.entries().collect()} == {("K1", None, 4), ("K2", None, 1), ("K3", None, 1)}
+    assert not {r.name for r in hidden.unresolved().collect()} & {"nobody", "other"}
+
+
+def test_stream_killed_before_its_commit_writes_once(spark, tmp_path):
+    from lodestone.streaming.committed import Committed, pairs_sink, run_batches
+
+    for i in range(3):
+        spark.createDataFrame([(2 * i,), (2 * i + 1,)], "a long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/left")
+    tables = Committed(spark, f"{tmp_path}/out")
+    right = spark.range(3).withColumnRenamed("id", "b")
+    sink = pairs_sink(tables, right, lambda p: p.withColumn("s", F.col("a") * F.col("b")), known=spark.createDataFrame([(1, 2), (9, 9)], "a long, b long"), on=["a", "b"], format="parquet")
+    stream = lambda: spark.readStream.schema("a long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/left")
+    commit = tables.commit
+
+    def killed(number, *args, **how):
+        if number == 1:
+            raise RuntimeError("killed after the write, before the commit")
+        commit(number, *args, **how)
+
+    tables.commit = killed
+    with pytest.raises(Exception, match="killed"):
+        run_batches(stream(), sink, f"{tmp_path}/checkpoint")
+    assert tables.batches() == [0] and tables.read("pairs", "a long, b long, s long").count() in (5, 6)
+    tables.commit = commit
+    run_batches(stream(), sink, f"{tmp_path}/checkpoint")
+    got = sorted(tuple(r) for r in tables.read("pairs", "a long, b long, s long").collect())
+    assert got == [(a, b, a * b) for a in range(6) for b in range(3) if (a, b) != (1, 2)]
+    query = run_batches(stream(), sink, f"{tmp_path}/checkpoint", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert tables.read("pairs", "a long, b long, s long").count() == 17
