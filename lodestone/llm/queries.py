@@ -114,7 +114,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, _table(spark, sf_dir, "labels").where(~held_out()))
-    scored = quality.score_quality(docs.select("doc_id", "text", "lang", "source"), model)
+    scored = quality.score_quality(docs, model)
     return scored.select("doc_id", "text_score", "meta_score", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 

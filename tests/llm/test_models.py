@@ -4,12 +4,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import licenses, quality, toxicity
+from lodestone.llm import licenses, quality, queries, toxicity
 from lodestone.llm.linear import logistic, sigmoid
+from tests.test_registry import FOLDER
 
 WORDS = ["".join(random.Random(i).choice("bcdfglmnprst") + random.Random(i * 7 + k).choice("aeiou") for k in range(3)) for i in range(400)]
 BAD = ["zorkface", "grumblewit", "snarlpox", "vilehead"]
@@ -86,19 +88,27 @@ def test_quality_counts_by_hand(spark):
     """A round's counts in Spark against plain loops over the rows."""
     rows = [(i, t, lang, source, len(t)) for i, t, lang, source, *_ in texts(120, 8)] + [(500, "", "en", "s1", 0)]
     docs = spark.createDataFrame(rows, "id long, text string, lang string, source string, n_chars long").repartition(3)
-    base = docs.select(F.when(F.col("id") < 60, F.col("id") % 2).otherwise(-1).alias("label"), *quality._named(docs, "text", "lang", "source", "n_chars"))
-    local = [(r["label"], r["text"], [r["lang"], r["source"], int(quality.size_class(np.array([r["size"]]))[0])]) for r in base.collect()]
+    base = docs.select((F.col("id") % 3).alias("fold"), F.when(F.col("id") < 60, F.col("id") % 2).otherwise(-1).cast("long").alias("label"), *quality._named(docs, "text", "lang", "source", "n_chars"))
+    rows = base.collect()
+    columns = [pa.array([float(r[c]) if c == "size" else r[c] for r in rows]) for c in ("lang", "source", "size")]
+    meta = quality._meta(pa.RecordBatch.from_arrays(columns, names=["lang", "source", "size"]), 0).tolist()
+    assert all(m[:2] == [r["lang"], r["source"]] and m[2] == int(quality.size_class(np.array([r["size"]]))[0]) for m, r in zip(meta, rows, strict=True))
+    assert len({tuple(m[3:]) for m in meta}) == len({tuple(m[:3]) for m in meta})
+    local = [(r["fold"], r["label"], r["text"], m) for r, m in zip(rows, meta, strict=True)]
 
     def features(text):
         raw = np.frombuffer(text.encode(), np.uint8)
         ends = np.array([0, len(raw)])
         return quality.trigrams(raw, ends), quality.layout_classes(quality.layout(raw, ends))[0]
 
-    def plain(pick):
+    def plain(pick, fold):
         c = quality.Counts.none()
-        for label, text, meta in local:
+        for own, label, text, meta in local:
+            if own != fold:
+                continue
             grams, classes = features(text)
             for_text, for_meta = pick(label, grams, classes, meta)
+            c.docs += [[for_text == 0, for_text == 1], [for_meta == 0, for_meta == 1]]
             if for_text >= 0:
                 for g in grams:
                     c.grams[for_text, g] += 1 / len(grams)
@@ -112,21 +122,49 @@ def test_quality_counts_by_hand(spark):
     def close(a, b):
         assert all(np.allclose(x, y) for x, y in zip(a.arrays(), b.arrays(), strict=True))
 
-    known = base.where("label >= 0")
-    own = quality._counts(known, None, 0.97)
-    close(own, plain(lambda label, *_: (label, label)))
-    views = quality.Views.of(own, 0.5)
+    parts = quality._counts(base.where("label >= 0"))
+    for fold in range(3):
+        close(parts[fold], plain(lambda label, *_: (label, label), fold))
+    views = quality.Views.of(quality._added(*parts.values()), 0.5)
     views.text_scale = views.meta_scale = (0.1, 0.8)
+    limits = quality.Sure(-0.5, 0.7), quality.Sure(-0.1, 0.2)
 
     def told(label, grams, classes, meta):
         if label >= 0:
             return -1, -1
         text = quality.GRAM_WEIGHT * (np.mean([views.grams[g] for g in grams]) if len(grams) else 0) + sum(views.layout[k, v] for k, v in enumerate(classes))
-        page = sum(views.meta[k, v] for k, v in enumerate(meta))
-        say = lambda z: 1 if sigmoid(0.1 + 0.8 * z) > 0.6 else 0 if sigmoid(0.1 + 0.8 * z) < 0.4 else -1
-        return say(page), say(text)
-
-    close(quality._counts(base.where("label < 0"), views, 0.6), plain(told))
+        page = views.prior + sum(views.meta[k, v] for k, v in enumerate(meta))
+        say = lambda z, own: 1 if 0.1 + 0.8 * z >= own.high else 0 if 0.1 + 0.8 * z <= own.low else -1
+        return say(page, limits[1]), say(text, limits[0])
+
+    found = quality._counts(base.where("label < 0"), views, limits)
+    for fold in range(3):
+        close(found[fold], plain(told, fold))
+
+
+def test_pseudo_labels_and_their_worth():
+    z, weight = np.array([-9.0, -3, -1, 0, 1, 2, 8]), np.ones(7)
+    limits = quality.Sure.of(z, weight, 0.97, 0.1)
+    assert (limits.low, limits.high) == pytest.approx((-np.log(0.97 / 0.03), np.log(0.97 / 0.03)))  # all that is sure, though more than a tenth
+    assert quality.Sure.of(z / 10, weight, 0.97, 0.1) == quality.Sure(-0.9, 0.8)  # nothing is sure: the surest of each kind
+    assert quality.Sure.of(np.zeros(7), weight, 0.97, 0.1).picked(np.zeros(7)).tolist() == [-1] * 7
+    picked, y = np.array([1] * 40 + [0] * 10 + [-1] * 50), np.array([1] * 40 + [0] * 30 + [1] * 30)
+    zero, one = quality.worth(picked, y, np.ones(100))
+    assert zero == pytest.approx(((10 + 0.3) / 11 - 0.3) / 0.7) and one == pytest.approx(((40 + 0.7) / 41 - 0.7) / 0.3)
+    assert quality.worth(1 - picked, y, np.ones(100))[1] == 0.0
+
+
+def test_quality_views_exchange(spark):
+    """Both views give pseudo-labels on the small tables, and the query scores as whole rows do; without a trained column it raises."""
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.train_quality(docs, labels.where(~queries.held_out()))
+    for view in ("text", "metadata"):
+        assert sum(n for v, _, n, _ in model.exchanged if v == view) > 0
+    want = {r["doc_id"]: r["quality_score"] for r in quality.score_quality(docs, model).collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op9_quality(spark, FOLDER).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+    with pytest.raises(ValueError, match="n_chars"):
+        quality.score_quality(docs.drop("n_chars"), model)
 
 
 def test_risks_and_steps_by_hand(spark):
