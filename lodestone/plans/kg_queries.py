@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.operators import graph as G, identity as I
+from lodestone.operators import graph as G, identity as I, matching as M
 from lodestone.operators.components import connected_components
 from lodestone.plans.base import Registry, Tables
 from lodestone.shared import Scratch
@@ -252,3 +252,29 @@ def streamed_pairs(t: Tables) -> DataFrame:
     sink = pairs_sink(tables, t.nation.select("n_nationkey", "n_regionkey"), lambda p: p.select("s_suppkey", "n_nationkey", F.round(C("s_acctbal") * (C("n_regionkey") + 1), 2).alias("score")), known=known, on=["s_suppkey", "n_nationkey"])
     run_batches(t.spark.readStream.schema(left.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/left"), sink, f"{folder}/checkpoint")
     return tables.read("pairs", "s_suppkey bigint, n_nationkey int, score double", format="csv")
+
+
+# -- match methods ----------------------------------------------------------------
+
+
+@registry.add("""
+WITH e AS (SELECT p_partkey AS k, md5(p_name || p_partkey) AS key, 'part ' || md5('' || p_partkey) AS name, 'C' || p_partkey * 7 AS structure FROM part),
+r AS (SELECT p_partkey AS record_id, p_partkey % 9 AS c, p_partkey AS k FROM part)
+SELECT record_id, CASE WHEN c < 7 THEN key END AS match,
+       ['exact', 'block', 'name', 'abbreviation', 'fuzzy', 'structure', 'xref', NULL, NULL][c + 1] AS method,
+       [1.0, 0.9, 0.85, 0.9, 0.7, 0.5, 0.6, 0.0, 0.0][c + 1]::DOUBLE AS confidence, c BETWEEN 3 AND 6 AS needs_review
+FROM r JOIN e USING (k)""")
+def match_methods(t: Tables) -> DataFrame:
+    """A record for each part, by its number to be found by each of the methods, by an abbreviation of two parts, or by none."""
+    p, k = t.part, C("p_partkey")
+    c, text = k % 9, k.cast("string")
+    key = F.md5(F.concat("p_name", text).cast("binary"))
+    name = F.concat(F.lit("part "), F.md5(text.cast("binary")))
+    entities = p.select(key.alias("key"), name.alias("name"), F.concat(F.lit("C"), (k * 7).cast("string")).alias("structure"))
+    r_key = F.when(c == 0, key).when(c == 1, F.concat(F.substring(key, 1, 14), F.lit("zzz")))
+    r_name = F.when(c == 2, name).when(c == 3, F.concat(F.lit("ab"), text)).when(c == 4, F.concat(name, F.lit("x"))).when(c == 6, F.concat(F.lit("known elsewhere "), text)).when(c == 7, F.concat(F.lit("ab"), text)).otherwise(F.concat(F.lit("#"), text))
+    records = p.select(k.alias("id"), r_key.alias("key"), r_name.alias("name"), F.when(c == 5, F.concat(F.lit(" C"), (k * 7).cast("string"))).alias("structure"))
+    short = p.where(c.isin(3, 7)).select(F.concat(F.lit("AB"), text).alias("abbreviation"), F.when(c == 3, F.lit("an older reading")).otherwise(name).alias("name"))
+    more = p.where(c.isin(3, 7)).select(F.concat(F.lit("ab"), text).alias("abbreviation"), name.alias("name")).unionByName(p.where(c == 7).select(F.concat(F.lit("ab"), text).alias("abbreviation"), F.lit("another").alias("name")))
+    xrefs = p.where(c == 6).select(F.concat(F.lit("known elsewhere "), text).alias("name"), key.alias("key"))
+    return M.match_records(records, entities, record_id="id", key="key", name="name", structure="structure", expansions=M.expansions_with(short, more), xrefs=xrefs)
