@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.operators import graph as G, identity as I, matching as M
+from lodestone.operators import graph as G, identity as I, matching as M, paths as P, vectors as V
 from lodestone.operators.components import connected_components
 from lodestone.plans.base import Registry, Tables
 from lodestone.shared import Scratch
+from lodestone.sources.nested import Level, child_tables, interactions, parsed_once
+from lodestone.sources.sinks import replace_partitions
+from lodestone.sources.sql_source import read_sqlite, write_sqlite
 from lodestone.streaming.committed import Committed, pairs_sink, run_batches
 from lodestone.streaming.resolver import ResolverState
 
@@ -278,3 +281,133 @@ def match_methods(t: Tables) -> DataFrame:
     more = p.where(c.isin(3, 7)).select(F.concat(F.lit("ab"), text).alias("abbreviation"), name.alias("name")).unionByName(p.where(c == 7).select(F.concat(F.lit("ab"), text).alias("abbreviation"), F.lit("another").alias("name")))
     xrefs = p.where(c == 6).select(F.concat(F.lit("known elsewhere "), text).alias("name"), key.alias("key"))
     return M.match_records(records, entities, record_id="id", key="key", name="name", structure="structure", expansions=M.expansions_with(short, more), xrefs=xrefs)
+
+
+# -- paths ---------------------------------------------------------------------------
+
+
+def _links(t: Tables) -> DataFrame:
+    k = C("o_orderkey")
+    return t.orders.where("o_custkey % 3 > 0").select(k.alias("a"), (k + 1).alias("b")).unionByName(t.orders.where("o_custkey % 5 = 0").select(k.alias("a"), (k + 3).alias("b"))).unionByName(t.orders.where("o_custkey % 7 = 0").select(k.alias("a"), (k + 4).alias("b")))
+
+
+_LINKS = "e AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_custkey % 3 > 0 UNION SELECT o_orderkey, o_orderkey + 3 FROM orders WHERE o_custkey % 5 = 0 UNION SELECT o_orderkey, o_orderkey + 4 FROM orders WHERE o_custkey % 7 = 0)"
+
+
+@registry.add(f"""
+WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT o_orderkey AS source, o_orderkey + o_orderkey % 8 AS target FROM orders WHERE o_orderkey % 3 = 0),
+p AS (SELECT source, target, [source] AS path FROM w UNION ALL SELECT source, target, list_append(path, s.b) FROM p JOIN s ON s.a = path[-1] WHERE len(path) <= 4 AND path[-1] <> target AND NOT list_contains(path, s.b)),
+f AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS r FROM p WHERE path[-1] = target)
+SELECT source, target, len(path)::INT - 1 AS length, array_to_string(path, '>') AS path FROM f WHERE r = 1""")
+def shortest_path_nodes(t: Tables) -> DataFrame:
+    k = C("o_orderkey")
+    pairs = t.orders.where(k % 3 == 0).select(k.alias("source"), (k + k % 8).alias("target"))
+    return P.shortest_paths(_links(t), pairs, max_depth=4).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@registry.add(f"""
+WITH RECURSIVE {_LINKS}, st AS (SELECT o_orderkey AS n FROM orders WHERE o_custkey % 4 = 0),
+o AS (SELECT n AS start, n AS node, 0 AS d FROM st UNION SELECT start, b, d + 1 FROM o JOIN e ON a = node WHERE d < 3),
+i AS (SELECT n AS start, n AS node, 0 AS d FROM st UNION SELECT start, a, d + 1 FROM i JOIN e ON b = node WHERE d < 3),
+x AS (SELECT start, node, min(d) AS d FROM o GROUP BY ALL), y AS (SELECT start, node, min(d) AS d FROM i GROUP BY ALL)
+SELECT start, node, least(x.d, y.d) AS depth, x.d AS outward, y.d AS inward FROM x FULL JOIN y USING (start, node)""")
+def node_neighbourhoods(t: Tables) -> DataFrame:
+    return P.neighbourhoods(_links(t), t.orders.where("o_custkey % 4 = 0").select(C("o_orderkey").alias("node")), max_depth=3)
+
+
+# -- scores ----------------------------------------------------------------------------
+
+_VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"
+
+
+def _vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(C("vec_id").alias("id"), C("embedding").alias("vector"))
+
+
+@registry.add(f"""
+WITH {_VECTORS}, p AS (SELECT q.id AS query_id, c.id, list_inner_product(q.e, c.e) AS s FROM v q JOIN v c ON q.id <> c.id)
+SELECT query_id, rank::INT AS rank, id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p) WHERE rank <= 5""")
+def vector_top_products(t: Tables) -> DataFrame:
+    return V.top_products(_vectors(t), _vectors(t), k=5).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
+
+
+@registry.add(f"""
+WITH {_VECTORS}, p AS (SELECT q.id AS query_id, c.id, list_inner_product(q.e, c.e) / sqrt(len(q.e)) AS s FROM v q JOIN v c ON q.id <> c.id)
+SELECT query_id, rank::INT AS rank, id, round(w, 7) AS weight FROM (SELECT query_id, id, exp(s) / sum(exp(s)) OVER (PARTITION BY query_id) AS w, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p) WHERE rank <= 3""")
+def vector_attention(t: Tables) -> DataFrame:
+    return V.top_products(_vectors(t), _vectors(t), k=3, attention=True).select("query_id", "rank", "id", F.round("weight", 7).alias("weight"))
+
+
+def _temperature_sql(rounds: int) -> str:
+    out = "WITH d AS (SELECT l_returnflag AS k, (l_quantity - 25) / 3 AS z, CASE WHEN hash_part < l_quantity THEN 1 ELSE 0 END AS y FROM (SELECT *, l_orderkey * 7 % 50 AS hash_part FROM lineitem)), t0 AS (SELECT k, 1.0::DOUBLE AS s FROM d GROUP BY k)"
+    for i in range(rounds):
+        out += f", t{i + 1} AS (SELECT k, least(greatest(least(greatest(s - sum(z * (p - y)) / (sum(z * z * p * (1 - p)) + 1e-12), s / 2), s * 2), 0.05::DOUBLE), 20.0::DOUBLE) AS s FROM (SELECT d.k, s, z, y, 1 / (1 + exp(-z * s)) AS p FROM d JOIN t{i} t ON t.k = d.k) GROUP BY k, s)"
+    loss = "avg(greatest(z * {0}, 0) - z * {0} * y + ln(1 + exp(-abs(z * {0}))))"
+    return out + f" SELECT d.k AS l_returnflag, round(1 / s, 6) AS temperature, round({loss.format('1.0')}, 6) AS loss_before, round({loss.format('s')}, 6) AS loss_after, count(*) AS n FROM d JOIN t{rounds} t ON t.k = d.k GROUP BY d.k, s"
+
+
+@registry.add(_temperature_sql(12))
+def temperature_fit(t: Tables) -> DataFrame:
+    own = t.lineitem.select("l_returnflag", ((C("l_quantity") - 25) / 3).alias("z"), (C("l_orderkey") * 7 % 50 < C("l_quantity")).cast("int").alias("y"))
+    return V.fitted_temperature(own, "z", "y", by="l_returnflag").select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("temperature", "loss_before", "loss_after")], "n")
+
+
+# -- stores: SQL tables, nested records, replaced partitions ------------------------------
+
+
+@registry.add("SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey >= 20 AND o_orderstatus IN ('F', 'O')")
+def sql_table_scan(t: Tables) -> DataFrame:
+    folder = Scratch(t.spark, "sql").folder("files")
+    # Writing is an action; the counts that it gives back are a row for each file.
+    write_sqlite(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), folder, "orders").collect()
+    found = read_sqlite(t.spark, folder, "orders", rows=500)
+    return found.where((C("o_custkey") >= 20) & C("o_orderstatus").isin("F", "O")).select("o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice")
+
+
+_SCHEMA = "id bigint, status string, lines array<struct<part: bigint, price: double, marks: array<struct<kind: string, value: double>>>>, others array<struct<id: bigint, why: string>>"
+
+
+def _nested(t: Tables):
+    """Orders as JSON texts: lines with marks, and other orders that they go with; every hundredth is broken."""
+    marks = F.array(F.struct(F.lit("discount").alias("kind"), C("l_discount").alias("value")), F.when(C("l_tax") > 0.04, F.struct(F.lit("tax").alias("kind"), C("l_tax").alias("value"))))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(C("l_linenumber").alias("n"), C("l_partkey").alias("part"), C("l_extendedprice").alias("price"), marks.alias("marks")))).alias("x"))
+    k = C("o_orderkey")
+    others = F.transform(F.array(k, k + 1, k - 1, k * 1000 + 7), lambda x: F.struct(x.alias("id"), F.concat(F.lit("with "), F.least(k, x).cast("string")).alias("why")))
+    own = t.orders.join(lines, k == C("l_orderkey"), "left")
+    text = F.to_json(F.struct(k.alias("id"), C("o_orderstatus").alias("status"), F.transform("x", lambda r: F.struct(r["part"].alias("part"), r["price"].alias("price"), r["marks"].alias("marks"))).alias("lines"), others.alias("others")))
+    records, broken = parsed_once(own.select(F.when(k % 100 == 0, F.concat(F.lit("{"), text)).otherwise(text).alias("text")), "text", _SCHEMA, id="id")
+    tables = child_tables(records, {"line": Level("lines", {"part": "item.part", "price": "item.price"}, {"mark": Level("marks", {"kind": "item.kind", "value": "item.value"})}), "other": Level("others", {"other": "item.id", "why": "item.why"})})
+    return records, broken, tables
+
+
+_LINES = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS line_at FROM lineitem WHERE l_orderkey % 100 > 0 AND l_orderkey IN (SELECT o_orderkey FROM orders))"
+
+
+@registry.add(f"WITH {_LINES} SELECT l_orderkey AS id, line_at::INT AS line_at, l_partkey AS part, l_extendedprice AS price FROM l")
+def nested_lines(t: Tables) -> DataFrame:
+    return _nested(t)[2]["line"]
+
+
+@registry.add(f"WITH {_LINES} SELECT l_orderkey AS id, line_at::INT AS line_at, 0 AS mark_at, 'discount' AS kind, l_discount AS value FROM l UNION ALL SELECT l_orderkey, line_at::INT, 1, 'tax', l_tax FROM l WHERE l_tax > 0.04")
+def nested_marks(t: Tables) -> DataFrame:
+    return _nested(t)[2]["mark"]
+
+
+@registry.add("""
+WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 100 > 0)
+SELECT DISTINCT x.k AS a, y.k AS b, 'with ' || x.k AS text FROM o x JOIN o y ON y.k = x.k + 1 OR y.k = x.k * 1000 + 7""")
+def nested_interactions(t: Tables) -> DataFrame:
+    records, _, tables = _nested(t)
+    return interactions(tables["other"], records, id="id", other="other", text="why")[0]
+
+
+@registry.add("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 1000")
+def replaced_partitions(t: Tables) -> DataFrame:
+    path = Scratch(t.spark, "replaced").folder("table")
+    own = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    own.write.partitionBy("o_orderstatus").parquet(path)
+    schema = own.schema
+    staged = t.spark.read.schema(schema).parquet(path).where("o_orderstatus = 'F' and o_totalprice > 1000").withColumn("o_totalprice", F.round(C("o_totalprice") * 2, 2))
+    replace_partitions(staged, path, ["o_orderstatus"], {"price": C("o_totalprice") > 0})
+    return t.spark.read.schema(schema).parquet(path)

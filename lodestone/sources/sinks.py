@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.operators.joins import split_valid, upserted
+from lodestone.shared import Scratch
 
 
 def write_csv_with_digest(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
@@ -57,3 +58,21 @@ def cypher_statements(nodes: DataFrame, fields: Sequence[str]) -> DataFrame:
 def lineage(job: str, inputs: Sequence[str], outputs: Sequence[str]) -> dict:
     """A run's lineage in the open lineage event shape."""
     return {"eventType": "COMPLETE", "job": {"namespace": "lodestone", "name": job}, "inputs": [{"namespace": "file", "name": x} for x in inputs], "outputs": [{"namespace": "file", "name": x} for x in outputs]}
+
+
+def replace_partitions(staged: DataFrame, path: str, by: Sequence[str], checks: dict[str, Column]) -> DataFrame:
+    """Replaces in the Parquet table at path the partitions that staged rows have, by the columns `by`; all others keep their files.
+
+    checks are conditions by name, that hold for every staged row: where one
+    doesn't (null included), a ValueError says how many rows fail each and nothing is replaced. The
+    staged rows are written beside the table first, so that they are computed
+    once and may come from the table itself. Returns (by, rows) of what was replaced.
+    """
+    spark = staged.sparkSession
+    scratch = Scratch(spark, "staged")
+    staged = scratch.write(staged, "rows")
+    failed = staged.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks.values())]).first() if checks else ()
+    if any(failed):
+        raise ValueError("staged rows fail " + ", ".join(f"{name} ({n})" for name, n in zip(checks, failed, strict=True) if n))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return staged.groupBy(*by).agg(F.count("*").alias("rows"))

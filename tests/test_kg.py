@@ -154,3 +154,162 @@ def test_stream_killed_before_its_commit_writes_once(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert tables.read("pairs", "a long, b long, s long").count() == 17
+
+
+def test_match_methods_by_hand(spark):
+    from lodestone.operators.matching import expansions_with, match_records
+
+    entities = [("AAAAAAAAAAAAAA-X", "aspirin", "CC"), ("AAAAAAAAAAAAAA-Y", "other", "C1"), ("B", "methotrexate", "C2"), ("C", "twin", "CN"), ("D", "twin", "CN"), ("E", "ibuprofen tablets", None), (None, "keyless", "C9"), ("F", None, " ")]
+    records = [(1, "B", "aspirin", None), (2, "AAAAAAAAAAAAAA-Z", None, None), (3, None, " aspirin ", None), (4, None, "mtx", None), (5, None, "ibuprofen tablet", "C2"), (6, None, "twin", "CN"), (7, "none", "lost", "C1"), (8, None, "trade name", None), (9, None, None, None), (9, None, None, None), (10, "", "", ""), (11, "B2", "two", None), (12, None, "keyless", "C9")]
+    e = clashing(spark.createDataFrame(entities, "key string, name string, s string"))
+    r = clashing(spark.createDataFrame(records, "id long, key string, name string, s string"))
+    table = spark.createDataFrame([("MTX", "old name"), ("two", "aspirin"), ("two", "other"), ("aspirin", "aspirin"), (None, "x"), ("", "x")], "abbreviation string, name string")
+    more = spark.createDataFrame([("mtx ", "Methotrexate")], "abbreviation string, name string")
+    xrefs = spark.createDataFrame([("trade name", "C"), ("lost", "nowhere"), ("two", "B"), ("two", "C")], "name string, key string")
+    got = match_records(r, e, record_id="id", key="key", name="name", structure="s", expansions=expansions_with(table, more), xrefs=xrefs)
+    want = {1: ("B", "exact", 1.0, False), 2: ("AAAAAAAAAAAAAA-X", "block", 0.9, False), 3: ("AAAAAAAAAAAAAA-X", "name", 0.85, False), 4: ("B", "abbreviation", 0.9, True), 5: ("E", "fuzzy", 0.7, True), 7: ("AAAAAAAAAAAAAA-Y", "structure", 0.5, True), 8: ("C", "xref", 0.6, True)}
+    rows = got.collect()
+    assert len(rows) == len(records)
+    for x in rows:
+        assert tuple(x)[1:] == want.get(x.record_id, (None, None, 0.0, False)), x
+    assert match_records(r.limit(0), e, record_id="id", key="key", name="name").count() == 0
+    assert match_records(r, e.limit(0), record_id="id", key="key", name="name", fuzzy=None).where("match is not null").count() == 0
+
+
+def test_shortest_paths_by_brute_force(spark):
+    from lodestone.operators.paths import neighbourhoods, shortest_paths
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)] + [(1, 1), (None, 3), (4, None), (7, 8), (7, 8), (8, 7)] + [(100 + i, 101 + i) for i in range(8)]
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(120)] + [(3, 3), (None, 1), (5, None), (999, 1), (999, 999), (100, 105), (100, 106), (105, 100)]
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for s, t in pairs:
+        if s is None or t is None:
+            continue
+        front = [[s]]
+        for _ in range(6):
+            if hits := [p for p in front if p[-1] == t]:
+                want[s, t] = min(hits)
+                break
+            front = [[*p, n] for p in front for n in sorted(near.get(p[-1], ())) if n not in p]
+    e, p = (spark.createDataFrame(x, f"{n[0]} long, {n[1]} long") for x, n in ((edges, ("a", "b")), (pairs, ("source", "target"))))
+    got = {(r.source, r.target): r.path for r in shortest_paths(e, p, max_depth=5).collect()}
+    assert got == {k: v for k, v in want.items() if len(v) <= 6}
+    assert shortest_paths(e.limit(0), p).where("length > 0").count() == 0 and shortest_paths(e, p.limit(0)).count() == 0
+    around = {(r.start, r.node): tuple(r)[2:] for r in neighbourhoods(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (5, None)], "a long, b long"), spark.createDataFrame([(1,), (1,), (None,), (77,)], "node long")).collect()}
+    assert around == {(1, 1): (0, 0, 0), (1, 2): (1, 1, 2), (1, 3): (1, 2, 1), (1, 4): (1, None, 1), (77, 77): (0, 0, 0)}
+
+
+def test_top_products_against_numpy(spark):
+    import numpy as np
+
+    from lodestone.operators.vectors import top_products
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(70, 6)), 2)
+    v[10] = v[11]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [1.0]), (903, [float("nan")] * 6), (None, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>").withColumns({c: F.lit("z") for c in ("rank", "side", "p", "q", "score")})
+    for block in (2048, 16):
+        got = top_products(frame.where("id < 20 or id >= 900 or id is null"), frame, k=4, attention=True, block=block)
+        own = {}
+        for r in got.collect():
+            own.setdefault(r.query_id, []).append((r["rank"], r.id, r.score, r.weight))
+        assert set(own) == set(range(20))
+        for i in range(20):
+            s = v @ v[i] / 6**0.5
+            s[i] = -np.inf
+            best = sorted(range(70), key=lambda j: (-s[j], j))[:4]
+            weight = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            assert [x[:2] for x in sorted(own[i])] == [(n, j) for n, j in enumerate(best, 1)]
+            assert np.allclose([x[2:] for x in sorted(own[i])], [(s[j], weight[j]) for j in best])
+    assert top_products(frame.limit(0), frame).count() == 0 and top_products(frame, frame.limit(0)).count() == 0
+
+
+def test_temperature_is_the_least_loss(spark):
+    import numpy as np
+
+    from lodestone.operators.vectors import fitted_temperature
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for name, t in (("a", 0.5), ("b", 3.0), (None, 1.0)):
+        z = rng.normal(size=600) * 3
+        rows += [(name, float(x), int(rng.random() < 1 / (1 + np.exp(-x / t)))) for x in z]
+    rows += [("one", 2.0, 1), ("one", 3.0, 1), ("zero", 0.0, 1), ("zero", 0.0, 0), ("a", None, 1), ("a", 1.0, None), ("a", 1.0, 7), ("a", float("nan"), 1), ("gone", None, 1)]
+    got = {r.k: (r.temperature, r.loss_before, r.loss_after, r.n) for r in fitted_temperature(spark.createDataFrame(rows, "k string, z double, y int"), "z", "y", by="k").collect()}
+    assert set(got) == {"a", "b", None, "one", "zero"} and 0.05 <= got["one"][0] < 0.2 and got["zero"][0] == 1
+    for name in ("a", "b", None):
+        own = np.array([(z, y) for k, z, y in rows if k == name and z is not None and z == z and y in (0, 1)])
+        loss = lambda t, own=own: np.mean(np.logaddexp(0, own[:, 0] / t) - own[:, 1] * own[:, 0] / t)
+        grid = np.exp(np.linspace(np.log(0.1), np.log(10), 4000))
+        best = grid[np.argmin([loss(t) for t in grid])]
+        assert got[name][0] == pytest.approx(best, rel=2e-3) and got[name][2] == pytest.approx(loss(best), abs=1e-6) and got[name][1] == pytest.approx(loss(1.0)) and got[name][3] == len(own)
+    assert fitted_temperature(spark.createDataFrame([], "z double, y int"), "z", "y").count() == 0
+
+
+def test_sqlite_partitions_and_filters(spark, tmp_path):
+    import sqlite3
+
+    from lodestone.sources.sql_source import SqliteReader, condition, read_sqlite, write_sqlite
+    from pyspark.sql import types as T
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, StringContains
+
+    rows = [(i, f"n'{i % 5}" if i % 7 else None, i / 4 if i % 3 else None) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, name string, value double")
+    written = write_sqlite(frame, f"file://{tmp_path}/files", "a \"table\"", files=3).collect()
+    assert sum(r.rows for r in written) == 1000 and len({r.file for r in written}) == 3
+    assert sum(r.rows for r in write_sqlite(frame, f"{tmp_path}/files", "a \"table\"", files=3).collect()) == 1000  # again: the same files
+    found = read_sqlite(spark, f"{tmp_path}/files", "a \"table\"", rows=100)
+    assert found.dtypes == frame.dtypes and found.rdd.getNumPartitions() >= 10
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, frame.collect()))
+    kept = found.where((F.col("id") > 100) & F.col("name").isin("n'1", "n'2") & F.col("value").isNotNull() & F.col("name").contains("1"))
+    assert {r.id for r in kept.collect()} == {i for i, n, v in rows if i > 100 and n == "n'1" and v is not None}
+    reader = SqliteReader(T.StructType.fromDDL("id long, name string"), {"table": "a \"table\"", "path": f"{tmp_path}/files", "rowspartition": "100"})
+    assert [type(f).__name__ for f in reader.pushFilters([GreaterThan(("id",), 990), In(("name",), ("n'1",)), StringContains(("name",), "1"), IsNotNull(("id",)), EqualTo(("value",), 1.5)])] == ["StringContains", "EqualTo"]
+    assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == sum(i > 990 and n == "n'1" for i, n, _ in rows)
+    assert condition(EqualTo(("a", "b"), 1)) is None and condition(EqualTo(("a",), True)) is None
+    with sqlite3.connect(f"{tmp_path}/gaps.sqlite") as db:
+        db.execute("CREATE TABLE t (x INT, y TEXT)")
+        db.executemany("INSERT INTO t (rowid, x, y) VALUES (?, ?, ?)", [(1, 1, "a"), (10**9, 2, None)])
+        db.execute("CREATE TABLE none (x INT)")
+    assert sorted(map(tuple, read_sqlite(spark, f"{tmp_path}/gaps.sqlite", "t", rows=10**8).collect())) == [(1, "a"), (2, None)]
+    assert read_sqlite(spark, f"{tmp_path}/gaps.sqlite", "none").count() == 0
+
+
+def test_nested_levels_on_odd_records(spark):
+    from lodestone.sources.nested import Level, child_tables, interactions, parsed_once
+
+    texts = ['{"id": 1, "in": {"xs": [{"n": "a", "ys": [{"m": 1}, null, {"m": 2}]}, null, {"n": null, "ys": []}]}}', '{"id": 2, "in": null}', '{"id": 3, "in": {"xs": []}}', "{broken", None, '{"in": {"xs": []}}']
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    records, broken = parsed_once(frame, "text", "id bigint, in struct<xs: array<struct<n: string, ys: array<struct<m: int>>>>>", id="id")
+    assert sorted(r.id for r in records.collect()) == [1, 2, 3] and sorted(str(r.text) for r in broken.collect()) == sorted(map(str, texts[3:]))
+    tables = child_tables(records, {"x": Level("in.xs", {"n": "item.n"}, {"y": Level("ys", {"m": "item.m"})})})
+    assert sorted(map(tuple, tables["x"].collect())) == [(1, 0, "a"), (1, 2, None)] and sorted(map(tuple, tables["y"].collect())) == [(1, 0, 0, 1), (1, 0, 2, 2)]
+    pairs = spark.createDataFrame([(1, 2, None), (2, 1, "z"), (1, 1, "q"), (1, None, "q"), (1, 9, "q"), (2, 1, "b")], "id long, other long, why string")
+    good, bad = interactions(pairs, records, id="id", other="other", text="why")
+    assert [tuple(r) for r in good.collect()] == [(1, 2, "b")] and sorted(r.reason for r in bad.collect()) == ["itself", "no other", "unknown"]
+
+
+def test_replaced_partitions_keep_other_files(spark, tmp_path):
+    import os
+
+    from lodestone.sources.sinks import replace_partitions
+
+    path = f"{tmp_path}/table"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x long, k string").write.partitionBy("k").parquet(path)
+    files = lambda k: sorted(os.listdir(f"{path}/k={k}"))
+    before = files("b"), files("__HIVE_DEFAULT_PARTITION__")
+    table = spark.read.schema("x long, k string").parquet(path)
+    with pytest.raises(ValueError, match=r"small \(1\)"):
+        replace_partitions(table.withColumn("x", F.when(F.col("x") > 1, F.col("x"))), path, ["k"], {"small": F.col("x") > 0})
+    assert sorted(map(str, (r.x for r in table.collect()))) == ["1", "2", "3"]
+    done = replace_partitions(table.where("k = 'a'").withColumn("x", F.col("x") + 9).unionByName(spark.createDataFrame([(5, "new")], "x long, k string")), path, ["k"], {"small": F.col("x") > 0})
+    assert sorted((r.k, r.rows) for r in done.collect()) == [("a", 1), ("new", 1)]
+    assert sorted((str(r.k), r.x) for r in spark.read.schema("x long, k string").parquet(path).collect()) == [("None", 3), ("a", 10), ("b", 2), ("new", 5)]
+    assert (files("b"), files("__HIVE_DEFAULT_PARTITION__")) == before
