@@ -32,12 +32,17 @@ HEADERS: dict[str, tuple[str, ...]] = {
         "This project is licensed under the MIT License, see the LICENSE file for details.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     ),
-    "BSD-2-Clause": ("Redistributed under the BSD 2-Clause License.", "BSD 2-Clause License"),
+    "BSD-2-Clause": (
+        "Redistributed under the BSD 2-Clause License.",
+        "BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
     "BSD-3-Clause": (
         "Redistributed under the BSD 3-Clause License.",
         "BSD 3-Clause License",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "GPL-2.0": (
@@ -65,7 +70,7 @@ HEADERS: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "CC0 1.0 Universal"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 }
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
@@ -74,17 +79,48 @@ LINE = r"\r\n|\r|\n"
 PARAGRAPH = r"(?:\r\n|\r|\n)(?:[^\p{L}\p{N}\r\n]*(?:\r\n|\r|\n))+"
 #: Words that most texts have: a header is never told by these as long as others are enough.
 COMMON = ("the of and to in is that it for was on are as with this be by at or from have an not you which can has under any all if one will your may do so its a use no but their we they he she his her").split()
-#: What a template is compared to.
-HEADER, FILE = 0, 1
+#: What a template is compared to; an SPDX line is read and not compared.
+HEADER, FILE, SPDX = 0, 1, 2
+SPDX_MARK = "SPDX-License-Identifier:"
+SPDX_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+#: Ids joined by AND and OR, in any brackets, each WITH an exception or not.
+SPDX_EXPRESSION = rf"{SPDX_MARK}[ \t]*(\(*[ \t]*{SPDX_ID}(?:[ \t]+WITH[ \t]+{SPDX_ID})?[ \t)]*(?:(?:AND|OR)[ \t(]+{SPDX_ID}(?:[ \t]+WITH[ \t]+{SPDX_ID})?[ \t)]*)*)"
+SPDX_EXCEPTION = rf"[ \t]WITH[ \t]+{SPDX_ID}"
+SPDX_LATER = r"(-only|-or-later|\+)$"
+SPDX_WORDS = ("AND", "OR", "NONE", "NOASSERTION")
+#: Counts as so many matched terms: what a file says of itself comes before likeness.
+SPDX_TERMS = 1000.0
+#: The license of wordings that stand beside others in any file: it counts where nothing else is found.
+LAST = "Proprietary"
+
+
+def _network_text(gpl: str) -> str:
+    """The Affero licence's text from the general one's: its name, and its own thirteenth section."""
+    section = """  13. Remote Network Interaction; Use with the GNU General Public License.
+
+  Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software.  This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph.
+
+  Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work.  The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License.
+
+"""
+    own = re.sub(r"GNU (General Public License|GENERAL PUBLIC LICENSE)", lambda m: "GNU " + ("Affero " if m[1][1] == "e" else "AFFERO ") + m[1], gpl)
+    return re.sub(r" *13\. Use with the GNU Affero.*?(?=^ *14\. )", lambda _: section, own, flags=re.S | re.M)
+
+
+def _attribution_text(share: str) -> str:
+    """The attribution licence's text from the share-alike one's: without its name's second part and the paragraphs on sharing alike."""
+    own = [x for x in re.split(r"\n\s*\n", share) if not re.search(r"BY-SA|ShareAlike\.$|Adapter's License (means|You apply must)|ShareAlike\.\s", x)]
+    return re.sub(r"[- ]ShareAlike| and ShareAlike", "", "\n\n".join(own))
 
 
 @lru_cache(maxsize=1)
 def templates() -> list[tuple[int, str, str]]:
-    """(what it is compared to, license, wording): headers with their SPDX lines, and full texts."""
+    """(what it is compared to, license, wording): headers and full texts."""
     out = [(HEADER, name, text) for name, texts in sorted(HEADERS.items()) for text in texts]
-    out += [(HEADER, name, f"SPDX-License-Identifier: {name}{later}") for name in sorted(HEADERS) if name != "Proprietary" for later in ("", "-only", "-or-later") if not later or "GPL" in name]
     folder = Path(__file__).parent / "templates"
-    return out + [(FILE, path.stem, path.read_text(encoding="utf-8")) for path in sorted(folder.glob("*.txt"))]
+    full = {path.stem: path.read_text(encoding="utf-8") for path in folder.glob("*.txt")}
+    full |= {"AGPL-3.0": _network_text(full["GPL-3.0"]), "CC-BY-4.0": _attribution_text(full["CC-BY-SA-4.0"])}
+    return out + [(FILE, name, text) for name, text in sorted(full.items())]
 
 
 def _vectors(own: list[tuple[int, str, str]]) -> tuple[list[dict[str, float]], dict[str, float]]:
@@ -193,7 +229,7 @@ def wording_id(c: str) -> Column:
 
 
 def scored_texts(texts: DataFrame, *, at_least: float = 0.7) -> DataFrame:
-    """(kind, wid, license, similarity) of the distinct (kind, wording, wid) that are like a template of that kind; ties go to the first license by name.
+    """(kind, wid, license, similarity, matched) of the distinct (kind, wording, wid) that are like a template of that kind: the likest, all licenses that tie; matched is the similarity times the wording's distinct terms.
 
     A term weighs (1 + ln of its count) * IDF; terms that no template has, such
     as names and years, weigh as those of a tenth of the templates. The vectors
@@ -206,11 +242,18 @@ def scored_texts(texts: DataFrame, *, at_least: float = 0.7) -> DataFrame:
     tf = lines.select("kind", "wid", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("kind", "wid", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     idf = vectors.select("term", "idf").distinct()
     tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown_idf(len(own))))).drop("idf")
-    norms = tf.groupBy("kind", "wid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = tf.groupBy("kind", "wid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("terms"))
     dots = tf.join(F.broadcast(vectors.select("template", "kind", "license", "term", "weight")), ["kind", "term"]).groupBy("kind", "wid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     near = dots.join(norms, ["kind", "wid"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= at_least)
-    best = near.groupBy("kind", "wid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"))
-    return best.select("kind", "wid", F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
+    best = near.groupBy("kind", "wid").agg(F.max("similarity").alias("most"))
+    tied = near.join(best, ["kind", "wid"]).where("similarity = most").groupBy("kind", "wid", "license").agg(F.max("similarity").alias("similarity"), F.max("terms").alias("terms"))
+    return tied.select("kind", "wid", "license", "similarity", (F.col("similarity") * F.col("terms")).alias("matched"))
+
+
+def spdx_licenses(text: Column) -> Column:
+    """The distinct licenses that a text's SPDX lines name, without exceptions and `only` or `later`."""
+    named = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPDX_EXPRESSION), 1), lambda e: F.regexp_extract_all(F.regexp_replace(e, SPDX_EXCEPTION, ""), F.lit(f"({SPDX_ID})"), 1)))
+    return F.array_distinct(F.transform(F.filter(named, lambda x: ~x.isin(*SPDX_WORDS)), lambda x: F.regexp_replace(x, SPDX_LATER, "")))
 
 
 def folder_of(path: Column) -> Column:
@@ -225,8 +268,11 @@ def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
     licence file is compared to the full texts as a whole too. Only wordings are
     scored that share enough of a header's terms for its cosine to be reached:
     no other can be like enough, so nothing is lost.
-    license is the likeliest (a full text first, then similarity, then name);
-    licenses has all, sorted.
+    SPDX lines are read as expressions of ids. license is the likeliest: one of
+    an SPDX line, then of a full text, then of headers; of several the one whose
+    wordings have most matched terms in the row, then by name. licenses has all,
+    sorted: of licenses that share a wording only the likeliest. A reservation
+    of rights (`Proprietary`) counts where nothing else is found.
     found is 'own', or 'inherited' where the nearest directory at or above the
     row's that holds a licence file gave it, or null.
 
@@ -243,13 +289,21 @@ def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
     telling = F.lower("wording").rlike(_any_of(telling_terms(templates(), at_least)))
     hopeful = own.where(F.lower("text").rlike(_any_of(telling_terms(templates(), at_least))))
     wordings = F.array_union(F.split("text", LINE), F.split("text", PARAGRAPH))
-    headers = hopeful.select("key", "path", "is_file", F.lit(HEADER).alias("kind"), F.explode(F.transform(wordings, lambda w: F.trim(w))).alias("wording")).where(telling)
+    headers = hopeful.select("key", "path", "is_file", F.lit(HEADER).alias("kind"), F.explode(F.array_distinct(F.transform(wordings, lambda w: F.trim(w)))).alias("wording")).where(telling)
     headers = headers.where(_could_match(F.col("wording"), templates(), at_least))
     files = own.where("is_file").select("key", "path", "is_file", F.lit(FILE).alias("kind"), F.col("text").alias("wording"))
     claims = scratch.write(headers.unionByName(files).withColumn("wid", wording_id("wording")), "claims")
     scored = scratch.write(scored_texts(claims, at_least=at_least), "scored")
-    claims = claims.drop("wording").join(scored, ["kind", "wid"])
-    best = claims.groupBy("key").agg(F.min(F.struct((-F.col("kind")).alias("k"), (-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("best"), F.sort_array(F.collect_set("license")).alias("own_licenses"), F.first("path").alias("file_path"), F.first("is_file").alias("is_file"))
+    stated = own.where(F.col("text").contains(SPDX_MARK)).select("key", "path", "is_file", F.lit(SPDX).alias("kind"), F.explode(spdx_licenses(F.col("text"))).alias("license"))
+    stated = stated.select("kind", wording_id("license").alias("wid"), "key", "path", "is_file", "license", F.lit(1.0).alias("similarity"), F.lit(SPDX_TERMS).alias("matched"))
+    claims = claims.drop("wording").join(scored, ["kind", "wid"]).unionByName(stated)
+    totals = claims.groupBy("key", "license").agg(F.round(F.sum("matched"), 3).alias("total"))
+    claims = scratch.write(claims.join(totals, ["key", "license"]), "told")
+    of_wording = claims.groupBy("key", "kind", "wid").agg(F.min(F.struct((-F.col("total")).alias("t"), F.col("license").alias("license"))).alias("m"))
+    sets = of_wording.groupBy("key").agg(F.sort_array(F.collect_set("m.license")).alias("all"))
+    sets = sets.select("key", F.when(F.size("all") > 1, F.array_remove("all", LAST)).otherwise(F.col("all")).alias("own_licenses"))
+    order = F.struct((F.col("license") == LAST).alias("last"), (-F.col("kind")).alias("k"), (-F.col("total")).alias("t"), (-F.col("similarity")).alias("s"), F.col("license").alias("license"))
+    best = claims.groupBy("key").agg(F.min(order).alias("best"), F.first("path").alias("file_path"), F.first("is_file").alias("is_file")).join(sets, "key")
     best = scratch.write(best.select("key", F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_similarity"), "own_licenses", "file_path", "is_file"), "best")
     held = best.where("is_file").groupBy(folder_of(F.col("file_path")).alias("above")).agg(F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("license"))).alias("b"))
     held = held.select("above", F.col("b.license").alias("up_license"), (-F.col("b.s")).alias("up_similarity"))
@@ -259,7 +313,7 @@ def scan_licenses(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
     above = above.select("folder", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above"))
     nearest = above.join(held, "above").groupBy("folder").agg(F.max_by(F.struct("up_license", "up_similarity"), "depth").alias("up"))
     nearest = scratch.write(nearest.select("folder", "up.*"), "nearest")
-    scratch.drop("claims", "scored")
+    scratch.drop("claims", "scored", "told")
     rows = own.select("doc_id", "path", "key", folder_of(F.col("path")).alias("folder")).join(best.select("key", "own_license", "own_similarity", "own_licenses"), "key", "left").join(nearest, "folder", "left")
     return rows.select(
         "doc_id",

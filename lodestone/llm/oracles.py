@@ -115,7 +115,7 @@ FROM t GROUP BY conv_id
 
 def _licence_sql() -> str:
     """Every line and paragraph is scored here: the filter of telling terms is the operator's own."""
-    from lodestone.llm.licenses import FILE, HEADER, LICENCE_FILE, LINE, PARAGRAPH, TERM, templates, unknown_idf
+    from lodestone.llm.licenses import FILE, HEADER, LAST, LICENCE_FILE, LINE, PARAGRAPH, SPDX, SPDX_EXCEPTION, SPDX_EXPRESSION, SPDX_ID, SPDX_LATER, SPDX_TERMS, SPDX_WORDS, TERM, templates, unknown_idf
 
     own = templates()
     values = ", ".join("({}, {}, '{}', '{}')".format(i, kind, name, text.replace("'", "''")) for i, (kind, name, text) in enumerate(own))
@@ -136,10 +136,22 @@ lt AS (SELECT kind, wording, term, 1 + ln(count(*)) AS tf FROM (SELECT kind, wor
 lw AS (SELECT kind, wording, term, tf * coalesce(idf, {unknown_idf(len(own))}) AS w FROM lt LEFT JOIN idf USING (term)),
 norm AS (SELECT kind, wording, sqrt(sum(w * w)) AS n FROM lw GROUP BY ALL),
 near AS (SELECT kind, wording, license, round(sum(w * weight) / any_value(n), 6) AS similarity FROM lw JOIN tv USING (kind, term) JOIN norm USING (kind, wording) GROUP BY kind, wording, template, license),
-scored AS (SELECT kind, wording, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM near WHERE similarity >= 0.7 GROUP BY ALL),
+size AS (SELECT kind, wording, count(*) AS terms FROM lw GROUP BY ALL),
+best AS (SELECT kind, wording, max(similarity) AS most FROM near WHERE similarity >= 0.7 GROUP BY ALL),
+scored AS (SELECT DISTINCT kind, wording, license, similarity FROM near JOIN best USING (kind, wording) WHERE similarity = most),
+expressions AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SPDX_EXPRESSION}', 1)) AS e FROM d),
+ids AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(e, '{SPDX_EXCEPTION}', '', 'g'), '{SPDX_ID}')) AS id FROM expressions),
+told AS (
+  SELECT doc_id, kind, wording, license, similarity, similarity * terms AS matched FROM claims JOIN scored USING (kind, wording) JOIN size USING (kind, wording)
+  UNION ALL SELECT DISTINCT doc_id, {SPDX}, regexp_replace(id, '{SPDX_LATER}', ''), regexp_replace(id, '{SPDX_LATER}', ''), 1.0, {SPDX_TERMS} FROM ids WHERE id NOT IN {SPDX_WORDS}
+),
+totals AS (SELECT doc_id, license, round(sum(matched), 3) AS total FROM told GROUP BY ALL),
+of_wording AS (SELECT doc_id, kind, wording, arg_min(license, (-total, license)) AS license FROM told JOIN totals USING (doc_id, license) GROUP BY ALL),
+sets AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS l FROM of_wording GROUP BY doc_id),
 own AS (
-  SELECT doc_id, arg_min(license, (-kind, -similarity, license)) AS license, arg_min(similarity, (-kind, -similarity, license)) AS similarity, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses
-  FROM claims JOIN scored USING (kind, wording) GROUP BY doc_id
+  SELECT doc_id, arg_min(license, (license = '{LAST}', -kind, -total, -similarity, license)) AS license, arg_min(similarity, (license = '{LAST}', -kind, -total, -similarity, license)) AS similarity,
+         any_value(array_to_string(CASE WHEN len(l) > 1 THEN list_filter(l, lambda x: x <> '{LAST}') ELSE l END, ',')) AS licenses
+  FROM told JOIN totals USING (doc_id, license) JOIN sets USING (doc_id) GROUP BY doc_id
 ),
 held AS (SELECT folder AS above, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM d JOIN own USING (doc_id) WHERE is_file GROUP BY folder),
 above AS (

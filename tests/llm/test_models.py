@@ -249,6 +249,8 @@ def test_licenses(spark):
     by = {r["doc_id"]: r for r in got}
     for i, line in enumerate(lines):
         name, score = min((cosine_by_hand(x, licenses.HEADER) for x in ("first line", line, "last", rows[i][1])), key=lambda x: -(x[1] or 0))
+        if "SPDX" in line:
+            name, score = "GPL-2.0", 1.0
         if name:
             assert (by[i]["license"], by[i]["found"]) == (name, "own") and by[i]["similarity"] == pytest.approx(score, abs=1e-5)
         else:
@@ -329,3 +331,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(passage[20:-20] in (t or "") for t in after.values())
     assert sum(len(r["text"].split()) for r in seen["source_mixing"]) == pytest.approx(1.5 * sum(len((t or "").split()) for t in after.values()), abs=10)
     assert len(seen["bpe_tokens"]) == len(seen["source_mixing"])
+
+
+BSD_HEADER = """/*
+ * Copyright (c) 2019, Jane Doe
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *   * Redistributions of source code must retain the above copyright
+ *     notice, this list of conditions and the following disclaimer.{more}
+ */
+int main() { return 0; }"""
+NEITHER = """
+ *
+ * Neither the name of the copyright holder nor the names of its contributors may be used to
+ * endorse or promote products derived from this software without specific prior written permission."""
+
+
+def test_licences_that_are_alike(spark):
+    """Headers and files of licences that share most of their words, and SPDX expressions."""
+    full = {name: text for kind, name, text in licenses.templates() if kind == licenses.FILE}
+    bsd3 = full["BSD-3-Clause"]
+    bsd2 = bsd3[: bsd3.index("3. Neither")] + bsd3[bsd3.index("THIS SOFTWARE") :]
+    cases = [
+        (BSD_HEADER.replace("{more}", ""), "f1", "BSD-2-Clause", "BSD-2-Clause"),
+        (BSD_HEADER.replace("{more}", NEITHER), "f2", "BSD-3-Clause", "BSD-3-Clause"),
+        ("Copyright 2020 A. All rights reserved.", "f3", "Proprietary", "Proprietary"),
+        ("Copyright (c) 2021 X\n" + bsd2, "a/LICENSE", "BSD-2-Clause", "BSD-2-Clause"),
+        (bsd3, "b/LICENSE", "BSD-3-Clause", "BSD-3-Clause"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "f6", "Apache-2.0", "Apache-2.0,MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND (MIT OR ISC)) */\nMIT License", "f7", "MIT", "GPL-2.0,ISC,MIT"),
+        ("<!-- SPDX-License-Identifier: LGPL-2.1+ -->\nand OR more", "f8", "LGPL-2.1", "LGPL-2.1"),
+        ("SPDX-License-Identifier: NOASSERTION\nSPDX-License-Identifier:\n", "f9", None, ""),
+        ("SPDX-License-Identifier: Zlib and words after it", "f10", "Zlib", "Zlib"),
+    ]
+    cases += [(full[n], f"{n}/LICENSE", n, None) for n in full] + [("Copyright (c) 2020 Somebody Else\n\n" + full[n], f"x{n}/COPYING", n, None) for n in full]
+    docs = spark.createDataFrame([(i, t, p) for i, (t, p, *_) in enumerate(cases)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: (r["license"], ",".join(r["licenses"])) for r in licenses.scan_licenses(docs, F.col("path")).collect()}
+    for i, (_, path, name, every) in enumerate(cases):
+        assert got[i][0] == name and (every is None or got[i][1] == every), (path, got[i])
