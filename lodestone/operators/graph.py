@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.operators.ordered import placed
 from lodestone.shared import Scratch
@@ -276,11 +276,11 @@ def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: s
     def share(digest: Column, at: int) -> Column:
         return (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
-    placed = pool.orderBy("_deg", b).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(T.StructType([pool.schema[b], T.StructField("_at", T.LongType())]))
+    at = placed(pool, [F.col("_deg"), F.col(b)], position="_at").select(b, "_at")
     drawn = left.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(4 * per_left + 16))))
     own = F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col("_n").cast("string")).cast("binary"))
     drawn = drawn.withColumn("_h", own).withColumn("_at", position(share(F.col("_h"), 1), share(F.col("_h"), 9)))
-    drawn = drawn.join(placed.hint("merge"), "_at").groupBy(a, b).agg(F.min("_n").alias("_n")).join(known, [a, b], "left_anti")
+    drawn = drawn.join(at.hint("merge"), "_at").groupBy(a, b).agg(F.min("_n").alias("_n")).join(known, [a, b], "left_anti")
     picked = drawn.withColumn("_k", F.row_number().over(W.partitionBy(a).orderBy("_n"))).where(F.col("_k") <= per_left)
     picked = scratch.write(picked.select(a, b), "picked")
     short = left.join(picked.groupBy(a).agg(F.count("*").alias("_got")), a, "left").fillna(0, ["_got"]).where(F.col("_got") < per_left)

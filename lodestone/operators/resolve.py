@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -34,9 +35,38 @@ def _common(a: str, b: str) -> int:
     return len(a) - (row & (1 << len(a)) - 1).bit_count()
 
 
+def _common_of_many(a: list[str], b: list[str]) -> np.ndarray:
+    """_common of pairs whose first names have up to 63 letters: all pairs at once, a letter of the second names after the other."""
+    def letters(names: list[str], none: int) -> np.ndarray:
+        out = np.full((len(names), max(map(len, names), default=0)), none, np.uint32)
+        for i, x in enumerate(names):
+            out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return out
+
+    one, two = letters(a, 0xFFFFFFFF), letters(b, 0xFFFFFFFE)
+    bit = np.uint64(1) << np.arange(one.shape[1], dtype=np.uint64)
+    size = np.array([len(x) for x in a], np.uint64)
+    whole = (np.uint64(1) << size) - np.uint64(1)
+    row = whole.copy()
+    for j in range(two.shape[1]):
+        taken = row & ((one == two[:, j : j + 1]) * bit).sum(1, dtype=np.uint64)
+        row = (row + taken) | (row - taken)
+    return size.astype(np.int64) - np.bitwise_count(row & whole)
+
+
 @F.pandas_udf(T.DoubleType())
 def _shared_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None or not x + y else 2.0 * _common(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    out = np.full(len(a), np.nan)
+    told = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and x + y]
+    short = [i for i in told if len(a[i]) < 64]
+    for lo in range(0, len(short), 2048):
+        own = short[lo : lo + 2048]
+        x, y = [a[i] for i in own], [b[i] for i in own]
+        out[own] = 2.0 * _common_of_many(x, y) / np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    for i in told:
+        if len(a[i]) >= 64:
+            out[i] = 2.0 * _common(a[i], b[i]) / (len(a[i]) + len(b[i]))
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -61,30 +91,33 @@ def _pairs_of_letters(c: Column) -> Column:
     return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
 
 
-def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85) -> DataFrame:
+def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85, within: str | None = None) -> DataFrame:
     """(r, e, s) of the distinct names left(r) and right(e) whose similarity s reaches fuzzy_threshold of r.
 
+    With within, a column of both, only names of equal value there are
+    compared, and it stands in the result.
+
     Nothing is lost: names of similarity t over lengths m and n share at least
     (1.5 t - 1)(m + n) - 1 pairs of letters, so they share one of their rarest
     if each name gives all but so many of its own; only those are joined. Nulls
     and empty names have no match.
     """
-    t = base
+    t, more = base, [within] if within else []
     least = (1.5 * t - 1) * (1 + t / (2 - t))
 
     def named(df: DataFrame, c: str) -> DataFrame:
-        own = df.where(F.length(F.trim(c)) > 0).select(c).distinct().withColumn("s", sorted_tokens(F.col(c)))
-        return own.select(c, "s", F.length("s").alias("n"), F.explode(_pairs_of_letters(F.col("s"))).alias("pair"))
+        own = df.where(F.length(F.trim(c)) > 0).select(c, *more).distinct().withColumn("s", sorted_tokens(F.col(c)))
+        return own.select(c, *more, "s", F.length("s").alias("n"), F.explode(_pairs_of_letters(F.col("s"))).alias("pair"))
 
     r, e = named(left, "r"), named(right, "e")
-    common = e.groupBy("pair").agg(F.count("*").alias("f"))
+    common = e.groupBy("pair", *more).agg(F.count("*").alias("f"))
 
     def rarest(df: DataFrame, c: str) -> DataFrame:
-        order = F.row_number().over(W.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "pair"))
+        order = F.row_number().over(W.partitionBy(c, *more).orderBy(F.coalesce("f", F.lit(0)), "pair"))
         kept = F.greatest(F.col("n") - F.greatest(F.ceil(least * F.col("n") - 1 - 1e-9), F.lit(1)), F.lit(1))
-        return df.join(common, "pair", "left").withColumn("k", order).where(F.col("k") <= kept).select(c, "pair", F.col("n").alias(f"{c}_n"))
+        return df.join(common, ["pair", *more], "left").withColumn("k", order).where(F.col("k") <= kept).select(c, *more, "pair", F.col("n").alias(f"{c}_n"))
 
-    near = rarest(r, "r").join(rarest(e, "e"), "pair").where(2.0 * F.least("r_n", "e_n") >= t * (F.col("r_n") + F.col("e_n")) - 1e-9).select("r", "e").distinct()
+    near = rarest(r, "r").join(rarest(e, "e"), ["pair", *more]).where(2.0 * F.least("r_n", "e_n") >= t * (F.col("r_n") + F.col("e_n")) - 1e-9).select("r", "e", *more).distinct()
     return near.withColumn("s", similarity(F.col("r"), F.col("e"))).where(F.col("s") >= fuzzy_threshold(F.col("r"), base))
 
 

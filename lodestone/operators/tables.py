@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lodestone.operators.joins import split_valid
 
 
+OVERWRITE, KEEP, FILL = "overwrite", "keep", "fill"
+
+
 @dataclass(frozen=True)
 class Rule:
     """How a table takes a batch.
@@ -17,15 +20,16 @@ class Rule:
     keys: its key; a row with a null in it is rejected. valid: further
     conditions by name. best: of a batch's rows of a key the first in this order
     counts, ties by all columns. prepare: what happens to a batch before that.
-    fill_only: a known row's values stay and only its nulls are filled;
-    otherwise values that aren't null replace them.
+    known: what happens to a known row. OVERWRITE: the batch's values replace
+    its own, nulls too; KEEP: values that aren't null do; FILL: only its nulls
+    are filled. Columns that a batch lacks stay in any case.
     """
 
     keys: tuple[str, ...]
     valid: Callable[[], dict[str, Column]] = dict
     best: Callable[[], Sequence[Column]] = tuple
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
-    fill_only: bool = False
+    known: str = "overwrite"
 
 
 def ordered_ends(a: str, b: str) -> Callable[[DataFrame], DataFrame]:
@@ -50,7 +54,7 @@ RULES: dict[str, Rule] = {
     "drug_protein": Rule(("drug_id", "protein_id", "source"), valid=lambda: {"activity_value": F.coalesce(F.col("activity_value") >= 0, F.lit(True))}, best=lambda: [F.col("activity_value").asc_nulls_last()]),
     "protein_pairs": Rule(("protein_a", "protein_b"), valid=lambda: {"self": F.col("protein_a") != F.col("protein_b"), "score": F.col("score").between(0, 1000)}, best=lambda: [F.col("score").desc()], prepare=ordered_ends("protein_a", "protein_b")),
     "gene_disease": Rule(("gene_symbol", "disease_id", "source"), valid=lambda: {"score": F.coalesce(F.col("score").between(0, 1), F.lit(True))}, best=lambda: [F.col("score").desc_nulls_last()]),
-    "entity_mapping": Rule(("canonical_id",), prepare=merged_by_name("canonical_id", "name"), fill_only=True),
+    "entity_mapping": Rule(("canonical_id",), prepare=merged_by_name("canonical_id", "name")),
     "compound_properties": Rule(("inchikey",), valid=lambda: {"weight": F.coalesce(F.col("weight") > 0, F.lit(True))}),
     "runs": Rule(("run_id",), best=lambda: [F.col("finished").desc_nulls_last()]),
 }
@@ -59,17 +63,30 @@ RULES: dict[str, Rule] = {
 def loaded(table: DataFrame, batch: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(the table after a batch, the batch's rejected rows with a reason).
 
-    table has one row for each key and batch its columns. Rows of the batch that
-    repeat a key give one row, the rule's best. Loading a batch twice changes
-    nothing more. Either may be empty; other columns of the batch are ignored.
+    table has one row for each key and batch its keys and what it has of its
+    other columns. Rows of the batch that repeat a key give one row, the rule's
+    best. Loading a batch twice changes nothing more. Either may be empty; other
+    columns of the batch are ignored, whatever their names.
     """
-    batch = rule.prepare(batch.select(*table.columns))
+    given = [c for c in table.columns if c in batch.columns]
+    batch = rule.prepare(batch.select(*given))
     keyed = {f"no {k}": F.col(k).isNotNull() for k in rule.keys}
     good, bad = split_valid(batch, keyed | rule.valid())
-    order = [*rule.best(), *[F.col(c).asc_nulls_last() for c in table.columns]]
-    first = good.withColumn("_r", F.row_number().over(W.partitionBy(*rule.keys).orderBy(*order))).where("_r = 1").drop("_r")
-    fields = [c for c in table.columns if c not in rule.keys]
-    new = first.select(*rule.keys, *[F.col(c).alias(f"_new_{c}") for c in fields])
-    both = table.join(new, list(rule.keys), "full_outer")
-    after = both.select(*[c if c in rule.keys else F.coalesce(*((c, f"_new_{c}") if rule.fill_only else (f"_new_{c}", c))).alias(c) for c in table.columns])
-    return after, bad
+    order = [*rule.best(), *[F.col(c).asc_nulls_last() for c in given]]
+    place = {c: f"_{i}" for i, c in enumerate(given)}
+    first = good.select("*", F.row_number().over(W.partitionBy(*rule.keys).orderBy(*order)).alias("_row")).where("_row = 1").drop("_row")
+    new = first.select(*[F.col(c).alias(place[c]) for c in given], F.lit(True).alias("_new"))
+    own = table.select(F.struct(*table.columns).alias("_own"))
+    same = [F.col(f"_own.{k}") == F.col(place[k]) for k in rule.keys]
+    both = own.join(new, same, "full_outer")
+
+    def after(c: str) -> Column:
+        old = F.col("_own")[c]
+        if c not in place:
+            return old
+        value = F.col(place[c])
+        if c in rule.keys or rule.known == KEEP:
+            return F.coalesce(value, old)
+        return F.coalesce(old, value) if rule.known == FILL else F.when(F.col("_new"), value).otherwise(old)
+
+    return both.select(*[after(c).alias(c) for c in table.columns]), bad

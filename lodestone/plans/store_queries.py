@@ -11,7 +11,7 @@ from lodestone.operators.ordered import placed
 from lodestone.plans.base import Registry, Tables
 from lodestone.plans.graph_queries import edges, nodes
 from lodestone.shared import Scratch
-from lodestone.sources import graph_store, paged, readers
+from lodestone.sources import graph_store, paged, readers, sinks
 
 registry = Registry()
 C = F.col
@@ -23,7 +23,7 @@ C = F.col
 @registry.add("""
 WITH t AS (SELECT 'K' || c_custkey AS inchikey, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS weight FROM customer WHERE c_custkey % 2 = 0),
 b AS (SELECT 'K' || c_custkey AS inchikey, CASE WHEN c_custkey % 7 > 0 THEN upper(c_mktsegment) ELSE ' ' END AS name, CASE WHEN c_custkey % 5 > 0 THEN 1.0::DOUBLE END AS weight FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 > 0)
-SELECT coalesce(t.inchikey, b.inchikey) AS inchikey, coalesce(b.name, t.name) AS name, coalesce(b.weight, t.weight) AS weight FROM t FULL JOIN b USING (inchikey)""")
+SELECT inchikey, name, weight FROM b UNION ALL SELECT * FROM t ANTI JOIN b USING (inchikey)""")
 def load_drugs(t: Tables) -> DataFrame:
     key = F.concat(F.lit("K"), "c_custkey")
     table = t.customer.where("c_custkey % 2 = 0").select(key.alias("inchikey"), C("c_name").alias("name"), F.when(C("c_custkey") % 3 > 0, C("c_acctbal")).alias("weight"))
@@ -79,6 +79,75 @@ def load_runs(t: Tables) -> DataFrame:
     return L.loaded(once, batch, L.RULES["runs"])[0]
 
 
+# Each of these loads a batch twice into a table that holds some of its keys.
+
+
+def _twice(table: DataFrame, batch: DataFrame, rule: str) -> DataFrame:
+    return L.loaded(L.loaded(table, batch, L.RULES[rule])[0], batch, L.RULES[rule])[0]
+
+
+@registry.add("""
+WITH t AS (SELECT 'P' || s_suppkey AS uniprot_id, s_name AS name, 'gene' || s_nationkey AS gene, s_acctbal AS mass FROM supplier WHERE s_suppkey % 2 = 0),
+b AS (SELECT CASE WHEN s_suppkey % 10 = 9 THEN ' ' ELSE 'P' || s_suppkey END AS uniprot_id, CASE WHEN s_suppkey % 4 > 0 THEN upper(s_name) END AS name, 'gene' || s_nationkey % 5 AS gene FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT b.uniprot_id, b.name, b.gene, t.mass FROM b LEFT JOIN t USING (uniprot_id) WHERE b.uniprot_id <> ' ' UNION ALL SELECT * FROM t ANTI JOIN b USING (uniprot_id)""")
+def reload_proteins(t: Tables) -> DataFrame:
+    """The batch has no masses: known ones stay."""
+    k, text = C("s_suppkey"), C("s_suppkey").cast("string")
+    table = t.supplier.where(k % 2 == 0).select(F.concat(F.lit("P"), text).alias("uniprot_id"), C("s_name").alias("name"), F.concat(F.lit("gene"), C("s_nationkey").cast("string")).alias("gene"), C("s_acctbal").alias("mass"))
+    batch = t.supplier.where(k % 3 == 0).select(F.when(k % 10 == 9, " ").otherwise(F.concat(F.lit("P"), text)).alias("uniprot_id"), F.when(k % 4 > 0, F.upper("s_name")).alias("name"), F.concat(F.lit("gene"), (C("s_nationkey") % 5).cast("string")).alias("gene"))
+    return _twice(table, batch, "proteins")
+
+
+@registry.add("""
+WITH l AS (SELECT l_partkey AS drug_id, l_suppkey AS protein_id, l_returnflag AS source, CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice - 5000 END AS activity_value, l_linenumber, l_orderkey FROM lineitem),
+t AS (SELECT drug_id, protein_id, source, max(1.0::DOUBLE) AS activity_value FROM l WHERE drug_id % 2 = 0 GROUP BY ALL),
+b AS (SELECT drug_id, protein_id, source, min(activity_value) AS activity_value FROM l WHERE coalesce(activity_value >= 0, true) GROUP BY ALL)
+SELECT * FROM b UNION ALL SELECT * FROM t ANTI JOIN b USING (drug_id, protein_id, source)""")
+def reload_drug_proteins(t: Tables) -> DataFrame:
+    batch = t.lineitem.select(C("l_partkey").alias("drug_id"), C("l_suppkey").alias("protein_id"), C("l_returnflag").alias("source"), F.when(C("l_linenumber") % 3 > 0, C("l_extendedprice") - 5000).alias("activity_value"))
+    table = batch.where("drug_id % 2 = 0").select("drug_id", "protein_id", "source").distinct().withColumn("activity_value", F.lit(1.0))
+    return _twice(table, batch, "drug_protein")
+
+
+@registry.add("""
+WITH b AS (SELECT p_brand AS gene_symbol, CASE WHEN p_partkey % 9 > 0 THEN p_type END AS disease_id, 'x' AS source, CASE WHEN p_partkey % 4 > 0 THEN p_size / 45.0 END AS score FROM part),
+n AS (SELECT gene_symbol, disease_id, source, max(score) AS score FROM b WHERE disease_id IS NOT NULL AND coalesce(score BETWEEN 0 AND 1, true) GROUP BY ALL),
+t AS (SELECT DISTINCT p_brand AS gene_symbol, p_type AS disease_id, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'y' END AS source, -1.0::DOUBLE AS score FROM part WHERE p_size < 30)
+SELECT * FROM n UNION ALL SELECT * FROM t ANTI JOIN n USING (gene_symbol, disease_id, source)""")
+def reload_gene_diseases(t: Tables) -> DataFrame:
+    k = C("p_partkey")
+    batch = t.part.select(C("p_brand").alias("gene_symbol"), F.when(k % 9 > 0, C("p_type")).alias("disease_id"), F.lit("x").alias("source"), F.when(k % 4 > 0, C("p_size") / 45.0).alias("score"))
+    table = t.part.where("p_size < 30").select(C("p_brand").alias("gene_symbol"), C("p_type").alias("disease_id"), F.when(C("p_size") % 2 == 0, "x").otherwise("y").alias("source")).distinct().withColumn("score", F.lit(-1.0))
+    return _twice(table, batch, "gene_disease")
+
+
+@registry.add("""
+WITH t AS (SELECT 'E' || c_custkey AS canonical_id, 'old ' || c_name AS name, c_custkey AS cid FROM customer WHERE c_custkey % 2 = 0),
+b AS (SELECT CASE WHEN c_custkey % 5 > 0 THEN 'E' || c_custkey END AS canonical_id, 'Name ' || CAST(floor(c_custkey / 5) AS BIGINT) * 5 AS name, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 10 END AS cid FROM customer WHERE c_custkey % 5 IN (0, 1)),
+k AS (SELECT name, min(canonical_id) AS id FROM b WHERE canonical_id IS NOT NULL GROUP BY name HAVING count(DISTINCT canonical_id) = 1),
+f AS (SELECT coalesce(b.canonical_id, k.id) AS canonical_id, b.name, b.cid FROM b LEFT JOIN k USING (name)),
+n AS (SELECT canonical_id, name, cid FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY name, cid NULLS LAST) AS r FROM f WHERE canonical_id IS NOT NULL) WHERE r = 1)
+SELECT * FROM n UNION ALL SELECT * FROM t ANTI JOIN n USING (canonical_id)""")
+def reload_entity_mapping(t: Tables) -> DataFrame:
+    """A batch whose rows without an id take that of their name; its nulls replace known numbers."""
+    k, text = C("c_custkey"), C("c_custkey").cast("string")
+    table = t.customer.where(k % 2 == 0).select(F.concat(F.lit("E"), text).alias("canonical_id"), F.concat(F.lit("old "), "c_name").alias("name"), k.alias("cid"))
+    batch = t.customer.where((k % 5).isin(0, 1)).select(F.when(k % 5 > 0, F.concat(F.lit("E"), text)).alias("canonical_id"), F.concat(F.lit("Name "), (F.floor(k / 5) * 5).cast("string")).alias("name"), F.when(k % 3 > 0, k * 10).alias("cid"))
+    return _twice(table, batch, "entity_mapping")
+
+
+@registry.add("""
+WITH t AS (SELECT 'K' || p_partkey AS inchikey, p_retailprice AS weight, p_type AS formula FROM part WHERE p_partkey % 3 = 0),
+b AS (SELECT 'K' || p_partkey AS inchikey, CASE WHEN p_partkey % 4 > 0 THEN p_size - 5.0::DOUBLE END AS weight FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT * FROM b WHERE coalesce(weight > 0, true))
+SELECT n.inchikey, n.weight, t.formula FROM n LEFT JOIN t USING (inchikey) UNION ALL SELECT * FROM t ANTI JOIN n USING (inchikey)""")
+def reload_compound_properties(t: Tables) -> DataFrame:
+    key = F.concat(F.lit("K"), C("p_partkey").cast("string"))
+    table = t.part.where("p_partkey % 3 = 0").select(key.alias("inchikey"), C("p_retailprice").alias("weight"), C("p_type").alias("formula"))
+    batch = t.part.where("p_partkey % 2 = 0").select(key.alias("inchikey"), F.when(C("p_partkey") % 4 > 0, C("p_size") - 5.0).alias("weight"))
+    return _twice(table, batch, "compound_properties")
+
+
 # -- protein identity ------------------------------------------------------------
 
 
@@ -195,7 +264,7 @@ def standard_drug_records(t: Tables) -> DataFrame:
 
 @registry.add("SELECT rel, count(*) AS n FROM (SELECT 'placed' AS rel FROM orders UNION ALL SELECT 'contains' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) GROUP BY rel")
 def graph_store_relations(t: Tables) -> DataFrame:
-    folder = Scratch(t.spark, "graph").root
+    folder = Scratch(t.spark, "graph").folder("store")
     graph_store.write_graph(nodes(t), edges(t), folder)
     _, kept = graph_store.read_graph(t.spark, folder, rels=["placed", "contains"])
     return kept.groupBy("rel").agg(F.count("*").alias("n"))
@@ -221,12 +290,14 @@ def written_back_edges(t: Tables) -> DataFrame:
 @registry.add("SELECT (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 1000 AS chunk, o_orderkey FROM orders")
 def export_chunks(t: Tables) -> DataFrame:
     own = placed(t.orders.select("o_orderkey", "o_totalprice"), [C("o_totalprice"), C("o_orderkey")])
-    return own.select(F.floor(C("position") / 1000).alias("chunk"), "o_orderkey")
+    folder = Scratch(t.spark, "export").folder("chunks")
+    sinks.write_chunks(own.select("o_orderkey", "o_totalprice", "position"), folder, "position", 1000)
+    return t.spark.read.schema("o_orderkey long, o_totalprice double, chunk long").option("header", True).csv(folder).select("chunk", "o_orderkey")
 
 
 @registry.add("SELECT c_custkey, c_name || chr(10) || '\"' || c_mktsegment AS name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance FROM customer")
 def csv_scan(t: Tables) -> DataFrame:
-    folder = Scratch(t.spark, "csv").root
+    folder = Scratch(t.spark, "csv").folder("files")
     own = t.customer.select("c_custkey", F.concat("c_name", F.lit('\n"'), "c_mktsegment").alias("name"), F.when(C("c_custkey") % 3 > 0, C("c_acctbal").cast("string")).otherwise("N/A").alias("balance"))
     own.write.option("header", True).option("compression", "gzip").option("escape", '"').csv(folder)
     return readers.typed_csv(t.spark, folder, "c_custkey long, name string, balance double", multi_line=True)[0]
@@ -234,7 +305,7 @@ def csv_scan(t: Tables) -> DataFrame:
 
 @registry.add("SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_quantity AS quantity FROM lineitem")
 def json_children(t: Tables) -> DataFrame:
-    folder = Scratch(t.spark, "json").root
+    folder = Scratch(t.spark, "json").folder("files")
     line = F.struct(C("l_linenumber").alias("line"), F.struct(C("l_partkey").alias("part"), C("l_quantity").alias("quantity")).alias("what"))
     t.lineitem.groupBy(C("l_orderkey").alias("id")).agg(F.collect_list(line).alias("lines")).write.json(folder)
     good, _ = readers.json_lines(t.spark, folder, "id long, lines array<struct<line: int, what: struct<part: long, quantity: double>>>")
@@ -243,7 +314,7 @@ def json_children(t: Tables) -> DataFrame:
 
 @registry.add("SELECT o_orderkey AS id, o_orderpriority AS name, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def xml_children(t: Tables) -> DataFrame:
-    folder = Scratch(t.spark, "xml").root
+    folder = Scratch(t.spark, "xml").folder("files")
     parts = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(C("l_linenumber").alias("number"))).alias("target"))
     own = t.orders.join(parts, C("l_orderkey") == C("o_orderkey")).select(C("o_orderkey").alias("id"), C("o_orderpriority").alias("name"), F.struct("target").alias("targets"))
     own.write.format("xml").option("rowTag", "drug").option("rootTag", "drugs").save(folder)
@@ -258,9 +329,9 @@ def paged_items(t: Tables) -> DataFrame:
     return paged.paged(t.nation, "n_nationkey", paged.patient(fetch), "item long", most_pages=10)[0]
 
 
-@registry.add("SELECT doc_id, lower(strip_accents(substr(text, 1, 40))) AS name FROM documents")
+@registry.add("SELECT doc_id, lower(strip_accents(text)) AS name FROM documents")
 def unicode_names(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", unicode_key(F.substring("text", 1, 40)).alias("name"))
+    return t.documents.select("doc_id", unicode_key(C("text")).alias("name"))
 
 
 @registry.add("SELECT DISTINCT organism, count(*) AS n FROM (SELECT CASE WHEN s_nationkey % 3 = 0 THEN 'Homo sapiens' WHEN s_nationkey % 3 = 1 THEN 'Mus musculus' ELSE 'nation ' || s_nationkey END AS organism FROM supplier) GROUP BY organism")

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.shared import Scratch
+
 #: (records of a page, what to ask for next or None after the last) of a key and a position, None at first.
 Fetch = Callable[[object, object], tuple[list[dict], object]]
 
@@ -72,7 +74,8 @@ def paged(keys: DataFrame, key: str, fetch: Fetch, schema: str, *, most_pages: i
                     page += 1
 
     kind = own.schema[key].dataType.simpleString()
-    raw = own.mapInArrow(run, f"`{key}` {kind}, page long, record string")
+    # A service is asked once: both results read what it gave.
+    raw = Scratch(keys.sparkSession, "paged").write(own.mapInArrow(run, f"`{key}` {kind}, page long, record string"), "pages")
     row = F.from_json("record", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     parsed = raw.withColumn("r", row)
     return parsed.where("r._corrupt is null").select(key, "page", "r.*").drop("_corrupt"), parsed.where("r._corrupt is not null").select(key, "page", "record")

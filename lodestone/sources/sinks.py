@@ -32,6 +32,15 @@ def write_parquet(df: DataFrame, path: str, *, by: Sequence[str] = (), files: in
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_chunks(df: DataFrame, path: str, position: str, size: int) -> None:
+    """CSV files with headers in folders chunk=0, 1, ... of `size` successive positions each (from 0); the position isn't written.
+
+    Chunks are dealt whole to tasks, in none of which more than one is held.
+    """
+    own = df.withColumn("chunk", F.floor(F.col(position) / size)).drop(position)
+    own.repartition("chunk").write.mode("overwrite").partitionBy("chunk").csv(path, header=True)
+
+
 def write_upsert(path: str, new_path: str, changes: DataFrame, keys: Sequence[str], order: Column, *, fill_only: bool = False) -> DataFrame:
     """The table at path with changes upserted, written to new_path (a table can't be read and overwritten at once)."""
     spark = changes.sparkSession

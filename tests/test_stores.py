@@ -15,11 +15,16 @@ def test_loads(spark):
     table = spark.createDataFrame([("K1", "a", 1.0), ("K2", "b", None)], "inchikey string, name string, weight double")
     batch = spark.createDataFrame([("K2", "bb", 2.0), ("K3", " ", 1.0), (None, "x", 1.0), ("K1", "z", None), ("K1", "z", None), ("K4", None, 1.0)], table.schema)
     after, bad = L.loaded(table, batch, L.RULES["drugs"])
-    assert sorted(map(tuple, after.collect())) == [("K1", "z", 1.0), ("K2", "bb", 2.0)]
+    assert sorted(map(tuple, after.collect())) == [("K1", "z", None), ("K2", "bb", 2.0)]
     assert sorted(r["reason"] for r in bad.collect()) == ["name", "name", "no inchikey"]
     again = L.loaded(after, batch, L.RULES["drugs"])[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, after.collect()))
     assert L.loaded(table.limit(0), batch.limit(0), L.RULES["drugs"])[0].count() == 0
+    part = batch.drop("weight").withColumns({"_own": F.lit(1), "_new": F.lit(1), "_row": F.lit(1), "_0": F.lit(1)})
+    assert sorted(map(tuple, L.loaded(table, part, L.RULES["drugs"])[0].collect())) == [("K1", "z", 1.0), ("K2", "bb", None)]
+    for known, want in ((L.KEEP, [("K1", "z", 1.0), ("K2", "bb", 2.0)]), (L.FILL, [("K1", "a", 1.0), ("K2", "b", 2.0)])):
+        rule = L.Rule(("inchikey",), valid=lambda: {"name": F.trim("name") != ""}, known=known)
+        assert sorted(map(tuple, L.loaded(table, batch, rule)[0].collect())) == want
 
 
 def test_pairs_and_mapping(spark):
@@ -32,7 +37,7 @@ def test_pairs_and_mapping(spark):
     table = spark.createDataFrame([("E1", "Aspirin", None)], "canonical_id string, name string, cid int")
     batch = spark.createDataFrame([(None, " aspirin", 7), ("E1", "ASPIRIN", 9), (None, "unknown", 1), (None, None, 2)], table.schema)
     after, bad = L.loaded(table, batch, L.RULES["entity_mapping"])
-    assert [tuple(r) for r in after.collect()] == [("E1", "Aspirin", 7)]
+    assert [tuple(r) for r in after.collect()] == [("E1", " aspirin", 7)]
     assert bad.count() == 2
 
 
