@@ -9,15 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestone.operators.ordered import least_after, placed, quantiles
+from lodestone.operators.ordered import group_quantiles, least_after, placed, quantiles
 
 
 def median_with_representative(df: DataFrame, keys: Sequence[str], value: str, row_id: str) -> DataFrame:
-    """keys, median of the positive values, n, and the id of the row nearest to the median (ties to the smaller id)."""
+    """keys, median of the positive values, n, and the id of the row nearest to the median (ties to the smaller id). Rows with a null key are left out."""
     df = df.where(F.col(value) > 0)
-    medians = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-    near = df.join(medians, list(keys)).groupBy(*keys).agg(F.first("median").alias("median"), F.first("n").alias("n"), F.min_by(row_id, F.struct(F.abs(F.col(value) - F.col("median")), F.col(row_id))).alias("representative"))
-    return near
+    medians = group_quantiles(df, keys, value, {"median": 0.5})
+    return df.join(medians, list(keys)).groupBy(*keys, "median").agg(F.count("*").alias("n"), F.min_by(row_id, F.struct(F.abs(F.col(value) - F.col("median")), F.col(row_id))).alias("representative"))
 
 
 def pair_scores(df: DataFrame, a: str, b: str, score: str, order: str, *, how: str = "mean") -> DataFrame:
@@ -37,8 +36,10 @@ def expression_statistics(df: DataFrame, keys: Sequence[str], value: str, group:
     over = F.count_if(F.col(value) >= threshold)
     side = {"a": group, "b": ~group}
     moments = [f(F.when(c, F.col(value))).alias(f"{name}_{s}") for s, c in side.items() for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), over.alias("n_over"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.75)).alias("p75"), *moments)
-    return out.where((F.col("n") >= least) & (F.col("n_over") >= F.greatest(F.lit(2.0), F.col("n") * 0.25)))
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), over.alias("n_over"), *moments)
+    out = out.where((F.col("n") >= least) & (F.col("n_over") >= F.greatest(F.lit(2.0), F.col("n") * 0.25)))
+    shape = group_quantiles(df, keys, value, {"median": 0.5, "p75": 0.75})
+    return out.join(shape, list(keys)).select(*keys, "n", "n_over", "median", "p75", *[f"{name}_{s}" for s in side for name in ("n", "mean", "var")])
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -91,8 +92,7 @@ def welch(stats: DataFrame) -> DataFrame:
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, *, out: str = "fdr") -> DataFrame:
     """Step-up false discovery rates over all rows with a p value, in ranges of p; ties by key, which must be unique. Rows without p are left out."""
-    ranked = placed(df.where(F.col(p).isNotNull()), [F.col(p), F.col(key)])
-    ranked = ranked.join(F.broadcast(ranked.agg(F.count("*").alias("_tests")))).withColumn("_raw", F.col(p) * F.col("_tests") / (F.col("position") + 1))
+    ranked = placed(df.where(F.col(p).isNotNull()), [F.col(p), F.col(key)], total="_tests").withColumn("_raw", F.col(p) * F.col("_tests") / (F.col("position") + 1))
     return least_after(ranked, [F.col(p), F.col(key)], "_raw", out).withColumn(out, F.least(F.lit(1.0), out)).drop("_raw", "_tests", "position")
 
 

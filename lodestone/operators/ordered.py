@@ -18,14 +18,16 @@ def dealt(df: DataFrame, by: Sequence[Column], part: str = "_part") -> DataFrame
     return Scratch(df.sparkSession, "ordered").write(df.repartitionByRange(*by).withColumn(part, F.spark_partition_id()), "rows")
 
 
-def placed(df: DataFrame, by: Sequence[Column], *, position: str = "position", sums: dict[str, str] | None = None) -> DataFrame:
-    """df with its position from 0 in an order whose last columns make it unique, and for each (column, name) of sums the sum of the rows before."""
+def placed(df: DataFrame, by: Sequence[Column], *, position: str = "position", sums: dict[str, str] | None = None, total: str | None = None) -> DataFrame:
+    """df with its position from 0 in an order whose last columns make it unique, and for each (column, name) of sums the sum of the rows before; in `total` the number of all rows."""
     sums = sums or {}
     rows = dealt(df, by)
     whole = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{name}") for c, name in sums.items()])
     # One row for each range: as many as there are partitions.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     start = whole.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_from_{name}") for name in sums.values()])
+    if total:
+        start = start.join(F.broadcast(whole.agg(F.sum("_n").alias(total))))
     own = W.partitionBy("_part").orderBy(*by)
     inside = own.rowsBetween(W.unboundedPreceding, -1)
     out = rows.join(F.broadcast(start), "_part").withColumn(position, F.row_number().over(own) - 1 + F.col("_from"))
@@ -59,3 +61,28 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
 
         out.append((value_at(low) + (value_at(high) - value_at(low)) * F.max(at - low)).alias(name))
     return own.agg(*out)
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys with exact quantiles of their values, interpolated between the two values beside them; keys without values, and null values, are left out. Null keys are a group.
+
+    Values are counted, then stand in one order of all keys and values: the
+    values of a key with many of them are dealt over ranges as all others.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    by = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    by = Scratch(df.sparkSession, "ordered").write(placed(by, [F.col(c) for c in (*names, "_v")], position="_at", sums={"_n": "_before"}), "values")
+    whole = by.groupBy(*names).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_total"))
+    whole = whole.select(*[F.col(n).alias(f"{n}_") for n in names], "_first", "_total")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
+    low = F.col("_before") - F.col("_first")
+
+    def value_at(k: Column) -> Column:
+        return F.max(F.when((low <= k) & (k < low + F.col("_n")), F.col("_v")))
+
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_total") - 1) * F.lit(float(share))
+        out.append((value_at(F.floor(at)) + (value_at(F.ceil(at)) - value_at(F.floor(at))) * F.max(at - F.floor(at))).alias(name))
+    found = by.join(whole, same).groupBy(*names).agg(*out)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *shares)

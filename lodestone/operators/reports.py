@@ -30,15 +30,24 @@ def stale(df: DataFrame, key: str, time: str, now: Column, hours: float) -> Data
 
 
 def over_rate(calls: DataFrame, key: str, time: str, *, seconds: int = 60, most: int = 100) -> DataFrame:
-    """calls with recent (calls of the key in the `seconds` up to and with it) and refused (over `most`). Rows without a time are left out."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return calls.where(F.col(time).isNotNull()).withColumn("recent", F.count("*").over(w)).withColumn("refused", F.col("recent") > most)
+    """calls with recent (calls of the key in the `seconds` up to and with it) and refused (over `most`). Rows without a time are left out.
+
+    What counts for a call lies in its own span of `seconds` or the one before:
+    a key's calls are counted span by span, so that a busy key is dealt over its
+    time. Of calls at one time only their number goes to the span after.
+    """
+    span = seconds * 1_000_000
+    own = calls.where(F.col(time).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("_row"), F.col(key).alias("_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
+    own = own.withColumn("_span", F.floor(F.col("_at") / span))
+    before = own.groupBy("_key", "_at", "_span").agg(F.count("*").alias("_n")).select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_key", "_at", (F.col("_span") + 1).alias("_span"), "_n")
+    w = W.partitionBy("_key", "_span").orderBy("_at").rangeBetween(-span + 1, 0)
+    both = own.withColumn("_n", F.lit(1).cast("long")).unionByName(before).withColumn("_recent", F.sum("_n").over(w)).where("_row is not null")
+    return both.select(*[F.col("_row")[c].alias(c) for c in calls.columns], F.col("_recent").alias("recent"), (F.col("_recent") > most).alias("refused"))
 
 
 def breakdown(df: DataFrame, key: str, score: str, label: str, *, threshold: float) -> DataFrame:
     """key, score, label, rank (1 is the highest score, ties by key), percentile (share of rows at or below by rank), predicted and kind (tp, fp, fn, tn) of every row with a score."""
-    own = placed(df.where(F.col(score).isNotNull()).select(key, score, label), [F.col(score).desc(), F.col(key)])
-    own = own.join(F.broadcast(own.agg(F.count("*").alias("_n"))))
+    own = placed(df.where(F.col(score).isNotNull()).select(key, score, label), [F.col(score).desc(), F.col(key)], total="_n")
     yes, truth = F.col(score) >= threshold, F.col(label) == 1
     kind = F.when(yes & truth, "tp").when(yes, "fp").when(truth, "fn").otherwise("tn")
     return own.select(key, score, label, (F.col("position") + 1).alias("rank"), (1 - F.col("position") / F.col("_n")).alias("percentile"), yes.cast("int").alias("predicted"), kind.alias("kind"))

@@ -91,3 +91,19 @@ def test_welch_by_hand(spark):
     df = sum(e) ** 2 / (e[0] ** 2 / 8 + e[1] ** 2 / 13)
     assert (got[0]["t"], got[0]["df"]) == pytest.approx((t, df)) and got[0]["p"] == pytest.approx(A.t_tail(t, df)[0])
     assert [r["p"] for r in got[1:]] == [None, None]
+
+
+def test_group_quantiles(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), float(rng.randrange(20))) for _ in range(400)] + [("hot", 0, float(i % 97)) for i in range(3000)] + [("one", 1, 5.0), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, _v int, x double").repartition(5)
+    shares = {"p0": 0.0, "_n": 0.33, "median": 0.5, "p100": 1.0}
+    got = {(r["k"], r["_v"]): list(r)[2:] for r in O.group_quantiles(df, ["k", "_v"], "x", shares).collect()}
+    want = {}
+    for k, v, x in rows:
+        if x is not None:
+            want.setdefault((k, v), []).append(x)
+    assert got.keys() == want.keys()
+    for k, xs in want.items():
+        assert np.allclose(got[k], np.quantile(xs, list(shares.values())))
+    assert O.group_quantiles(df.limit(0), ["k"], "x", shares).count() == 0
