@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from lodestone.streaming.committed import Committed
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -43,6 +45,23 @@ class Cleaning:
                 df = hook(name, df)
         return df
 
+    def run_in_parts(self, df: DataFrame, tables: Committed, *, by: Iterable[str], parts: int, **how) -> DataFrame:
+        """run() over `parts` parts of df by a hash of `by`, each written and committed on its own under its number; committed ones are passed over. Returns all of them.
+
+        For inputs whose cleaned rows are wanted as they come, or whose run may
+        be ended on the way: a run that begins again goes on with the first part
+        that isn't committed. Steps see a part's rows only.
+        """
+        own = df.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)))
+        done, schema = set(tables.batches()), None
+        for part in range(parts):
+            cleaned = self.run(own.where(F.col("_part") == part).drop("_part"), **how)
+            schema = cleaned.schema
+            if part not in done:
+                tables.write(cleaned, "cleaned", part)
+                tables.commit(part)
+        return tables.read("cleaned", schema, batches=range(parts))
+
 
 @dataclass
 class Metrics:

@@ -227,3 +227,33 @@ def mapped(c: Column, table: dict[str, object], default: object = None) -> Colum
     """A fixed map's value of a key."""
     found = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])[c]
     return F.coalesce(found, F.lit(default)) if default is not None else found
+
+
+# Words before a tissue's name that say nothing of where it is, in the order in which they are taken off.
+TISSUE_STATES = ("primary_", "metastatic_", "recurrent_", "normal_")
+
+
+def tissue(c: Column, names: dict[str, str] | None = None) -> Column:
+    """A tissue's key: lower-case, without what stands in brackets and without words of state before it, white space as _; '' for null.
+
+    With names (key to identifier) the identifier, or null for an unknown tissue.
+    """
+    key = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    key = F.trim(F.regexp_replace(key, r"\s*\([^)]*\)\s*", " "))
+    key = F.regexp_replace(key, r"\s+", "_")
+    for state in TISSUE_STATES:
+        key = F.regexp_replace(key, f"^{state}", "")
+    if names is None:
+        return key
+    return F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])[key]
+
+
+def packed(columns: Sequence[str]) -> Column:
+    """The columns that aren't null as one JSON text, in the order given; null where all are."""
+    some = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(1)) for c in columns])
+    return F.when(some.isNotNull(), F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}))
+
+
+def unpacked(c: Column, schema: str) -> Column:
+    """What packed() made, as a struct; fields that aren't there, and texts that aren't JSON, give nulls."""
+    return F.from_json(c, schema, {"mode": "PERMISSIVE"})

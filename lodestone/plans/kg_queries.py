@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.functions import scalars as S
+from lodestone.functions.registry import Cleaning
 from lodestone.operators import graph as G, identity as I, matching as M, paths as P, vectors as V
 from lodestone.operators.components import connected_components
 from lodestone.plans.base import Registry, Tables
 from lodestone.shared import Scratch
+from lodestone.sources.aliases import alias_mapping, of_organism
 from lodestone.sources.nested import Level, child_tables, interactions, parsed_once
 from lodestone.sources.sinks import replace_partitions
 from lodestone.sources.sql_source import read_sqlite, write_sqlite
@@ -411,3 +414,56 @@ def replaced_partitions(t: Tables) -> DataFrame:
     staged = t.spark.read.schema(schema).parquet(path).where("o_orderstatus = 'F' and o_totalprice > 1000").withColumn("o_totalprice", F.round(C("o_totalprice") * 2, 2))
     replace_partitions(staged, path, ["o_orderstatus"], {"price": C("o_totalprice") > 0})
     return t.spark.read.schema(schema).parquet(path)
+
+
+# -- aliases, organisms, tissues, packed columns, cleaning in parts -----------------------
+
+
+@registry.add("""
+WITH x AS (SELECT '9606.P' || l_suppkey AS id, CASE WHEN l_linenumber = 5 THEN 'BLAST_UniProt_AC' ELSE 'UniProt_AC' END AS source,
+                  CASE l_linenumber WHEN 1 THEN 'A0A' || lpad('' || l_partkey % 1000, 3, '0') || 'AB12' WHEN 2 THEN 'Q' || lpad('' || l_partkey % 10, 1, '0') || 'AB' || 'C' || l_partkey % 10 WHEN 3 THEN 'P12345-2' WHEN 4 THEN 'GENE' || l_partkey ELSE 'P00000' END AS a FROM lineitem),
+v AS (SELECT upper(id) AS id, a, CASE WHEN regexp_matches(a, '^[OPQ][0-9]') AND length(a) = 6 THEN 0 WHEN regexp_matches(a, '^[OPQ][0-9]') AND length(a) = 10 THEN 1 ELSE 2 END AS kind
+      FROM x WHERE source = 'UniProt_AC' AND NOT regexp_matches(a, '-\\d+$') AND regexp_matches(a, '^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$'))
+SELECT id, arg_min(a, (kind, length(a), a)) AS accession FROM v GROUP BY id""")
+def alias_accessions(t: Tables) -> DataFrame:
+    n, p = C("l_linenumber"), C("l_partkey")
+    digit = (p % 10).cast("string")
+    alias = F.when(n == 1, F.concat(F.lit(" a0a"), F.lpad((p % 1000).cast("string"), 3, "0"), F.lit("ab12"))).when(n == 2, F.concat(F.lit("Q"), digit, F.lit("ABC"), digit)).when(n == 3, "P12345-2").when(n == 4, F.concat(F.lit("GENE"), p.cast("string"))).otherwise("P00000")
+    rows = t.lineitem.select(F.concat(F.lit("9606.p"), C("l_suppkey").cast("string")).alias("string_protein_id"), alias.alias("alias"), F.when(n == 5, "BLAST_UniProt_AC").otherwise(" UniProt_AC ").alias("source"))
+    return alias_mapping(rows)[0]
+
+
+@registry.add("SELECT kept, count(*) AS n FROM (SELECT l_partkey % 3 > 0 AND l_suppkey % 4 > 0 AS kept FROM lineitem) GROUP BY kept")
+def organism_pairs(t: Tables) -> DataFrame:
+    pairs = t.lineitem.select(F.when(C("l_partkey") % 3 > 0, F.concat(F.lit("9606.P"), C("l_partkey").cast("string"))).otherwise("10090.P").alias("a"), F.when(C("l_suppkey") % 4 > 0, F.concat(F.lit("9606.S"), C("l_suppkey").cast("string"))).alias("b"))
+    kept, rest = of_organism(pairs, "a", "b", "9606")
+    return kept.groupBy(F.lit(True).alias("kept")).agg(F.count("*").alias("n")).unionByName(rest.groupBy(F.lit(False).alias("kept")).agg(F.count("*").alias("n")))
+
+
+@registry.add("""
+SELECT p_partkey, lower(p_type) || '_tissue' AS tissue, CASE WHEN lower(p_type) = 'small' THEN 'ID:1' WHEN lower(p_type) = 'large' THEN 'ID:2' END AS known FROM part""")
+def tissue_keys(t: Tables) -> DataFrame:
+    raw = F.concat(F.when(C("p_partkey") % 2 == 0, " Primary ").otherwise("normal  "), C("p_type"), F.lit(" (cell line 7)  tissue "))
+    return t.part.select("p_partkey", S.tissue(raw).alias("tissue"), S.tissue(raw, {"small_tissue": "ID:1", "large_tissue": "ID:2"}).alias("known"))
+
+
+@registry.add("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS p, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS c, o_orderkey % 12 = 0 AS empty FROM orders")
+def packed_columns(t: Tables) -> DataFrame:
+    """Columns packed to JSON text, and taken out of it again."""
+    k = C("o_orderkey")
+    own = t.orders.select(k, F.when(k % 3 > 0, C("o_orderpriority")).alias("p"), F.when(k % 4 > 0, C("o_custkey")).alias("c"))
+    text = own.select("o_orderkey", S.packed(["p", "c"]).alias("text"))
+    return text.select("o_orderkey", S.unpacked(C("text"), "p string, c bigint").alias("x"), C("text").isNull().alias("empty")).select("o_orderkey", "x.p", "x.c", "empty")
+
+
+@registry.add("SELECT c_custkey, upper(c_name) AS c_name, coalesce(c_acctbal, 0) AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def cleaned_in_parts(t: Tables) -> DataFrame:
+    """Cleaning steps over parts of a table, each written once it is done; run again, what is written is passed over."""
+    steps = Cleaning()
+    steps.register("drop")(lambda df: df.where("c_mktsegment <> 'BUILDING'"))
+    steps.register("names")(lambda df: df.withColumn("c_name", F.upper("c_name")))
+    steps.register("fill")(lambda df: df.fillna(0.0, ["c_acctbal"]))
+    tables = Committed(t.spark, Scratch(t.spark, "cleaned").folder("parts"))
+    for _ in range(2):
+        out = steps.run_in_parts(t.customer, tables, by=["c_custkey"], parts=3)
+    return out.select("c_custkey", "c_name", "c_acctbal")
