@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.shared import unused
+
 
 def completeness(columns: Sequence[str], weights: dict[str, float] | None = None) -> Column:
     """Sum of the weights (1 each) of the columns that are neither null nor blank."""
@@ -20,8 +22,9 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     (null_keys='keep') or dropped ('drop').
     """
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    whole = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn("_rank", rank)
-    out = whole.withColumn(mark, F.col("_rank") == 1).drop("_rank") if mark else whole.where("_rank = 1").drop("_rank")
+    at = unused("_rank", df)
+    whole = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn(at, rank)
+    out = whole.withColumn(mark, F.col(at) == 1).drop(at) if mark else whole.where(F.col(at) == 1).drop(at)
     if null_keys == "drop":
         return out
     rest = df.where(" or ".join(f"`{k}` is null" for k in keys))

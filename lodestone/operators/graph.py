@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.operators.ordered import placed
-from lodestone.shared import Scratch
+from lodestone.shared import Scratch, unused
 
 END = ("src_label", "src_id", "dst_label", "dst_id")
 
@@ -169,7 +169,9 @@ def edge_lists(edges: DataFrame) -> DataFrame:
 
 def node_disjoint_edges(edges: DataFrame, split: Column, split_dst: Column) -> DataFrame:
     """Edges whose ends fall in the same split, which depends on each end's id alone."""
-    return edges.withColumn("split", split).withColumn("_d", split_dst).where("split = _d").drop("_d")
+    other = unused("_d", edges)
+    own = edges.withColumns({other: split_dst, unused("_s", edges): split})
+    return own.where(F.col(other) == F.col(unused("_s", edges))).drop(other).drop("split").withColumnRenamed(unused("_s", edges), "split")
 
 
 def _turn_of(i: Column, ahead: dict[str, Column]) -> Column:

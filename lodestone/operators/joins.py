@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.operators.ordered import placed
-from lodestone.shared import Scratch
+from lodestone.shared import Scratch, unused
 
 
 def replaced_columns(df: DataFrame, detail: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -93,11 +93,20 @@ def unseen_pairs(pairs: DataFrame, known: DataFrame, a: str, b: str) -> DataFram
     return pairs.join(low, (F.lower(pairs[a].cast("string")) == F.col("_a")) & (F.lower(pairs[b].cast("string")) == F.col("_b")), "left_anti")
 
 
-def all_pairs(left: DataFrame, right: DataFrame, *, blocks: int = 8) -> DataFrame:
-    """Every row of left with every row of right, dealt out by blocks of both sides, so no side is broadcast."""
-    l = left.withColumn("_p", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = right.withColumn("_q", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return l.join(r, ["_p", "_q"]).drop("_p", "_q")
+#: Rows on a side of a block of pairs.
+PAIR_ROWS = 100_000
+
+
+def all_pairs(left: DataFrame, right: DataFrame, *, blocks: int | None = None) -> DataFrame:
+    """Every row of left with every row of right, dealt out by blocks of both sides, so no side is broadcast.
+
+    blocks of each side: 8, or as many as hold PAIR_ROWS rows each.
+    """
+    blocks = blocks or max(8, -(-max(left.count(), right.count()) // PAIR_ROWS))
+    p, q = unused("_p", left, right), unused("_q", left, right)
+    l = left.withColumn(p, F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int")).withColumn(q, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = right.withColumn(q, F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int")).withColumn(p, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return l.join(r, [p, q]).drop(p, q)
 
 
 def top_unseen_pairs(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, *, bound: Column, score: Column, ties: Sequence[str], k: int, block: int = 64) -> DataFrame:
@@ -130,21 +139,25 @@ def alias_pairs(df: DataFrame, key: str, aliases: str) -> DataFrame:
 def upserted(table: DataFrame, changes: DataFrame, keys: Sequence[str], order: Column, *, fill_only: bool = False) -> DataFrame:
     """table after an upsert: of each key the last change by `order` overwrites (or, fill_only, fills nulls of) the row, or is added."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(order.desc()))
-    last = changes.withColumn("_r", rank).where("_r = 1").select(*table.columns)
+    at = unused("_r", changes)
+    last = changes.withColumn(at, rank).where(F.col(at) == 1).select(*table.columns)
     fields = [c for c in table.columns if c not in keys]
-    new = last.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_in_new"))
-    both = table.withColumn("_in_old", F.lit(True)).join(new, list(keys), "full_outer")
+    place = {c: unused(f"_new{i}", table) for i, c in enumerate(fields)}
+    fresh = unused("_in_new", table)
+    new = last.select(*keys, *[F.col(c).alias(place[c]) for c in fields], F.lit(True).alias(fresh))
+    both = table.join(new, list(keys), "full_outer")
 
     def value(c: str) -> Column:
-        return F.coalesce(c, f"_new_{c}") if fill_only else F.when(F.col("_in_new"), F.coalesce(f"_new_{c}", c)).otherwise(F.col(c))
+        return F.coalesce(c, place[c]) if fill_only else F.when(F.col(fresh), F.coalesce(place[c], c)).otherwise(F.col(c))
 
     return both.select(*keys, *[value(c).alias(c) for c in fields])
 
 
 def filled_from(table: DataFrame, staging: DataFrame, key: str, column: str) -> DataFrame:
     """column set where it is null, from staging keys that come once only."""
-    once = staging.groupBy(key).agg(F.count("*").alias("_n"), F.first(column).alias("_v")).where("_n = 1").drop("_n")
-    return table.join(once, key, "left").withColumn(column, F.coalesce(column, "_v")).drop("_v")
+    own = unused("_v", table)
+    once = staging.select(F.col(key).alias("k"), F.col(column).alias("v")).groupBy("k").agg(F.count("*").alias("n"), F.first("v").alias("v")).where("n = 1").select(F.col("k").alias(key), F.col("v").alias(own))
+    return table.join(once, key, "left").withColumn(column, F.coalesce(column, own)).drop(own).select(*table.columns)
 
 
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lodestone.shared import Scratch
+from lodestone.shared import Scratch, unused
 
 
 def dealt(df: DataFrame, by: Sequence[Column], part: str = "_part") -> DataFrame:
@@ -21,28 +21,31 @@ def dealt(df: DataFrame, by: Sequence[Column], part: str = "_part") -> DataFrame
 def placed(df: DataFrame, by: Sequence[Column], *, position: str = "position", sums: dict[str, str] | None = None, total: str | None = None) -> DataFrame:
     """df with its position from 0 in an order whose last columns make it unique, and for each (column, name) of sums the sum of the rows before; in `total` the number of all rows."""
     sums = sums or {}
-    rows = dealt(df, by)
-    whole = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{name}") for c, name in sums.items()])
+    part = unused("_part", df)
+    rows = dealt(df, by, part)
+    names = [f"{part}_{i}" for i in range(len(sums) + 1)]
+    whole = rows.groupBy(part).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(sums)])
     # One row for each range: as many as there are partitions.
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    start = whole.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_from_{name}") for name in sums.values()])
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    start = whole.select(part, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in zip(["n", *[f"s{i}" for i in range(len(sums))]], names, strict=True)])
     if total:
-        start = start.join(F.broadcast(whole.agg(F.sum("_n").alias(total))))
-    own = W.partitionBy("_part").orderBy(*by)
+        start = start.join(F.broadcast(whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(total))))
+    own = W.partitionBy(part).orderBy(*by)
     inside = own.rowsBetween(W.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(start), "_part").withColumn(position, F.row_number().over(own) - 1 + F.col("_from"))
-    for c, name in sums.items():
-        out = out.withColumn(name, F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_from_{name}"))
-    return out.drop("_part", "_from", *[f"_from_{name}" for name in sums.values()])
+    out = rows.join(F.broadcast(start), part).withColumn(position, F.row_number().over(own) - 1 + F.col(names[0]))
+    for (c, name), first in zip(sums.items(), names[1:], strict=True):
+        out = out.withColumn(name, F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(first))
+    return out.drop(part, *names)
 
 
 def least_after(df: DataFrame, by: Sequence[Column], value: str, out: str) -> DataFrame:
     """df with the least value of its own and all later rows of a unique order."""
-    rows = dealt(df, by)
-    whole = rows.groupBy("_part").agg(F.min(value).alias("_least"))
-    later = whole.select("_part", F.min("_least").over(W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
-    inside = W.partitionBy("_part").orderBy(*by).rowsBetween(W.currentRow, W.unboundedFollowing)
-    return rows.join(F.broadcast(later), "_part").withColumn(out, F.least(F.min(value).over(inside), "_later")).drop("_part", "_later")
+    part = unused("_part", df)
+    rows = dealt(df, by, part)
+    whole = rows.groupBy(part).agg(F.min(value).alias("least"))
+    later = whole.select(part, F.min("least").over(W.orderBy(part).rowsBetween(1, W.unboundedFollowing)).alias(f"{part}_later"))
+    inside = W.partitionBy(part).orderBy(*by).rowsBetween(W.currentRow, W.unboundedFollowing)
+    return rows.join(F.broadcast(later), part).withColumn(out, F.least(F.min(value).over(inside), f"{part}_later")).drop(part, f"{part}_later")
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.operators.ordered import placed
+from lodestone.shared import unused
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, *, rank: str = "rank") -> DataFrame:
@@ -41,17 +42,19 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def average_ranks(df: DataFrame, score: str, group: Sequence[str] = ()) -> DataFrame:
     """Rows with their rank, ties sharing the mean of theirs; without a group in ranges of the scores. Null scores come first."""
     if not group:
-        by = placed(df.groupBy(score).agg(F.count("*").alias("_n")), [F.col(score)], sums={"_n": "_before"})
-        mean = by.select(F.col(score).alias("_s"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
-        return df.join(mean, df[score].eqNullSafe(mean["_s"])).drop("_s")
+        own = unused("_s", df)
+        by = placed(df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n")), [F.col("s")], sums={"n": "before"})
+        mean = by.select(F.col("s").alias(own), (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
+        return df.drop("avg_rank").join(mean, F.col(score).eqNullSafe(F.col(own))).drop(own)
     w = W.partitionBy(*group).orderBy(score)
     return df.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(W.partitionBy(*group, score)) - 1) / 2.0)
 
 
 def ranking_metrics(df: DataFrame, query: str, item: str, score: str, label: str, k: int) -> DataFrame:
     """Per query: precision@k (over k), recall@k, the reciprocal rank (0 without a hit) and hits@k; ties by item."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(F.col(score).desc(), item)))
-    hit = F.col(label) == 1
+    df = df.select(F.col(query), F.col(item).alias("_item"), F.col(score).alias("_score"), F.col(label).alias("_label"))
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(F.col("_score").desc(), "_item")))
+    hit = F.col("_label") == 1
     top_hits = F.count_if(hit & (F.col("_r") <= k))
     return ranked.groupBy(query).agg((top_hits / F.lit(k)).alias("precision_at_k"), F.when(F.count_if(hit) > 0, top_hits / F.count_if(hit)).alias("recall_at_k"), F.coalesce(1.0 / F.min(F.when(hit, F.col("_r"))), F.lit(0.0)).alias("reciprocal_rank"), (top_hits > 0).cast("int").alias("hit_at_k"))
 

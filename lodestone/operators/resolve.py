@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lodestone.operators.ordered import quantiles
+from lodestone.shared import unused
 
 # How sure each method of matching is.
 CONFIDENCE = {"exact": 1.0, "block": 0.9, "name": 0.85, "fuzzy": 0.7}
@@ -161,12 +162,12 @@ def canonical_id(first: Column, number: Column, other: Column) -> Column:
 
 def ingested(records: DataFrame, key: str, fields: Sequence[str], rank: str) -> tuple[DataFrame, DataFrame]:
     """Records of ranked sources merged by key: (per field the value of the best-ranked source, conflicts(key, field, kept, other))."""
-    merged = records.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(F.col(rank), F.col(c)))).alias(c) for c in fields], F.array_join(F.transform(F.sort_array(F.collect_set(rank)), lambda x: x.cast("string")), "|").alias("sources"))
-    conflicts = None
+    merged = records.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(rank).alias("r"), F.col(c).alias("v"))))["v"].alias(c) for c in fields], F.array_join(F.transform(F.sort_array(F.collect_set(rank)), lambda x: x.cast("string")), "|").alias("sources"))
+    conflicts = records.select(key, F.lit("").alias("field"), F.lit("").alias("kept"), F.lit("").alias("other")).limit(0)
     for c in fields:
         kept = merged.select(key, F.col(c).cast("string").alias("kept"))
         part = records.select(key, F.col(c).cast("string").alias("other")).where("other is not null").join(kept, key).where("other <> kept").select(key, F.lit(c).alias("field"), "kept", "other").distinct()
-        conflicts = part if conflicts is None else conflicts.unionByName(part)
+        conflicts = conflicts.unionByName(part)
     return merged, conflicts
 
 
@@ -213,4 +214,5 @@ def name_index(df: DataFrame, name: str, key: str) -> DataFrame:
 def latest_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Of each key the row of the highest version, which must be unique in it; null versions come last."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(version).desc()))
-    return df.withColumn("_r", rank).where("_r = 1").drop("_r")
+    at = unused("_r", df)
+    return df.withColumn(at, rank).where(F.col(at) == 1).drop(at)

@@ -20,6 +20,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores after it as it takes to be no column of the frames (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset on one machine (tests), a temporary one is set.
 
