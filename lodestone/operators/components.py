@@ -17,7 +17,7 @@ def _marks(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an undirected edge list; component is the smallest node reachable.
+    """(node, component) for every node of an undirected edge list but the smallest of each component; component is that smallest node.
 
     Edges with a null end and self loops are ignored; repeated edges count
     once; an empty edge list has no components. Rounds grow with the logarithm

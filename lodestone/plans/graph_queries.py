@@ -122,19 +122,39 @@ def graph_neighbours(t: Tables) -> DataFrame:
     return G.neighbours(edges(t), "Part", 7, most=20)
 
 
-@registry.add()
+#: Labels that fall to the least one in reach, round by round; a round's rows are the nodes whose label fell.
+_COMPONENTS = """
+WITH RECURSIVE d AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem), s AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+found(node, component) USING KEY (node) AS (
+  SELECT a, a FROM s GROUP BY a
+  UNION
+  SELECT s.b, min(f.component) FROM found f JOIN s ON s.a = f.node JOIN recurring.found r ON r.node = s.b WHERE f.component < r.component GROUP BY s.b
+)"""
+
+
+@registry.add(f"{_COMPONENTS} SELECT node, component FROM found WHERE node <> component")
 def graph_components(t: Tables) -> DataFrame:
     return connected_components(_sales(t).distinct())
 
 
-@registry.add()
+@registry.add(f"""{_COMPONENTS},
+p AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS i FROM found GROUP BY component),
+target AS (SELECT CAST(floor(sum(size) * 0.8::DOUBLE) AS BIGINT) AS a, CAST(floor(sum(size) * 0.1::DOUBLE) AS BIGINT) AS b, sum(size)::BIGINT AS n FROM p),
+turn AS (
+  SELECT 0::BIGINT AS i, a, b, n - a - b AS c, '' AS split FROM target
+  UNION ALL
+  SELECT t.i + 1, a - CASE WHEN w = 'train' THEN size ELSE 0 END, b - CASE WHEN w = 'val' THEN size ELSE 0 END, c - CASE WHEN w = 'test' THEN size ELSE 0 END, w
+  FROM (SELECT turn.*, p.size, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END AS w FROM turn JOIN p ON p.i = turn.i + 1) t
+)
+SELECT component, size, split FROM turn JOIN p USING (i)""")
 def graph_component_split(t: Tables) -> DataFrame:
-    return G.component_split(connected_components(_sales(t).distinct()))
+    found = connected_components(_sales(t).distinct())
+    return G.component_split(found.unionByName(found.select(C("component").alias("node"), "component").distinct()))
 
 
-@registry.add(f"WITH {_EDGES} SELECT split, count(*) AS n FROM (SELECT CASE WHEN CAST('0x' || substr(md5('0:' || src_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split, CASE WHEN CAST('0x' || substr(md5('0:' || dst_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS d FROM e) WHERE split = d GROUP BY split")
+@registry.add(f"WITH {_EDGES} SELECT * EXCLUDE (d) FROM (SELECT e.*, CASE WHEN CAST('0x' || substr(md5('0:' || src_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split, CASE WHEN CAST('0x' || substr(md5('0:' || dst_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS d FROM e) WHERE split = d")
 def graph_node_disjoint(t: Tables) -> DataFrame:
-    return G.node_disjoint_edges(edges(t), S.hash_split(C("src_id")), S.hash_split(C("dst_id"))).groupBy("split").agg(F.count("*").alias("n"))
+    return G.node_disjoint_edges(edges(t), S.hash_split(C("src_id")), S.hash_split(C("dst_id")))
 
 
 @registry.add("SELECT DISTINCT 'Customer' AS src_label, c_custkey AS src_id, 'same_nation' AS rel, 'Supplier' AS dst_label, s_suppkey AS dst_id FROM customer JOIN supplier ON c_nationkey = s_nationkey")
@@ -155,11 +175,11 @@ def graph_merged_nodes(t: Tables) -> DataFrame:
     return G.merged_nodes([one, two], ["name"])
 
 
-@registry.add("SELECT rel, count(*) AS n FROM (SELECT DISTINCT 'bought' AS rel, o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE p_size < 25) GROUP BY rel")
+@registry.add("SELECT 'Customer' AS src_label, o_custkey AS src_id, 'bought' AS rel, 'Part' AS dst_label, l_partkey AS dst_id, max(l_discount) AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE p_size < 25 GROUP BY ALL")
 def graph_merged_edges(t: Tables) -> DataFrame:
     e = t.orders.join(t.lineitem, C("l_orderkey") == C("o_orderkey")).select(F.lit("Customer").alias("src_label"), C("o_custkey").alias("src_id"), F.lit("bought").alias("rel"), F.lit("Part").alias("dst_label"), C("l_partkey").alias("dst_id"), C("l_discount").alias("confidence"))
     n = t.customer.select(F.lit("Customer").alias("label"), C("c_custkey").alias("id")).unionByName(t.part.where("p_size < 25").select(F.lit("Part").alias("label"), C("p_partkey").alias("id")))
-    return G.merged_edges(e, n).groupBy("rel").agg(F.count("*").alias("n"))
+    return G.merged_edges(e, n)
 
 
 @registry.add()

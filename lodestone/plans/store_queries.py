@@ -152,12 +152,13 @@ def reload_compound_properties(t: Tables) -> DataFrame:
 
 
 @registry.add("""
-SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 4 < 3 THEN 'A' || s_suppkey END AS match, CASE s_suppkey % 4 WHEN 0 THEN 'accession' WHEN 1 THEN 'network' WHEN 2 THEN 'gene' END AS method,
-       CASE s_suppkey % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.9::DOUBLE END AS confidence FROM supplier""")
+SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 5 < 4 THEN 'A' || s_suppkey END AS match, CASE s_suppkey % 5 WHEN 0 THEN 'accession' WHEN 1 THEN 'network' WHEN 2 THEN 'gene' WHEN 3 THEN 'name' END AS method,
+       CASE s_suppkey % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 0.6::DOUBLE END AS confidence FROM supplier""")
 def protein_cascade(t: Tables) -> DataFrame:
-    n, key = C("s_suppkey") % 4, C("s_suppkey").cast("string")
-    e = t.supplier.select(F.concat(F.lit("A"), key).alias("accession"), F.concat(F.lit("9606."), key).alias("network_id"), F.concat(F.lit("g"), key).alias("gene"), C("s_nationkey").cast("string").alias("organism"), C("s_name").alias("name"))
-    r = t.supplier.select(C("s_suppkey").alias("record_id"), F.when(n == 0, F.concat(F.lit("A"), key)).alias("accession"), F.when(n == 1, F.concat(F.lit("9606."), key)).alias("network_id"), F.when(n == 2, F.concat(F.lit("G"), key)).alias("gene"), C("s_nationkey").cast("string").alias("organism"), F.when(n == 3, F.lit("nothing like it")).alias("name"))
+    n, key = C("s_suppkey") % 5, C("s_suppkey").cast("string")
+    name = F.md5(C("s_name").cast("binary"))
+    e = t.supplier.select(F.concat(F.lit("A"), key).alias("accession"), F.concat(F.lit("9606."), key).alias("network_id"), F.concat(F.lit("g"), key).alias("gene"), C("s_nationkey").cast("string").alias("organism"), name.alias("name"))
+    r = t.supplier.select(C("s_suppkey").alias("record_id"), F.when(n == 0, F.concat(F.lit("A"), key)).alias("accession"), F.when(n == 1, F.concat(F.lit("9606."), key)).alias("network_id"), F.when(n == 2, F.concat(F.lit("G"), key)).alias("gene"), C("s_nationkey").cast("string").alias("organism"), F.when(n == 3, F.concat(name, F.lit("x"))).when(n == 4, F.lit("nothing like it")).alias("name"))
     return P.resolved(r, e)
 
 
@@ -262,12 +263,12 @@ def standard_drug_records(t: Tables) -> DataFrame:
 # -- stores, files and services ------------------------------------------------------
 
 
-@registry.add("SELECT rel, count(*) AS n FROM (SELECT 'placed' AS rel FROM orders UNION ALL SELECT 'contains' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) GROUP BY rel")
+@registry.add("SELECT 'Customer' AS src_label, o_custkey AS src_id, 'placed' AS rel, 'Order' AS dst_label, o_orderkey AS dst_id, 0.9::DOUBLE AS confidence FROM orders UNION ALL SELECT DISTINCT 'Order', l_orderkey, 'contains', 'Part', l_partkey, 0.8::DOUBLE FROM lineitem")
 def graph_store_relations(t: Tables) -> DataFrame:
     folder = Scratch(t.spark, "graph").folder("store")
     graph_store.write_graph(nodes(t), edges(t), folder)
     _, kept = graph_store.read_graph(t.spark, folder, rels=["placed", "contains"])
-    return kept.groupBy("rel").agg(F.count("*").alias("n"))
+    return kept.select("src_label", "src_id", "rel", "dst_label", "dst_id", "confidence")
 
 
 @registry.add("""
