@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import graph_queries, kg_queries, more_queries, scalar_queries, store_queries, table_queries
+from lodestone.plans import file_queries, graph_queries, kg_queries, more_queries, scalar_queries, store_queries, table_queries
 
-_PARTS = (scalar_queries.registry, table_queries.registry, graph_queries.registry, more_queries.registry, store_queries.registry, kg_queries.registry)
+_PARTS = (scalar_queries.registry, table_queries.registry, graph_queries.registry, more_queries.registry, store_queries.registry, kg_queries.registry, file_queries.registry)
 
 
 def queries() -> dict:

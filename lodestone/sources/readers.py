@@ -85,7 +85,7 @@ def flat_records(spark: SparkSession, path: str, *, end: str = "//\n") -> DataFr
         F.regexp_extract(v, r"(?m)^ID   (\S+)", 1).alias("id"),
         F.array_join(F.filter(F.transform(F.split(F.array_join(accessions, " "), ";"), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("accessions"),
         F.nullif(F.regexp_extract(v, r"(?m)^GN   Name=([^;{ ]+)", 1), F.lit("")).alias("gene"),
-        F.nullif(F.regexp_extract(v, r"(?m)^OS   ([^.\n(]+)", 1), F.lit("")).alias("organism"),
+        F.nullif(F.trim(F.regexp_extract(v, r"(?m)^OS   ([^.\n(]+)", 1)), F.lit("")).alias("organism"),
         F.nullif(F.regexp_extract(v, r"NCBI_TaxID=(\d+)", 1), F.lit("")).cast("long").alias("taxon"),
         F.nullif(sequence, F.lit("")).alias("sequence"),
     )
