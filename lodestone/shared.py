@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +50,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: list[Scratch] = []
+_scopes: list[list[Scratch]] = []
 
 
 def clean() -> None:
-    """Drops every table that operators of this process have left for results which still read them: call it once those are written."""
+    """Drops every table that operators of this process have left, outside of scopes, for results which still read them: call it once those are written."""
     while _made:
         _made.pop().drop()
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that operators leave inside the block are dropped at its end, and no others: results made in it are written in it.
+
+    Scopes may stand in each other; a table belongs to the innermost.
+    """
+    own: list[Scratch] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        while own:
+            own.pop().drop()
+
+
 class Scratch:
     """Tables written for one run of an operator; drop() removes them once the result no longer needs them, clean() those that are left."""
 
@@ -63,7 +82,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
-        _made.append(self)
+        (_scopes[-1] if _scopes else _made).append(self)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         """Computes df once; the returned DataFrame reads the written rows."""

@@ -150,3 +150,23 @@ def test_pair_scores(spark, how):
     want = {"mean": 2.0, "max": 3.0, "first": None}[how]
     assert sorted(map(tuple, A.pair_scores(df, "a", "b", "s", "o", how=how).collect()), key=str) == [("a", "b", want, 3), (None, "b", 1.0, 1)]
     assert A.pair_scores(df.limit(0), "a", "b", "s", "o", how=how).count() == 0
+
+
+def test_scopes_drop_their_own_tables(spark):
+    import os
+
+    from lodestone.shared import Scratch, scope
+
+    here = lambda x: os.path.exists(x.root.removeprefix("file://") + "/t")
+    outer = Scratch(spark, "outer")
+    outer.write(spark.range(3), "t")
+    with scope():
+        one = Scratch(spark, "one")
+        one.write(spark.range(3), "t")
+        with scope():
+            two = Scratch(spark, "two")
+            two.write(spark.range(3), "t")
+            assert here(two)
+        assert not here(two) and here(one)
+    assert not here(one) and here(outer)
+    outer.drop()
