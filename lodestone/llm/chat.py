@@ -109,8 +109,8 @@ def chat_segments(conversations: DataFrame, *, template: Template = Template(),
     in a wrong order are formatted all the same.
 
     Rows come by turn (null first), ties by role and text. Null role and text
-    count as empty; rows with a null conv_id are one conversation. Other columns
-    are ignored. The rows of a conversation pass through one task as a stream
+    count as empty; rows with a null conv_id are one conversation. Ids and turns
+    are integers. Other columns are ignored. The rows of a conversation pass through one task as a stream
     and are never held; partitions are sorted by conversation and segment.
     """
     frame = conversations.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     too low to drop a candidate, loses another 1 in 10**7 at most. Links are
     confirmed on the whole sets of 64-bit shingle hashes, which mix words by
     their bytes and places: two different shingles of a pair are taken for one
-    with a chance of 2**-64.
+    with a chance of 2**-61, as one of three words keeps 61 bits of its hash.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")

@@ -31,12 +31,14 @@ SIZES = 40  # classes of a length, in half powers of 2
 BINS = 24  # classes of a layout figure
 FOLDS = 4  # parts of the labelled documents, each of which calibrates once
 
-_UPPER, _MARK, _DIGIT, _SPACE, _LINE = (np.zeros(256, np.float32) for _ in range(5))
-_UPPER[0x41:0x5B] = 1
-_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,'-"]] = 1
-_DIGIT[0x30:0x3A] = 1
-_SPACE[[0x20, 0x09, 0x0D]] = 1
-_LINE[0x0A] = 1
+#: Kinds of bytes: capitals, marks, digits, spaces, ends of lines; 0 for others.
+KINDS = 6
+_KIND = np.zeros(256, np.int64)
+_KIND[0x41:0x5B] = 1
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,'-"]] = 2
+_KIND[0x30:0x3A] = 3
+_KIND[[0x20, 0x09, 0x0D]] = 4
+_KIND[0x0A] = 5
 LAYOUT = 12
 
 
@@ -57,16 +59,17 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, LAYOUT))
     some = np.maximum(size, 1)
     out[:, 0] = np.log1p(size)
-    for i, table in enumerate((_UPPER, _MARK, _DIGIT, _SPACE, _LINE), 1):
-        out[:, i] = row_sums(table[data], offsets) / some
+    kinds = np.bincount(_KIND[data] + np.repeat(np.arange(n) * KINDS, size), minlength=n * KINDS).reshape(n, KINDS)
+    out[:, 1:KINDS] = kinds[:, 1:] / some[:, None]
     hashed, begin = tk.word_hashes(data, offsets, lower=False)
     count = np.diff(begin)
     owner = np.repeat(np.arange(n), count)
     out[:, 6] = size / np.maximum(count, 1)
-    order = np.lexsort((hashed, owner))
-    h, o = hashed[order], owner[order]
+    # One key of a text's number among those of a chunk and its word's hash, of which 40 bits tell words apart.
+    h = np.sort(owner.astype(np.uint64) << np.uint64(40) | hashed >> np.uint64(24))
+    o = (h >> np.uint64(40)).astype(np.int64)
     fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    fresh[1:] = h[1:] != h[:-1]
     distinct = np.bincount(o, fresh, n) if len(o) else np.zeros(n)
     out[:, 7] = distinct / np.maximum(count, 1)
     beside = np.zeros(n)
