@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone import schemas
 from lodestone.functions import registry as R
 from lodestone.plans.base import Registry, Tables
+from lodestone.plans.graph_queries import edges
 from lodestone.shared import Scratch
 from lodestone.sources import readers, sinks
+from lodestone.sources.networks import dataset_sizes, gene_crosswalk, scored_network
 from lodestone.streaming import incremental
 from lodestone.streaming.committed import Committed, once, run_batches
 
@@ -240,3 +242,62 @@ def streamed_parts(t: Tables) -> DataFrame:
     work = once(tables, lambda batch, number: tables.write(batch.groupBy("event_type", F.date_trunc("hour", "ts").alias("start")).agg(F.count("*").alias("n")), "counts", number))
     run_batches(incremental.stream_parquet(t.spark, f"{folder}/in", own.schema), work, f"{folder}/checkpoint")
     return tables.read("counts", "event_type string, start timestamp, n bigint").groupBy("event_type", "start").agg(F.sum("n").alias("n"))
+
+
+# -- networks, crosswalks, sizes, bulk loads ---------------------------------------------------
+
+_PAIRS = """
+p AS (SELECT CASE WHEN l_partkey % 9 > 0 THEN '9606.P' ELSE '10090.P' END || l_partkey % 50 AS a, CASE WHEN l_suppkey % 8 > 0 THEN '9606.P' ELSE '7.P' END || l_suppkey % 50 AS b,
+             CASE WHEN l_linenumber = 7 THEN 'high' ELSE '' || CAST(floor(l_extendedprice / 60) AS BIGINT) END AS score FROM lineitem),
+r AS (SELECT *, CASE WHEN NOT coalesce(try_cast(score AS INTEGER) BETWEEN 0 AND 1000, false) THEN 'score' WHEN NOT (a LIKE '9606.%' AND b LIKE '9606.%') THEN 'organism' WHEN a = b THEN 'itself' END AS reason FROM p)"""
+
+
+def _network(t: Tables) -> tuple[DataFrame, DataFrame]:
+    a = F.concat(F.when(C("l_partkey") % 9 > 0, "9606.P").otherwise("10090.P"), (C("l_partkey") % 50).cast("string"))
+    b = F.concat(F.when(C("l_suppkey") % 8 > 0, " 9606.P").otherwise("7.P"), (C("l_suppkey") % 50).cast("string"))
+    score = F.when(C("l_linenumber") == 7, "high").otherwise(F.floor(C("l_extendedprice") / 60).cast("string"))
+    folder = _folder(t, "network")
+    line = F.concat_ws("\t", a, b, score)
+    t.lineitem.select(line.alias("value")).write.option("compression", "gzip").text(folder)
+    return scored_network(readers.commented_tsv(t.spark, folder, ["a", "b", "score"]), "a", "b", "score", organism="9606")
+
+
+@registry.add(f"WITH {_PAIRS} SELECT least(a, b) AS protein_a, greatest(a, b) AS protein_b, max(score::INTEGER) AS score, count(*) AS n FROM r WHERE reason IS NULL GROUP BY ALL")
+def network_scan(t: Tables) -> DataFrame:
+    return _network(t)[0]
+
+
+@registry.add(f"WITH {_PAIRS} SELECT a, b, score, reason FROM r WHERE reason IS NOT NULL")
+def network_rejects(t: Tables) -> DataFrame:
+    return _network(t)[1]
+
+
+@registry.add("""
+WITH x AS (SELECT upper(p_brand || p_size) AS symbol, CASE WHEN p_partkey % 3 > 0 THEN '' || p_partkey END AS ncbi_gene_id, CASE WHEN p_partkey % 4 > 0 THEN 'Q' || p_partkey END AS uniprot_id, CASE WHEN p_partkey % 5 > 0 THEN '' || p_size END AS gene_mim FROM part)
+SELECT symbol, ncbi_gene_id, uniprot_id, gene_mim FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY (ncbi_gene_id IS NULL)::INT + (uniprot_id IS NULL)::INT + (gene_mim IS NULL)::INT, ncbi_gene_id NULLS FIRST, uniprot_id NULLS FIRST, gene_mim NULLS FIRST) AS i FROM x) WHERE i = 1""")
+def gene_crosswalk_scan(t: Tables) -> DataFrame:
+    folder, k = _folder(t, "crosswalk"), C("p_partkey")
+    own = t.part.select(
+        F.concat(F.lit(" "), F.lower("p_brand"), C("p_size").cast("string")).alias("Approved symbol"), F.when(k % 3 > 0, k.cast("string")).alias("entrez_id"),
+        F.when(k % 4 > 0, F.concat(F.lit("Q"), k.cast("string"), F.lit("|A1|B2"))).alias("uniprot_ids"), F.when(k % 5 > 0, F.concat(C("p_size").cast("string"), F.lit(", 7"))).alias("omim_id"),
+    )
+    own.write.option("header", True).option("sep", "\t").csv(folder)
+    return gene_crosswalk(t.spark.read.option("header", True).option("sep", "\t").csv(folder))
+
+
+@registry.add("""
+SELECT 'labels' AS dataset, count(*) AS rows, 3 AS columns, count(*) FILTER (doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS complete FROM labels
+UNION ALL SELECT 'nation', count(*), 3, count(*) FILTER (n_nationkey IS NOT NULL AND n_name IS NOT NULL AND n_regionkey IS NOT NULL) FROM nation
+UNION ALL SELECT 'orders', count(*), 6, count(*) FILTER (o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL) FROM orders""")
+def data_set_sizes(t: Tables) -> DataFrame:
+    return dataset_sizes({n: getattr(t, n) for n in ("orders", "nation", "labels")})
+
+
+@registry.add("SELECT 'Order' AS src_label, 'contains' AS rel, 'Part' AS dst_label, l_orderkey AS src_id, l_partkey AS dst_id FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+def bulk_loaded_edges(t: Tables) -> DataFrame:
+    """Edges in folders by their kind, of which a reader of one kind reads one."""
+    folder, own = _folder(t, "bulk"), edges(t)
+    sinks.write_parquet(own, folder, by=["src_label", "rel", "dst_label"])
+    kept = t.spark.read.schema(own.schema).parquet(folder).where("src_label = 'Order' and rel = 'contains' and dst_label = 'Part'")
+    return kept.select("src_label", "rel", "dst_label", "src_id", "dst_id")

@@ -110,3 +110,18 @@ def test_crosswalk_clash(spark):
     assert J.merged_crosswalks(a, b, "k", "v", "keep_other").first()["v"] == "y"
     with pytest.raises(Exception, match="disagree"):
         J.merged_crosswalks(a, b, "k", "v", "error").collect()
+
+
+def test_networks_and_crosswalks(spark):
+    from lodestone.sources import networks
+
+    rows = [("9606.B", " 9606.A", "700"), ("9606.A", "9606.B", "900"), ("9606.A", "9606.A", "5"), ("7.A", "9606.A", "5"), (None, "9606.A", "5"), ("9606.A", "9606.C", "1001"), ("9606.A", "9606.C", "x"), ("9606.A", "9606.C", None)]
+    good, bad = networks.scored_network(spark.createDataFrame(rows, "x string, y string, s string"), "x", "y", "s", organism="9606")
+    assert [tuple(r) for r in good.collect()] == [("9606.A", "9606.B", 900, 2)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["itself", "organism", "organism", "score", "score", "score"]
+    genes = spark.createDataFrame([("abc", "1", "Q1|Q2"), ("ABC ", None, "Q0"), (None, "2", "Q3"), (" ", "2", "Q3")], "`Approved symbol` string, entrez_id string, uniprot_ids string")
+    assert [tuple(r) for r in networks.gene_crosswalk(genes).collect()] == [("ABC", "1", "Q1", None)]
+    with pytest.raises(ValueError, match="symbol"):
+        networks.gene_crosswalk(genes.drop("Approved symbol"))
+    sizes = networks.dataset_sizes({"b": genes, "a": genes.limit(0)})
+    assert [tuple(r) for r in sizes.collect()] == [("a", 0, 3, 0), ("b", 4, 3, 2)]
