@@ -257,3 +257,27 @@ def packed(columns: Sequence[str]) -> Column:
 def unpacked(c: Column, schema: str) -> Column:
     """What packed() made, as a struct; fields that aren't there, and texts that aren't JSON, give nulls."""
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})
+
+
+# Papers and the first year from which evidence is robust, moderate or limited, and the weight of sources that aren't known.
+ROBUST_PAPERS, ROBUST_YEAR, MODERATE_PAPERS = 10, 2010, 3
+UNKNOWN_SOURCE = 0.3
+
+
+def paper_ids(c: Column) -> Column:
+    """The different numbers in a text parted by ;, in order; an empty array for null."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda x: x.rlike(r"^[0-9]{1,18}$")), lambda x: x.cast("long"))))
+
+
+def evidence_strength(papers: Column, year: Column) -> Column:
+    """robust, moderate, limited or unsupported, by how many papers there are and the last one's year (null: not known, which doesn't count against it)."""
+    recent = F.coalesce(year >= ROBUST_YEAR, F.lit(True))
+    return F.when((papers >= ROBUST_PAPERS) & recent, "robust").when(papers >= MODERATE_PAPERS, "moderate").when(papers >= 1, "limited").otherwise("unsupported")
+
+
+def source_weighted(score: Column, source: Column, weights: dict[str, float], *, strict: bool = False) -> Column:
+    """score times its source's weight; an unknown source weighs UNKNOWN_SOURCE or, strict, raises. Null score or source: null."""
+    weight = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])[source]
+    known = F.coalesce(weight, F.when(source.isNotNull(), F.raise_error(F.concat(F.lit("unknown source "), source)).cast("double") if strict else F.lit(UNKNOWN_SOURCE)))
+    return F.when(score.isNotNull() & source.isNotNull(), score * known)

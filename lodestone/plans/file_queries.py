@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone import schemas
-from lodestone.functions import registry as R
+from lodestone.functions import registry as R, scalars as S
 from lodestone.plans.base import Registry, Tables
 from lodestone.plans.graph_queries import edges
 from lodestone.shared import Scratch
@@ -301,3 +301,20 @@ def bulk_loaded_edges(t: Tables) -> DataFrame:
     sinks.write_parquet(own, folder, by=["src_label", "rel", "dst_label"])
     kept = t.spark.read.schema(own.schema).parquet(folder).where("src_label = 'Order' and rel = 'contains' and dst_label = 'Part'")
     return kept.select("src_label", "rel", "dst_label", "src_id", "dst_id")
+
+
+@registry.add("""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber < 6 THEN l_discount END AS score, CASE l_returnflag WHEN 'N' THEN 'CURATED' WHEN 'R' THEN 'BEFREE' ELSE 'NEW' END AS source,
+                  CASE WHEN l_linenumber % 3 > 0 THEN 2000 + l_partkey % 20 END AS year,
+                  list_sort(list_distinct(list_filter([l_partkey % 13 * k FOR k IN range(0, l_quantity::BIGINT % 15)], lambda v: v IS NOT NULL))) AS ids FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, len(ids)::INT AS papers, CASE WHEN len(ids) >= 10 AND coalesce(year >= 2010, true) THEN 'robust' WHEN len(ids) >= 3 THEN 'moderate' WHEN len(ids) >= 1 THEN 'limited' ELSE 'unsupported' END AS strength,
+       round(score * CASE source WHEN 'CURATED' THEN 1.0 WHEN 'BEFREE' THEN 0.5 ELSE 0.3 END::DOUBLE, 9) AS normalised FROM x""")
+def normalised_evidence(t: Tables) -> DataFrame:
+    """Papers in a text with blanks, repeats and words; strength by their number and year; scores by the weight of their source."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.when(k < C("l_quantity").cast("long") % 15, (C("l_partkey") % 13 * k).cast("string")))
+    text = F.concat(F.lit("; pmid;"), F.array_join(numbers, " ; "), F.lit(";;-4"))
+    source = F.when(C("l_returnflag") == "N", "CURATED").when(C("l_returnflag") == "R", "BEFREE").otherwise("NEW")
+    papers = F.size(S.paper_ids(text))
+    year = F.when(C("l_linenumber") % 3 > 0, 2000 + C("l_partkey") % 20)
+    normal = S.source_weighted(F.when(C("l_linenumber") < 6, C("l_discount")), source, {"CURATED": 1.0, "BEFREE": 0.5})
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", papers.alias("papers"), S.evidence_strength(papers, year).alias("strength"), F.round(normal, 9).alias("normalised"))
