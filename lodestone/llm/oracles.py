@@ -166,3 +166,44 @@ FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up USING (folder)
 
 
 SQL["op10_licenses"] = _licence_sql()
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op11_source_divergence"] = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+tokens AS (SELECT n, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM tokens GROUP BY ALL HAVING count(DISTINCT n) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+cells AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM tokens t SEMI JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+sums AS (SELECT lang, source, sum(c) AS n FROM cells GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sums s USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.c, 0) AS c, 1 + CAST((1000000000::HUGEINT * (coalesce(x.c, 0) + 5)) // (g.n + 5 * v.v) AS BIGINT) AS p,
+         1 + CAST((1000000000::HUGEINT * (k.c + 5)) // (v.n + 5 * v.v) AS BIGINT) AS q
+  FROM groups g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN cells x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+),
+far AS (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.f, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL["op13_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t, row_number() OVER () AS r FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+asked AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+size AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+post AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM post SEMI JOIN asked USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, size),
+part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS s FROM tf JOIN w USING (term), size),
+score AS (SELECT item_id, r, doc_id, CAST(sum(s * times) AS BIGINT) AS score FROM asked JOIN part USING (term) WHERE doc_id IS NOT NULL GROUP BY ALL HAVING sum(s * times) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 20
+"""
