@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lodestone.operators.ordered import quantiles
-from lodestone.shared import unused
+from lodestone.shared import Scratch, unused
 
 # How sure each method of matching is.
 CONFIDENCE = {"exact": 1.0, "block": 0.9, "name": 0.85, "fuzzy": 0.7}
@@ -36,15 +37,17 @@ def _common(a: str, b: str) -> int:
     return len(a) - (row & (1 << len(a)) - 1).bit_count()
 
 
+def _letters(names: list[str], none: int) -> np.ndarray:
+    """A row of code points for each name, `none` after its end."""
+    out = np.full((len(names), max(map(len, names), default=0)), none, np.uint32)
+    for i, x in enumerate(names):
+        out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
 def _common_of_many(a: list[str], b: list[str]) -> np.ndarray:
     """_common of pairs whose first names have up to 63 letters: all pairs at once, a letter of the second names after the other."""
-    def letters(names: list[str], none: int) -> np.ndarray:
-        out = np.full((len(names), max(map(len, names), default=0)), none, np.uint32)
-        for i, x in enumerate(names):
-            out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return out
-
-    one, two = letters(a, 0xFFFFFFFF), letters(b, 0xFFFFFFFE)
+    one, two = _letters(a, 0xFFFFFFFF), _letters(b, 0xFFFFFFFE)
     bit = np.uint64(1) << np.arange(one.shape[1], dtype=np.uint64)
     size = np.array([len(x) for x in a], np.uint64)
     whole = (np.uint64(1) << size) - np.uint64(1)
@@ -55,8 +58,8 @@ def _common_of_many(a: list[str], b: list[str]) -> np.ndarray:
     return size.astype(np.int64) - np.bitwise_count(row & whole)
 
 
-@F.pandas_udf(T.DoubleType())
-def _shared_share(a: pd.Series, b: pd.Series) -> pd.Series:
+def _shares(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
+    """Twice the longest common subsequence over both lengths; NaN for two empty or any null text."""
     out = np.full(len(a), np.nan)
     told = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and x + y]
     short = [i for i in told if len(a[i]) < 64]
@@ -67,6 +70,12 @@ def _shared_share(a: pd.Series, b: pd.Series) -> pd.Series:
     for i in told:
         if len(a[i]) >= 64:
             out[i] = 2.0 * _common(a[i], b[i]) / (len(a[i]) + len(b[i]))
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _shared_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = _shares(a, b)
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
@@ -86,13 +95,101 @@ def unique_names(entities: DataFrame, key: str, name: str) -> DataFrame:
     return entities.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("key"), F.countDistinct(key).alias("n")).where("n = 1").drop("n")
 
 
-def _pairs_of_letters(c: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pairs_of_letters(names: pd.Series) -> pd.Series:
     """Each two letters that stand together, with how many equal ones came before; a single letter alone."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
-
+    out = []
+    for x in names:
+        seen: dict[str, int] = {}
+        own = []
+        for i in range(max(len(x) - 1, 1)):
+            pair = x[i : i + 2]
+            seen[pair] = seen.get(pair, -1) + 1
+            own.append(f"{pair}{seen[pair]}")
+        out.append(own)
+    return pd.Series(out)
+
+
+#: Names on a side of a block: those looked for, and those they are compared with.
+BLOCK = (32_768, 65_536)
+#: Comparing a pair of a block takes that much less than joining one.
+CHEAPER = 32
+
+
+def _bits(names: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each name the set of its pairs of letters, hashed to bits of so many words, and how many of its pairs share a bit with others of it."""
+    bits, size = np.zeros((words, len(names)), np.uint64), np.array([len(x) for x in names])
+    code, row = _letters(names, 0).astype(np.uint64), np.arange(len(names))
+    for i in range(1, code.shape[1]):
+        h = ((code[:, i - 1] << np.uint64(21) | code[:, i]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        own = i < size
+        bits[h[own] // np.uint64(64) % np.uint64(words), row[own]] |= np.uint64(1) << h[own] % np.uint64(64)
+    return bits, np.maximum(size - 1, 0) - np.bitwise_count(bits).sum(0, dtype=np.int64)
+
+
+def _near_in_block(more: list[str]):
+    """Of all pairs of a block (side, name, s, n, t and the columns `more`) those whose similarity reaches the first name's threshold t.
+
+    Bits come first: as many pairs of letters as alike_names says are in common,
+    so as many bits are, but for those that several pairs of letters share.
+    """
 
-def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85, within: str | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compared(batches, more)
+
+    return run
+
+
+def _compared(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches)).combine_chunks()
+    side, text, size = (table.column(c).to_numpy() for c in ("side", "s", "n"))
+    least, name = table.column("t").to_numpy(), table.column("name")
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right = left[np.lexsort((least[left], size[left]))], right[np.argsort(size[right], kind="stable")]
+    if not len(left) or not len(right):
+        return
+    n, few = size[right].astype(np.int64), 1 << 16
+
+    def told(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        at, other = np.repeat([i for i, _ in found], [len(x) for _, x in found]), np.concatenate([x for _, x in found])
+        share = _shares(text[at].tolist(), text[other].tolist())
+        fit = share >= least[at]
+        x, y = (pa.array(i[fit]) for i in (at, other))
+        return pa.RecordBatch.from_arrays([name.take(x).combine_chunks(), name.take(y).combine_chunks(), *[table.column(c).take(x).combine_chunks() for c in more], pa.array(share[fit])], names=["r", "e", *more, "s"])
+
+    edges = np.flatnonzero((np.diff(size[left], prepend=-1) != 0) | (np.diff(least[left], prepend=-1) != 0))
+    for own in np.split(left, edges[1:]):
+        m, t = int(size[own[0]]), float(least[own[0]])
+        lo, hi = np.searchsorted(n, [m * t / (2 - t) - 1e-6, m * (2 - t) / t + 1e-6])
+        if lo == hi:
+            continue
+        words = 2
+        while 10 * words < m and words < 32:
+            words *= 2
+        found, held = [], 0
+        one = _bits(text[own].tolist(), words)[0]
+        for a in range(lo, hi, 16_384):
+            b = min(a + 16_384, hi)
+            two, lost = _bits(text[right[a:b]].tolist(), words)
+            need = 3 * np.ceil(t * (m + n[a:b]) / 2 - 1e-9).astype(np.int64) - (m + n[a:b]) - 1 - lost
+            need = np.clip(need, 0, 1 << 15).astype(np.uint16)
+            both, one_word, count = np.empty(b - a, np.uint64), np.empty(b - a, np.uint8), np.empty(b - a, np.uint16)
+            for k, i in enumerate(own):
+                count[:] = np.bitwise_count(np.bitwise_and(two[0], one[0, k], out=both), out=one_word)
+                for w in range(1, words):
+                    np.add(count, np.bitwise_count(np.bitwise_and(two[w], one[w, k], out=both), out=one_word), out=count)
+                hits = np.flatnonzero(count >= need)
+                if len(hits):
+                    found.append((i, right[a + hits]))
+                    held += len(hits)
+                    if held >= few:
+                        yield told(found)
+                        found, held = [], 0
+        if found:
+            yield told(found)
+
+
+def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85, within: str | None = None, blocks: bool | None = None) -> DataFrame:
     """(r, e, s) of the distinct names left(r) and right(e) whose similarity s reaches fuzzy_threshold of r.
 
     With within, a column of both, only names of equal value there are
@@ -100,17 +197,29 @@ def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85, within
 
     Nothing is lost: names of similarity t over lengths m and n share at least
     (1.5 t - 1)(m + n) - 1 pairs of letters, so they share one of their rarest
-    if each name gives all but so many of its own; only those are joined. Nulls
-    and empty names have no match.
+    if each name gives all but so many of its own; only those are joined. Where
+    no pair of letters is rare, as in digests, that join would meet most pairs
+    many times over: all pairs of like length are then compared by the bits of
+    their pairs of letters, in blocks. blocks: True or False for one of the two,
+    None for the one with less to do. Nulls and empty names have no match.
     """
     t, more = base, [within] if within else []
     least = (1.5 * t - 1) * (1 + t / (2 - t))
+    scratch = Scratch(left.sparkSession, "alike")
 
     def named(df: DataFrame, c: str) -> DataFrame:
-        own = df.where(F.length(F.trim(c)) > 0).select(c, *more).distinct().withColumn("s", sorted_tokens(F.col(c)))
-        return own.select(c, *more, "s", F.length("s").alias("n"), F.explode(_pairs_of_letters(F.col("s"))).alias("pair"))
+        own = df.where(F.length(F.trim(c)) > 0).where(F.col(within).isNotNull() if within else F.lit(True))
+        own = own.select(c, *more).distinct().repartition(4 * left.sparkSession.sparkContext.defaultParallelism, c)
+        return scratch.write(own.withColumn("s", sorted_tokens(F.col(c))).withColumn("n", F.length("s")), c)
+
+    def of_pairs(df: DataFrame, c: str) -> DataFrame:
+        return df.select(c, *more, "s", "n", F.explode(_pairs_of_letters("s")).alias("pair"))
+
+    def like(m: str, n: str) -> Column:
+        return 2.0 * F.least(m, n) >= t * (F.col(m) + F.col(n)) - 1e-9
 
-    r, e = named(left, "r"), named(right, "e")
+    left, right = named(left, "r"), named(right, "e")
+    r, e = of_pairs(left, "r"), of_pairs(right, "e")
     common = e.groupBy("pair", *more).agg(F.count("*").alias("f"))
 
     def rarest(df: DataFrame, c: str) -> DataFrame:
@@ -118,7 +227,32 @@ def alike_names(left: DataFrame, right: DataFrame, *, base: float = 0.85, within
         kept = F.greatest(F.col("n") - F.greatest(F.ceil(least * F.col("n") - 1 - 1e-9), F.lit(1)), F.lit(1))
         return df.join(common, ["pair", *more], "left").withColumn("k", order).where(F.col("k") <= kept).select(c, *more, "pair", F.col("n").alias(f"{c}_n"))
 
-    near = rarest(r, "r").join(rarest(e, "e"), ["pair", *more]).where(2.0 * F.least("r_n", "e_n") >= t * (F.col("r_n") + F.col("e_n")) - 1e-9).select("r", "e", *more).distinct()
+    def pairs_of(x: DataFrame, y: DataFrame, on: list[str], where: Column) -> float:
+        """How many pairs of rows x(_x) and y(_y) stand for."""
+        both = x.join(y, on) if on else x.crossJoin(y)
+        return both.where(where).agg(F.sum(F.col("_x") * F.col("_y"))).first()[0] or 0.0
+
+    def counted(df: DataFrame, out: str, *by: str | Column) -> DataFrame:
+        return df.groupBy(*by).agg(F.count("*").cast("double").alias(out))
+
+    rare_r, rare_e = rarest(r, "r"), rarest(e, "e")
+    if blocks is None:
+        lengths = counted(left, "_x", F.col("n").alias("r_n"), *more), counted(right, "_y", F.col("n").alias("e_n"), *more)
+        shared = counted(rare_r, "_x", "pair", *more), counted(rare_e, "_y", "pair", *more)
+        blocks = CHEAPER * pairs_of(*shared, ["pair", *more], F.lit(True)) > pairs_of(*lengths, more, like("r_n", "e_n"))
+    if blocks:
+        p, q = max(1, -(-left.count() // BLOCK[0])), max(8, -(-right.count() // BLOCK[1]))
+
+        def dealt(df: DataFrame, c: str, side: int, least: Column, own: str, n: int, other: str, m: int) -> DataFrame:
+            return df.select(F.lit(side).alias("side"), F.col(c).alias("name"), "s", "n", least.alias("t"), *more, F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+        units = dealt(left, "r", 0, fuzzy_threshold(F.col("r"), t), "p", p, "q", q).unionByName(dealt(right, "e", 1, F.lit(0.0), "q", q, "p", p))
+        schema = T.StructType([T.StructField("r", T.StringType()), T.StructField("e", T.StringType()), *[left.schema[c] for c in more], T.StructField("s", T.DoubleType())])
+        on = [*more, "p", "q"]
+        # A fixed number of partitions: blocks are few bytes and much work, so they are not to be put together.
+        found = units.repartition(max(64, p * q) if more else p * q, *on).groupBy(*on).applyInArrow(_near_in_block(more), schema)
+        return found.select("r", "e", *more, "s").where(F.col("s") >= fuzzy_threshold(F.col("r"), base))
+    near = rare_r.join(rare_e, ["pair", *more]).where(like("r_n", "e_n")).select("r", "e", *more).distinct()
     return near.withColumn("s", similarity(F.col("r"), F.col("e"))).where(F.col("s") >= fuzzy_threshold(F.col("r"), base))
 
 

@@ -74,3 +74,26 @@ def test_cascade_by_hand(spark):
 def test_similarity_ignores_order(spark):
     row = spark.createDataFrame([("acetic acid", "acid acetic", None)], "a string, b string, c string").select(E.similarity(F.col("a"), F.col("b")).alias("x"), E.similarity(F.col("a"), F.col("c")).alias("y")).first()
     assert row["x"] == 1.0 and row["y"] is None
+
+
+def test_alike_names_by_blocks_and_by_join(spark):
+    """Both ways find what brute force does, with repeated letters, other alphabets, long names and a group to stay in."""
+    rng = random.Random(9)
+    long = ["".join(rng.choice("ab 1é𝛼") for _ in range(rng.randint(60, 90))) for _ in range(25)]
+    left, right = ([(x, g) for x in sorted({*names(150, s), *(x[:i] + "z" + x[i:] for i, x in enumerate(long)), *long[:5], "a", "b", "aa", " a  b "}) for g in ("u", "v")] for s in (1, 2))
+    right = [x for x in right if hash(x[1]) is not None and len(x[0]) % 7 > 0] + [("acid", "w"), ("acid", None)]
+    l = spark.createDataFrame([*left, (None, "u"), ("", "v"), ("acid", None)], "r string, g string")
+    r = spark.createDataFrame(right, "e string, g string")
+    for base in (0.85, 0.6):
+        want = {(a, b, g): ratio(a, b) for a, g in left for b, h in right if g == h and ratio(a, b) >= max(base, threshold(a) if len(a) <= 14 else base)}
+        for blocks in (True, False, None):
+            got = {(x.r, x.e, x.g): x.s for x in E.alike_names(l, r, base=base, within="g", blocks=blocks).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_names_without_rare_letters_are_not_joined(spark):
+    """Digests share their pairs of letters with most others: the plan has no join that would meet these pairs."""
+    own = spark.range(300).select(F.md5(F.col("id").cast("string").cast("binary")).alias("e"))
+    near = E.alike_names(own.select(F.concat("e", F.lit("x")).alias("r")), own)
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.where(F.col("r") == F.concat("e", F.lit("x"))).count() == near.count() == 300
