@@ -127,11 +127,22 @@ def _bits(names: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.maximum(size - 1, 0) - np.bitwise_count(bits).sum(0, dtype=np.int64)
 
 
+def _letter_counts(names: list[str]) -> np.ndarray:
+    """How often each name has a letter of each of 64 kinds."""
+    code, size = _letters(names, 0), np.array([len(x) for x in names])
+    out, row = np.zeros((len(names), 64), np.uint16), np.arange(len(names))
+    for i in range(code.shape[1]):
+        own = i < size
+        out[row[own], code[own, i] % 64] += np.uint16(1)
+    return out
+
+
 def _near_in_block(more: list[str]):
     """Of all pairs of a block (side, name, s, n, t and the columns `more`) those whose similarity reaches the first name's threshold t.
 
     Bits come first: as many pairs of letters as alike_names says are in common,
-    so as many bits are, but for those that several pairs of letters share.
+    so as many bits are, but for those that several pairs of letters share. Of
+    what is left, letters in common are counted, whatever their order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +178,20 @@ def _compared(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[pa
         while 10 * words < m and words < 32:
             words *= 2
         found, held = [], 0
-        one = _bits(text[own].tolist(), words)[0]
+        one, one_has = _bits(text[own].tolist(), words)[0], _letter_counts(text[own].tolist())
         for a in range(lo, hi, 16_384):
             b = min(a + 16_384, hi)
-            two, lost = _bits(text[right[a:b]].tolist(), words)
-            need = 3 * np.ceil(t * (m + n[a:b]) / 2 - 1e-9).astype(np.int64) - (m + n[a:b]) - 1 - lost
-            need = np.clip(need, 0, 1 << 15).astype(np.uint16)
+            (two, lost), two_has = _bits(text[right[a:b]].tolist(), words), _letter_counts(text[right[a:b]].tolist())
+            letters = np.ceil(t * (m + n[a:b]) / 2 - 1e-9).astype(np.int64)
+            need = np.clip(3 * letters - (m + n[a:b]) - 1 - lost, 0, 1 << 15).astype(np.uint16)
             both, one_word, count = np.empty(b - a, np.uint64), np.empty(b - a, np.uint8), np.empty(b - a, np.uint16)
             for k, i in enumerate(own):
                 count[:] = np.bitwise_count(np.bitwise_and(two[0], one[0, k], out=both), out=one_word)
                 for w in range(1, words):
                     np.add(count, np.bitwise_count(np.bitwise_and(two[w], one[w, k], out=both), out=one_word), out=count)
                 hits = np.flatnonzero(count >= need)
+                if len(hits):
+                    hits = hits[np.minimum(two_has[hits], one_has[k]).sum(1, dtype=np.int64) >= letters[hits]]
                 if len(hits):
                     found.append((i, right[a + hits]))
                     held += len(hits)
