@@ -34,14 +34,18 @@ def over_rate(calls: DataFrame, key: str, time: str, *, seconds: int = 60, most:
 
     What counts for a call lies in its own span of `seconds` or the one before:
     a key's calls are counted span by span, so that a busy key is dealt over its
-    time. Of calls at one time only their number goes to the span after.
+    time. A span begins with the number of calls in the one before, which leave
+    it one after the other: a running sum, so that no call is counted anew for
+    each that follows. Of calls at one time only their number goes to the span after.
     """
     span = seconds * 1_000_000
     own = calls.where(F.col(time).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("_row"), F.col(key).alias("_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
     own = own.withColumn("_span", F.floor(F.col("_at") / span))
-    before = own.groupBy("_key", "_at", "_span").agg(F.count("*").alias("_n")).select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_key", "_at", (F.col("_span") + 1).alias("_span"), "_n")
-    w = W.partitionBy("_key", "_span").orderBy("_at").rangeBetween(-span + 1, 0)
-    both = own.withColumn("_n", F.lit(1).cast("long")).unionByName(before).withColumn("_recent", F.sum("_n").over(w)).where("_row is not null")
+    none = F.lit(None).cast(own.schema["_row"].dataType).alias("_row")
+    gone = own.groupBy("_key", "_at", "_span").agg((-F.count("*")).alias("_n")).select(none, "_key", (F.col("_at") + span).alias("_at"), (F.col("_span") + 1).alias("_span"), "_n")
+    there = own.groupBy("_key", "_span").agg(F.count("*").alias("_n")).select(none, "_key", ((F.col("_span") + 1) * span - 1).alias("_at"), (F.col("_span") + 1).alias("_span"), "_n")
+    w = W.partitionBy("_key", "_span").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = own.withColumn("_n", F.lit(1).cast("long")).unionByName(gone).unionByName(there).withColumn("_recent", F.sum("_n").over(w)).where("_row is not null")
     return both.select(*[F.col("_row")[c].alias(c) for c in calls.columns], F.col("_recent").alias("recent"), (F.col("_recent") > most).alias("refused"))
 
 

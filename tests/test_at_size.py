@@ -36,3 +36,15 @@ def test_pairs_are_dealt_over_tasks(spark):
     pairs = J.all_pairs(left, right)
     assert pairs.rdd.getNumPartitions() == 16 and pairs.count() == 16_000_000
     assert J.all_pairs(left.limit(0), right).count() == 0
+
+
+def test_rates_by_brute_force(spark):
+    """Calls at one time, at the edges of a span and before 1970; a running sum and no frame that is counted anew for each row."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), 0.0 + rng.choice([-70, -61, -60, -1, 0, 59, 60, 61, 119, 120, 180, *range(0, 400, 7)]) + rng.choice([0, 0, 0.000001, 0.999999])) for i in range(400)] + [(400, None, 5.0), (401, None, 6.0), (402, "a", None)]
+    df = spark.createDataFrame(rows, "i int, k string, at double").withColumn("at", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")))
+    got = Q.over_rate(df, "k", "at", seconds=60, most=9)
+    micro = [(i, k, None if t is None else round(t * 1e6)) for i, k, t in rows]
+    want = {i: sum(k == k2 and u is not None and t - 60_000_000 < u <= t for _, k2, u in micro) for i, k, t in micro if t is not None}
+    assert {r["i"]: (r["recent"], r["refused"]) for r in got.collect()} == {i: (n, n > 9) for i, n in want.items()}
+    assert "unboundedpreceding$(), currentrow$()" in plan(got)
