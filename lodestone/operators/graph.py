@@ -154,9 +154,32 @@ def wrong_directions(edges: DataFrame, allowed: Sequence[tuple[str, str, str]])
     return edges.where(~ok).groupBy("src_label", "rel", "dst_label").agg(F.count("*").alias("n"))
 
 
+#: Pairs of rows of one value that a task joins.
+VALUE_PAIRS = 4_000_000
+
+
 def derived_edges(left: DataFrame, right: DataFrame, via: str, rel: str, labels: tuple[str, str]) -> DataFrame:
-    """Edges between left(src_id, via) and right(dst_id, via) that share a value."""
-    return left.join(right, via).select(F.lit(labels[0]).alias("src_label"), "src_id", F.lit(rel).alias("rel"), F.lit(labels[1]).alias("dst_label"), "dst_id").distinct()
+    """Edges between left(src_id, via) and right(dst_id, via) that share a value, each once.
+
+    Ends that share several values are joined at the least one only, so that the
+    edges need no shuffle of their own. A value with many pairs is dealt over
+    blocks of both sides.
+    """
+    def ends(df: DataFrame, key: str, out: str) -> DataFrame:
+        lists = df.where(F.col(via).isNotNull()).groupBy(key).agg(F.collect_set(via).alias(out))
+        return lists.withColumn("_via", F.explode(out)).withColumn(out, F.when(F.size(out) > 1, F.col(out)))
+
+    l, r = ends(left, "src_id", "_l"), ends(right, "dst_id", "_r")
+    met = l.groupBy("_via").agg(F.count("*").alias("_x")).join(r.groupBy("_via").agg(F.count("*").alias("_y")), "_via")
+    n = F.least(F.ceil(F.sqrt(F.col("_x").cast("double") * F.col("_y") / VALUE_PAIRS)), F.lit(512)).cast("long")
+    met = met.select("_via", n.alias("_b"))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return df.join(met, "_via").withColumn(own, F.pmod(F.xxhash64(key), F.col("_b"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))).drop("_b")
+
+    both = dealt(l, "src_id", "_p", "_q").join(dealt(r, "dst_id", "_q", "_p"), ["_via", "_p", "_q"])
+    first = F.col("_l").isNull() | F.col("_r").isNull() | (F.col("_via") == F.array_min(F.array_intersect("_l", "_r")))
+    return both.where(first).select(F.lit(labels[0]).alias("src_label"), "src_id", F.lit(rel).alias("rel"), F.lit(labels[1]).alias("dst_label"), "dst_id")
 
 
 def edge_lists(edges: DataFrame) -> DataFrame:

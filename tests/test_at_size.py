@@ -48,3 +48,16 @@ def test_rates_by_brute_force(spark):
     want = {i: sum(k == k2 and u is not None and t - 60_000_000 < u <= t for _, k2, u in micro) for i, k, t in micro if t is not None}
     assert {r["i"]: (r["recent"], r["refused"]) for r in got.collect()} == {i: (n, n > 9) for i, n in want.items()}
     assert "unboundedpreceding$(), currentrow$()" in plan(got)
+
+
+def test_derived_edges_once_and_by_blocks(spark, monkeypatch):
+    """Ends that share several values, or come in several rows, give one edge without a shuffle of the edges; a common value is dealt out."""
+    monkeypatch.setattr(G, "VALUE_PAIRS", 50)
+    rng = random.Random(5)
+    left = [(rng.randrange(60), rng.choice([1, 1, 1, 2, 3, 4, None])) for _ in range(150)]
+    right = [(rng.randrange(60), rng.choice([1, 1, 1, 2, 3, 5, None])) for _ in range(150)]
+    got = G.derived_edges(spark.createDataFrame(left, "src_id long, via int"), spark.createDataFrame(right, "dst_id long, via int"), "via", "same", ("A", "B"))
+    want = sorted({("A", a, "same", "B", b) for a, v in left for b, w in right if v == w and v is not None})
+    assert sorted(tuple(r) for r in got.collect()) == want
+    top = plan(got).split("Join")[0]
+    assert "Aggregate" not in top
