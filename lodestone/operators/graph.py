@@ -270,6 +270,10 @@ def _dealt(lack: list[int], size: int, n: int) -> list[int]:
     return [x - size * bisect_left(range(n), n, key=lambda j, k=k: turn(k, j)) for k, x in enumerate(lack)]
 
 
+#: Draws of a task.
+DRAWS = 500_000
+
+
 def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, per_left: int) -> DataFrame:
     """For each left id, per_left right ids that aren't known partners, drawn one after the other without repeats by weights 1 / (2 + degree).
 
@@ -286,7 +290,7 @@ def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: s
     degree = known.groupBy(b).agg(F.sum("_m").alias("_deg"))
     pool = right.where(F.col(b).isNotNull()).select(b).distinct().join(degree, b, "left").fillna(0, ["_deg"]).select(b, "_deg")
     pool = scratch.write(pool, "pool")
-    left = left.where(F.col(a).isNotNull()).select(a).distinct()
+    left = scratch.write(left.where(F.col(a).isNotNull()).select(a).distinct(), "left")
     classes = pool.groupBy("_deg").agg(F.count("*").alias("n")).orderBy("_deg").collect()
     if not classes:
         return all_pairs(left, pool).select(a, b)
@@ -302,13 +306,18 @@ def weighted_negatives(left: DataFrame, right: DataFrame, known: DataFrame, a: s
         return (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
     at = placed(pool, [F.col("_deg"), F.col(b)], position="_at").select(b, "_at")
-    drawn = left.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(4 * per_left + 16))))
+    draws = 4 * per_left + 16
+    # A fixed number of partitions: ids are few bytes and many draws, so they are not to be put together.
+    drawn = left.repartition(max(1, -(-left.count() * draws // DRAWS)), a).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     own = F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col("_n").cast("string")).cast("binary"))
     drawn = drawn.withColumn("_h", own).withColumn("_at", position(share(F.col("_h"), 1), share(F.col("_h"), 9)))
     drawn = drawn.join(at.hint("merge"), "_at").groupBy(a, b).agg(F.min("_n").alias("_n")).join(known, [a, b], "left_anti")
     picked = drawn.withColumn("_k", F.row_number().over(W.partitionBy(a).orderBy("_n"))).where(F.col("_k") <= per_left)
     picked = scratch.write(picked.select(a, b), "picked")
     short = left.join(picked.groupBy(a).agg(F.count("*").alias("_got")), a, "left").fillna(0, ["_got"]).where(F.col("_got") < per_left)
+    short = scratch.write(short, "short")
+    if short.isEmpty():
+        return picked
     rest = all_pairs(short, pool).join(known, [a, b], "left_anti").join(picked, [a, b], "left_anti")
     u = share(F.md5(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")).cast("binary")), 1)
     rest = rest.withColumn("_k", F.row_number().over(W.partitionBy(a).orderBy(-F.log(u) * (2 + F.col("_deg")), b))).where(F.col("_k") + F.col("_got") <= per_left)

@@ -61,3 +61,13 @@ def test_derived_edges_once_and_by_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == want
     top = plan(got).split("Join")[0]
     assert "Aggregate" not in top
+
+
+def test_negatives_without_short_ids_join_no_pairs(spark):
+    """Where draws suffice no pairs of all ids are planned beside them; ids are dealt over tasks by their draws."""
+    left, right = spark.range(300).toDF("c"), spark.range(500).toDF("p")
+    known = spark.range(300).select(F.col("id").alias("c"), F.col("id").alias("p"))
+    got = G.weighted_negatives(left, right, known, "c", "p", 5)
+    assert "Join" not in plan(got)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 1500 and not any(c == p for c, p in rows)
