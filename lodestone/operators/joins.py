@@ -115,21 +115,45 @@ def all_pairs(left: DataFrame, right: DataFrame, *, blocks: int | None = None) -
     return l.repartition(tasks, p, q).join(r.repartition(tasks, p, q), [p, q]).drop(p, q)
 
 
+#: First pairs of an order that are looked up among known ones by their names, at most.
+FIRST = 20_000
+
+
 def top_unseen_pairs(left: DataFrame, right: DataFrame, known: DataFrame, a: str, b: str, *, bound: Column, score: Column, ties: Sequence[str], k: int, block: int = 64) -> DataFrame:
     """The k pairs of the highest score (ties: the least `ties` first) that aren't known, without all pairs.
 
     `bound`, of a row of right, is at least the score of each of its pairs. The
     rows of highest bound are paired first; more are taken until the k-th score
     is above the bounds of all others, so the result is that over all pairs.
+    Of a round's pairs the first ones are looked up among the known, by a filter
+    on their names; if too few of them are new, more are, and beyond FIRST all.
     """
     scratch = Scratch(left.sparkSession, "unseen")
-    known, right = scratch.write(known.select(a, b).distinct(), "known"), scratch.write(right.withColumn("_bound", bound), "right")
-    rows, turn = right.count(), 0
+    right = scratch.write(right.withColumn("_bound", bound), "right")
+    rows, turn, order = right.count(), 0, [F.col("score").desc(), *ties]
+
+    def named(c: str, first: DataFrame) -> Column:
+        low = F.lower(F.col(c).cast("string"))
+        return low.isin([r[0] for r in first.select(low).distinct().collect() if r[0] is not None])
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        nonlocal known
+        take = max(4 * k, 500)
+        while take <= FIRST:
+            first = scratch.write(pairs.orderBy(*order).limit(take), f"first{turn}_{take}")
+            new = unseen_pairs(first, known.select(a, b).where(named(a, first) & named(b, first)), a, b)
+            best = scratch.write(new.orderBy(*order).limit(k), f"best{turn}_{take}")
+            if first.count() < take or best.count() == k:
+                return best
+            take *= 6
+        if "known" not in scratch.paths:
+            known = scratch.write(known.select(a, b).distinct(), "known")
+        return scratch.write(unseen_pairs(pairs, known, a, b).orderBy(*order).limit(k), f"best{turn}")
+
     while True:
         cut = None if block >= rows else right.select("_bound").orderBy(F.col("_bound").desc_nulls_first()).limit(block).agg(F.min("_bound")).first()[0]
         used = right if cut is None else right.where(F.col("_bound").isNull() | (F.col("_bound") >= cut))
-        pairs = unseen_pairs(all_pairs(left, used.drop("_bound")), known, a, b).withColumn("score", score)
-        best = scratch.write(pairs.orderBy(F.col("score").desc(), *ties).limit(k), f"best{turn}")
+        best = unseen(all_pairs(left, used.drop("_bound")).withColumn("score", score))
         got = best.agg(F.count("score").alias("n"), F.min("score").alias("least")).first()
         if block >= rows or (cut is not None and got["n"] == k and got["least"] >= cut):
             return best

@@ -71,3 +71,25 @@ def test_negatives_without_short_ids_join_no_pairs(spark):
     assert "Join" not in plan(got)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) == 1500 and not any(c == p for c, p in rows)
+
+
+def test_unseen_pairs_look_up_few_known(spark, monkeypatch):
+    """Known pairs are narrowed to the names of a round's first pairs; where those don't do, all count, with the same result."""
+    left = spark.createDataFrame([(i, f"L{i}" if i % 7 else None) for i in range(60)], "i long, a string")
+    right = spark.createDataFrame([(j, f"r{j}", 1000.0 - j) for j in range(80)], "j long, b string, top double")
+    known = spark.createDataFrame([(f"l{i}", f"R{j}") for i in range(60) for j in range(80) if j < 30 or (i + j) % 3], "a string, b string")
+    seen, own = [], J.unseen_pairs
+
+    def looked(pairs, told, a, b):
+        seen.append(told.count())
+        return own(pairs, told, a, b)
+
+    monkeypatch.setattr(J, "unseen_pairs", looked)
+    score = F.col("top") / (1 + F.col("i"))
+    pairs = [((1000.0 - j) / (1 + i), i, j) for i in range(60) for j in range(80) if i % 7 == 0 or not (j < 30 or (i + j) % 3)]
+    want = [(i, j) for _, i, j in sorted(pairs, key=lambda x: (-x[0], *x[1:]))[:8]]
+    for first in (20_000, 0):
+        monkeypatch.setattr(J, "FIRST", first)
+        got = J.top_unseen_pairs(left, right, known, "a", "b", bound=F.col("top"), score=score, ties=["i", "j"], k=8)
+        assert [(r["i"], r["j"]) for r in got.collect()] == want
+    assert seen[0] < known.count() / 3 < seen[-1]
