@@ -42,7 +42,9 @@ def resolved(records: DataFrame, entities: DataFrame, *, base: float = 0.85, flo
     out = out.join(_once(e, ["network_id"], "accession", "m2"), "network_id", "left").join(_once(e, ["gene", "organism"], "accession", "m3"), ["gene", "organism"], "left")
     left = out.where(F.col("m1").isNull() & F.col("m2").isNull() & F.col("m3").isNull() & (F.length("name") >= least) & F.col("organism").isNotNull())
     named = _once(e.where(F.length("name") >= least), ["name", "organism"], "accession", "m4")
-    near = alike_names(left.select(F.col("name").alias("r"), "organism"), named.select(F.col("name").alias("e"), "organism"), base=base, within="organism").where(F.col("s") >= name_cutoff(base, floor))
+    # Asked for at the cutoff itself, which leaves fewer pairs to compare than base.
+    cutoff = name_cutoff(base, floor)
+    near = alike_names(left.select(F.col("name").alias("r"), "organism"), named.select(F.col("name").alias("e"), "organism"), base=max(base, cutoff), within="organism").where(F.col("s") >= cutoff)
     near = near.where(family_member(F.col("r")) == family_member(F.col("e")))
     near = near.join(named.withColumnRenamed("name", "e"), ["e", "organism"]).select(F.col("r").alias("name"), "organism", "m4", "s", "e")
     order = W.partitionBy("name", "organism").orderBy(F.col("s").desc(), "e")

@@ -93,3 +93,15 @@ def test_unseen_pairs_look_up_few_known(spark, monkeypatch):
         got = J.top_unseen_pairs(left, right, known, "a", "b", bound=F.col("top"), score=score, ties=["i", "j"], k=8)
         assert [(r["i"], r["j"]) for r in got.collect()] == want
     assert seen[0] < known.count() / 3 < seen[-1]
+
+
+def test_protein_names_are_compared_at_their_cutoff(spark, monkeypatch):
+    """A lower threshold would find, and throw away, pairs that the cutoff doesn't let through."""
+    from lodestone.operators import proteins as P
+
+    asked, own = [], P.alike_names
+    monkeypatch.setattr(P, "alike_names", lambda *a, base, **b: asked.append(base) or own(*a, base=base, **b))
+    e = spark.createDataFrame([("A", "a protein of many letters 1"), ("B", "b protein of some letters 2")], "accession string, name string").select("accession", F.lit(None).cast("string").alias("network_id"), F.lit(None).cast("string").alias("gene"), F.lit("h").alias("organism"), "name")
+    r = spark.createDataFrame([(1, "a protein of many lettersx 1"), (2, "a protain of sane lettens 2"), (3, None)], "record_id int, name string").select("record_id", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("string").alias("network_id"), F.lit(None).cast("string").alias("gene"), F.lit("h").alias("organism"), "name")
+    assert sorted((x.record_id, x.match) for x in P.resolved(r, e).collect()) == [(1, "A"), (2, None), (3, None)]
+    assert asked == [P.name_cutoff(0.85, 0.9)]
