@@ -2,43 +2,103 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lodestone.shared import Scratch
+from lodestone.shared import Scratch, small_batches
 
 #: Vectors on a side of a block.
-BLOCK = 2048
-
-
-def _block(k: int, scale: float | None):
-    """The products of a block of queries with a block of candidates: of each query the k best, and the sum of exponentials that its softmax needs."""
-
-    names = ["query_id", "id", "score", "most", "total"]
-
-    def run(table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-        vectors = table.column("vector").combine_chunks()
-        width = len(vectors.flatten()) // max(len(vectors), 1)
-        v = vectors.flatten().to_numpy().reshape(-1, width)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.float64()] * 3)], names=names)
-        left, right = left[np.argsort(ids[left])], right[np.argsort(ids[right])]
-        score = v[left] @ v[right].T
-        score = score * scale if scale is not None else score
-        own = ids[left][:, None] == ids[right][None, :]
-        score[own] = -np.inf  # no vector is its own partner
-        most = score.max(1)
-        with np.errstate(invalid="ignore"):
-            total = np.where(np.isfinite(most), np.exp(score - most[:, None]).sum(1), 0.0)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), best.shape[1])
-        value = np.take_along_axis(score, best, 1).reshape(-1)
-        fit = np.isfinite(value)
-        row, at, value = row[fit], best.reshape(-1)[fit], value[fit]
-        return pa.table([pa.array(ids[left][row]), pa.array(ids[right][at]), pa.array(value), pa.array(most[row]), pa.array(total[row])], names=names)
+BLOCK = 4096
+#: Bytes of candidates that a task holds, and tasks that queries are dealt over at most.
+HELD, DEALT = 64 << 20, 256
+_PACKED = "block string, ids binary, vectors binary"
+_FOUND = "query_id long, ids array<long>, scores array<double>, most double, total double"
+
+
+def _packed(block: int, dtype: str):
+    """Rows of vectors as rows of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = table.column("id").to_numpy().astype(np.int64)
+            values = table.column("vector").combine_chunks().flatten().to_numpy().astype(dtype)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, block - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == block:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    return run
+
+
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k largest scores with their ids, ties to smaller ids; -inf where there are fewer."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, 1)[:, -k]
+        row, col = np.nonzero(score >= least[:, None])
+    else:
+        row, col = np.nonzero(score > -np.inf)
+    value, who = score[row, col], ids[row, col]
+    order = np.lexsort((who, -value, row))
+    row, value, who = row[order], value[order], who[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    fit = place < k
+    best, own = np.full((len(score), k), -np.inf), np.zeros((len(score), k), np.int64)
+    best[row[fit], place[fit]], own[row[fit], place[fit]] = value[fit], who[fit]
+    return own, best
+
+
+def _products(k: int, scale: float | None, width: int, left: str, right: str):
+    """Blocks of queries with blocks of candidates, those of a block of queries one after the other: of each query the k best, and the sum of exponentials that its softmax needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = who = None
+
+        def out() -> pa.RecordBatch:
+            fit = best > -np.inf
+            offsets = pa.array(np.concatenate([[0], np.cumsum(fit.sum(1))]).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x[fit])) for x in (own, best))
+            return pa.RecordBatch.from_arrays([pa.array(who), *lists, pa.array(most), pa.array(total)], names=["query_id", "ids", "scores", "most", "total"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, qi, qv, ci, cv = (batch.column(c)[row] for c in ("block", "ids", "vectors", "c_ids", "c_vectors"))
+                if block.as_py() != name:
+                    if name is not None:
+                        yield out()
+                    name, who = block.as_py(), np.frombuffer(qi.as_buffer(), np.int64)
+                    v = np.frombuffer(qv.as_buffer(), left).astype(np.float64).reshape(-1, width)
+                    own, best = np.zeros((len(who), k), np.int64), np.full((len(who), k), -np.inf)
+                    most, total = np.full(len(who), -np.inf), np.zeros(len(who))
+                ids = np.frombuffer(ci.as_buffer(), np.int64)
+                w = np.frombuffer(cv.as_buffer(), right).astype(np.float64).reshape(-1, width)
+                for lo in range(0, len(who), 512):
+                    at = slice(lo, min(lo + 512, len(who)))
+                    score = v[at] @ w.T
+                    score = score * scale if scale is not None else score
+                    score[who[at][:, None] == ids[None, :]] = -np.inf  # no vector is its own partner
+                    if scale is not None:
+                        peak = np.maximum(most[at], score.max(1))
+                        with np.errstate(invalid="ignore"):
+                            total[at] = np.where(np.isfinite(peak), total[at] * np.exp(most[at] - peak) + np.exp(score - peak[:, None]).sum(1), 0.0)
+                        most[at] = peak
+                    more, value = _best(np.broadcast_to(ids, score.shape), score, k)
+                    own[at], best[at] = _best(np.hstack([own[at], more]), np.hstack([best[at], value]), k)
+        if name is not None:
+            yield out()
 
     return run
 
@@ -52,39 +112,39 @@ def top_products(queries: DataFrame, candidates: DataFrame, *, id: str = "id", v
     or have another width than the most common take no part. Ids are integers
     and don't repeat on a side.
 
-    Every block of queries meets every block of candidates in one product of
-    matrices, of which k rows a query are kept; no table of pairs exists. Both
-    sides are dealt by their ids, and each goes to as many tasks as the other
-    has blocks.
+    Vectors are packed in blocks and written once; every block of queries meets
+    every block of candidates in one product of matrices. A task reads its
+    blocks from those files, so that no vector is shuffled to each block of the
+    other side, and keeps k candidates a query over all of its candidates.
     """
     spark = queries.sparkSession
     scratch = Scratch(spark, "products")
+    small_batches(spark)
 
-    def sound(df: DataFrame) -> DataFrame:
-        own = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-        return own.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    def sound(df: DataFrame) -> tuple[DataFrame, str]:
+        single = isinstance(df.schema[vector].dataType.elementType, T.FloatType)
+        own = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vector"))
+        own = own.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        return own, "f4" if single else "f8"
 
-    left, right = sound(queries), sound(candidates)
+    (left, one), (right, two) = sound(queries), sound(candidates)
     widths = right.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
     width = widths["width"] if widths else 0
-    left, right = (scratch.write(df.where(F.size("vector") == width), tag) for df, tag in ((left, "left"), (right, "right")))
-    p, q = (max(1, -(-df.count() // block)) for df in (left, right))
-
-    def dealt(df: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select("id", "vector", F.lit(side).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-
-    units = dealt(left, 0, "p", p, "q", q).unionByName(dealt(right, 1, "q", q, "p", p))
-    found = units.groupBy("p", "q").applyInArrow(_block(k, width**-0.5 if attention and width else None), "query_id long, id long, score double, most double, total double")
-    if not attention:
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", F.lit(None).cast("double").alias("weight"))
-    found = scratch.write(found.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q)).cast("int")), "found")
-    parts = found.groupBy("query_id", "q").agg(F.max("most").alias("most"), F.max("total").alias("total"))
-    peak = parts.groupBy("query_id").agg(F.max("most").alias("peak"))
-    sums = parts.join(peak, "query_id").groupBy("query_id", "peak").agg(F.sum(F.col("total") * F.exp(F.col("most") - F.col("peak"))).alias("whole"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(sums, "query_id").select("query_id", "rank", "id", "score", (F.exp(F.col("score") - F.col("peak")) / F.col("whole")).alias("weight"))
+
+    def packed(df: DataFrame, dtype: str, tag: str, parts: Callable[[int], int]) -> DataFrame:
+        own = df.where(F.size("vector") == width)
+        return scratch.write(own.mapInArrow(_packed(block, dtype), _PACKED).repartition(max(1, parts(own.count()))), tag)
+
+    l = packed(left, one, "left", lambda n: min(DEALT, -(-n // block)))
+    r = packed(right, two, "right", lambda n: -(-n * width * 8 // HELD)).select(F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    pairs = l.hint("shuffle_replicate_nl").crossJoin(r)
+    found = pairs.mapInArrow(_products(k, width**-0.5 if attention and width else None, width, f"<{one}", f"<{two}"), _FOUND)
+    parts = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("best"), F.collect_list(F.struct("most", "total")).alias("sums"), F.max("most").alias("peak"))
+    order = F.transform("best", lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
+    parts = parts.select("query_id", F.posexplode(F.slice(F.array_sort(order), 1, k)).alias("at", "x"), "peak", F.aggregate("sums", F.lit(0.0), lambda s, x: s + x["total"] * F.exp(x["most"] - F.col("peak"))).alias("whole"))
+    score = -F.col("x.s")
+    weight = F.exp(score - F.col("peak")) / F.col("whole") if attention else F.lit(None).cast("double")
+    return parts.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"), score.alias("score"), weight.alias("weight"))
 
 
 def fitted_temperature(df: DataFrame, logit: str, label: str, *, by: str | None = None, rounds: int = 12, least: float = 0.05, most: float = 20.0) -> DataFrame:

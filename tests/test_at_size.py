@@ -105,3 +105,27 @@ def test_protein_names_are_compared_at_their_cutoff(spark, monkeypatch):
     r = spark.createDataFrame([(1, "a protein of many lettersx 1"), (2, "a protain of sane lettens 2"), (3, None)], "record_id int, name string").select("record_id", F.lit(None).cast("string").alias("accession"), F.lit(None).cast("string").alias("network_id"), F.lit(None).cast("string").alias("gene"), F.lit("h").alias("organism"), "name")
     assert sorted((x.record_id, x.match) for x in P.resolved(r, e).collect()) == [(1, "A"), (2, None), (3, None)]
     assert asked == [P.name_cutoff(0.85, 0.9)]
+
+
+def test_products_shuffle_no_vectors(spark, monkeypatch):
+    """Blocks meet where they are read, candidates in several parts; ties across blocks go to smaller ids, weights are of all candidates."""
+    import numpy as np
+
+    from lodestone.operators import vectors as V
+
+    monkeypatch.setattr(V, "HELD", 700)
+    v = np.round(np.random.default_rng(4).normal(size=(60, 4)), 1)
+    v[20:40] = v[:20]
+    frames = [spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], f"id long, vector array<{kind}>").repartition(3) for kind in ("double", "float")]
+    for attention in (False, True):
+        got = V.top_products(*frames, k=7, attention=attention, block=8)
+        assert "FlatMapGroups" not in plan(got) and "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+        score = v @ v.astype(np.float32).astype(float).T * (0.5 if attention else 1)
+        np.fill_diagonal(score, -np.inf)
+        weight = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+        want = {(q, n + 1): int(i) for q in range(60) for n, i in enumerate(np.lexsort((np.arange(60), -np.round(score[q], 12)))[:7])}
+        assert len(rows) == 420 and {(r["query_id"], r["rank"]) for r in rows} == want.keys()
+        for r in rows:
+            assert abs(r["score"] - score[r["query_id"], want[r["query_id"], r["rank"]]]) < 1e-12
+            assert r["weight"] is None if not attention else abs(r["weight"] - weight[r["query_id"], r["id"]]) < 1e-9
